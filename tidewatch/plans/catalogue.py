@@ -1,5 +1,783 @@
 """Every named query with the SQL that it is held against."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.functions import dates, packing, transforms, urls
+from tidewatch.operators import classify, extract, joins, pages, reports, state, windows
+
+from .views import ctes, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "usage_matrix"
+
+NOW = "timestamp '2024-01-20 12:00:00'"
+STATUSES = ("done", "failed", "pending", "rejected", "running", "blocked")
+
+
+def query(*tables: str, sql: str | None = None) -> Callable:
+    """Registers a function of the named views under its own name; the SQL sees the same views."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, t) for t in tables))
+        if sql:
+            ORACLES[f.__name__] = ctes(*tables) + (",\n" + sql.strip()[5:] if sql.strip().startswith("WITH ") else "\n" + sql)
+        return f
+
+    return register
+
+
+def text(ts) -> F.Column:
+    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+MEASURES = """count(*) AS n_calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+CAST(sum(total_tokens) AS BIGINT) AS total_tokens, CAST(sum(cost_micros) AS BIGINT) AS cost_micros, round(avg(latency_ms), 3) AS avg_latency_ms, count(*) FILTER (WHERE status <> 'ok') AS n_errors"""
+
+
+# --- aggregates -----------------------------------------------------------------------------------------------------------------
+
+
+@query("calls", sql=f"SELECT *, CASE WHEN n_calls > 0 THEN round(100.0::DOUBLE * n_errors / n_calls, 1) ELSE 0.0 END AS error_pct FROM (SELECT {MEASURES} FROM calls)")
+def usage_kpis(calls):
+    return reports.usage_kpis(calls)
+
+
+@query("calls", sql=f"SELECT call_site, provider, model, {MEASURES} FROM calls GROUP BY ALL")
+def usage_matrix(calls):
+    return reports.usage_matrix(calls)
+
+
+@query("calls", sql=f"SELECT call_site, {MEASURES} FROM calls WHERE ts >= timestamp '2024-01-13 12:00:00' AND call_site <> 'view' GROUP BY ALL")
+def usage_filtered(calls):
+    since = dates.cutoff("7d", F.expr(NOW))
+    return reports.where_all(calls, [F.col("ts") >= since, F.col("call_site") != "view", None]).groupBy("call_site").agg(*reports._call_measures())
+
+
+@query("calls", sql="""
+WITH d AS (SELECT CAST(ts AS DATE) AS day, call_site, sum(total_tokens) AS tokens FROM calls GROUP BY ALL),
+span AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), interval 1 day)) AS day)
+SELECT strftime(span.day, '%Y-%m-%d') AS day, s.call_site, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens
+FROM span CROSS JOIN (SELECT DISTINCT call_site FROM d) s LEFT JOIN d ON d.day = span.day AND d.call_site = s.call_site""")
+def daily_series(calls):
+    return reports.daily_tokens(calls)
+
+
+@query("calls", sql="SELECT strftime(ts, '%Y-%m-%d') AS day, " + ", ".join(f"CAST(coalesce(sum(total_tokens) FILTER (WHERE call_site = '{s}'), 0) AS BIGINT) AS {s}" for s in ("click", "error", "purchase", "signup", "view")) + " FROM calls GROUP BY 1")
+def daily_pivot(calls):
+    return reports.daily_pivot(calls, ["click", "error", "purchase", "signup", "view"])
+
+
+@query("calls", sql="SELECT DISTINCT call_site FROM calls")
+def distinct_call_sites(calls):
+    return reports.call_sites(calls)
+
+
+@query("calls", sql="SELECT id, call_site, model, status FROM calls ORDER BY ts DESC, id DESC LIMIT 25 OFFSET 50")
+def usage_page(calls):
+    return reports.recent_calls(calls, 50, 25)
+
+
+@query("calls", "prices", sql="""
+WITH p AS (SELECT key, max(prompt) AS prompt, max(completion) AS completion, max(per) AS per FROM prices GROUP BY key)
+SELECT id, round((prompt_tokens * coalesce(a.prompt, b.prompt) + completion_tokens * coalesce(a.completion, b.completion)) / coalesce(a.per, b.per), 9) AS cost
+FROM calls LEFT JOIN p a ON a.key = provider || ':' || model LEFT JOIN p b ON b.key = model""")
+def price_join(calls, prices):
+    one = prices.groupBy("key").agg(*(F.max(c).cast("double").alias(c) for c in ("prompt", "completion", "per")))
+    return reports.costs(calls, one).select("id", F.round("cost", 9).alias("cost"))
+
+
+@query("jobs", sql="SELECT status, count(*) AS n FROM jobs GROUP BY status")
+def status_counts(jobs):
+    return reports.status_counts(jobs)
+
+
+@query("jobs", sql="SELECT coalesce(bucket, 'total') AS bucket, count(*) AS n FROM (SELECT CASE WHEN status = 'failed' AND result_rc = 5 THEN 'blocked' ELSE status END AS bucket FROM jobs) GROUP BY ROLLUP (bucket)")
+def bucketed_status(jobs):
+    return reports.bucketed_status(jobs)
+
+
+@query("subscriptions", "jobs", "deliveries", sql="""
+SELECT (SELECT count(*) FROM subscriptions) AS n_subscriptions, (SELECT count(DISTINCT slug) FROM subscriptions) AS n_slugs,
+(SELECT count(*) FROM jobs WHERE status = 'pending') AS n_pending, (SELECT count(*) FROM deliveries WHERE kind = 'sent') AS n_sent""")
+def system_counts(subscriptions, jobs, deliveries):
+    return reports.system_counts(subscriptions, jobs, deliveries)
+
+
+@query("runs", "site_runs", sql="""
+SELECT r.run_id, count(s.run_id) AS n_sites, count(*) FILTER (WHERE s.status = 'ok') AS n_ok, count(*) FILTER (WHERE s.status = 'error') AS n_error,
+count(*) FILTER (WHERE s.status = 'running') AS n_running, CAST(coalesce(sum(n_new), 0) AS BIGINT) AS n_new, count(*) FILTER (WHERE s.status = 'running') = 0 AS terminal
+FROM runs r LEFT JOIN site_runs s USING (run_id) GROUP BY r.run_id""")
+def run_rollup(runs, site_runs):
+    return reports.run_rollup(runs, site_runs)
+
+
+@query("site_runs", sql="""
+SELECT count(*) FILTER (WHERE status = 'ok') AS n_done, count(*) FILTER (WHERE status = 'error') AS n_errors, count(*) FILTER (WHERE status = 'timeout') AS n_timeouts,
+CAST(sum(n_new) AS BIGINT) AS n_inserted, max(duration_ms) AS max_duration_ms FROM site_runs""")
+def run_totals(site_runs):
+    return reports.run_totals(site_runs)
+
+
+@query("jobs", "reports", "deliveries", sql="""
+SELECT user_id, string_agg(DISTINCT src, ',' ORDER BY src) AS sources, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(date_trunc('second', max(ts)), '%Y-%m-%d %H:%M:%S') AS last_ts
+FROM (SELECT user_id, ts, 'jobs' AS src FROM jobs WHERE status = 'failed' UNION ALL SELECT user_id, ts, 'reports' FROM reports WHERE status = 'open' AND name <> '' UNION ALL SELECT user_id, sent_at, 'deliveries' FROM deliveries WHERE kind = 'sent')
+GROUP BY user_id""")
+def user_activity(jobs, reps, deliveries):
+    rows = reports.user_activity(jobs=jobs.where("status = 'failed'"), reports=reps.where("status = 'open' and name <> ''"), deliveries=deliveries.where("kind = 'sent'").withColumnRenamed("sent_at", "ts"))
+    return rows.select("user_id", "sources", text("first_ts").alias("first_ts"), text("last_ts").alias("last_ts"))
+
+
+@query("subscriptions", sql="SELECT user_id, count(*) AS n_subs, count(*) FILTER (WHERE target_kind = 'dm') AS n_dm, count(*) FILTER (WHERE target_kind = 'channel') AS n_channel FROM subscriptions GROUP BY user_id")
+def conditional_counts(subscriptions):
+    return reports.subscription_counts(subscriptions)
+
+
+@query("subscriptions", sql="SELECT slug, count(*) AS n_subs FROM subscriptions GROUP BY slug")
+def subs_per_slug(subscriptions):
+    return reports.subscriptions_per_slug(subscriptions)
+
+
+@query("deliveries", sql="SELECT target_id, count(*) AS n_sent, strftime(date_trunc('second', max(sent_at)), '%Y-%m-%d %H:%M:%S') AS last_sent_at FROM deliveries WHERE kind = 'sent' GROUP BY target_id")
+def sent_per_target(deliveries):
+    return reports.sent_per_target(deliveries).select("target_id", "n_sent", text("last_sent_at").alias("last_sent_at"))
+
+
+@query("reports", "users", sql="""
+WITH a AS (SELECT user_id, arg_max(name, id) AS name, 0 AS r FROM reports WHERE name IS NOT NULL AND name <> '' GROUP BY user_id),
+b AS (SELECT user_id, arg_max(name, id) AS name, 1 AS r FROM users WHERE name IS NOT NULL AND name <> '' GROUP BY user_id)
+SELECT user_id, arg_min(name, r) AS name FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY user_id""")
+def latest_name(reps, users):
+    return reports.latest_names(reps, users)
+
+
+@query("cases", sql="SELECT outcome, count(*) AS n FROM cases WHERE (SELECT count(*) FROM cases) >= 30 GROUP BY outcome")
+def outcome_counts(cases):
+    return reports.outcome_counts(cases)
+
+
+@query("cases", sql="SELECT fix_layer, count(*) AS n FROM cases GROUP BY fix_layer ORDER BY n DESC, fix_layer LIMIT 5")
+def top_layers(cases):
+    return reports.top_values(cases, "fix_layer", 5)
+
+
+@query("jobs", sql="SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in STATUSES) + " FROM jobs")
+def status_vocab_pivot(jobs):
+    return reports.vocabulary_counts(jobs, "status", STATUSES)
+
+
+@query("jobs", sql="SELECT count(*) AS n, count(*) FILTER (WHERE status = 'done') AS n_done, max(id) AS last_id, CAST(floor(100 * count(*) FILTER (WHERE status = 'done') / greatest(1, count(*))) AS BIGINT) AS pct FROM jobs")
+def progress(jobs):
+    return reports.progress(jobs, "done")
+
+
+SKIPS = """count(*) AS n, count(current_lastmod) AS n_covered, count(*) FILTER (WHERE would_skip) AS n_would_skip, count(*) FILTER (WHERE is_index) AS n_index, count(error) AS n_error,
+count(*) FILTER (WHERE would_skip AND n_new > 0) AS n_false_skip, count(*) FILTER (WHERE NOT would_skip AND n_new = 0) AS n_wasted"""
+
+
+@query("observations", sql=f"SELECT *, round(100.0::DOUBLE * n_covered / n, 1) AS coverage_pct, round(100.0::DOUBLE * n_false_skip / n_would_skip, 1) AS false_skip_pct FROM (SELECT {SKIPS} FROM observations)")
+def skip_metrics(observations):
+    return reports.skip_metrics(observations)
+
+
+@query("observations", sql=f"SELECT slug, {SKIPS}, arg_max(sitemap_url, (ts, id)) AS sitemap_url FROM observations GROUP BY slug")
+def skip_metrics_by_slug(observations):
+    return reports.skip_metrics_by_slug(observations)
+
+
+@query("cases", sql="SELECT outcome, count(*) AS n, round(avg(score), 4) AS mean_score, round(100.0::DOUBLE * count(*) FILTER (WHERE score > 0) / count(*), 1) AS positive_pct FROM cases GROUP BY outcome")
+def registration_signals(cases):
+    return reports.registration_signals(cases)
+
+
+URL_PARTS = r"""
+WITH u AS (SELECT entry_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM entries)"""
+
+
+def _parts(entries):
+    u = F.col("url")
+    return entries.select("entry_id", "url", urls.host(u).alias("host"), urls.path(u).alias("path"), urls.query(u).alias("query"))
+
+
+@query("entries", sql=URL_PARTS + " SELECT host, count(DISTINCT url) AS n_urls, count(DISTINCT length(query) > 0) = 1 AS uniform FROM u GROUP BY host HAVING count(DISTINCT url) >= 2")
+def host_clusters(entries):
+    return reports.host_clusters(_parts(entries).withColumn("strategy", F.length("query") > 0))
+
+
+SHAPES = r"""
+, s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS segs, list_sort(list_distinct(list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1)))) AS ks FROM u),
+t AS (SELECT *, list_transform(segs, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '<N>' WHEN regexp_matches(x, '^[0-9a-fA-F]{8,}$') THEN '<HEX>' WHEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') THEN '<ID>' ELSE x END) AS shape FROM s),
+v AS (SELECT entry_id, url, host, '/' || coalesce(array_to_string(shape, '/'), '') AS template, coalesce(array_to_string(ks, '&'), '') AS query_shape, len(list_filter(shape, lambda x: NOT starts_with(x, '<'))) AS n_literal FROM t)"""
+
+
+def _shapes(entries):
+    u = F.col("url")
+    rows = entries.select("entry_id", "url", urls.host(u).alias("host"), urls.path_template(u).alias("template"), urls.query_shape(u).alias("query_shape"))
+    return rows.withColumn("n_literal", urls.literal_segments(F.col("template")).cast("long"))
+
+
+@query("entries", sql=URL_PARTS + SHAPES + " SELECT entry_id, template, query_shape, CAST(n_literal AS BIGINT) AS n_literal FROM v")
+def path_templates(entries):
+    return _shapes(entries).select("entry_id", "template", "query_shape", "n_literal")
+
+
+@query("entries", sql=URL_PARTS + SHAPES + " SELECT template, query_shape, count(DISTINCT host) AS n_hosts, count(*) AS n_urls FROM v WHERE n_literal >= 1 GROUP BY ALL HAVING count(DISTINCT host) >= 2")
+def template_clusters(entries):
+    return reports.template_clusters(_shapes(entries))
+
+
+@query("entries", sql=URL_PARTS + ", c AS (SELECT host, count(DISTINCT url) AS n_urls FROM u GROUP BY host HAVING count(DISTINCT url) >= 2) SELECT host, n_urls FROM c WHERE host NOT IN (SELECT DISTINCT host FROM u WHERE starts_with(host, 'www.'))")
+def clusters_undismissed(entries):
+    parts = _parts(entries)
+    clusters = reports.host_clusters(parts.withColumn("strategy", F.lit(1)))
+    return reports.undismissed(clusters, parts.where(F.col("host").startswith("www.")), "host").select("host", "n_urls")
+
+
+@query("vocabulary", sql="""
+WITH v AS (SELECT *, CASE WHEN attempt_failed THEN CASE WHEN confidence = 'high' THEN 'med' ELSE 'low' END ELSE confidence END AS c FROM vocabulary),
+g AS (SELECT candidate, count(*) FILTER (WHERE deferred) AS n, count(*) FILTER (WHERE deferred AND c = 'high') AS n_high, count(*) FILTER (WHERE deferred AND c = 'med') AS n_med, count(*) FILTER (WHERE deferred AND c = 'low') AS n_low,
+bool_or(c = 'high') AND bool_or(c = 'low') AS contradiction FROM v GROUP BY candidate)
+SELECT *, (n_high >= 1 AND n >= 3) OR n_med >= 3 AS trigger FROM g""")
+def vocabulary_trigger(vocabulary):
+    return reports.vocabulary_trigger(vocabulary)
+
+
+@query("jobs", sql="""
+WITH j AS (SELECT id, ts, regexp_extract(url, '://([^/]+)', 1) AS host, split_part(url, '/', 4) AS prefix, result_tail FROM jobs WHERE status = 'rejected')
+SELECT host, prefix, count(*) AS n, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(date_trunc('second', max(ts)), '%Y-%m-%d %H:%M:%S') AS last_seen, arg_max(coalesce(result_tail, ''), (ts, id)) AS last_reason
+FROM j GROUP BY host, prefix""")
+def learned_patterns(jobs):
+    rows = jobs.where("status = 'rejected'").select("id", "ts", urls.host(F.col("url")).alias("host"), urls.first_segment(F.col("url")).alias("prefix"), F.coalesce("result_tail", F.lit("")).alias("reason"))
+    return reports.pattern_counter(rows).select("host", "prefix", "n", text("first_seen").alias("first_seen"), text("last_seen").alias("last_seen"), "last_reason")
+
+
+@query("entries", sql=URL_PARTS + r"""
+, f AS (SELECT CASE WHEN regexp_matches(host, '\.com$') THEN 'com' ELSE 'other' END AS site, split_part(path, '/', 2) AS segment, regexp_matches(path, '[0-9]+') AS id_like FROM u),
+b AS (SELECT site, segment, count(*) AS n, count(*) FILTER (WHERE id_like) AS k FROM f GROUP BY ALL),
+g AS (SELECT site, CAST(sum(n) AS BIGINT) AS n, sum(k) AS k, max(n) AS top FROM b GROUP BY site)
+SELECT site, n, round(k / n, 4) AS id_share, round(top / n, 4) AS top_share, n >= 30 AND k / n >= 0.8 AND top / n >= 0.8 AS fits FROM g""")
+def sitemap_fit(entries):
+    p = _parts(entries)
+    rows = p.select(F.when(F.col("host").rlike(r"\.com$"), "com").otherwise("other").alias("site"), urls.first_segment(F.col("url")).alias("segment"), F.col("path").rlike("[0-9]+").alias("id_like"))
+    return reports.sitemap_fit(rows)
+
+
+@query("posts", sql=r"""
+WITH g AS (SELECT slug, count(*) AS n, count(post_id) - count(DISTINCT post_id) AS n_repeated, count(*) FILTER (WHERE coalesce(trim(post_id), '') = '') AS n_blank,
+count(*) FILTER (WHERE NOT regexp_matches(post_id, '^[0-9A-Za-z_\-./:%,]{1,200}$')) AS n_bad_shape, count(*) FILTER (WHERE coalesce(trim(title), '') = '') AS n_untitled FROM posts GROUP BY slug)
+SELECT *, n = 0 OR n_bad_shape > 0 OR 2 * n_untitled > n AS broken FROM g""")
+def quality_report(posts):
+    return reports.post_quality(posts)
+
+
+@query("reports", "jobs", sql=f"""
+SELECT (SELECT count(*) FROM reports WHERE status = 'open') AS n_open, (SELECT count(*) FROM reports WHERE ts >= {NOW} - interval 7 day) AS n_recent,
+(SELECT count(DISTINCT slug) FROM jobs WHERE status = 'failed') AS n_failed_slugs, (SELECT count(*) FROM jobs WHERE status = 'pending') AS n_queue""")
+def triage_backlog(reps, jobs):
+    return reports.triage(reps, jobs, F.expr(f"{NOW} - interval 7 days"))
+
+
+# --- joins and sets -------------------------------------------------------------------------------------------------------------
+
+OWED = """
+WITH since AS (SELECT slug, target_id, min(created_at) AS since FROM subscriptions GROUP BY ALL)
+SELECT p.slug, p.post_id, s.target_id FROM posts p JOIN since s ON p.slug = s.slug AND p.collected_at >= s.since
+WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.slug = p.slug AND d.post_id = p.post_id AND d.target_id = s.target_id)"""
+
+
+@query("posts", "subscriptions", "deliveries", sql=OWED)
+def owed_posts(posts, subscriptions, deliveries):
+    return joins.owed_posts(posts, subscriptions, deliveries)
+
+
+@query("posts", "subscriptions", "deliveries", sql="""
+WITH since AS (SELECT slug, target_id, min(created_at) AS since FROM subscriptions WHERE user_id % 40 < 3 GROUP BY ALL),
+d AS (SELECT DISTINCT slug, post_id, target_id FROM deliveries)
+SELECT slug, post_id FROM posts p WHERE collected_at < timestamp '2024-01-20 12:00:00' - interval 7 day AND NOT EXISTS (
+  SELECT 1 FROM since s WHERE s.slug = p.slug AND p.collected_at >= s.since AND NOT EXISTS (SELECT 1 FROM d WHERE d.slug = p.slug AND d.post_id = p.post_id AND d.target_id = s.target_id))""")
+def gc_candidates(posts, subscriptions, deliveries):
+    return joins.collectable_posts(posts, subscriptions.where("user_id % 40 < 3"), deliveries, F.expr(f"{NOW} - interval 7 days"))
+
+
+@query("subscriptions", "preferences", sql="SELECT DISTINCT user_id FROM subscriptions s LEFT JOIN preferences p USING (user_id) WHERE coalesce(opted_out, false) = false")
+def optin_recipients(subscriptions, preferences):
+    return joins.opted_in(subscriptions, preferences)
+
+
+@query("jobs", sql="SELECT url, id, status, result_rc FROM jobs QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1")
+def latest_job(jobs):
+    return joins.latest_per_key(jobs, ["url"], "id", ["id", "status", "result_rc"])
+
+
+@query("jobs", sql="SELECT user_id, id, status FROM jobs WHERE finished_at IS NOT NULL QUALIFY rank() OVER (PARTITION BY user_id ORDER BY finished_at DESC) = 1")
+def latest_job_ties(jobs):
+    return joins.latest_with_ties(jobs, "user_id", "finished_at").select("user_id", "id", "status")
+
+
+@query("entries", "jobs", sql="""
+WITH e AS (SELECT entry_id, 'http://h' || (entry_id % 30) || '.example.com/b/' || (entry_id % 200) AS url FROM entries),
+l AS (SELECT url, arg_max(status, id) AS status FROM jobs GROUP BY url), c AS (SELECT DISTINCT url FROM jobs WHERE result_rc = 0 AND attempts = 0)
+SELECT e.entry_id, e.url, c.url IS NOT NULL AS configured, CASE WHEN c.url IS NOT NULL OR l.status = 'done' THEN 'registered' WHEN l.url IS NULL THEN 'untried' ELSE l.status END AS status
+FROM e LEFT JOIN l ON l.url = e.url LEFT JOIN c ON c.url = e.url""")
+def catalogue_status(entries, jobs):
+    e = entries.select("entry_id", F.concat(F.lit("http://h"), (F.col("entry_id") % 30).cast("string"), F.lit(".example.com/b/"), (F.col("entry_id") % 200).cast("string")).alias("url"))
+    return joins.catalogue_status(e, jobs, jobs.where("result_rc = 0 and attempts = 0"))
+
+
+@query("jobs", sql="SELECT id FROM jobs WHERE status = 'pending' AND (slug IS NULL OR slug NOT IN (SELECT slug FROM jobs WHERE status = 'running' AND slug IS NOT NULL))")
+def not_running(jobs):
+    return joins.runnable(jobs).select("id")
+
+
+@query("users", "subscriptions", "reports", "deliveries", sql="""
+WITH a AS (SELECT user_id, count(*) AS n_subs, count(DISTINCT slug) AS n_slugs FROM subscriptions GROUP BY 1), b AS (SELECT user_id, count(*) AS n_reports, count(*) FILTER (WHERE status = 'open') AS n_open FROM reports GROUP BY 1),
+c AS (SELECT user_id, count(*) FILTER (WHERE kind = 'sent') AS n_sent FROM deliveries GROUP BY 1), d AS (SELECT user_id, arg_max(name, id) AS name FROM reports WHERE name <> '' GROUP BY 1)
+SELECT u.user_id, d.name, coalesce(n_subs, 0) AS n_subs, coalesce(n_slugs, 0) AS n_slugs, coalesce(n_reports, 0) AS n_reports, coalesce(n_open, 0) AS n_open, coalesce(n_sent, 0) AS n_sent
+FROM users u LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN d USING (user_id)""")
+def user_profile(users, subscriptions, reps, deliveries):
+    return joins.user_profiles(users, subscriptions, reps, deliveries, reports.latest_names(reps))
+
+
+@query("jobs", "subscriptions", sql="""
+WITH n AS (SELECT slug, status, row_number() OVER (PARTITION BY slug ORDER BY id DESC) AS rn FROM jobs WHERE status IN ('done', 'failed') AND slug IS NOT NULL),
+k AS (SELECT slug, coalesce(min(rn) FILTER (WHERE status = 'done'), count(*) + 1) - 1 AS streak FROM n WHERE rn <= 20 GROUP BY slug),
+s AS (SELECT slug, count(*) AS n_subs FROM subscriptions GROUP BY slug)
+SELECT slug, coalesce(n_subs, 0) AS n_subs, coalesce(streak, 0) AS streak FROM (SELECT slug FROM jobs WHERE slug IS NOT NULL UNION SELECT slug FROM s) LEFT JOIN s USING (slug) LEFT JOIN k USING (slug)""")
+def site_registry(jobs, subscriptions):
+    return joins.site_registry(jobs, subscriptions, windows.failure_streak(jobs))
+
+
+RULES = (("spam", r"spam-farm|cheap-pills"), ("mobile", r"^https?://m\."), ("blog", r"^https?://blog\."), ("paged", r"[?&]page=[0-9]+"), ("document", r"\.html?($|[?#])"))
+
+
+@query("entries", sql="SELECT entry_id, CASE " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{n}'" for n, p in RULES) + " END AS rule FROM entries")
+def rule_match(entries):
+    return joins.first_rule(entries, "url", RULES).select("entry_id", "rule")
+
+
+POLICY = ((1, "spam", "spam-farm.example.org", None), (2, "german", "example.org", "/de"), (3, "spanish", None, "/es"), (4, "french", "example.net", "/fr"), (5, "pills", "cheap-pills.example.com", None))
+
+
+@query("entries", sql=URL_PARTS + ", r(priority, rule, h, p) AS (VALUES " + ", ".join(f"({a}, '{b}', {repr(c) if c else 'NULL'}, {repr(d) if d else 'NULL'})" for a, b, c, d in POLICY) + """)
+SELECT entry_id AS url_id, arg_min(rule, priority) AS rule FROM u JOIN r ON (h IS NULL OR host = h OR ends_with(host, '.' || h)) AND (p IS NULL OR starts_with(path, p)) GROUP BY entry_id""")
+def url_policy(entries):
+    rules = entries.sparkSession.createDataFrame(POLICY, "priority int, rule string, host_suffix string, path_prefix string")
+    return joins.policy_hits(_parts(entries).withColumnRenamed("entry_id", "url_id"), rules)
+
+
+@query("entries", sql="""
+WITH m AS (SELECT DISTINCT 'p' || (entry_id % 40) || '_' || (entry_id % 16) AS slug FROM entries)
+SELECT a.slug, b.slug AS other, split_part(a.slug, '_', -1) AS hash FROM m a JOIN m b ON split_part(a.slug, '_', -1) = split_part(b.slug, '_', -1) AND a.slug < b.slug""")
+def orphan_markers(entries):
+    n = F.col("entry_id")
+    return joins.orphan_markers(entries.select(F.concat(F.lit("p"), (n % 40).cast("string"), F.lit("_"), (n % 16).cast("string")).alias("slug")).distinct())
+
+
+@query("spans", sql="SELECT c.trace_id, c.span_id, p.name AS parent_name, p.span_id IS NULL AS is_root FROM spans c LEFT JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id")
+def span_parents(spans):
+    return joins.span_parents(spans)
+
+
+@query("jobs", sql="SELECT id, slug, first_id FROM (SELECT id, slug, min(id) OVER (PARTITION BY slug) AS first_id FROM jobs WHERE status IN ('pending', 'running') AND slug IS NOT NULL) WHERE first_id < id")
+def earliest_active(jobs):
+    return joins.earliest_active(jobs)
+
+
+@query("posts", "deliveries", sql="SELECT DISTINCT slug, post_id FROM posts EXCEPT SELECT slug, post_id FROM deliveries WHERE kind = 'filtered'")
+def missing_ids(posts, deliveries):
+    return joins.missing_ids(posts, deliveries.where("kind = 'filtered'"), ["slug", "post_id"])
+
+
+@query("users", "settings", sql="SELECT user_id, 'user' AS origin FROM users WHERE user_id % 2 = 0 UNION ALL SELECT target_id, 'setting' FROM settings WHERE target_id NOT IN (SELECT user_id FROM users WHERE user_id % 2 = 0)")
+def union_by_key(users, settings):
+    return joins.union_by_key(users.where("user_id % 2 = 0").select("user_id", F.lit("user").alias("origin")), settings.select(F.col("target_id").alias("user_id"), F.lit("setting").alias("origin")), "user_id")
+
+
+@query("posts", "subscriptions", sql="""
+WITH w AS (SELECT slug, target_id, bool_or(coalesce(filter_prompt, '') = '') AS every, list(DISTINCT filter_prompt) AS fs FROM subscriptions GROUP BY ALL)
+SELECT p.slug, p.post_id, w.target_id, every OR len(list_filter(fs, lambda f: contains(lower(p.text), lower(f)))) > 0 AS passes FROM posts p JOIN w USING (slug)""")
+def subscription_filters(posts, subscriptions):
+    return joins.filters_pass(posts, subscriptions)
+
+
+# --- windows --------------------------------------------------------------------------------------------------------------------
+
+
+@query("jobs", sql="""
+WITH n AS (SELECT slug, status, row_number() OVER (PARTITION BY slug ORDER BY id DESC) AS rn FROM jobs WHERE status IN ('done', 'failed') AND slug IS NOT NULL)
+SELECT slug, coalesce(min(rn) FILTER (WHERE status = 'done'), count(*) + 1) - 1 AS streak FROM n WHERE rn <= 20 GROUP BY slug""")
+def failure_streak(jobs):
+    return windows.failure_streak(jobs)
+
+
+@query("observations", sql="SELECT id, slug, previous, coalesce(current_lastmod <> previous, false) AS changed FROM (SELECT *, lag(current_lastmod) OVER (PARTITION BY slug ORDER BY ts, id) AS previous FROM observations)")
+def change_flag(observations):
+    return windows.changed_since_before(observations, "slug", "current_lastmod")
+
+
+@query("jobs", sql="""
+WITH i AS (SELECT id, user_id, ts, status, count(*) FILTER (WHERE status = 'done') OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM jobs)
+SELECT id, user_id, CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM i""")
+def breakage_counter(jobs):
+    return windows.counter(jobs, "user_id", F.col("status") == "failed", F.col("status") == "done")
+
+
+@query("jobs", sql="SELECT user_id, id, url FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY (status = 'pending')::INT DESC, ts DESC, id DESC) AS n FROM jobs) WHERE n <= 5 OR status = 'pending'")
+def seen_cap(jobs):
+    return windows.recent_cap(jobs, "user_id", 5, F.col("status") == "pending").select("user_id", "id", "url")
+
+
+@query("cases", sql="SELECT id, outcome, (SELECT count(*) FROM cases) > 60 AS has_next FROM cases ORDER BY id DESC LIMIT 20 OFFSET 40")
+def page_window(cases):
+    return windows.page(cases.select("id", "outcome"), 40, 20, F.desc("id"))
+
+
+@query("spans", sql="""
+WITH RECURSIVE t AS (
+  SELECT c.trace_id, c.span_id, 0 AS depth, lpad(CAST(c.span_id AS VARCHAR), 12, '0') AS path FROM spans c LEFT JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id WHERE p.span_id IS NULL
+  UNION ALL SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '/' || lpad(CAST(c.span_id AS VARCHAR), 12, '0') FROM spans c JOIN t ON t.trace_id = c.trace_id AND t.span_id = c.parent_id)
+SELECT * FROM t""")
+def span_tree(spans):
+    return windows.span_tree(spans)
+
+
+ORACLES["span_tree"] = ORACLES["span_tree"].replace("WITH spans", "WITH RECURSIVE spans").replace(",\nRECURSIVE t AS", ",\nt AS")
+
+
+@query("spans", sql="""
+WITH w AS (SELECT *, min(t0) OVER (PARTITION BY trace_id) AS a, greatest(max(t1) OVER (PARTITION BY trace_id) - min(t0) OVER (PARTITION BY trace_id), 1) AS s FROM spans)
+SELECT trace_id, span_id, CAST(floor((t0 - a) * 1000 / s) AS BIGINT) AS x, CAST(floor((t1 - t0) * 1000 / s) AS BIGINT) AS w FROM w""")
+def span_scale(spans):
+    return windows.scaled_spans(spans)
+
+
+PRIORITY = "CASE WHEN via = 'batch' THEN 5 WHEN via = 'batch-retry' THEN 4 WHEN kind = 'deliver_target' THEN 2 WHEN kind = 'poll_site' THEN 3 WHEN kind = 'reprobe' THEN 1 ELSE 0 END"
+
+
+def _queued(jobs):
+    return jobs.withColumn("priority", state.priority(F.col("kind"), F.col("via")))
+
+
+@query("jobs", sql=f"SELECT id, {PRIORITY} AS priority, row_number() OVER (ORDER BY {PRIORITY}, id) - 1 AS position FROM jobs WHERE status = 'pending'")
+def queue_position(jobs):
+    return windows.queue_position(_queued(jobs))
+
+
+@query("posts", sql="SELECT slug, post_id, CAST(row_number() OVER (PARTITION BY slug ORDER BY collected_at DESC, CAST(post_id AS BIGINT)) AS INTEGER) AS place FROM posts QUALIFY place <= 3")
+def newest_posts(posts):
+    return windows.top_per_key(posts, "slug", 3, F.desc("collected_at"), F.col("post_id").cast("long").asc()).select("slug", "post_id", "place")
+
+
+@query("observations", sql=f"SELECT slug FROM observations GROUP BY slug HAVING max(ts) < {NOW} + interval 9 day")
+def stale_sites(observations):
+    return windows.stale_keys(observations, "slug", F.expr(f"{NOW} + interval 10 days"), 1).select("slug")
+
+
+# --- state ----------------------------------------------------------------------------------------------------------------------
+
+
+@query("jobs", sql=f"SELECT id, {PRIORITY} AS priority FROM jobs")
+def priority_case(jobs):
+    return _queued(jobs).select("id", "priority")
+
+
+@query("jobs", sql=f"""
+SELECT id, kind, slug, {PRIORITY} AS priority FROM jobs WHERE status = 'pending' AND {PRIORITY} <= 3 AND (requeue_at IS NULL OR requeue_at <= {NOW})
+AND (slug IS NULL OR slug NOT IN (SELECT slug FROM jobs WHERE status = 'running' AND slug IS NOT NULL)) ORDER BY 4, 1 LIMIT 5""")
+def dequeue_next(jobs):
+    return state.next_jobs(_queued(jobs), F.expr(NOW), 3, 5)
+
+
+@query("jobs", sql="""
+WITH j AS (SELECT *, coalesce('k:' || dedupe_key, 's:' || kind || ':' || coalesce(slug, '')) AS key FROM jobs),
+f AS (SELECT key, min(id) AS id FROM j WHERE status NOT IN ('pending', 'running') GROUP BY key)
+SELECT id, key FROM f WHERE key NOT IN (SELECT key FROM j WHERE status IN ('pending', 'running') AND attempts = 0)""")
+def dedupe_enqueue(jobs):
+    return state.enqueue(jobs.where("attempts = 0"), jobs.where("status not in ('pending', 'running')"))
+
+
+@query("deliveries", sql="""
+WITH n AS (SELECT slug, post_id, target_id, kind, sent_at FROM deliveries WHERE kind = 'sent'), o AS (SELECT DISTINCT slug, post_id, target_id FROM deliveries WHERE kind = 'filtered')
+SELECT slug, post_id, target_id, strftime(date_trunc('second', min(sent_at)), '%Y-%m-%d %H:%M:%S') AS sent_at FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.slug = n.slug AND o.post_id = n.post_id AND o.target_id = n.target_id) GROUP BY ALL""")
+def insert_ignore(deliveries):
+    new = state.insert_ignore(deliveries.where("kind = 'filtered'"), deliveries.where("kind = 'sent'"), ["slug", "post_id", "target_id"], F.col("sent_at").asc())
+    return new.select("slug", "post_id", "target_id", text("sent_at").alias("sent_at"))
+
+
+@query("settings", sql="SELECT target_id, CASE WHEN target_id % 3 = 0 THEN '09:00' ELSE deliver_at END AS deliver_at, last_date FROM settings")
+def upsert_latest(settings):
+    return state.upsert(settings, settings.where("target_id % 3 = 0").withColumn("deliver_at", F.lit("09:00")), ["target_id"])
+
+
+@query("jobs", sql="""
+SELECT id, CASE WHEN status = 'running' AND id % 2 = 0 THEN CASE WHEN id % 3 = 0 THEN 'done' WHEN attempts + 2 IN (2, 3, 4) THEN 'rejected' ELSE 'failed' END ELSE status END AS status,
+CASE WHEN status = 'running' AND id % 2 = 0 THEN attempts + 2 ELSE result_rc END AS result_rc FROM jobs""")
+def finish_jobs(jobs):
+    results = jobs.where("id % 2 = 0").select("id", (F.col("id") % 3 == 0).alias("ok"), (F.col("attempts") + 2).alias("rc"), F.lit("t").alias("tail"))
+    return state.finish(jobs, results).select("id", "status", "result_rc")
+
+
+@query("jobs", sql="SELECT id, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status, attempts + (status = 'running')::INT AS attempts FROM jobs")
+def reset_running(jobs):
+    return state.reset_running(jobs)
+
+
+@query("jobs", sql=f"SELECT id FROM jobs WHERE ts >= {NOW} - interval 7 day")
+def retained_jobs(jobs):
+    return state.retained(jobs, "ts", F.expr(NOW), 7).select("id")
+
+
+@query("runs", "site_runs", sql="""
+WITH s AS (SELECT run_id, n_sites FROM runs WHERE status = 'running' AND started_at < timestamp '1998-01-01 00:00:00'), c AS (SELECT run_id, count(*) AS n FROM site_runs GROUP BY run_id)
+SELECT s.run_id, '_missing' AS slug, 'crashed' AS status, CAST(greatest(n_sites - coalesce(n, 0), 0) AS BIGINT) AS n_missing FROM s LEFT JOIN c USING (run_id)""")
+def reap_stale(runs, site_runs):
+    return state.reap_stale(runs, site_runs, F.expr("timestamp '1998-01-01 00:30:00'"), 30)[1]
+
+
+@query("runs", "site_runs", sql="""
+WITH u AS (SELECT DISTINCT run_id FROM site_runs WHERE status = 'running')
+SELECT day, bool_or(status = 'running' OR (status = 'enqueue_done' AND u.run_id IS NOT NULL)) AS blocked FROM runs r LEFT JOIN u USING (run_id) GROUP BY day""")
+def freshness_barrier(runs, site_runs):
+    return state.delivery_blocked(runs, site_runs)
+
+
+@query("settings", "channels", sql="""
+SELECT kind, target_id FROM (SELECT 'dm' AS kind, target_id, deliver_at, last_date FROM settings UNION ALL SELECT 'channel', target_id, deliver_at, last_date FROM channels)
+WHERE coalesce(deliver_at, '08:30') <= '12:00' AND (last_date IS NULL OR last_date < '2024-01-15')""")
+def delivery_due(settings, channels):
+    return state.due_targets(settings, channels, "12:00", "2024-01-15")
+
+
+@query("posts", sql="""
+WITH c AS (SELECT slug, post_id, 'cached' AS summary FROM posts WHERE CAST(post_id AS BIGINT) % 3 = 0)
+SELECT slug, post_id, coalesce(summary, CASE WHEN length(trim(text)) < 30 THEN CASE WHEN trim(text) <> '' THEN trim(text) ELSE title END ELSE substr(trim(text), 1, 400) END) AS summary, summary IS NULL AS computed FROM posts LEFT JOIN c USING (slug, post_id)""")
+def lazy_summaries(posts):
+    cache = posts.where("cast(post_id as bigint) % 3 = 0").select("slug", "post_id", F.lit("cached").alias("summary"))
+    return state.fill_missing(cache, posts.select("slug", "post_id", "title", "text"))
+
+
+# --- classification -------------------------------------------------------------------------------------------------------------
+
+
+@query("jobs", sql=r"""
+WITH j AS (SELECT id, status, result_rc AS rc, coalesce(result_tail, '') AS t FROM jobs),
+k AS (SELECT *, CASE WHEN status IN ('pending', 'running') THEN status WHEN rc = 0 AND status <> 'failed' THEN 'done' WHEN rc = 1 THEN 'gen_fail' WHEN rc = 4 OR (rc = 2 AND contains(t, 'TARGET_NOT_FOUND')) THEN 'url_dead' WHEN rc = 2 THEN 'policy_reject'
+  WHEN rc = 5 THEN 'capability_blocked' WHEN rc = 3 THEN 'gate_reject' WHEN rc IN (-1, -2, -3, -4, -5, -99) OR (status = 'failed' AND rc = 0) THEN 'bug' ELSE 'unknown' END AS fail_kind FROM j)
+SELECT id, fail_kind, CASE fail_kind
+  WHEN 'gen_fail' THEN CASE WHEN contains(t, '[FAIL]') THEN 'own_check' WHEN contains(t, 'UNAVAILABLE') THEN 'llm_api' END
+  WHEN 'url_dead' THEN CASE WHEN contains(t, 'TARGET_NOT_FOUND') THEN 'target_not_found' END
+  WHEN 'policy_reject' THEN CASE WHEN contains(t, 'BLOCKED_BOT') THEN 'blocked_bot' END
+  WHEN 'capability_blocked' THEN CASE WHEN contains(t, 'BLOCKED') THEN 'entry_blocked' END
+  WHEN 'gate_reject' THEN CASE WHEN contains(t, 'recognize_reject') THEN 'recognizer:wiki' END
+  WHEN 'bug' THEN CASE rc WHEN -1 THEN 'chromium_lock_timeout' WHEN 0 THEN 'registered_but_no_state' END END AS subkind FROM k""")
+def fail_taxonomy(jobs):
+    kind, subkind = classify.failure(F.col("status"), F.col("result_rc"), F.col("result_tail"))
+    return jobs.select("id", kind.alias("fail_kind"), subkind.alias("subkind"))
+
+
+@query("jobs", sql="SELECT status, coalesce(result_tail, '-') AS subkind, count(*) AS n FROM jobs WHERE status NOT IN ('done', 'pending') GROUP BY ALL")
+def failure_distribution(jobs):
+    return reports.failure_distribution(jobs.withColumn("subkind", F.coalesce("result_tail", F.lit("-"))), ["done", "pending"])
+
+
+@query("jobs", sql="SELECT id, CASE WHEN attempts = 2 AND status = 'failed' THEN 'broken' WHEN result_rc IS NULL THEN 'waiting' WHEN result_rc = 0 THEN 'ok' WHEN result_rc IN (2, 3) THEN 'rejected' WHEN result_rc = 4 THEN 'gone' WHEN result_rc = 5 THEN 'blocked' ELSE 'failed' END AS grp FROM jobs")
+def display_groups(jobs):
+    return jobs.select("id", classify.display_group(F.col("result_rc"), (F.col("attempts") == 2) & (F.col("status") == "failed")).alias("grp"))
+
+
+@query("observations", sql="""
+SELECT id, CASE WHEN is_index AND error IS NULL AND would_skip THEN 'podcast' WHEN is_index AND id % 12 >= 5 AND (n_new = 1 OR id % 12 >= 10) THEN 'hybrid' WHEN is_index AND id % 12 < 3 THEN 'rss'
+WHEN NOT is_index AND n_new = 0 AND error IS NULL AND would_skip THEN 'podcast' WHEN NOT is_index AND n_new = 0 AND id % 12 < 3 THEN 'rss' WHEN NOT is_index AND n_new = 0 AND id % 12 >= 5 THEN 'hybrid'
+WHEN NOT is_index AND n_new <> 0 AND error IS NULL AND id % 12 >= 5 THEN 'static_html' WHEN NOT is_index AND n_new <> 0 AND error IS NOT NULL AND id % 12 < 3 THEN 'spa_rendered' ELSE 'unknown' END AS kind FROM observations""")
+def site_kinds(observations):
+    kind, _ = classify.site_kind(F.col("is_index"), F.col("n_new") == 0, F.col("error").isNull() & F.col("would_skip"), F.col("id") % 12, F.col("n_new") == 1, F.col("error").isNotNull())
+    return observations.select("id", kind.alias("kind"))
+
+
+@query("observations", sql="""
+SELECT id, CASE WHEN would_skip AND l = 'index' AND c >= 0.5 THEN 0 WHEN l IN ('content', 'catalog') AND c >= 0.7 THEN 3 WHEN l = 'not_found' AND c >= 0.7 THEN 4 WHEN l = 'login' AND c >= 0.7 THEN 2 WHEN would_skip THEN 3 ELSE 0 END AS rc
+FROM (SELECT *, CASE id % 5 WHEN 0 THEN 'index' WHEN 1 THEN 'content' WHEN 2 THEN 'catalog' WHEN 3 THEN 'not_found' ELSE 'login' END AS l, (id % 11) / 10.0::DOUBLE AS c FROM observations)""")
+def gate_arbitration(observations):
+    label = F.element_at(F.array(*map(F.lit, ("index", "content", "catalog", "not_found", "login"))), (F.col("id") % 5 + 1).cast("int"))
+    return observations.select("id", classify.arbitration(F.col("would_skip"), label, (F.col("id") % 11) / F.lit(10.0)).alias("rc"))
+
+
+@query("observations", sql="""
+WITH g AS (SELECT slug, min(CASE id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END) AS k FROM observations WHERE would_skip AND is_index GROUP BY slug)
+SELECT DISTINCT o.slug AS site, coalesce(['static', 'captured', 'headless', 'external', 'paid'][k + 1], 'none') AS strategy FROM observations o LEFT JOIN g USING (slug)""")
+def strategy_ladder(observations):
+    way = F.element_at(F.array(*map(F.lit, ("static", "captured", "headless", "external", "paid"))), (F.col("id") % 5 + 1).cast("int"))
+    return classify.strategy(observations.select(F.col("slug").alias("site"), way.alias("way"), F.when(F.col("would_skip") & F.col("is_index"), "OK").otherwise("BLOCKED_BOT").alias("class")))
+
+
+@query("users", sql="""
+WITH s AS (SELECT user_id AS site, user_id % 7 > 0 AS has_config, user_id % 5 AS streak, user_id % 4 AS empty_streak, user_id % 50 AS hours, user_id % 3 AS n_sent, user_id % 11 AS age FROM users),
+f AS (SELECT site, unnest([CASE WHEN NOT has_config THEN '0:config_missing' END, CASE WHEN streak >= 3 THEN '0:broken' END, CASE WHEN streak BETWEEN 1 AND 2 THEN '1:breakage' END, CASE WHEN empty_streak >= 3 THEN '1:body_drift' END, CASE WHEN hours > 24 THEN '2:stale' END, CASE WHEN n_sent = 0 AND age >= 7 THEN '2:never_delivered' END]) AS x FROM s)
+SELECT site, CAST(split_part(x, ':', 1) AS INTEGER) AS severity, split_part(x, ':', 2) AS tag FROM f WHERE x IS NOT NULL""")
+def site_findings(users):
+    u = F.col("user_id")
+    sites = users.select(u.alias("site"), (u % 7 > 0).alias("has_config"), (u % 5).alias("streak"), (u % 4).alias("empty_streak"), (u % 50).alias("hours_since_poll"), (u % 3).alias("n_sent"), (u % 11).alias("age_days"))
+    return classify.site_findings(sites)
+
+
+# --- functions ------------------------------------------------------------------------------------------------------------------
+
+
+@query("entries", sql=URL_PARTS + r"""
+, q AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND NOT starts_with(x, 'utm_'))) AS ps, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS p FROM u)
+SELECT entry_id, '//' || host || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS canonical FROM q""")
+def url_canonical(entries):
+    return entries.select("entry_id", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query("entries", sql=URL_PARTS + r"""
+, q AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND NOT starts_with(x, 'utm_'))) AS ps, rtrim(regexp_replace(path, '/+', '/', 'g'), '/') AS p FROM u),
+c AS (SELECT *, '//' || host || CASE WHEN p = '' THEN '/' ELSE p END || CASE WHEN len(ps) > 0 THEN '?' || array_to_string(ps, '&') ELSE '' END AS canonical FROM q)
+SELECT entry_id, substr(replace(regexp_replace(host, '^(www|m)\.', ''), '.', '-'), 1, 20) || '_' || substr(CASE WHEN split_part(path, '/', 2) = '' THEN 'root' ELSE split_part(path, '/', 2) END, 1, 60) || '_' || substr(sha1(canonical), 1, 8) AS slug FROM c""")
+def url_slug(entries):
+    return entries.select("entry_id", urls.slug(F.col("url")).alias("slug"))
+
+
+@query("entries", sql=URL_PARTS + " SELECT entry_id, array_to_string(string_split(host, '.')[-2:], '.') AS site FROM u")
+def registrable_domain(entries):
+    return entries.select("entry_id", urls.registrable(F.col("url")).alias("site"))
+
+
+@query("entries", sql=URL_PARTS + r""" SELECT entry_id, CAST(4 * (array_to_string(string_split(host, '.')[-2:], '.') = 'example.com')::INT + (path NOT IN ('', '/'))::INT + 2 * regexp_matches(path || '?' || query, '[0-9]{3,}')::INT
++ regexp_matches(lower(path), 'view|detail|article|notice|read|thread|post|bbs|board')::INT - 3 * regexp_matches(query, '(^|&)(sort|filter|search|keyword|query|q|page|category)=')::INT
++ (length(split_part(rtrim(path, '/'), '/', -1)) >= 5 AND query = '' AND regexp_matches(split_part(rtrim(path, '/'), '/', -1), '^[A-Za-z0-9_-]+$'))::INT AS INTEGER) AS score FROM u""")
+def article_score(entries):
+    return entries.select("entry_id", urls.article_score(F.col("url"), F.lit("http://a.example.com/")).alias("score"))
+
+
+@query("entries", sql="SELECT entry_id, split_part(split_part(url, '?', 1), '#', 1) AS bare FROM entries")
+def strip_query(entries):
+    return entries.select("entry_id", transforms.strip_query_fragment(F.col("url")).alias("bare"))
+
+
+@query("entries", sql="SELECT entry_id, nullif(regexp_extract(url, '/([0-9]+)(\\.html)?/?($|[?#])', 1), '') AS number FROM entries")
+def regex_extract(entries):
+    return entries.select("entry_id", transforms.regex_extract(F.col("url"), r"/([0-9]+)(\.html)?/?($|[?#])").alias("number"))
+
+
+@query("posts", sql="SELECT post_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS words FROM posts")
+def collapse_ws(posts):
+    return posts.select("post_id", transforms.collapse_ws(F.col("text")).alias("words"))
+
+
+@query("users", sql="SELECT user_id, lpad(CAST(user_id AS VARCHAR), CAST(greatest(6, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') AS padded, 'n' || user_id || '!' AS decorated, upper('ab' || user_id) AS loud FROM users")
+def pad_and_decorate(users):
+    x = F.col("user_id").cast("string")
+    return users.select("user_id", transforms.zero_pad(x, 6).alias("padded"), transforms.chain(x, [["prepend", "n"], ["append", "!"]]).alias("decorated"), transforms.chain(x, [["prepend", "ab"], ["upper"]]).alias("loud"))
+
+
+@query("runs", sql="SELECT run_id, replace(day, '-', '/') AS day, day || 'T00:00:00+09:00' AS iso, day || 'T00:00:00+00:00' AS parsed FROM runs")
+def iso_dates(runs):
+    slashed = F.replace(F.col("day"), F.lit("-"), F.lit("/"))
+    return runs.select("run_id", slashed.alias("day"), transforms.date_only_to_iso(slashed).alias("iso"), transforms.iso8601(slashed, ["%d.%m.%Y", "%Y/%m/%d"], "+00:00").alias("parsed"))
+
+
+@query("calls", sql="SELECT id, strftime(to_timestamp(1700000000 + id * 1000) AT TIME ZONE 'UTC' + interval 9 hour, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS at FROM calls")
+def unix_times(calls):
+    return calls.select("id", transforms.unixtime_to_iso((F.lit(1700000000) + F.col("id") * 1000).cast("string"), "+09:00").alias("at"))
+
+
+@query("calls", sql="SELECT id, strftime(ts + interval 9 hour, '%Y-%m-%d') AS day FROM calls")
+def korean_dates(calls):
+    return calls.select("id", F.date_format(dates.korean_date(F.col("ts")), "yyyy-MM-dd").alias("day"))
+
+
+@query("entries", sql="SELECT entry_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, coalesce(nullif(regexp_extract(html, '<h2>([^<]*)</h2>', 1), ''), nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '')) AS heading FROM entries")
+def fallback_chain(entries):
+    html = F.col("html")
+    return entries.select("entry_id", transforms.regex_extract(html, "<title>([^<]*)</title>").alias("title"), F.coalesce(transforms.regex_extract(html, "<h2>([^<]*)</h2>"), transforms.regex_extract(html, "<h1>([^<]*)</h1>")).alias("heading"))
+
+
+@query("jobs", sql="SELECT id, json_extract_string('{\"user\": {\"id\": ' || user_id || ', \"tags\": [\"a\", \"b' || id || '\"]}}', '$.user.id') AS uid, 'b' || id AS tag FROM jobs")
+def json_paths(jobs):
+    doc = F.to_json(F.struct(F.struct(F.col("user_id").alias("id"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id").cast("string"))).alias("tags")).alias("user")))
+    return jobs.select("id", extract.json_path(doc, ["user", "id"]).alias("uid"), extract.json_path(doc, ["user", "tags", -1]).alias("tag"))
+
+
+@query("turns", sql="SELECT conv_id, count(*) AS n, sum(length(text) + 1)::BIGINT AS n_chars FROM turns GROUP BY conv_id")
+def digest_sizes(turns):
+    """Packed conversations hold every line whole; chunks are joined again to be counted."""
+    lines = turns.select("conv_id", "turn", F.col("text").alias("line"))
+    chunks = packing.packed(lines, "conv_id", ["turn"], F.lit("#"), most=100_000)
+    whole = chunks.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("k"))
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    return whole.join(n, "conv_id").select("conv_id", "n", (F.col("n_chars") - 1 + F.col("k") - 1).cast("long").alias("n_chars"))
+
+
+@query("turns")
+def digest_pack(turns):
+    return packing.packed(turns.select("conv_id", "turn", packing.entry(F.col("role"), F.lit("2024-01-15"), F.lit(None).cast("string"), F.col("text")).alias("line")), "conv_id", ["turn"], F.lit("Digest"))
+
+
+# --- pages ----------------------------------------------------------------------------------------------------------------------
+
+LIST_SPEC = {
+    "row_selector": "nav > ul > li",
+    "row_required_selector": "a[href^='/']",
+    "fields": {
+        "post_id": [{"from": "attr", "selector": "a", "attr": "href", "transform": [["remove_prefix", "/"]]}],
+        "title": [{"from": "css", "selector": "h5"}, {"from": "css", "selector": "a", "transform": [["collapse_ws"]]}],
+        "url": [{"from": "template", "value": "http://{site}/{post_id}"}],
+    },
+}
+
+
+@query("entries", sql=r"""
+WITH l AS (SELECT entry_id, unnest(regexp_extract_all(html, '<li><a href="/([^"]+)">[^<]*</a></li>', 1)) AS post_id, unnest(regexp_extract_all(html, '<li><a href="/[^"]+">([^<]*)</a></li>', 1)) AS title FROM entries)
+SELECT entry_id AS page_id, post_id, trim(replace(title, '&amp;', '&')) AS title, 'http://x.example.com/' || post_id AS url FROM l""")
+def list_rows(entries):
+    rows = extract.scan_html(entries.select(F.col("entry_id").alias("page_id"), "url", "html"), LIST_SPEC, site="x.example.com")
+    return rows.select("page_id", "post_id", "title", "url")
+
+
+@query("entries", sql="SELECT entry_id AS page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'))[:120] AS title, NULL::VARCHAR AS og_type, false AS has_article_ld, false AS has_microdata FROM entries")
+def page_meta(entries):
+    found = pages.meta_signals(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html")))
+    return found.select("page_id", "title", "og_type", F.coalesce("has_article_ld", F.lit(False)).alias("has_article_ld"), "has_microdata")
+
+
+@query("entries")
+def repeat_patterns(entries):
+    return pages.repeating_patterns(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html")))
+
+
+@query("entries", sql=r"""SELECT entry_id AS page_id, count(*) AS n FROM (SELECT entry_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM entries) GROUP BY entry_id""")
+def page_links(entries):
+    return pages.links(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html"))).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("entries")
+def article_text(entries):
+    return entries.select("entry_id", pages.page_text(F.col("html")).alias("text"), F.length(pages.cleaned_html(F.col("html"))).alias("n_clean"))
+
+
+@query("entries")
+def feed_and_pager_hints(entries):
+    nodes = pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html"))
+    feeds = pages.feed_links(nodes).select("page_id", F.lit("feed").alias("kind"), F.col("href").alias("name"))
+    return feeds.unionByName(pages.pager_hints(nodes))
+
+
+@query("entries", sql="SELECT entry_id, CAST(length(html) AS BIGINT) AS n, CASE WHEN length(html) < 200 THEN 'BLOCKED_BOT' ELSE 'OK' END AS class FROM entries")
+def response_classes(entries):
+    none = F.lit(None)
+    c = classify.response(F.lit(200), F.col("html"), F.col("url"), F.create_map().cast("map<string,string>"), F.lit(False), none.cast("string"), F.lit(False), F.lit(False), F.lit(False))
+    return entries.select("entry_id", F.length("html").cast("long").alias("n"), c.alias("class"))
+
+
+# --- streaming, run to the end of what is there ---------------------------------------------------------------------------------
+
+
+@query("posts", "deliveries", sql="SELECT slug, post_id FROM posts p WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.slug = p.slug AND d.post_id = p.post_id AND d.kind = 'sent')")
+def new_posts(posts, deliveries):
+    return joins.missing_ids(posts, deliveries.where("kind = 'sent'"), ["slug", "post_id"])
