@@ -23,8 +23,10 @@ written next to each other, in the order of their text; an empty table gives an
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,15 +142,16 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        #: Code of each word after a space; a tuple stands for a text's first word. -1: white space beside the space.
-        self.known: dict[str | tuple[str], int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        #: Codes of the words that follow a space, and of those that begin a text. Code 0 is the end id; -1: white space beside a space.
+        self.known: dict[str, int] = {}
+        self.firsts: dict[str, int] = {}
+        self.flat = np.zeros(1, np.uint32)
+        self.starts = np.array([0, 1], np.int64)
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str], firsts: list[tuple[str]]) -> None:
+    def learn(self, words: list[str], firsts: list[str]) -> None:
         clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
         self.known.update(dict.fromkeys(words, -1))
         groups = [np.array(x, np.uint32) for x in self.ids_of([" " + " ".join(clean[k : k + 200]) for k in range(0, len(clean), 200)])]
@@ -156,9 +159,12 @@ class WordEncoder:
         cuts = np.flatnonzero(self.opens[together])
         if len(cuts) != len(clean):
             raise ValueError("the vocabulary joins words across a space")
-        lists = self.ids_of([w for (w,) in firsts])
+        lists = self.ids_of(firsts)
         lengths = np.concatenate((np.diff(np.append(cuts, len(together))), np.array([len(x) for x in lists], np.int64))).astype(np.int64)
-        self.known.update(zip((*clean, *firsts), range(len(self.starts) - 1, len(self.starts) - 1 + len(lengths)), strict=True))
+        code = len(self.starts) - 1
+        self.known.update(zip(clean, range(code, code + len(clean)), strict=True))
+        self.firsts.update(zip(firsts, range(code + len(clean), code + len(lengths)), strict=True))
+        self.firsts.update({w: -1 for w in firsts if not w or w[-1].isspace()})
         self.flat = np.concatenate([self.flat, together, *(np.array(x, np.uint32) for x in lists)])
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
 
@@ -166,28 +172,37 @@ class WordEncoder:
         """All ids with `end` after each text, and the texts' starts."""
         if len(self.known) > CACHE_WORDS:
             self.forget()
-        known, cut, keys = self.known, [], set()
-        for text in texts:
-            first, *words = text.split(" ")
-            cut.append((words, (first,)))
-            keys.update(words)
-            keys.add((first,))
-        new = [k for k in keys if k not in known]
-        self.learn([k for k in new if isinstance(k, str)], [k for k in new if isinstance(k, tuple)])
-        out, size = [], []
-        for text, (words, first) in zip(texts, cut, strict=True):
-            codes = [known[first], *map(known.__getitem__, words)]
-            if words and (-1 in codes or not first[0] or first[0][-1].isspace()):
-                own = np.array(self.ids_of([text])[0], np.uint32)
-            else:
-                codes = np.array(codes, np.int64)
-                begin = self.starts[codes]
-                length = self.starts[codes + 1] - begin
-                at = np.cumsum(length)
-                own = self.flat[np.repeat(begin - at + length, length) + np.arange(at[-1])]
-            out += [own, np.array([end], np.uint32)]
-            size.append(len(own) + 1)
-        return np.concatenate([np.zeros(0, np.uint32), *out]), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        cut = [t.split(" ") for t in texts]
+        firsts = [c[0] for c in cut]
+        codes = [list(map(self.known.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(k) if x is None] if None in k else () for k in codes]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
+        new_firsts = [w for w in dict.fromkeys(firsts) if w not in self.firsts]
+        if new or new_firsts:
+            self.learn(list(new), new_firsts)
+            for c, k, g in zip(cut, codes, gaps, strict=True):
+                for i in g:
+                    k[i] = self.known[c[i]]
+        flat, starts = self.flat, self.starts
+        whole: list[np.ndarray] = []  # texts that can't be cut
+        for text, own, first in zip(texts, codes, firsts, strict=True):
+            own[0] = self.firsts[first]
+            if -1 in own:
+                own[:] = [len(starts) - 1 + len(whole)]
+                whole.append(np.array(self.ids_of([text])[0], np.uint32))
+            own.append(0)
+        if whole:
+            flat = np.concatenate([flat, *whole])
+            starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in whole])))
+        n = np.array([len(c) for c in codes], np.int64)
+        every = np.fromiter(chain.from_iterable(codes), np.int64, int(n.sum()))
+        begin = starts[every]
+        length = starts[every + 1] - begin
+        at = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
+        bounds = at[np.concatenate(([0], np.cumsum(n)))]
+        ids[bounds[1:] - 1] = end
+        return ids, bounds
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -195,6 +210,7 @@ _encoders: dict[str, WordEncoder] = {}
 
 def encoder(path: str) -> WordEncoder:
     """One for each worker process; its memory of words is bounded."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs side by side
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
