@@ -3,6 +3,7 @@
 A byte goes when a string of `length` bytes covers it that also starts in a document with a smaller doc_id. The work is dealt out by
 content:
 
+0. A text that equals the whole text of an earlier document goes as a whole, found by its SHA-256 sum; it takes no further part.
 1. Documents are packed into batches (rows of a table), so that later passes find them again without a shuffle of texts.
 2. Each string of `length` bytes has an anchor: of its substrings of `ANCHOR` bytes, the one with the smallest hash, the first of
    equals. Equal strings have equal anchors at the same place within them. Anchors go to buckets by hash; a bucket tells each
@@ -277,19 +278,27 @@ def batch_table(documents: DataFrame, parts: int) -> DataFrame:
             yield row()
 
     spark = documents.sparkSession
-    # the key of a batch is that of its first document, so it belongs to the bucket of the partition
-    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).repartition(parts, "key")
+    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
     name = "scratch_batches_" + uuid.uuid4().hex
     keyed.mapInArrow(pack, _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
+def whole_copies(documents: DataFrame, length: int) -> DataFrame:
+    """copy (a doc_id), sum, n_bytes of every row whose whole text an earlier document has; only sums are shuffled."""
+    sums = saved(documents.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("sum"), F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= length), "sums")
+    firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("sum").alias("s"), "first")
+    return saved(sums.join(firsts, F.col("sum") == F.col("s")).where("doc_id > first").select(F.col("doc_id").alias("copy"), "sum", "n_bytes"), "copies")
+
+
 def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every document."""
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    batches = batch_table(docs, parts)
+    copies = whole_copies(docs, length)
+    left = docs.withColumn("_sum", F.sha2("text", 256)).join(copies, (F.col("doc_id") == F.col("copy")) & (F.col("_sum") == F.col("sum")), "left_anti")
+    batches = batch_table(left.select("doc_id", "text"), parts)
 
     def opened(record: pa.RecordBatch, k: int) -> Batch:
         ids = record.column("doc_ids")[k].values
@@ -430,4 +439,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
     sorted_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "key long, seq int, classes binary, runs binary, least binary")
     least = saved(sorted_.groupBy(F.col("key").alias("k2")).agg(F.collect_list(F.struct("seq", "classes", "runs", "least")).alias("least")), "repeats")
     whole = with_seen.join(least, F.col("key") == F.col("k2"), "left").select("key", "seq", "doc_ids", "sizes", "data", "seen", "least")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rest = whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    nothing = F.lit("").cast("binary")
+    gone = copies.select(F.col("copy").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), nothing.alias("kept"))
+    return rest.unionByName(gone)
