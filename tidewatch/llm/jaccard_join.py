@@ -2,7 +2,7 @@
 
 A document is the set of its distinct shingles, each a 64-bit hash. Two documents link when 100 * intersection >= percent * union.
 
-1. Frequent shingles are found by counts in a table of fixed size. All sets are ordered by (frequency class, hash), rare ones first.
+1. Frequent shingles are found by counts over all documents in a table of fixed size. All sets are ordered by (frequency class, hash), rare ones first.
    The class only sets the order; any order gives the same links.
 2. Documents with equal sets are one class, represented by the smallest doc_id. Classes with the same size and the same prefix form
    a group.
@@ -31,8 +31,12 @@ from .shared import LOWER_ASCII, joined_bytes, mix, saved, slices, windows, with
 
 SHINGLE_WORDS = 3
 PERCENT = 90
-#: Cells of the table of shingle counts, a fixed number whatever the input.
-CELL_BITS = 18
+#: Cells of the table of shingle counts, a fixed number whatever the input; tasks send it in slices.
+CELL_BITS = 22
+SLICES = 16
+
+#: Entries of a list up to which a bucket compares them by pairs; of longer lists it keeps all, which are compared later.
+MET_LIST = 64
 
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -58,33 +62,50 @@ def shingle_hashes(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 def ordered_set(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Distinct shingles as (class, 58 bits of the hash), ascending: rare shingles first."""
-    return np.unique((classes[hashes >> np.uint64(64 - CELL_BITS)] << np.uint64(58)) | (hashes & np.uint64((1 << 58) - 1)))
+    return np.unique((classes[hashes >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(58)) | (hashes & np.uint64((1 << 58) - 1)))
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def may_link(n, pos, o, pos2, percent: int):
+    """Whether sets of sizes n and o whose first common shingle is at pos and pos2 can link: what is left of both must hold the overlap
+    that a link needs. A pair that fails at a later common shingle was met at its first. For numbers, arrays or columns alike."""
+    return (100 * n >= percent * o) & (100 * o >= percent * n) & ((100 + percent) * (n - pos) >= percent * (n + o)) & ((100 + percent) * (o - pos2) >= percent * (n + o))
+
+
 def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
-    """The class of each cell, 0 for all that aren't far above the mean.
+    """The class of each cell, 0 for all that don't stand out from the mean; 4 MB at any input.
 
-    Every task reports the cells that stand out in its own rows. The sums have at most 2 ** CELL_BITS rows, so the driver can hold them.
+    Every task sends its counts, up to 255 a cell, in slices; a slice's counts are added up as they arrive, so that a task holds one sum
+    for each slice. The driver gets the sums, 16 MB at any input.
     """
+    wide = (1 << CELL_BITS) // SLICES
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
+        counts = np.zeros(1 << CELL_BITS, np.int32)
         for batch in batches:
             for part in slices(batch, "text"):
                 every = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(part.column("text"), size)])
-                counts += np.bincount((every >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        mean = counts.mean()
-        out = np.flatnonzero(counts > 2 * mean + 6 * np.sqrt(mean) + 4)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(counts[out], pa.int64())], ["cell", "n"])
+                np.add.at(counts, every >> np.uint64(64 - CELL_BITS), 1)
+        sent = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, wide)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in sent], pa.binary())], ["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = np.minimum(sums.get(k, 0) + np.frombuffer(raw, np.uint8).astype(np.int64), 2**31 - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    sums = documents.select("text").mapInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    classes = np.zeros(1 << CELL_BITS, np.uint64)
-    classes[sums["cell"].to_numpy(np.int64)] = (1 + np.log2(sums["n"].to_numpy(np.float64))).astype(np.uint64) if len(sums) else 0
-    return classes
+    kind = "slice int, counts binary"
+    sums = np.zeros((SLICES, wide), np.int64)
+    for k, raw in documents.select("text").mapInArrow(cells, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect():  # SLICES rows
+        sums[k] = np.frombuffer(raw, "<i4")
+    sums = sums.reshape(-1)
+    least = sums.mean() + 4 * np.sqrt(sums.mean()) + 2
+    return np.where(sums > least, np.clip(1 + 4 * np.log2(np.maximum(sums, 1) / least), 1, 63), 0).astype(np.uint8)
 
 
 def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> DataFrame:
@@ -105,7 +126,7 @@ def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> Data
 
 
 def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """token, gid, n, pos of the prefix shingles that at least two groups of compatible size share."""
+    """token, gid, n, pos of the prefix shingles that two groups share whose sizes and positions let them link."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +145,17 @@ def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         token, gid, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("pos", "<i4")))
         order = np.lexsort((n, token))
-        token, gid, n, pos = token[order], gid[order], n[order].astype(np.int64), pos[order]
-        near = (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        keep = np.zeros(len(token), dtype=bool)
-        keep[1:] |= near
-        keep[:-1] |= near
+        token, gid, n, pos = token[order], gid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        last = np.append(np.flatnonzero(token[1:] != token[:-1]), len(token) - 1)
+        size = np.repeat(np.diff(last, prepend=-1), np.diff(last, prepend=-1))
+        left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(token))  # entries of the list that follow
+        keep = size > MET_LIST
+        for step in range(1, MET_LIST):
+            a = np.flatnonzero((left >= step) & (size <= MET_LIST))
+            if not len(a):
+                break
+            fit = a[may_link(n[a], pos[a], n[a + step], pos[a + step], percent)]
+            keep[fit] = keep[fit + step] = True
         return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep], "n": n[keep], "pos": pos[keep].astype(np.int64)})
 
     sent = groups.select("gid", "n", "prefix").mapInArrow(send, "bucket int, token binary, gid binary, n binary, pos binary")
@@ -158,7 +185,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     """doc_id, n_shingles and component_id of every document."""
     spark = documents.sparkSession
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, size))  # 2 MB at any input
+    classes = spark.sparkContext.broadcast(frequency_classes(docs, size))  # 4 MB at any input
     prints = saved(fingerprints(docs, size, percent, classes), "fingerprints")
 
     full = prints.where("n_shingles > 0 and doc_id is not null")
@@ -188,9 +215,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     distinct = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]) if _repeats(full) else docs.join(wanted, "doc_id", "left_semi")
     sets = saved(distinct.mapInArrow(whole, "rep long, members binary"), "sets")
 
-    fits = f"100 * least(n, o) >= {percent} * greatest(n, o)"
-    least = lists.groupBy("token").agg(F.min(F.struct("n", "rep")).alias("x")).select("token", F.col("x.n").alias("o"), F.col("x.rep").alias("lead"))
-    star = lists.join(least, "token").where(f"rep <> lead and {fits}").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    least = lists.groupBy("token").agg(F.min(F.struct("n", "rep", "pos")).alias("x")).select("token", F.col("x.n").alias("o"), F.col("x.rep").alias("lead"), F.col("x.pos").alias("pos2"))
+    fits = may_link(F.col("n"), F.col("pos"), F.col("o"), F.col("pos2"), percent)
+    star = lists.join(least, "token").where((F.col("rep") != F.col("lead")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     first = saved(verified(saved(star, "star-pairs"), sets, percent), "links")
 
     named = components(first)
@@ -198,12 +225,9 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     labelled = saved(labelled, "labelled")
     open_ = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     rest = labelled.join(open_, "token", "left_semi")
-    other = rest.select("token", F.col("rep").alias("rep2"), F.col("n").alias("o"), F.col("label").alias("label2"))
-    # the left side is the smaller set, of which a shorter prefix is enough
-    top = 2 * percent
-    short = f"pos < n - ({top} * n + {99 + percent}) div {100 + percent} + 1"
-    pairs = rest.where(short).join(other, "token").where(f"label <> label2 and (n < o or (n = o and rep < rep2)) and {fits}")
-    pairs = pairs.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    other = rest.select("token", F.col("rep").alias("rep2"), F.col("n").alias("o"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    pairs = rest.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits)
+    pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
     second = verified(saved(pairs, "open-pairs"), sets, percent)
     links = saved(first.unionByName(second), "all-links")
 
