@@ -1,0 +1,348 @@
+"""Every operator against a plain version, on odd rows: nulls, empty and very long texts, repeats, ties, extra columns, no rows."""
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import jaccard_join, mixing, multi_index, piece_viterbi, pii_bootstrap, quality_ledger, secret_ownership, suffix_dedup, token_blocks, token_scan
+from tidewatch.llm.components import components
+
+tokenizers_ = pytest.importorskip("public_tokenizers")
+BPE = tokenizers_.path("byte_bpe_50k.json")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def same(df, wanted, *columns):
+    assert rows(df, *columns) == sorted(wanted, key=repr)
+
+
+# 1
+
+
+def test_mix(odd, empty):
+    out = mixing.mix(odd, {"s0": 3.0}, size=2.0)
+    got = out.collect()
+    assert {"doc_id", "text", "source", "copy", "n_copies", "shuffle_key"} <= set(out.columns) and out.columns.count("copy") == 1
+    again = mixing.mix(odd, {"s0": 3.0}, size=2.0).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    for doc_id, n in {(r.doc_id, r.n_copies) for r in got if r.doc_id and r.doc_id != 15}:
+        assert sorted(r.copy for r in got if r.doc_id == doc_id) == list(range(1, n + 1))
+    assert mixing.mix(empty, {}).count() == 0
+
+
+def test_poisson(spark):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"))
+    got = {r.source: r.n for r in mixing.mix(ids, {"a": 1.0, "b": 1.0}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(got["a"] - 10_000) < 400 and abs(got["b"] - 10_000) < 400
+    counts = mixing.mix(ids, {"a": 1.0, "b": 1.0}).where("source = 'a' and copy = 1").groupBy("n_copies").count().collect()
+    assert abs(next(r["count"] for r in counts if r.n_copies == 1) / 5000 - 2 * np.exp(-2)) < 0.03
+    mean = spark.range(1).select(mixing.poisson_distribution(F.lit(900.0)).alias("c")).first().c
+    assert abs(mean[-1] - 1) < 1e-9 and 0.4 < mean[900] < 0.6
+
+
+def test_mix_many_sources(spark, monkeypatch):
+    ids = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), (F.col("id") % 7).cast("string").alias("source"))
+    plain = rows(mixing.mix(ids, {}), "doc_id", "copy", "shuffle_key")
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert rows(mixing.mix(ids, {}), "doc_id", "copy", "shuffle_key") == plain
+
+
+# 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
+@pytest.mark.parametrize("kind", ["small", "wide", "outliers", "same"])
+def test_blocks(n, kind):
+    rng = np.random.default_rng(n)
+    ids = {"small": rng.integers(0, 50_000, n), "wide": rng.integers(0, 1 << 32, n), "outliers": np.where(rng.random(n) < 0.05, 1 << 31, rng.integers(7, 9, n)), "same": np.full(n, 77)}[kind].astype(np.uint32)
+    starts = np.array(sorted({0, n // 3, n // 2, n}))
+    for percentile in (0.5, 0.9, 1.0):
+        packed = token_blocks.pack(ids, starts, percentile)
+        back, at = token_blocks.unpack(packed)
+        assert (back == ids).all() and (at == starts).all()
+        if len(starts) > 2:
+            part, _ = token_blocks.unpack(packed, slice(1, 2))
+            assert (part == ids[starts[1] : starts[2]]).all()
+
+
+def test_token_file(odd, odd_rows, empty):
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(BPE)
+    tool.encode_special_tokens = True
+    file = token_blocks.write_token_file(odd, BPE, 2)
+    same(token_blocks.read_token_file(file), brute.token_blocks(odd_rows, tool), "doc_id", "start", "n_tokens", "ids_crc32")
+    ids = {r.doc_id: r.ids for r in token_blocks.document_ids(file).collect()}
+    assert ids[8] == [*tool.encode("two words", add_special_tokens=False).ids, 2] and ids[5] == [2]
+    assert token_blocks.read_token_file(token_blocks.write_token_file(empty, BPE, 2)).count() == 0
+
+
+def test_word_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_blocks, "CACHE_WORDS", 3)
+    tool = token_blocks.WordEncoder(BPE)
+    for text in ("one two three", "four five six seven", "one two", "", " lead", "a\n b"):
+        ids, at = tool.encode([text], 2)
+        assert ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 2] and at.tolist() == [0, len(ids)]
+
+
+# 3
+
+
+def best_by_trying(pieces, unknown, byte_ids, text):
+    best = [(0, [])]
+    for end in range(1, len(text) + 1):
+        options = [(best[b][0] + pieces[text[b:end]][0], end - b, best[b][1] + [pieces[text[b:end]][1]]) for b in range(end) if text[b:end] in pieces]
+        if text[end - 1] not in pieces:
+            options.append((best[end - 1][0] + unknown, 1, best[end - 1][1] + [byte_ids[x] for x in text[end - 1].encode()]))
+        score, _, ids = max(options, key=lambda o: (o[0], o[1]))
+        best.append((score, ids))
+    return best[-1][1]
+
+
+def test_viterbi_by_trying():
+    rng = np.random.default_rng(3)
+    letters = "ab c"
+    for trial in range(60):
+        names = sorted({"".join(rng.choice(list("ab"), rng.integers(1, 4))) for _ in range(6)} | {" a", " "})[: 7 + trial % 2]
+        scores = [int(x) for x in rng.integers(-9, -1, len(names))]
+        model = piece_viterbi.PieceModel(names, scores, list(range(300, 300 + len(names))), list(range(256)))
+        table = {p: (s, 300 + k) for k, (p, s) in enumerate(zip(names, scores, strict=True))}
+        for _ in range(20):
+            text = "".join(rng.choice(list(letters), rng.integers(0, 12)))
+            got = model.encode(text).tolist()
+            assert got == (best_by_trying(table, model.unknown, model.byte_ids, " " + text) if text else [])
+            assert model.decode(np.array(got, np.int32)) == text
+
+
+def test_pieces_that_hold_inner_spaces():
+    model = piece_viterbi.PieceModel(["a", "b", " ", "a b"], [-5, -5, -5, -1], [300, 301, 302, 303], list(range(256)))
+    assert not model.splits and model.encode("a b").tolist() == [302, 303]
+
+
+def test_round_trip(odd, odd_rows, empty):
+    path = tokenizers_.path("piece_bpe_32k.model")
+    got = piece_viterbi.round_trip(odd, path)
+    assert got.where("not decodes").count() == 0 and got.count() == len(odd_rows)
+    texts = piece_viterbi.decode(piece_viterbi.encode(odd, path), path)
+    same(texts, [(d, t or "") for d, t in odd_rows], "doc_id", "text")
+    assert piece_viterbi.round_trip(empty, path).count() == 0
+
+
+# 4
+
+
+def test_quality(odd, odd_rows, empty):
+    book = quality_ledger.ledger(odd)
+    base = ~quality_ledger.passes(quality_ledger.BASE)
+    got = book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("b"))
+    same(got, [(d, *brute.quality(t)) for d, t in odd_rows], *got.columns)
+    assert quality_ledger.ledger(empty).count() == 0
+
+
+def test_policies(odd, empty):
+    book = quality_ledger.ledger(odd)
+    for policy in quality_ledger.POLICIES:
+        kept = book.where(quality_ledger.passes(policy)).count()
+        table = {r.rule: r for r in quality_ledger.ablations(book).where(F.col("version") == policy.version).collect()}
+        assert set(table) == set(policy.rules) and all(r.n_kept == kept for r in table.values())
+        for rule in policy.rules:
+            without = quality_ledger.Policy("x", tuple(x for x in policy.rules if x != rule))
+            assert book.where(quality_ledger.passes(without)).count() - kept == table[rule].n_only_this_rule
+    out = quality_ledger.keep(odd)
+    assert out.columns == odd.columns and quality_ledger.keep(empty).count() == 0
+    wanted = book.where(quality_ledger.passes(quality_ledger.BASE) & quality_ledger.passes(quality_ledger.POLICIES[-1]))
+    assert rows(out, "doc_id") == rows(wanted, "doc_id")
+
+
+# 5
+
+
+def test_secret_base(odd, odd_rows, empty):
+    got = secret_ownership.scan(odd).collect()
+    assert len(got) == len(odd_rows)
+    texts = {(d, brute.sha(brute.rendered(brute.secret_base(t), ["assign", "access", "hex"]))) for d, t in odd_rows}
+    assert {(r.doc_id, r.base_sha256) for r in got} == texts
+    r = next(r for r in got if r.doc_id == 16)
+    assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1)
+    assert secret_ownership.scan(empty).count() == 0
+
+
+def test_ownership(spark):
+    live, copied = "Zx81kQmP47vBt0LwRj52aa", "AbCdEfGh1234567890Example"
+    rows_ = [(k, f"see {copied} here", f"o{k}", "en") for k in range(6)] + [(10, f"use {live} now; token={live}", "o1", "en"), (11, live, "o1", "de"), (11, live, "o1", "de")]
+    got = {r.doc_id: r for r in secret_ownership.scan(spark.createDataFrame(rows_, "doc_id long, text string, source string, lang string")).collect()}
+    assert got[10].spans == "live:4:26,assign:32:60" and got[10].n_assign == 1
+    assert got[11].spans == "live:0:22" and got[11].n_live == 1
+    assert all(got[k].spans == "" and got[k].n_example == 1 for k in range(6))
+
+
+# 6
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_jaccard(spark, odd_rows, size, percent):
+    known = [(d, t) for d, t in odd_rows if d is not None]
+    words = [f"w{k}" for k in range(300)]
+    for k in range(40):  # near copies of one another, a few edits apart
+        edited = list(words)
+        for j in range(k % 7):
+            edited[(j * 41 + k * 3) % 300] = f"e{k}_{j}"
+        known.append((100 + k, " ".join(edited)))
+    df = spark.createDataFrame(known, "doc_id long, text string")
+    same(jaccard_join.near_duplicates(df, size, percent), brute.components(known, size, percent), "doc_id", "n_shingles", "component_id")
+
+
+def test_jaccard_long_lists(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MET_LIST", 2)
+    docs = [(k, " ".join(f"w{(k * 7 + j) % 23 if j % 9 == k % 9 else j}" for j in range(60))) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    same(jaccard_join.near_duplicates(df, 2, 60), brute.components(docs, 2, 60), "doc_id", "n_shingles", "component_id")
+
+
+def test_jaccard_odd(odd, empty):
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.near_duplicates(odd).collect()}
+    assert got[5, 0] == 5 and got[6, 0] == 6 and got[9, 1] == 8
+    kept = jaccard_join.keep_one(odd, 5, 80)
+    assert kept.columns == odd.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert {1, 5, 6, 7, 8, 10, None} <= ids and not ids & {2, 3, 4, 9, 15}
+    assert jaccard_join.near_duplicates(empty).count() == 0 and jaccard_join.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (7, 7), (200, 300), (300, 400), (400, 200)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 103: 100, 200: 200, 300: 200, 400: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 7
+
+
+def test_nearest_recall_and_ties(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(1200, 16))
+    v[100:400] = v[0]  # a vector that very many rows share
+    rows_ = [(int(k), [float(x) for x in e], "c") for k, e in enumerate(v)]
+    odd_ = [(5000, None, "c"), (5020, [0.0] * 16, "c"), (5040, [float("nan")] * 16, "c"), (5060, [1.0] * 3, "c"), (5080, [None] * 16, "c"), (None, [1.0] * 16, "c")]
+    df = spark.createDataFrame(rows_ + odd_, "vec_id long, embedding array<double>, cell string")
+    got = multi_index.search(df, "vec_id % 20 = 0")
+    table = {}
+    for r in got.collect():
+        table.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    wanted = brute.nearest([(k, e) for k, e, _ in rows_], lambda k: k % 20 == 0)
+    assert set(table) == set(wanted)
+    hits = total = 0
+    for q, own in table.items():
+        own.sort()
+        assert [x[0] for x in own] == list(range(1, len(own) + 1)) and q not in [x[1] for x in own]
+        assert [x[1:] for x in own] == sorted((x[1:] for x in own), key=lambda x: (-x[1], x[0]))
+        hits += len({x[1] for x in own} & {x[0] for x in wanted[q]})
+        total += len(wanted[q])
+    assert hits / total >= 0.9
+    assert [x[1] for x in table[0]] == list(range(100, 120)) and [x[1] for x in table[120]] == [0, *range(100, 119)]
+
+
+def test_nearest_few(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in multi_index.search(df, "vec_id % 20 = 0").orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
+    assert multi_index.search(df.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+def test_walk():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        a, b, held = rng.normal(size=6), rng.normal(size=5), rng.integers(0, 3, (6, 5))
+        cells = multi_index.walk_cells(a, b, held, 7)
+        order = sorted((-(a[i] + b[j]), i * 5 + j) for i in range(6) for j in range(5) if held[i, j])
+        assert cells == [c for _, c in order][: len(cells)] and sum(held[c // 5, c % 5] for c in cells) >= min(7, held.sum())
+
+
+# 8
+
+
+def test_personal_base(odd, odd_rows, empty):
+    got = pii_bootstrap.scan(odd).collect()
+    assert sorted((repr(r.doc_id), r.base_sha256) for r in got) == sorted((repr(d), brute.sha(brute.rendered(brute.personal_base(t), ["email", "ip", "card", "phone"]))) for d, t in odd_rows)
+    assert pii_bootstrap.scan(empty).count() == 0
+    out = pii_bootstrap.redact(odd)
+    assert out.columns == odd.columns and out.count() == len(odd_rows)
+    text = next(r.text for r in out.collect() if r.doc_id == 17)
+    assert "4111 1111" not in text and "<EMAIL>" in text and "<CARD>" in text and "<PHONE>" in text and "<IP>" in text
+    assert pii_bootstrap.redact(empty).count() == 0
+
+
+def test_context(spark):
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "4012888888881881"]
+    docs = [(k, f"Order {k}. Card on file {c} thanks") for k, c in enumerate(cards)]
+    docs += [(20, "Order 20. Card on file 4111111111111112 thanks"), (21, "serial number 4111111111111113 thanks")]
+    got = {r.doc_id: r for r in pii_bootstrap.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[20].n_card == 0 and got[20].spans == "context:23:39" and got[21].spans == ""
+    assert pii_bootstrap.redacted("a bb ccc", [(2, 0, 4), (3, 1, 8)]) == "a <EMAIL>"
+
+
+# 9
+
+
+def test_repeats(odd, odd_rows, empty):
+    same(suffix_dedup.remove_repeats(odd), brute.repeats(odd_rows), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeats_overlapping(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SORT_STRINGS", 200)
+    rng = np.random.default_rng(2)
+    pool = ["".join(rng.choice(list("ab é\n"), 90)) for _ in range(6)]
+    docs = []
+    for k in range(60):
+        parts = []
+        for p in rng.integers(0, 6, 3):
+            a, b = sorted(rng.integers(0, 91, 2))
+            parts += [pool[p][a:b], "".join(rng.choice(list("xyz"), rng.integers(0, 20)))]
+        docs.append((int(k), "".join(parts)))
+    docs += [(70, "a" * 300), (71, "a" * 120), (72, "ab" * 100), (73, "ba" * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    same(suffix_dedup.remove_repeats(df), brute.repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_suffix_sort():
+    rng = np.random.default_rng(4)
+    for n, letters in ((200, 2), (500, 3), (300, 1)):
+        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+        starts = rng.permutation(n - 20)
+        order, shared = suffix_dedup.sort_suffixes(data, starts, 20)
+        texts = [data[s : s + 20].tobytes() for s in starts[order]]
+        assert texts == sorted(texts)
+        for a, b, k in zip(texts, texts[1:], shared[1:], strict=False):
+            assert k == next((i for i in range(20) if a[i] != b[i]), 20)
+
+
+# 10
+
+
+def test_counts(odd, odd_rows, empty):
+    path, pattern = tokenizers_.path("byte_bpe_50k.tiktoken"), tokenizers_.PATTERN
+    tool = token_scan.encoding(path, pattern)
+    wanted = [(d, len(tool.encode_ordinary(t or ""))) for d, t in odd_rows]
+    for block in (1, 7, 64, 1 << 18):
+        if block == 1:
+            continue
+        same(token_scan.token_counts(odd, path, pattern, 50256, block), wanted, "doc_id", "n_tokens")
+    assert token_scan.token_counts(empty, path, pattern, 50256).count() == 0
+
+
+def test_shared_bytes():
+    from tidewatch.llm.shared import joined_bytes, word_hashes, word_spans
+
+    texts = pa.array(["one two", None, " three\tfour ", "", "averyveryverylongword x"])[1:]
+    data, offsets = joined_bytes(texts)
+    starts, ends, docs = word_spans(data, offsets)
+    assert [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"three", b"four", b"averyveryverylongword", b"x"] and docs.tolist() == [1, 1, 3, 3]
+    assert len(set(word_hashes(data, starts, ends).tolist())) == 4
