@@ -3,7 +3,8 @@
 An Aho-Corasick automaton over all pieces reads a text once. At each position it reports, along its output links, every piece that
 ends there, and each of them relaxes the best score of that position (Viterbi). No piece of the model holds a space behind another
 character, which is checked as the model is loaded; a text therefore falls apart before its runs of spaces, and each different part
-is segmented once and remembered, within a bound.
+is segmented once and remembered, within a bound. New parts are read by the automaton one after the other as one text, and the
+positions of all of them are relaxed side by side.
 
 The supplied model keeps merge ranks instead of probabilities. A piece of rank r gets the log-probability of a Zipf distribution,
 -ln(r + 2) less the logarithm of the sum, in whole millionths so that sums are exact. Of equally good segmentations the one whose
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .shared import WordMemory, slices, with_columns
 SPACE = "▁"
 UNKNOWN_PENALTY = 10_000_000
 CACHE_WORDS = 1_000_000
+#: Characters of a part up to which it is relaxed together with others; pieces are shorter than this.
+LONGEST = 60
 
 _PART = re.compile(" +[^ ]*|[^ ]+")
 
@@ -49,9 +53,16 @@ class PieceModel:
         for piece, score, k in zip(pieces, scores, ids, strict=True):
             self.automaton.add_word(piece, (len(piece), score, k))
         self.automaton.make_automaton()
+        self.numbers = ahocorasick.Automaton()
+        for k, piece in enumerate(pieces):
+            self.numbers.add_word(piece, k)
+        self.numbers.make_automaton()
+        self.length_of = np.array([len(p) for p in pieces], np.int64)
+        self.score_of = np.array(scores, np.int64)
+        self.id_of = np.array(ids, np.int32)
         self.splits = not any(" " in p.lstrip(" ") for p in pieces)
         self.memory = WordMemory(CACHE_WORDS)
-        self.text_of = np.array([self.pieces.get(k, "") for k in range(max(*ids, *byte_ids) + 1)], dtype=object)
+        self.text_of = [self.pieces.get(k, "") for k in range(max(*ids, *byte_ids) + 1)]
         self.is_byte = np.isin(np.arange(len(self.text_of)), byte_ids)
 
     @classmethod
@@ -108,25 +119,77 @@ class PieceModel:
             n -= length
         return ids[::-1]
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+    def segment_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts in one array, and how many each has. Parts begin with a space."""
+        short = [k for k, p in enumerate(parts) if p[-1] != " " and len(p) <= LONGEST]
+        size = np.array([len(parts[k]) for k in short], np.int64)
+        text = "".join([parts[k] for k in short])
+        pairs = np.fromiter(chain.from_iterable(self.numbers.iter(text)), np.int64).reshape(-1, 2)
+        end, number = pairs[:, 0] + 1, pairs[:, 1]
+        start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(short)), size)[end - 1]
+        at, length = end - start[word], self.length_of[number]
+        # characters without a piece of their own need bytes: such parts are segmented singly
+        plain = np.bincount(word[length == 1], minlength=len(short)) == size
+        order = np.argsort(at.astype(np.uint8), kind="stable")
+        order = order[plain[word[order]]]
+        word, at, length, number = word[order], at[order], length[order], number[order]
+        base = start + np.arange(len(short))  # a cell for each position, and one for the beginning
+        best = np.zeros(len(text) + len(short), np.int64)
+        step = np.zeros(len(best), np.int64)
+        cell = base[word] + at
+        cuts = np.searchsorted(at, np.arange(1, LONGEST + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            # of equal sums the longest piece; pieces that end at one position differ in length
+            total = (best[cell[a:b] - length[a:b]] + self.score_of[number[a:b]]) * 64 + length[a:b]
+            head = np.flatnonzero(np.diff(cell[a:b], prepend=-1))
+            top = np.maximum.reduceat(total, head)
+            chosen = np.flatnonzero(total == np.repeat(top, np.diff(np.append(head, b - a))))
+            best[cell[a:b][head]] = top >> 6
+            step[cell[a:b][head]] = number[a:b][chosen]
+        left = np.where(plain, size, 0)
+        cells, found = [], []
+        while len(own := np.flatnonzero(left)):
+            c = base[own] + left[own]
+            cells.append(c)
+            found.append(step[c])
+            left[own] -= self.length_of[step[c]]
+        cells, found = np.concatenate([np.zeros(0, np.int64), *cells]), np.concatenate([np.zeros(0, np.int64), *found])
+        by = np.argsort(cells)
+        many = np.bincount(np.searchsorted(base, cells, side="right") - 1, minlength=len(short)) if len(short) else np.zeros(0, np.int64)
+        flat, counts = self.id_of[found[by]], np.zeros(len(parts), np.int64)
+        counts[short] = many
+        done = np.zeros(len(parts), dtype=bool)
+        done[np.array(short, np.int64)[plain]] = True
+        if done.all():
+            return flat, counts
+        singly = {k: self.segment(parts[k]) for k in np.flatnonzero(~done).tolist()}
+        counts[list(singly)] = [len(x) for x in singly.values()]
+        out = np.empty(int(counts.sum()), np.int32)
+        ends = np.cumsum(counts)
+        taken = np.repeat(done, counts)
+        out[taken] = flat
+        for k, ids in singly.items():
+            out[ends[k] - len(ids) : ends[k]] = ids
+        return out, counts
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each begins."""
         if not self.splits:
-            return np.array(self.segment(" " + text), np.int32)
-        parts = _PART.findall(" " + text)
-        known = self.memory.known
-        if new := [p for p in dict.fromkeys(parts) if p not in known]:
-            if len(known) + len(new) > self.memory.limit:
-                self.memory.forget()
-                new = list(dict.fromkeys(parts))
-            self.memory.add(new, [self.segment(p) for p in new])
-        return self.memory.ids(parts)
+            ids = [np.array(self.segment(" " + t) if t else [], np.int32) for t in texts]
+            return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        # a part is known by itself without its space, or with all its spaces where it has several
+        cut = [[] if not t else t.split(" ") if "  " not in t and t[0] != " " else [p[1:] if p[1:2] != " " else p for p in _PART.findall(" " + t)] for t in texts]
+        return self.memory.ids(cut, lambda new: self.segment_many([p if p[:1] == " " else " " + p for p in new]))
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
         if not self.is_byte[ids].any():
-            return "".join(self.text_of[ids])[1:]
+            return "".join(map(self.text_of.__getitem__, ids.tolist()))[1:]
         out, raw = [], bytearray()
         for k in ids.tolist():
             if k in self.byte_of:
@@ -147,9 +210,8 @@ def piece_model(path: str) -> PieceModel:
     return _models[path]
 
 
-def _list(ids: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
+def _list(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def encode(documents: DataFrame, model_path: str) -> DataFrame:
@@ -159,7 +221,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
         model = piece_model(model_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list([model.encode(t or "") for t in part.column("text").to_pylist()])], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(*model.encode_all([t or "" for t in part.column("text").to_pylist()]))], ["doc_id", "ids"])
 
     return with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(rows, "doc_id long, ids array<int>")
 
@@ -184,9 +246,10 @@ def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [model.encode(t) for t in texts]
-                same = [model.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                values = [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(model.is_byte[x].sum()) for x in ids], pa.int64()), _list(ids), pa.array(same, pa.bool_())]
+                ids, starts = model.encode_all(texts)
+                same = [model.decode(ids[a:b]) == t for a, b, t in zip(starts[:-1], starts[1:], texts, strict=True)]
+                bytes_before = np.concatenate(([0], np.cumsum(model.is_byte[ids])))
+                values = [pa.array(np.diff(starts)), pa.array(np.diff(bytes_before[starts])), _list(ids, starts), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *values], ["doc_id", "n_pieces", "n_byte_pieces", "ids", "decodes"])
 
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -130,14 +131,25 @@ class WordMemory:
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
 
-    def add(self, keys: list, ids: list[list[int]]) -> None:
+    def add(self, keys: list, flat: np.ndarray, lengths: np.ndarray) -> None:
         self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys)), strict=True))
-        self.flat = np.concatenate((self.flat, np.fromiter((x for one in ids for x in one), np.int32)))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)))
-
-    def ids(self, words: list) -> np.ndarray:
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        begin = self.starts[codes]
-        length = self.starts[codes + 1] - begin
-        at = np.cumsum(length)
-        return self.flat[np.repeat(begin - at + length, length) + np.arange(at[-1] if len(at) else 0)]
+        self.flat = np.concatenate((self.flat, flat))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)))
+
+    def ids(self, cut: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lists of words, one list after the other, and where each list begins. `learn` gives ids and counts of new words."""
+        if len(self.known) > self.limit:
+            self.forget()
+        codes = [list(map(self.known.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(k) if x is None] if None in k else () for k in codes]
+        if new := list({c[i] for c, g in zip(cut, gaps, strict=True) for i in g}):
+            self.add(new, *learn(new))
+            for c, k, g in zip(cut, codes, gaps, strict=True):
+                for i in g:
+                    k[i] = self.known[c[i]]
+        n = np.array([len(c) for c in codes], np.int64)
+        every = np.fromiter(chain.from_iterable(codes), np.int64, int(n.sum()))
+        begin = self.starts[every]
+        length = self.starts[every + 1] - begin
+        at = np.concatenate(([0], np.cumsum(length)))
+        return self.flat[np.repeat(begin - at[:-1], length) + np.arange(at[-1])], at[np.concatenate(([0], np.cumsum(n)))]
