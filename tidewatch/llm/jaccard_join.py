@@ -7,7 +7,8 @@ A document is the set of its distinct shingles, each a 64-bit hash. Two document
 2. Documents with equal sets are one class, represented by the smallest doc_id. Classes with the same size and the same prefix form
    a group.
 3. Each group sends the shingles of its prefix to buckets. A bucket keeps the shingles that groups of compatible size share.
-4. Groups are expanded to their members and pairs are verified on whole sets: first each member of a shingle's list with the list's
+4. Groups are expanded to their members and pairs are verified: first by parity sketches, whose distance is never more than the
+   symmetric difference of the sets, so that no link is lost, then on whole sets. First each member of a shingle's list with the list's
    smallest, then, once what is linked is known, every remaining pair of a list whose ends aren't connected yet. So a list of
    thousands of near copies costs about its length, and no link between components is missed.
 5. Links give connected components; the component is the smallest doc_id in it.
@@ -108,8 +109,22 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
     return np.where(sums > least, np.clip(1 + 4 * np.log2(np.maximum(sums, 1) / least), 1, 63), 0).astype(np.uint8)
 
 
+def parity_sketch(keys: np.ndarray) -> np.ndarray:
+    """Bits that each tell whether an odd number of keys falls on them; about two bits a key, a power of two and 256 at least."""
+    bits = max(256, 1 << int(2 * len(keys) - 1).bit_length())
+    return np.packbits(np.bincount((mix(keys) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that differ, at most the symmetric difference. A longer sketch is folded to the length of the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hashes of the whole set) and prefix of every document."""
+    """doc_id, n_shingles, h1, h2 (hashes of the whole set), prefix and sketch (its size in eight bytes first) of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
@@ -120,9 +135,10 @@ def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> Data
                 h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 h2 = np.array([mix(s ^ _SHORT).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 prefix = [s[: prefix_length(len(s), percent)].tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "prefix"])
+                sketch = [np.int64(len(s)).tobytes() + parity_sketch(s).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "prefix", "sketch"])
 
-    return documents.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, prefix binary")
+    return documents.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, sketch binary")
 
 
 def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -162,23 +178,40 @@ def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "token long, gid long, n long, pos long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. Both joins bring one set to each pair and can be split where a document has very many."""
+def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with the column of both ends, as x and y. Joins can be split where an end has very many pairs."""
+    left, right = table.select(F.col("rep").alias("a"), F.col(column).alias("x")), table.select(F.col("rep").alias("b"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _checked(pairs: DataFrame, good) -> DataFrame:
+    """The distinct pairs for which good(x, y) holds."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            keep = [good(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(check, "a long, b long").distinct()
 
-    left = sets.select(F.col("rep").alias("a"), F.col("members").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("members").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long").distinct()
+
+def verified(pairs: DataFrame, sketches: DataFrame, whole_sets, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Sketches (rep, sketch) leave few; only of these are whole sets made, by whole_sets(ids)."""
+
+    def near(x, y) -> bool:
+        (n,), (o,) = np.frombuffer(x, "<i8", 1), np.frombuffer(y, "<i8", 1)
+        return (100 + percent) * sketch_distance(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)) <= (100 - percent) * int(n + o)
+
+    def link(x, y) -> bool:
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    left = saved(_checked(_with_both(pairs, sketches, "sketch"), near), "near-pairs")
+    ids = saved(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    return _checked(_with_both(left, whole_sets(ids), "members"), link)
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -189,8 +222,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     prints = saved(fingerprints(docs, size, percent, classes), "fingerprints")
 
     full = prints.where("n_shingles > 0 and doc_id is not null")
-    same = full.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "prefix")).alias("x"))
-    same = saved(same.select(F.col("n_shingles").alias("n"), "h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.prefix").alias("prefix")), "classes")
+    same = full.groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "prefix", "sketch")).alias("x"))
+    same = saved(same.select(F.col("n_shingles").alias("n"), "h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.prefix").alias("prefix"), F.col("x.sketch").alias("sketch")), "classes")
     groups = saved(same.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("n_members")), "groups")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     postings = saved(shared_postings(groups, percent, buckets), "postings")
@@ -202,9 +235,6 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     within = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), "rep", "n", F.lit(0).cast("long").alias("pos"))
     lists = saved(expanded.unionByName(within), "lists")
 
-    # whole sets of the documents in lists only
-    wanted = lists.select(F.col("rep").alias("doc_id")).distinct()
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
         for batch in batches:
@@ -212,13 +242,18 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
                 sets = [ordered_set(h, rank).tobytes() for h in shingle_hashes(part.column("text"), size)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "members"])
 
-    distinct = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]) if _repeats(full) else docs.join(wanted, "doc_id", "left_semi")
-    sets = saved(distinct.mapInArrow(whole, "rep long, members binary"), "sets")
+    repeats = _repeats(full)
+
+    def whole_sets(ids: DataFrame) -> DataFrame:
+        wanted = docs.join(ids, "doc_id", "left_semi")
+        return saved((wanted.dropDuplicates(["doc_id", "text"]) if repeats else wanted).mapInArrow(whole, "rep long, members binary"), "sets")
+
+    sketches = same.select("rep", "sketch")
 
     least = lists.groupBy("token").agg(F.min(F.struct("n", "rep", "pos")).alias("x")).select("token", F.col("x.n").alias("o"), F.col("x.rep").alias("lead"), F.col("x.pos").alias("pos2"))
     fits = may_link(F.col("n"), F.col("pos"), F.col("o"), F.col("pos2"), percent)
     star = lists.join(least, "token").where((F.col("rep") != F.col("lead")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    first = saved(verified(saved(star, "star-pairs"), sets, percent), "links")
+    first = saved(verified(saved(star, "star-pairs"), sketches, whole_sets, percent), "links")
 
     named = components(first)
     labelled = lists.join(named, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"))
@@ -228,7 +263,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     other = rest.select("token", F.col("rep").alias("rep2"), F.col("n").alias("o"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
     pairs = rest.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits)
     pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    second = verified(saved(pairs, "open-pairs"), sets, percent)
+    second = verified(saved(pairs, "open-pairs"), sketches, whole_sets, percent)
     links = saved(first.unionByName(second), "all-links")
 
     final = components(links)
