@@ -25,4 +25,4 @@ def packed(rows: DataFrame, key: str, order: list[str], header: Column, most: in
         return F.when(F.length(joined) <= most, F.array_append(F.slice(chunks, 1, F.size(chunks) - 1), joined)).otherwise(F.array_append(chunks, line))
 
     folded = F.aggregate("lines", F.array("header"), step)
-    return lines.select(key, F.posexplode(folded).alias("k", "text")).select(key, (F.col("k") + 1).alias("chunk"), "text")
+    return lines.select(key, F.posexplode(folded).alias("_k", "text")).select(key, (F.col("_k") + 1).alias("chunk"), "text")
