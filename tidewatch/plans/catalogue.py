@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import dates, packing, transforms, urls
-from tidewatch.operators import classify, extract, joins, pages, reports, state, windows
+from tidewatch.operators import classify, extract, filters, joins, pages, reports, state, windows
 
 from .views import ctes, view
 
@@ -781,3 +781,119 @@ def response_classes(entries):
 @query("posts", "deliveries", sql="SELECT slug, post_id FROM posts p WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.slug = p.slug AND d.post_id = p.post_id AND d.kind = 'sent')")
 def new_posts(posts, deliveries):
     return joins.missing_ids(posts, deliveries.where("kind = 'sent'"), ["slug", "post_id"])
+
+
+# --- filters, sets and links ----------------------------------------------------------------------------------------------------
+
+
+@query("entries", sql=r"""
+WITH v AS (SELECT entry_id, CASE entry_id % 6 WHEN 0 THEN url WHEN 1 THEN replace(url, '://', '://u@') WHEN 2 THEN 'ftp' || url WHEN 3 THEN url || ' x' WHEN 4 THEN 'http://10.0.0.' || (entry_id % 9) || '/a' ELSE 'http://8.8.8.8/' END AS url FROM entries)
+SELECT entry_id, CASE entry_id % 6 WHEN 1 THEN 'user info' WHEN 2 THEN 'scheme' WHEN 3 THEN 'white space' WHEN 4 THEN 'private address' WHEN 5 THEN 'address' END AS problem FROM v""")
+def url_gate(entries):
+    n, u = F.col("entry_id") % 6, F.col("url")
+    odd = (
+        F.when(n == 0, u)
+        .when(n == 1, F.replace(u, F.lit("://"), F.lit("://u@")))
+        .when(n == 2, F.concat(F.lit("ftp"), u))
+        .when(n == 3, F.concat(u, F.lit(" x")))
+        .when(n == 4, F.concat(F.lit("http://10.0.0."), (F.col("entry_id") % 9).cast("string"), F.lit("/a")))
+        .otherwise("http://8.8.8.8/")
+    )
+    return entries.select("entry_id", filters.url_problem(odd).alias("problem"))
+
+
+@query("jobs", sql=f"SELECT id FROM jobs WHERE status IN ('failed', 'rejected') AND ts >= {NOW} - interval 7 day AND (contains(lower(coalesce(slug, '')), 'src1') OR contains(lower(url), 'src1'))")
+def dynamic_where(jobs):
+    return jobs.where(filters.every([filters.one_of("status", ["failed", "rejected"]), filters.newer("ts", dates.cutoff("7d", F.expr(NOW))), filters.text_in("SRC1", "slug", "url"), None])).select("id")
+
+
+@query("jobs", sql="SELECT id FROM jobs WHERE status = 'failed' AND list_contains(['k0', 'k' || attempts], 'k2') AND contains(slug, '1')")
+def case_search(jobs):
+    cases = jobs.select("id", "slug", "url", "ts", F.col("status").alias("outcome"), F.col("result_tail").alias("reason"), F.array(F.lit("k0"), F.concat(F.lit("k"), F.col("attempts").cast("string"))).alias("failure_keys"))
+    return cases.where(filters.case_filter(outcome="failed", slug_part="1", failure="k2")).select("id")
+
+
+@query("jobs", sql=f"SELECT user_id, count(*) AS n FROM jobs WHERE kind = 'register' AND ts >= {NOW} - interval 1 day GROUP BY user_id")
+def rate_window(jobs):
+    return filters.recent_requests(jobs, F.expr(f"{NOW} - interval 1 day"))
+
+
+@query("jobs", sql="SELECT id FROM jobs WHERE user_id = 7")
+def jobs_of_requester(jobs):
+    return jobs.withColumn("requested_by", F.to_json(F.struct(F.col("user_id").alias("id")))).where(filters.by_requester("requested_by", F.lit("7"))).select("id")
+
+
+@query("jobs", sql="SELECT id, CASE WHEN status = 'failed' AND attempts * 20 > 30 THEN 'delete' WHEN status = 'pending' AND attempts * 20 > 10 THEN 'delete' ELSE 'keep' END AS fate FROM jobs")
+def retention_classes(jobs):
+    status = F.when(F.col("status") == "pending", "unregistered").otherwise(F.col("status"))
+    return jobs.select("id", filters.retention_class(status, F.col("attempts") * 20, 30, 10).alias("fate"))
+
+
+@query("jobs", sql=f"SELECT coalesce(result_tail, '-') AS reason, count(*) AS n FROM jobs WHERE status = 'rejected' AND ts >= {NOW} - interval 24 hour GROUP BY ALL")
+def rejection_summary(jobs):
+    return filters.rejection_summary(jobs.where("status = 'rejected'").withColumn("reason", F.coalesce("result_tail", F.lit("-"))), F.expr(NOW))
+
+
+@query("entries", "jobs", sql="""
+WITH e AS (SELECT entry_id, 'http://h' || (entry_id % 30) || '.example.com/b/' || (entry_id % 200) AS url FROM entries), l AS (SELECT url, arg_max(coalesce(result_rc, -100), id) AS rc FROM jobs GROUP BY url)
+SELECT entry_id, 'untried' AS why FROM e WHERE url NOT IN (SELECT url FROM l) UNION ALL SELECT entry_id, 'retry' FROM e WHERE url IN (SELECT url FROM l WHERE rc IN (4, 5))""")
+def batch_eligible(entries, jobs):
+    e = entries.select("entry_id", F.concat(F.lit("http://h"), (F.col("entry_id") % 30).cast("string"), F.lit(".example.com/b/"), (F.col("entry_id") % 200).cast("string")).alias("url"))
+    jobs = jobs.withColumn("result_rc", F.coalesce("result_rc", F.lit(-100)))
+    untried = filters.eligible(e, jobs).select("entry_id", F.lit("untried").alias("why"))
+    return untried.unionByName(filters.eligible(e, jobs, [4, 5]).select("entry_id", F.lit("retry").alias("why")))
+
+
+@query("entries", sql=URL_PARTS + r"""
+, k AS (SELECT entry_id, list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1)) AS ks FROM u)
+SELECT entry_id, array_to_string(list_sort(list_distinct(list_intersect(ks, ['page', 'ref', 'size']))), ',') AS shared FROM k""")
+def shared_query_keys(entries):
+    keys = F.transform(F.filter(F.split(urls.query(F.col("url")), "&"), lambda p: p != ""), lambda p: F.split_part(p, F.lit("="), F.lit(1)))
+    rows = joins.shared_keys(entries.select("entry_id", keys.alias("a"), F.array(*map(F.lit, ("page", "ref", "size"))).alias("b")), "a", "b")
+    return rows.select("entry_id", F.array_join("shared", ",").alias("shared"))
+
+
+@query("entries", sql=r"""
+WITH l AS (SELECT entry_id, url, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM entries)
+SELECT entry_id AS page_id, count(*) AS n, 0.0::DOUBLE AS external_share, 0::BIGINT AS n_hosts, false AS hub FROM l GROUP BY entry_id""")
+def external_links(entries):
+    """The pages here link only within themselves; relative links count as the page's own."""
+    found = pages.links(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html")))
+    hosts = entries.select(F.col("entry_id").alias("page_id"), "url", urls.host(F.col("url")).alias("page_host"))
+    full = found.join(hosts, "page_id").withColumn("absolute", F.when(F.col("href").rlike("^https?://"), F.col("href")).otherwise(F.concat(F.lit("http://"), "page_host", "href")))
+    return reports.external_links(full.select("page_id", "page_host", urls.host(F.col("absolute")).alias("link_host"), urls.registrable(F.col("absolute")).alias("link_site")))
+
+
+@query("entries", sql="""
+WITH s AS (SELECT entry_id AS page_id, 'p' || (entry_id % 3) AS selector, entry_id % 4 AS n FROM entries), r AS (SELECT entry_id AS page_id, 'p' || (entry_id % 2) AS selector, entry_id % 9 AS n FROM entries)
+SELECT page_id, CAST(a AS BIGINT) AS n_static, CAST(b AS BIGINT) AS n_rendered, b >= 2 * a AND b - a >= 5 AS needs_rendering FROM (SELECT s.page_id, s.n AS a, r.n AS b FROM s JOIN r USING (page_id))""")
+def rendered_growth(entries):
+    e = F.col("entry_id")
+    static = entries.select(e.alias("page_id"), F.concat(F.lit("p"), (e % 3).cast("string")).alias("selector"), (e % 4).alias("n"))
+    rendered = entries.select(e.alias("page_id"), F.concat(F.lit("p"), (e % 2).cast("string")).alias("selector"), (e % 9).alias("n"))
+    return joins.rendered_growth(static, rendered)
+
+
+@query("entries", sql="SELECT content_type, count(*) AS n FROM (SELECT CASE entry_id % 11 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' ELSE 'image/' || (entry_id % 7) END AS content_type FROM entries) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")
+def har_content_types(entries):
+    n = F.col("entry_id")
+    return reports.content_types(entries.select(F.when(n % 11 == 0, "text/html").when(n % 11 == 1, "application/json").otherwise(F.concat(F.lit("image/"), (n % 7).cast("string"))).alias("content_type")))
+
+
+@query("observations", sql="SELECT slug, min(id) AS id, arg_min(sitemap_url, id) AS sitemap_url FROM observations GROUP BY slug")
+def first_seen(observations):
+    return windows.first_per_key(observations, "slug", F.col("id").asc(), columns=("id", "sitemap_url"))
+
+
+@query("observations", sql="SELECT id, CASE WHEN current_lastmod IS NULL THEN NULL ELSE current_lastmod || 'T00:00:00+00:00' END AS lastmod FROM observations")
+def normalised_dates(observations):
+    return observations.select("id", dates.normalised(F.col("current_lastmod")).alias("lastmod"))
+
+
+@query("posts", sql=r"SELECT post_id, array_to_string(list_distinct(regexp_extract_all('see http://a.example/' || post_id || ', http://b.example/x. ' || url, '(https?://[^\s<>\"'']*[^\s<>\"''.,;:!?)\]])', 1)), ' ') AS found FROM posts")
+def urls_in_text(posts):
+    body = F.concat(F.lit("see http://a.example/"), "post_id", F.lit(", http://b.example/x. "), "url")
+    return posts.select("post_id", F.array_sort(urls.urls_in_text(body)).alias("f")).select("post_id", F.array_join("f", " ").alias("found"))
+
+
+ORACLES["urls_in_text"] = ORACLES["urls_in_text"].replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')")
