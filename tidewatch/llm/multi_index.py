@@ -8,7 +8,8 @@ those cells are ranked again by the exact inner product.
 Nearness is the inner product, and so is the score of a half and a code; the sum over both halves orders the cells.
 
 Vectors that are equal have the same score for every query, so the index holds one entry a different vector with the smallest of its
-vec_ids, and the others follow by a join. A cell however full is read in blocks, and each block keeps its own best before the merge.
+vec_ids, and the others follow by a join. Cells that share their first code are stored in blocks of bounded size; a query goes to such a
+strip once, with the bits of the second codes that it walked to, and each block keeps a query's own best before the merge.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null vec_id or with a
 length other than the most frequent one; fewer candidates than asked for are all returned; rows that share a vec_id are candidates each,
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .shared import saved
 
 NEAREST = 20
-#: Codes of a half, vectors of the sample that codebooks are fitted on, and k-means steps: fixed numbers.
-CODES = 16
+#: Codes of a half (64 at most, a word of bits), vectors of the sample that codebooks are fitted on, and k-means steps: fixed numbers.
+CODES = 64
 SAMPLE = 20_000
 STEPS = 8
 #: Vectors of a block.
@@ -86,11 +87,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candidate_share: float = 0.35, least_candidates: int = 400, codes: int = CODES) -> DataFrame:
+def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candidate_share: float = 0.5, least_candidates: int = 400, codes: int = CODES) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the nearest found of every row for which `is_query` (SQL on vec_id) holds.
 
     A query looks at candidate_share of all different vectors, and at least_candidates at least.
     """
+    if codes > 64:
+        raise ValueError("a strip's second codes are the bits of one word: 64 codes at most")
     spark = embeddings.sparkSession
     rows = saved(usable(embeddings), "vectors")
     key = F.sha2(F.array_join(F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
@@ -129,46 +132,47 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
         one, two = shared_books.value
         for batch in batches:
             m = _matrix(batch.column("embedding"))
-            cells: dict[int, list[int]] = {}
+            masks = np.zeros((len(one), len(m)), np.uint64)
             for k, (f, s) in enumerate(zip(m[:, :cut] @ one.T, m[:, cut:] @ two.T, strict=True)):
-                for c in walk_cells(f, s, shared_held.value, wanted):
-                    cells.setdefault(c, []).append(k)
+                cells = np.array(walk_cells(f, s, shared_held.value, wanted), np.int64)
+                np.bitwise_or.at(masks[:, k], cells // n_second, np.uint64(1) << (cells % n_second).astype(np.uint64))
             ids = batch.column("entry").to_numpy()
-            for c, own in cells.items():
+            for strip in np.flatnonzero(masks.any(axis=1)):
+                own = np.flatnonzero(masks[strip])
                 for k in range(0, len(own), BLOCK):
                     part = own[k : k + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([m[part].tobytes()], pa.binary())], ["cell", "asked", "vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, m, masks[strip]))], ["strip", "asked", "vectors", "masks"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, cell, ids = _matrix(batch.column("embedding")), batch.column("cell").to_numpy(), batch.column("entry").to_numpy()
-            order = np.argsort(cell, kind="stable")
-            cuts = np.flatnonzero(np.diff(cell[order], prepend=-1, append=-1))
+            order = np.argsort(cell // n_second, kind="stable")
+            cuts = np.flatnonzero(np.diff(cell[order] // n_second, prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for k in range(a, b, BLOCK):
                     part = order[k : min(b, k + BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([cell[part[0]]], pa.int32()), pa.array([ids[part].tobytes()], pa.binary()), pa.array([m[part].tobytes()], pa.binary())], ["cell", "entries", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array([cell[part[0]] // n_second], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, m, (cell % n_second).astype(np.uint8)))], ["strip", "entries", "held", "codes"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked_ids, q, entry_ids, v in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "entries", "held")), strict=True):
+            for asked_ids, q, masks, entry_ids, v, codes in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "masks", "entries", "held", "codes")), strict=True):
                 asked_ids, entry_ids = np.frombuffer(asked_ids, np.int64), np.frombuffer(entry_ids, np.int64)
                 q, v = np.frombuffer(q).reshape(len(asked_ids), -1), np.frombuffer(v).reshape(len(entry_ids), -1)
-                rough = q @ v.T
+                walked = (np.frombuffer(masks, np.uint64)[:, None] >> np.frombuffer(codes, np.uint8).astype(np.uint64)) & np.uint64(1) == 1
+                rough = np.where(walked, q @ v.T, -np.inf)
                 top = min(nearest + 1, len(entry_ids))
                 limit = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
-                i, j = np.nonzero(rough >= (limit - 1e-9 * (1 + np.abs(limit)))[:, None])
+                least = np.where(np.isfinite(limit), limit - 1e-9 * (1 + np.abs(limit)), -np.inf)
+                i, j = np.nonzero(walked & (rough >= least[:, None]))
                 score = (q[i] * v[j]).sum(axis=1)  # the same sum for equal vectors, wherever they are in a block
                 order = np.lexsort((entry_ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                best = place < nearest + 1
+                best = np.arange(len(i)) - np.searchsorted(i, i) < nearest + 1
                 yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i[best]]), pa.array(entry_ids[j[best]]), pa.array(score[best])], ["asked", "entry", "score"])
 
-    schema = "cell int, {} binary, {} binary"
-    probes = asked_entries.select("entry", "embedding").mapInArrow(walk, schema.format("asked", "vectors"))
-    blocks = placed.repartition("cell").mapInArrow(block, schema.format("entries", "held"))
-    found = probes.join(blocks, "cell").select("asked", "vectors", "entries", "held").mapInArrow(rank, "asked long, entry long, score double")
+    probes = asked_entries.select("entry", "embedding").mapInArrow(walk, "strip int, asked binary, vectors binary, masks binary")
+    blocks = placed.repartition((F.col("cell") / n_second).cast("int")).mapInArrow(block, "strip int, entries binary, held binary, codes binary")
+    found = probes.join(blocks, "strip").select("asked", "vectors", "masks", "entries", "held", "codes").mapInArrow(rank, "asked long, entry long, score double")
 
     # nearest + 1 entries of each asked entry, its own among them
     best = saved(_first(found, "asked", nearest + 1, F.desc("score"), F.asc("entry")), "best")
