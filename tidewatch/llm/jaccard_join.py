@@ -8,9 +8,10 @@ A document is the set of its distinct shingles, each a 64-bit hash. Two document
    a group.
 3. Each group sends the shingles of its prefix to buckets. A bucket keeps the shingles that groups of compatible size share.
 4. Groups are expanded to their members and pairs are verified: first by parity sketches, whose distance is never more than the
-   symmetric difference of the sets, so that no link is lost, then on whole sets. First each member of a shingle's list with the list's
-   smallest, then, once what is linked is known, every remaining pair of a list whose ends aren't connected yet. So a list of
-   thousands of near copies costs about its length, and no link between components is missed.
+   symmetric difference of the sets, so that no link is lost, then on whole sets. First each member of a shingle's list meets only the
+   list's leader. Then, once what is linked is known, all members of a list that aren't connected yet are compared by their sketches
+   in blocks of bounded size, each a task's work on packed arrays; only pairs that may link become rows. So a list of thousands of
+   near copies is dealt out over many tasks, and no link between components is missed.
 5. Links give connected components; the component is the smallest doc_id in it.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; a text with fewer words than a
@@ -36,6 +37,10 @@ PERCENT = 90
 CELL_BITS = 22
 SLICES = 16
 
+#: Rounds in which a list's members meet only its leader: one drawn by hash, then one with most links.
+STAR_ROUNDS = 2
+#: Members of a list that one block of the last round holds at most, but for chance; two blocks meet in a unit of work.
+BLOCK_MEMBERS = 512
 #: Entries of a list up to which a bucket compares them by pairs; of longer lists it keeps all, which are compared later.
 MET_LIST = 64
 
@@ -214,6 +219,70 @@ def verified(pairs: DataFrame, sketches: DataFrame, whole_sets, percent: int) ->
     return _checked(_with_both(left, whole_sets(ids), "members"), link)
 
 
+def _block_pairs(members: DataFrame, sketches: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """The pairs (a, b) of a list's members (token, rep, n, pos, label) with different labels that may link by size, position and sketch.
+
+    A long list is cut into blocks by hash, and a member goes to one unit of work for each block that its own meets. Pairs that
+    several lists give are made distinct in packed form, by buckets of their own.
+    """
+    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
+    rows = members.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select(unit.alias("unit"), "rep", "n", "pos", "label", (F.col("own") > F.col("other")).alias("high"), (F.col("own") == F.col("other")).alias("inner"))
+    rows = rows.join(sketches, "rep").select(F.pmod("unit", F.lit(buckets)).alias("bucket"), "unit", "rep", "n", "pos", "label", "high", "inner", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        unit, rep, n, pos, label = (table.column(c).to_numpy() for c in ("unit", "rep", "n", "pos", "label"))
+        high, inner = (table.column(c).to_numpy() for c in ("high", "inner"))
+        sketch = [np.frombuffer(x.as_buffer(), np.uint8, offset=8) for x in table.column("sketch")]
+        size = np.array([len(x) for x in sketch])
+        order = np.argsort(unit, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(unit[order], prepend=unit[order[0]] - 1)), len(order))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[x:y]
+            left, right = (own, own) if inner[own[0]] else (own[~high[own]], own[high[own]])
+            for p in np.unique(size[left]):
+                for q in np.unique(size[right]):
+                    i, j = left[size[left] == p], right[size[right] == q]
+                    width = min(p, q)
+                    u, v = (np.bitwise_xor.reduce(np.stack([sketch[k] for k in ks]).reshape(len(ks), -1, width), axis=1).view(np.uint64) for ks in (i, j))
+                    for k in range(0, len(i), 64):
+                        a, b = i[k : k + 64][:, None], j[None, :]
+                        good = (label[a] != label[b]) & (rep[a] != rep[b]) & may_link(n[a], pos[a], n[b], pos[b], percent)
+                        if left is right:
+                            good &= rep[a] < rep[b]
+                        s, t = np.nonzero(good)
+                        apart = np.bitwise_count(u[k + s] ^ v[t]).sum(axis=1, dtype=np.int64)
+                        near = (100 + percent) * apart <= (100 - percent) * (n[a[s, 0]] + n[b[0, t]])
+                        one, two = rep[a[s[near], 0]], rep[b[0, t[near]]]
+                        out_a.append(np.minimum(one, two))
+                        out_b.append(np.maximum(one, two))
+        return _packed_pairs(np.concatenate(out_a), np.concatenate(out_b), buckets)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (a, b)], ["a", "b"])
+
+    def distinct(table: pa.Table) -> pa.Table:
+        a, b = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("a", "b"))
+        return _packed_pairs(a, b, 1)
+
+    kind = "bucket int, a binary, b binary"
+    packed = rows.groupBy("bucket").applyInArrow(compare, kind).groupBy("bucket").applyInArrow(distinct, kind)
+    return packed.mapInArrow(unpack, "a long, b long")
+
+
+def _packed_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct pairs in a row for each bucket that has any."""
+    pairs = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    bucket = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    found = np.unique(bucket)
+    return pa.table({"bucket": pa.array(found, pa.int32()), **{c: pa.array([pairs[bucket == k, i].tobytes() for k in found], pa.binary()) for i, c in enumerate(("a", "b"))}})
+
+
 def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = documents.sparkSession
@@ -250,21 +319,30 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
 
     sketches = same.select("rep", "sketch")
 
-    least = lists.groupBy("token").agg(F.min(F.struct("n", "rep", "pos")).alias("x")).select("token", F.col("x.n").alias("o"), F.col("x.rep").alias("lead"), F.col("x.pos").alias("pos2"))
     fits = may_link(F.col("n"), F.col("pos"), F.col("o"), F.col("pos2"), percent)
-    star = lists.join(least, "token").where((F.col("rep") != F.col("lead")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-    first = saved(verified(saved(star, "star-pairs"), sketches, whole_sets, percent), "links")
-
-    named = components(first)
-    labelled = lists.join(named, F.col("rep") == F.col("id"), "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"))
-    labelled = saved(labelled, "labelled")
-    open_ = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    rest = labelled.join(open_, "token", "left_semi")
-    other = rest.select("token", F.col("rep").alias("rep2"), F.col("n").alias("o"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
-    pairs = rest.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & fits)
-    pairs = pairs.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    second = verified(saved(pairs, "open-pairs"), sketches, whole_sets, percent)
-    links = saved(first.unionByName(second), "all-links")
+
+    def open_lists(links: DataFrame | None) -> DataFrame:
+        """The lists whose members aren't all connected yet, with label (component so far) and degree (links so far) of each member."""
+        if links is None:
+            return lists.select("token", "rep", "n", "pos", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree"))
+        degrees = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("degree"))
+        rows = lists.join(components(links), F.col("rep") == F.col("id"), "left").join(degrees, F.col("rep") == F.col("d"), "left")
+        rows = saved(rows.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "labelled")
+        still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        return rows.join(still, "token", "left_semi")
+
+    links = None
+    for seed in range(STAR_ROUNDS):
+        rest = open_lists(links)
+        order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("token", "rep", F.lit(seed)).alias("h"), "rep", F.col("n").alias("o"), F.col("pos").alias("pos2"), "label")
+        lead = rest.groupBy("token").agg(F.min(order).alias("x")).select("token", F.col("x.rep").alias("lead"), "x.o", "x.pos2", F.col("x.label").alias("label2"))
+        star = rest.join(lead, "token").where((F.col("label") != F.col("label2")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+        found = saved(verified(saved(star, "star-pairs"), sketches, whole_sets, percent), "links")
+        links = found if links is None else saved(links.unionByName(found), "links")
+    rest = open_lists(links)
+    pairs = _block_pairs(rest, sketches, percent, buckets)
+    last = verified(saved(pairs, "open-pairs"), sketches, whole_sets, percent)
+    links = saved(links.unionByName(last), "links")
 
     final = components(links)
     owner = same.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep")
