@@ -9,8 +9,8 @@ content:
    equals. Equal strings have equal anchors at the same place within them. Anchors go to buckets by hash; a bucket tells each
    batch which of its anchors occur in more than one place.
 3. For those, batches send the anchor's surroundings: all the strings whose anchor it is. Within a batch, equal surroundings are
-   sent once with their smallest doc_id.
-4. A bucket sorts the suffixes of what it got. Prefix polynomial hashes give the hash of any substring; binary search over them gives
+   sent once with their smallest doc_id and the places where they stand.
+4. A bucket makes equal surroundings one, and where an anchor has several it sorts the suffixes of their strings. Prefix polynomial hashes give the hash of any substring; binary search over them gives
    the common extension of two suffixes, so a comparison takes a logarithmic number of steps, and the suffixes are merge-sorted with
    it. Neighbours whose common extension reaches `length` are compared byte by byte before they count as equal. Each group of equal
    strings gets its smallest doc_id.
@@ -82,14 +82,14 @@ def common_extension(hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, limit:
     return out
 
 
-def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int, groups: np.ndarray | None = None, hashes: PrefixHashes | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes by group, then by their first `length` bytes (all have as many), and the common extension of each with
     the one before it in its group.
 
     A stable merge sort, all merges of a level at once: each suffix's place is its rank in its own run plus its rank in the sibling
     run, found by binary search with comparisons through common_extension.
     """
-    hashes = PrefixHashes(data)
+    hashes = hashes or PrefixHashes(data)
     n = len(starts)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -138,9 +138,9 @@ def sort_suffixes(data: np.ndarray, starts: np.ndarray, length: int, groups: np.
     return order, shared
 
 
-def equal_strings(data: np.ndarray, starts: np.ndarray, length: int, groups: np.ndarray) -> np.ndarray:
+def equal_strings(data: np.ndarray, starts: np.ndarray, length: int, groups: np.ndarray, hashes: PrefixHashes | None = None) -> np.ndarray:
     """A number for each start; starts have the same number when their groups and their `length` bytes are the same."""
-    order, shared = sort_suffixes(data, starts, length, groups)
+    order, shared = sort_suffixes(data, starts, length, groups, hashes)
     at = np.flatnonzero(shared >= length)
     same = np.zeros(len(starts), dtype=bool)
     if len(at):  # hashes said so; the bytes decide
@@ -153,6 +153,32 @@ def equal_strings(data: np.ndarray, starts: np.ndarray, length: int, groups: np.
     return out
 
 
+def same_spans(data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, hashes: PrefixHashes) -> tuple[np.ndarray, np.ndarray]:
+    """For each span its class and the classes' first spans. A class has equal bytes and keys: hashes find them and the bytes decide;
+    a span that differs from its class is one of its own."""
+    h = mix(hashes.of(begin, begin + size) + size.astype(np.uint64)) ^ mix(key)
+    _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+    wide = int(size.max(initial=0))
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(wide, np.uint8))), wide) if wide else data
+    rep = one[inverse]
+    odd = []
+    others = np.flatnonzero(rep != np.arange(len(rep)))
+    for k in range(0, len(others), 1 << 15):
+        a = others[k : k + (1 << 15)]
+        b = rep[a]
+        differs = (view[begin[a]] != view[begin[b]]) & (np.arange(wide) < size[a][:, None])
+        odd.append(a[differs.any(axis=1) | (size[a] != size[b]) | (key[a] != key[b])])
+    odd = np.concatenate([np.zeros(0, np.int64), *odd])
+    inverse[odd] = len(one) + np.arange(len(odd))
+    return inverse, np.append(one, odd)
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each of the ranges, one after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
+
+
 # --- anchors --------------------------------------------------------------------------------------------------------------------
 
 
@@ -224,30 +250,10 @@ class Batch:
         return np.flatnonzero(seen[self.inverse]) if len(self.inverse) else self.inverse
 
     def classes(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the anchors its class, that is the anchor whose surroundings are the same; and the classes, sorted by code."""
+        """For each of the anchors its class, that is the anchors whose surroundings are the same; and an anchor of each class."""
         begin = self.starts[self.first[anchors]]
-        stop = begin + self.n_strings[anchors] + self.length - 1
-        h = mix(PrefixHashes(self.data).of(begin, stop) + self.n_strings[anchors].astype(np.uint64)) ^ mix(self.code[self.inverse[anchors]] + self.offset[anchors].astype(np.uint64))
-        _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        order = np.argsort(self.inverse[anchors[one]], kind="stable")
-        place = np.empty_like(order)
-        place[order] = np.arange(len(order))
-        one, inverse = one[order], place[inverse]
-        # hashes said so; the bytes decide, and any that differ are classes of their own
-        wide = int((stop - begin).max(initial=0))
-        padded = np.concatenate((self.data, np.zeros(wide, np.uint8)))
-        view = np.lib.stride_tricks.sliding_window_view(padded, wide) if wide else padded
-        alone = []
-        for k in range(0, len(anchors), 1 << 15):
-            part = slice(k, k + (1 << 15))
-            rep = one[inverse[part]]
-            size = stop[part] - begin[part]
-            differs = (view[begin[part]] != view[begin[rep]]) & (np.arange(wide) < size[:, None])
-            alone.append(k + np.flatnonzero(differs.any(axis=1) | (size != (stop - begin)[rep])))
-        for k in np.concatenate([np.zeros(0, np.int64), *alone]):
-            inverse[k] = len(one)
-            one = np.append(one, k)
-        return inverse, one
+        key = self.code[self.inverse[anchors]] ^ (self.offset[anchors].astype(np.uint64) << np.uint64(58))
+        return same_spans(self.data, begin, self.n_strings[anchors] + self.length - 1, key, PrefixHashes(self.data))
 
 
 _BATCHES = "key long, seq int, doc_ids array<long>, sizes array<int>, data binary"
@@ -293,11 +299,13 @@ def whole_copies(documents: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) of every document."""
+    if not 0 <= length - anchor < 64:
+        raise ValueError("an anchor lies within a string, and less than 64 bytes shorter")
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     copies = whole_copies(docs, length)
-    left = docs.withColumn("_sum", F.sha2("text", 256)).join(copies, (F.col("doc_id") == F.col("copy")) & (F.col("_sum") == F.col("sum")), "left_anti")
+    left = docs.withColumn("_sum", F.sha2("text", 256)).join(copies.hint("merge"), (F.col("doc_id") == F.col("copy")) & (F.col("_sum") == F.col("sum")), "left_anti")
     batches = batch_table(left.select("doc_id", "text"), parts)
 
     def opened(record: pa.RecordBatch, k: int) -> Batch:
@@ -341,27 +349,38 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
                 if not len(anchors):
                     continue
                 member, one = own.classes(anchors)
-                ids = own.doc_ids[own.doc[anchors]]
                 low = np.full(len(one), _LAST)
-                np.minimum.at(low, member, ids)
+                np.minimum.at(low, member, own.doc_ids[own.doc[anchors]])
                 rep = anchors[one]
                 begin = own.starts[own.first[rep]]
                 size = own.n_strings[rep] + length - 1
+                # where a class occurs in the batch goes along and comes back with the answer
+                by_class = np.argsort(member, kind="stable")
+                places = own.starts[own.first[anchors[by_class]]]
+                place_cuts = np.searchsorted(member[by_class], np.arange(len(one) + 1))
                 bucket = (own.code[own.inverse[rep]] >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     c = by[cuts[b] : cuts[b + 1]]
-                    end = np.cumsum(size[c])
-                    text = own.data[np.repeat(begin[c] - end + size[c], size[c]) + np.arange(end[-1])]
-                    values = (c.astype("<i4"), own.code[own.inverse[rep[c]]].astype("<u4"), own.n_strings[rep[c]].astype("<u2"), own.offset[rep[c]].astype("<u2"), low[c].astype("<i8"), text)
-                    yield pa.RecordBatch.from_arrays([record.column("key")[k : k + 1], record.column("seq")[k : k + 1], pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], ["key", "seq", "bucket", "classes", "codes", "strings", "offsets", "low", "text"])
+                    text = own.data[_ranges(begin[c], size[c])]
+                    many = np.diff(place_cuts)[c]
+                    values = {
+                        "codes": own.code[own.inverse[rep[c]]].astype("<u4"),
+                        "strings": own.n_strings[rep[c]].astype("<u2"),
+                        "offsets": own.offset[rep[c]].astype("<u2"),
+                        "low": low[c].astype("<i8"),
+                        "many": many.astype("<i4"),
+                        "places": places[_ranges(place_cuts[c], many)].astype("<i4"),
+                        "text": text,
+                    }
+                    yield pa.RecordBatch.from_arrays([record.column("key")[k : k + 1], record.column("seq")[k : k + 1], pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values.values())], ["key", "seq", "bucket", *values])
 
     def sort_bucket(table: pa.Table) -> pa.Table:
-        kinds = {"classes": "<i4", "codes": "<u4", "strings": "<u2", "offsets": "<u2", "low": "<i8", "text": "u1"}
+        kinds = {"codes": "<u4", "strings": "<u2", "offsets": "<u2", "low": "<i8", "text": "u1"}
         lists = {c: [np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in kinds.items()}
         counts = np.array([len(x) for x in lists["codes"]])
-        codes, strings, offsets, low, text = (np.concatenate(lists[c]) for c in ("codes", "strings", "offsets", "low", "text"))
+        codes, strings, offsets, low, text = (np.concatenate(lists[c]) for c in kinds)
         strings, offsets = strings.astype(np.int64), offsets.astype(np.int64)
         begin = np.cumsum(strings + length - 1) - (strings + length - 1)
         order = np.argsort(codes, kind="stable")
@@ -369,65 +388,68 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
         total = np.cumsum(strings[order])
         edge = np.flatnonzero(np.diff(codes[order].astype(np.int64), prepend=-1))
         chosen = np.unique(np.concatenate((edge[np.searchsorted(total[edge], np.arange(0, total[-1], SORT_STRINGS)).clip(max=len(edge) - 1)], [0])))
-        string_end = np.cumsum(strings)
-        least = np.zeros(string_end[-1], np.int64)
+        string_start = np.cumsum(strings) - strings
+        least = np.zeros(int(strings.sum()), np.int64)
         for a, b in zip(chosen, np.append(chosen[1:], len(order)), strict=True):
             c = order[a:b]
-            owner = np.repeat(np.arange(len(c)), strings[c])
-            k = np.arange(len(owner)) - np.repeat(np.cumsum(strings[c]) - strings[c], strings[c])
             size = strings[c] + length - 1
-            end = np.cumsum(size)
-            data = text[np.repeat(begin[c] - end + size, size) + np.arange(end[-1])]
-            start = (end - size)[owner] + k
-            # equal strings have the same anchor at the same place
-            group = codes[c][owner].astype(np.int64) * (1 << 16) + (offsets[c][owner] - k)
-            number = equal_strings(data, start, length, group)
-            lowest = np.full(int(number.max()) + 1, _LAST)
-            np.minimum.at(lowest, number, low[c][owner])
-            least[(string_end - strings)[c][owner] + k] = lowest[number]
+            data = text[_ranges(begin[c], size)]
+            start = np.cumsum(size) - size
+            hashes = PrefixHashes(data)
+            # surroundings that several batches have are one, and those alone with their anchor need no sort
+            key = codes[c].astype(np.uint64) ^ (offsets[c].astype(np.uint64) << np.uint64(58))
+            member, one = same_spans(data, start, size, key, hashes)
+            lowest = np.full(len(one), _LAST)
+            np.minimum.at(lowest, member, low[c])
+            n = strings[c][one]
+            own_start = np.cumsum(n) - n
+            answer = np.repeat(lowest, n)
+            _, group, shared = np.unique(codes[c][one], return_inverse=True, return_counts=True)
+            meet = np.flatnonzero(shared[group] > 1)
+            if len(meet):
+                owner = np.repeat(meet, n[meet])
+                k = _ranges(np.zeros(len(meet), np.int64), n[meet])
+                # equal strings have the same anchor at the same place
+                place = codes[c][one][owner].astype(np.int64) * (1 << 16) + (offsets[c][one][owner] - k)
+                number = equal_strings(data, start[one][owner] + k, length, place, hashes)
+                best = np.full(int(number.max()) + 1, _LAST)
+                np.minimum.at(best, number, lowest[owner])
+                answer[own_start[owner] + k] = best[number]
+            least[_ranges(string_start[c], strings[c])] = answer[_ranges(own_start[member], strings[c])]
         # back to each batch: per class the runs of strings with the same smallest doc_id
         class_of = np.repeat(np.arange(len(strings)), strings)
         new = np.flatnonzero((np.diff(class_of, prepend=-1) != 0) | (np.diff(least, prepend=-1) != 0))
-        run = np.diff(np.append(new, len(least)))
-        message = np.repeat(np.arange(len(counts)), counts)[class_of[new]]
-        cuts = np.searchsorted(message, np.arange(len(counts) + 1))
-        number = np.concatenate(lists["classes"])[class_of[new]]
-        pieces = {"classes": number.astype("<i4"), "runs": run.astype("<u2"), "least": least[new].astype("<i8")}
-        packed = {c: pa.array([v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for c, v in pieces.items()}
-        return pa.table({"key": table.column("key"), "seq": table.column("seq"), **packed})
+        run, runs = np.diff(np.append(new, len(least))), np.bincount(class_of[new], minlength=len(strings))
+        cuts = np.concatenate(([0], np.cumsum(counts)))
+        run_cuts = np.concatenate(([0], np.cumsum(runs)))[cuts]
+        out = {}
+        for name, values, where in (("runs", runs.astype("<u2"), cuts), ("run", run.astype("<u2"), run_cuts), ("least", least[new].astype("<i8"), run_cuts)):
+            out[name] = pa.array([values[x:y].tobytes() for x, y in zip(where[:-1], where[1:], strict=True)], pa.binary())
+        return pa.table({c: table.column(c) for c in ("key", "seq", "strings", "many", "places")} | out)
 
     def cut(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for k in range(len(record)):
-                own = opened(record, k)
-                covered = np.zeros(len(own.data), dtype=bool)
-                replies = own_replies(record, "least", k)
-                anchors = own.candidates(own_replies(record, "seen", k)) if replies else np.zeros(0, np.int64)
-                if len(anchors):
-                    member, one = own.classes(anchors)
-                    rep = anchors[one]
-                    ends = np.cumsum(own.n_strings[rep])
-                    least = np.full(int(ends[-1]), _LAST)
-                    for r in replies:  # runs of a class are in the order of its strings
-                        number, run, low = (np.frombuffer(r[c], kind).astype(np.int64) for c, kind in (("classes", "<i4"), ("runs", "<u2"), ("least", "<i8")))
-                        head = np.flatnonzero(np.diff(number, prepend=-1))
-                        before = np.cumsum(run) - run
-                        start = (ends - own.n_strings[rep])[number] + before - np.repeat(before[head], np.diff(np.append(head, len(number))))
-                        least[np.repeat(start - before, run) + np.arange(run.sum())] = np.repeat(low, run)
-                    strings = own.n_strings[anchors]
-                    total = np.cumsum(strings)
-                    inner = np.arange(total[-1]) - np.repeat(total - strings, strings)
-                    low = least[np.repeat((ends - own.n_strings[rep])[member], strings) + inner]
-                    hit = low < np.repeat(own.doc_ids[own.doc[anchors]], strings)
-                    starts = (np.repeat(own.starts[own.first[anchors]], strings) + inner)[hit]
-                    edges = np.zeros(len(own.data) + 1, np.int32)
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + length, -1)
-                    covered = np.cumsum(edges[:-1]) > 0
-                rows: dict[str, list] = {"doc_id": record.column("doc_ids")[k].as_py(), "n_bytes": np.diff(own.offsets).tolist(), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-                for a, b in zip(own.offsets[:-1], own.offsets[1:], strict=True):
+                ids = record.column("doc_ids")[k].values.fill_null(0).to_numpy()
+                offsets = np.concatenate(([0], np.cumsum(record.column("sizes")[k].values.to_numpy().astype(np.int64))))
+                data = np.frombuffer(record.column("data")[k].as_buffer(), np.uint8)
+                edges = np.zeros(len(data) + 1, np.int32)
+                for r in own_replies(record, "least", k):
+                    strings, many, places, runs, run, low = (np.frombuffer(r[c], kind).astype(np.int64) for c, kind in (("strings", "<u2"), ("many", "<i4"), ("places", "<i4"), ("runs", "<u2"), ("run", "<u2"), ("least", "<i8")))
+                    # every run of strings of every place of its class
+                    of = np.repeat(np.arange(len(strings)), many)
+                    inner = np.cumsum(run) - run - np.repeat(np.cumsum(strings) - strings, runs)
+                    pick = _ranges((np.cumsum(runs) - runs)[of], runs[of])
+                    first = np.repeat(places, runs[of]) + inner[pick]
+                    owner = ids[np.searchsorted(offsets, first, side="right") - 1]
+                    hit = low[pick] < owner
+                    np.add.at(edges, first[hit], 1)
+                    np.add.at(edges, first[hit] + run[pick][hit] + length - 1, -1)
+                covered = np.cumsum(edges[:-1]) > 0
+                rows: dict[str, list] = {"doc_id": record.column("doc_ids")[k].as_py(), "n_bytes": np.diff(offsets).tolist(), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+                for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     gone = covered[a:b]
-                    kept = own.data[a:b][~gone].tobytes()
+                    kept = data[a:b][~gone].tobytes()
                     rows["n_removed"].append(int(gone.sum()))
                     rows["n_spans"].append(int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1)))
                     rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
@@ -435,10 +457,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
                 yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), *(pa.array(rows[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(rows["kept_sha256"]), pa.array(rows["kept"], pa.binary())], list(rows))
 
     with_seen = batches.join(seen, F.col("key") == F.col("k1"), "left")
-    sent = with_seen.select("key", "seq", "doc_ids", "sizes", "data", "seen").mapInArrow(send_surroundings, "key long, seq int, bucket int, classes binary, codes binary, strings binary, offsets binary, low binary, text binary")
-    sorted_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "key long, seq int, classes binary, runs binary, least binary")
-    least = saved(sorted_.groupBy(F.col("key").alias("k2")).agg(F.collect_list(F.struct("seq", "classes", "runs", "least")).alias("least")), "repeats")
-    whole = with_seen.join(least, F.col("key") == F.col("k2"), "left").select("key", "seq", "doc_ids", "sizes", "data", "seen", "least")
+    sent = with_seen.select("key", "seq", "doc_ids", "sizes", "data", "seen").mapInArrow(send_surroundings, "key long, seq int, bucket int, codes binary, strings binary, offsets binary, low binary, many binary, places binary, text binary")
+    sorted_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "key long, seq int, strings binary, many binary, places binary, runs binary, run binary, least binary")
+    least = saved(sorted_.groupBy(F.col("key").alias("k2")).agg(F.collect_list(F.struct("seq", "strings", "many", "places", "runs", "run", "least")).alias("least")), "repeats")
+    whole = batches.join(least, F.col("key") == F.col("k2"), "left").select("key", "seq", "doc_ids", "sizes", "data", "least")
     rest = whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     nothing = F.lit("").cast("binary")
     gone = copies.select(F.col("copy").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), nothing.alias("kept"))
