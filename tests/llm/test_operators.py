@@ -314,6 +314,20 @@ def test_repeats_overlapping(spark, monkeypatch):
     same(suffix_dedup.remove_repeats(df), brute.repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@pytest.mark.parametrize("first", [None, 3])
+def test_repeats_same_first_doc_id(spark, first):
+    """Several tasks whose batches begin with the same doc_id: each gets its own replies."""
+    rng = np.random.default_rng(4)
+    shared = ["".join(rng.choice(list("abcdefgh"), 80)) for _ in range(8)]
+    docs = [(first if k % 3 == 0 else k + 10, shared[k % 8] + "".join(rng.choice(list("uvwxyz"), 40)) + shared[(k * 5 + 1) % 8]) for k in range(64)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")), brute.repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_suffix_sort():
     rng = np.random.default_rng(4)
     for n, letters in ((200, 2), (500, 3), (300, 1)):

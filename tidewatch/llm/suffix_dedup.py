@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -260,18 +261,21 @@ _BATCHES = "key long, seq int, doc_ids array<long>, sizes array<int>, data binar
 
 
 def batch_table(documents: DataFrame, parts: int) -> DataFrame:
-    """The texts as rows of about BATCH_BYTES, written as a table bucketed by `key`, so that joins on it move no text."""
+    """The texts as rows of about BATCH_BYTES, written as a table bucketed by `key`, so that joins on it move no text.
+
+    The key is the task's number and the batch's number within it, as doc_ids may be null or repeat.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, seq = [], 0, 0
+        task = TaskContext.get().partitionId()
 
         def row() -> pa.RecordBatch:
             ids = [x for p in waiting for x in p.column("doc_id").to_pylist()]
             joined = [joined_bytes(p.column("text"), "") for p in waiting]
             sizes = np.concatenate([np.diff(o) for _, o in joined])
             data = np.concatenate([d for d, _ in joined]).tobytes()
-            key = waiting[0].column("key")[0].as_py()
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["key", "seq", "doc_ids", "sizes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | seq], pa.int64()), pa.array([seq], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([data], pa.binary())], ["key", "seq", "doc_ids", "sizes", "data"])
 
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES // 8):
@@ -284,9 +288,8 @@ def batch_table(documents: DataFrame, parts: int) -> DataFrame:
             yield row()
 
     spark = documents.sparkSession
-    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
     name = "scratch_batches_" + uuid.uuid4().hex
-    keyed.mapInArrow(pack, _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    documents.select("doc_id", "text").mapInArrow(pack, _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
