@@ -87,6 +87,30 @@ def test_packing(spark):
     assert all(len(c) <= 100 for c in chunks.values()) and chunks["u", 2] == "y" * 100
 
 
+def test_packing_keeps_every_line_whole(spark, monkeypatch):
+    """Against going through the lines of each key one by one; runs and tasks end within keys, and nothing is cut."""
+    monkeypatch.setattr(packing, "RUN_LINES", 7)
+    sizes = [(k * 37) % 60 for k in range(400)]
+    lines = [("a", k, chr(97 + k % 26) * n) for k, n in enumerate(sizes)] + [("b", 0, "y" * 250 + "z"), ("b", 1, "w"), ("c", 0, None), (None, 0, "n"), (None, 1, "")]
+    lines += [(f"k{k}", j, f"{k}-{j}") for k in range(30) for j in range(3)]
+    wanted = {}
+    for key, _, line in lines:
+        chunks = wanted.setdefault(key, ["head"])
+        for part in [] if line is None else [line[k : k + 100] for k in range(0, len(line), 100)] or [""]:
+            if len(chunks[-1]) + 1 + len(part) > 100:
+                chunks.append(part)
+            else:
+                chunks[-1] += "\n" + part
+    df = spark.createDataFrame(lines, "k string, n int, line string").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.k, r.chunk): r.text for r in packing.packed(df, "k", ["n"], F.lit("head"), most=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == {(key, k + 1): text for key, chunks in wanted.items() for k, text in enumerate(chunks)}
+
+
 def test_json_lists(spark):
     typical = '{"data":{"items":[' + ",".join(f'{{"id":{i},"title":"t{i}","createdAt":"2024-01-01"}}' for i in range(6)) + "]}}"
     envelope = '{"items":[' + ",".join(f'{{"feed":{{"feedId":{i},"title":"t{i}"}},"user":{{}}}}' for i in range(6)) + "]}"

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from tidewatch.functions.scratch import saved, scratch_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20
@@ -26,23 +26,6 @@ _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset (tests, notebooks) a new local folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: this cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (multiply and shift)."""
     h = (h ^ (h >> np.uint64(32))) * _MUL1

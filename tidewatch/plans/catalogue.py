@@ -706,12 +706,14 @@ def json_paths(jobs):
 
 @query("turns", sql="SELECT conv_id, count(*) AS n, sum(length(text) + 1)::BIGINT AS n_chars FROM turns GROUP BY conv_id")
 def digest_sizes(turns):
-    """Packed conversations hold every line whole; chunks are joined again to be counted."""
+    """Packed conversations hold every line whole; chunks are joined again to be counted. Where a line goes on in a further chunk, no line break was lost."""
+    most = 100_000
     lines = turns.select("conv_id", "turn", F.col("text").alias("line"))
-    chunks = packing.packed(lines, "conv_id", ["turn"], F.lit("#"), most=100_000)
+    chunks = packing.packed(lines, "conv_id", ["turn"], F.lit("#"), most=most)
     whole = chunks.groupBy("conv_id").agg(F.sum(F.length("text")).alias("n_chars"), F.count("*").alias("k"))
-    n = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return whole.join(n, "conv_id").select("conv_id", "n", (F.col("n_chars") - 1 + F.col("k") - 1).cast("long").alias("n_chars"))
+    further = F.greatest(F.ceil(F.length("text") / most) - 1, F.lit(0))
+    n = turns.groupBy("conv_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(further), F.lit(0)).alias("further"))
+    return whole.join(n, "conv_id").select("conv_id", "n", (F.col("n_chars") - 1 + F.col("k") - 1 - F.col("further")).cast("long").alias("n_chars"))
 
 
 @query("turns")
