@@ -83,6 +83,23 @@ def test_structure(spark):
     assert inline == {("array", '[{"id":1,"s":"]"}]'), ("push", "{a:1}")}
 
 
+def test_long_texts(spark):
+    """Types behind the first 120 characters, in lists and graphs, of any article type; link texts and titles are whole."""
+    scripts = [
+        '{"@context": "https://schema.org", "headline": "' + "h" * 300 + '", "@type": "NewsArticle"}',
+        '{"@graph": [{"name": "' + "n" * 200 + '"}, {"@type": ["Thing", "Report"]}]}',
+        '{"@type": "Review"}',
+        '{"@type": "Organization", "name": "an Article"}',
+        '{"@type": "Article"',
+    ]
+    text = "w" * 500
+    rows = [(k, f'<title>{text}</title><script type="application/LD+JSON">{x}</script><a href="/a">{text}</a>') for k, x in enumerate(scripts)]
+    nodes = pages.nodes(spark.createDataFrame([*rows, (9, "<p>x")], "page_id long, html string"))
+    found = {r.page_id: r for r in pages.meta_signals(nodes).collect()}
+    assert [bool(found[k].has_article_ld) for k in (*range(5), 9)] == [True, True, True, False, False, False]
+    assert found[0].title == text and {r.text for r in pages.links(nodes).collect()} == {text}
+
+
 def test_texts(spark):
     row = spark.createDataFrame([(PAGE,)], "h string").select(pages.page_text(F.col("h")).alias("t"), pages.cleaned_html(F.col("h"), 300).alias("c"), pages.platforms(F.lit("x wp-content y")).alias("p"), pages.hydration(F.lit('<script id="__NEXT_DATA__" type="a">{"a":1}</script>')).alias("j")).first()
     assert "second" in row.t and "push" not in row.t and "T & U" in row.t

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions import dom, urls
 
 NODE = "page_id long, node int, parent int, position int, tag string, element_id string, classes array<string>, attrs map<string,string>, own_text string, text string, n_children int"
 SKIPPED = ("script", "style", "meta", "link")
-MAX_TEXT = 120
+#: Characters of a repeating pattern's sample.
+MAX_SAMPLE = 120
+#: Characters of text that one batch of nodes holds at most, unless a single node has more.
+BATCH_CHARS = 8 << 20
+#: Schema.org's types of an article, and how deep they are looked for.
+ARTICLE_TYPES = frozenset(
+    "article newsarticle blogposting scholarlyarticle techarticle report socialmediaposting discussionforumposting review medicalscholarlyarticle "
+    "analysisnewsarticle opinionnewsarticle reportagenewsarticle backgroundnewsarticle satiricalarticle".split()
+)
+MAX_LD_DEPTH = 8
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """Every element of every page (page_id, html) as a row; text is cut to MAX_TEXT characters."""
+    """Every element of every page (page_id, html) as a row, with its own text and all text within it."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -25,34 +36,53 @@ def nodes(pages: DataFrame) -> DataFrame:
                 root = dom.parse(text or "")
                 every = list(root.walk())
                 number = {id(n): k for k, n in enumerate(every)}
-                columns = [
-                    [page_id] * len(every),
-                    list(range(len(every))),
-                    [number.get(id(n.parent), -1) for n in every],
-                    [n.index for n in every],
-                    [n.tag for n in every],
-                    [n.attrs.get("id") for n in every],
-                    [n.classes for n in every],
-                    [list(n.attrs.items()) for n in every],
-                    ["".join(p for p in n.parts if isinstance(p, str)).strip()[:MAX_TEXT] for n in every],
-                    [_short(n) for n in every],
-                    [len(n.children) for n in every],
-                ]
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODE.split(", ")])
+                start, texts, size = 0, [], 0
+                for k, n in enumerate(every):
+                    texts.append(("".join(p for p in n.parts if isinstance(p, str)).strip(), n.text()))
+                    size += len(texts[-1][0]) + len(texts[-1][1])
+                    if size >= BATCH_CHARS or k + 1 == len(every):
+                        yield _rows(page_id, every[start : k + 1], start, number, texts)
+                        start, texts, size = k + 1, [], 0
 
     return pages.select("page_id", "html").mapInArrow(explode, NODE)
 
 
-def _short(node: dom.Node) -> str:
-    out, size = [], 0
-    for t in node.texts():
-        if t := t.strip():
-            out.append(t)
-            size += len(t) + 1
-        if size > MAX_TEXT:
-            break
-    return " ".join(out)[:MAX_TEXT]
+def _rows(page_id: int, own: list[dom.Node], start: int, number: dict[int, int], texts: list[tuple[str, str]]) -> pa.RecordBatch:
+    columns = [
+        [page_id] * len(own),
+        list(range(start, start + len(own))),
+        [number.get(id(n.parent), -1) for n in own],
+        [n.index for n in own],
+        [n.tag for n in own],
+        [n.attrs.get("id") for n in own],
+        [n.classes for n in own],
+        [list(n.attrs.items()) for n in own],
+        [t for t, _ in texts],
+        [t for _, t in texts],
+        [len(n.children) for n in own],
+    ]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODE.split(", ")])
+
+
+def ld_types(x: object, depth: int = 0) -> Iterator[str]:
+    """Every @type in a JSON-LD document."""
+    if depth > MAX_LD_DEPTH:
+        return
+    if isinstance(x, dict):
+        own = x.get("@type")
+        yield from (t for t in (own if isinstance(own, list) else [own]) if isinstance(t, str))
+    for v in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+        yield from ld_types(v, depth + 1)
+
+
+@F.udf(T.BooleanType())
+def names_article(script):
+    """Whether a JSON-LD script names a type of article; scripts that aren't JSON name none."""
+    try:
+        return bool(script) and any(t.strip().lower() in ARTICLE_TYPES for t in ld_types(json.loads(script)))
+    except (ValueError, RecursionError):
+        return False
 
 
 def signature(tag: Column, classes: Column) -> Column:
@@ -74,7 +104,7 @@ def repeating_patterns(node_rows: DataFrame, least: int = 3, most: int = 15) ->
     first = anchors.groupBy("page_id", "row").agg(F.min("href").alias("href")).select(F.col("page_id").alias("ap"), "row", "href")
     rows = rows.join(parents, (F.col("page_id") == F.col("p")) & (F.col("parent") == F.col("up"))).join(first, (F.col("page_id") == F.col("ap")) & (F.col("node") == F.col("row")), "left")
     groups = rows.groupBy("page_id", "parent", "parent_signature", signature(F.col("tag"), F.col("classes")).alias("own")).agg(
-        F.count("*").alias("n"), F.min_by("text", "node").alias("sample"), F.min_by("href", "node").alias("href")
+        F.count("*").alias("n"), F.min_by(F.substring("text", 1, MAX_SAMPLE), "node").alias("sample"), F.min_by("href", "node").alias("href")
     )
     groups = groups.where(F.col("n") >= least).withColumn("selector", F.concat_ws(" > ", "parent_signature", "own"))
     order = (F.desc("n"), F.desc(F.col("href").isNotNull()), F.desc(F.length("sample")), F.asc("selector"), F.asc("parent"))
@@ -100,9 +130,10 @@ def feed_links(node_rows: DataFrame) -> DataFrame:
 def meta_signals(node_rows: DataFrame) -> DataFrame:
     """page_id, og_type, has_article_ld, has_microdata, title."""
     a = F.col("attrs")
-    return node_rows.groupBy("page_id").agg(
+    script = F.when((F.col("tag") == "script") & F.lower(a["type"]).contains("application/ld+json"), F.col("own_text"))
+    return node_rows.withColumn("_ld", F.when(script.isNotNull(), names_article(script))).groupBy("page_id").agg(
         F.max(F.when((F.col("tag") == "meta") & (a["property"] == "og:type"), a["content"])).alias("og_type"),
-        F.bool_or((F.col("tag") == "script") & a["type"].contains("ld+json") & F.col("own_text").rlike(r'"@type"\s*:\s*"[A-Za-z]*(Article|Posting)"')).alias("has_article_ld"),
+        F.bool_or("_ld").alias("has_article_ld"),
         F.bool_or(F.coalesce(a["itemtype"].rlike("schema.org/[A-Za-z]*(Article|Posting)"), F.lit(False))).alias("has_microdata"),
         F.min_by(F.when(F.col("tag") == "title", F.col("text")), F.when(F.col("tag") == "title", F.col("node"))).alias("title"),
     )
