@@ -257,6 +257,23 @@ def test_nearest_few(spark):
     assert multi_index.search(df.limit(0), "vec_id % 20 = 0").count() == 0
 
 
+@pytest.mark.parametrize("times", [2, 25])
+def test_nearest_repeated_rows(spark, times):
+    """Rows that occur several times, and an id that many different vectors share, leave every query its whole list."""
+    rng = np.random.default_rng(6)
+    rows_ = [(int(k), [float(x) for x in e]) for k, e in enumerate(rng.normal(size=(60, 8)))] * times
+    extra = [(40, [float(x) for x in e]) for e in rng.normal(size=(30, 8)) * 3]
+    for table in (rows_, rows_ + extra):
+        got = {}
+        for r in multi_index.search(spark.createDataFrame(table, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", candidate_share=1.0).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        wanted = brute.nearest(table, lambda k: k % 20 == 0)
+        for q in wanted if table is rows_ else (0, 20):
+            own = sorted(got[q])
+            assert [x[0] for x in own] == list(range(1, 21))
+            assert [x[1] for x in own] == [x[0] for x in wanted[q]]
+
+
 def test_walk():
     rng = np.random.default_rng(1)
     for _ in range(20):

@@ -7,8 +7,8 @@ those cells are ranked again by the exact inner product.
 
 Nearness is the inner product, and so is the score of a half and a code; the sum over both halves orders the cells.
 
-Vectors that are equal have the same score for every query, so the index holds one entry a different vector with the smallest of its
-vec_ids, and the others follow by a join. Cells that share their first code are stored in blocks of bounded size; a query goes to such a
+Vectors that are equal have the same score for every query, so the index holds one entry a different vector, and its vec_ids follow by
+a join, each with the number of its rows. Lists are cut with room for what is the query's own, however often its id occurs. Cells that share their first code are stored in blocks of bounded size; a query goes to such a
 strip once, with the bits of the second codes that it walked to, and each block keeps a query's own best before the merge.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null vec_id or with a
@@ -98,11 +98,18 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
     rows = saved(usable(embeddings), "vectors")
     key = F.sha2(F.array_join(F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
     keyed = saved(rows.withColumn("same", key), "vectors")
-    entries = saved(keyed.groupBy("same").agg(F.min("vec_id").alias("entry"), F.min("embedding").alias("embedding"), F.count("*").alias("copies")), "entries")
+    different = keyed.groupBy("same").agg(F.min("vec_id").alias("first"), (F.min("vec_id") == F.max("vec_id")).alias("alone"), F.min("embedding").alias("embedding"))
+    entries = saved(different.withColumn("entry", F.monotonically_increasing_id()), "entries")
     n_entries = entries.count()
     if not n_entries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+    # each vec_id of an entry; no list can use more than `nearest` of its rows
+    copies = saved(keyed.join(entries.select("same", "entry"), "same").groupBy("entry", "vec_id").agg(F.least(F.count("*"), F.lit(nearest)).alias("n")), "copies")
+    # an id takes part in so many entries; where that is more than `nearest`, only its first `nearest` in a list count
+    most_own = copies.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    spread, room = most_own > nearest, nearest + min(most_own, nearest)
+
     # the sample: the entries with the smallest hashes, a fixed number
     sample = np.array([r[0] for r in entries.orderBy("same").limit(SAMPLE).select("embedding").toLocalIterator()])
     cut = max(1, sample.shape[1] // 2)
@@ -115,18 +122,18 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
         for batch in batches:
             m = _matrix(batch.column("embedding"))
             cell = nearest_code(m[:, :cut], one) * len(two) + nearest_code(m[:, cut:], two)
-            yield pa.RecordBatch.from_arrays([batch.column("entry"), batch.column("embedding"), pa.array(cell.astype(np.int32))], ["entry", "embedding", "cell"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("entry", "first", "alone", "embedding")), pa.array(cell.astype(np.int32))], ["entry", "first", "alone", "embedding", "cell"])
 
-    placed = saved(entries.select("entry", "embedding").mapInArrow(place, "entry long, embedding array<double>, cell int"), "cells")
+    placed = saved(entries.select("entry", "first", "alone", "embedding").mapInArrow(place, "entry long, first long, alone boolean, embedding array<double>, cell int"), "cells")
     held = np.zeros((len(books[0]), n_second), np.int64)
     for cell, n in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # codes ** 2 rows at most
         held[cell // n_second, cell % n_second] = n
     wanted = max(least_candidates, int(np.ceil(candidate_share * n_entries)))
     shared_held = spark.sparkContext.broadcast(held)
 
-    # queries are asked once for each different vector; + 1 leaves room for the query's own entry
+    # queries are asked once for each different vector
     asked = keyed.where(is_query).select("vec_id", "same")
-    asked_entries = entries.join(asked.select("same").distinct(), "same", "left_semi").select("entry", "embedding", "copies")
+    asked_entries = entries.join(asked.select("same").distinct(), "same", "left_semi").select("entry", "embedding")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = shared_books.value
@@ -145,44 +152,60 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, cell, ids = _matrix(batch.column("embedding")), batch.column("cell").to_numpy(), batch.column("entry").to_numpy()
+            m, cell, ids, firsts = _matrix(batch.column("embedding")), *(batch.column(c).to_numpy() for c in ("cell", "entry", "first"))
+            alone = batch.column("alone").to_numpy(zero_copy_only=False).astype(bool)
             order = np.argsort(cell // n_second, kind="stable")
             cuts = np.flatnonzero(np.diff(cell[order] // n_second, prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for k in range(a, b, BLOCK):
                     part = order[k : min(b, k + BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([cell[part[0]] // n_second], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, m, (cell % n_second).astype(np.uint8)))], ["strip", "entries", "held", "codes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([cell[part[0]] // n_second], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, firsts, alone, m, (cell % n_second).astype(np.uint8)))], ["strip", "entries", "firsts", "alone", "held", "codes"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked_ids, q, masks, entry_ids, v, codes in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "masks", "entries", "held", "codes")), strict=True):
-                asked_ids, entry_ids = np.frombuffer(asked_ids, np.int64), np.frombuffer(entry_ids, np.int64)
+            for asked_ids, q, masks, entry_ids, firsts, alone, v, codes in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes")), strict=True):
+                asked_ids, entry_ids, firsts, alone = np.frombuffer(asked_ids, np.int64), np.frombuffer(entry_ids, np.int64), np.frombuffer(firsts, np.int64), np.frombuffer(alone, bool)
                 q, v = np.frombuffer(q).reshape(len(asked_ids), -1), np.frombuffer(v).reshape(len(entry_ids), -1)
                 walked = (np.frombuffer(masks, np.uint64)[:, None] >> np.frombuffer(codes, np.uint8).astype(np.uint64)) & np.uint64(1) == 1
                 rough = np.where(walked, q @ v.T, -np.inf)
-                top = min(nearest + 1, len(entry_ids))
+                top = len(entry_ids) if spread else min(room, len(entry_ids))
                 limit = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
                 least = np.where(np.isfinite(limit), limit - 1e-9 * (1 + np.abs(limit)), -np.inf)
                 i, j = np.nonzero(walked & (rough >= least[:, None]))
                 score = (q[i] * v[j]).sum(axis=1)  # the same sum for equal vectors, wherever they are in a block
-                order = np.lexsort((entry_ids[j], -score, i))
+                order = np.lexsort((entry_ids[j], firsts[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < nearest + 1
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i[best]]), pa.array(entry_ids[j[best]]), pa.array(score[best])], ["asked", "entry", "score"])
+                if spread:
+                    by_id = np.lexsort((np.arange(len(i)), firsts[j], i))
+                    new = np.flatnonzero((np.diff(i[by_id], prepend=-1) != 0) | (np.diff(firsts[j][by_id], prepend=0) != 0) | (np.arange(len(i)) == 0))
+                    # of an id's own entries the first ones; entries that it shares with others are not counted out
+                    counted = np.cumsum(alone[j][by_id]) - alone[j][by_id]
+                    place = counted - np.repeat(counted[new], np.diff(np.append(new, len(i))))
+                    keep = np.ones(len(i), bool)
+                    keep[by_id] = ~alone[j][by_id] | (place < nearest)
+                    i, j, score = i[keep], j[keep], score[keep]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < room
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i[best]]), *(pa.array(x[j[best]]) for x in (entry_ids, firsts, alone)), pa.array(score[best])], ["asked", "entry", "first", "alone", "score"])
 
     probes = asked_entries.select("entry", "embedding").mapInArrow(walk, "strip int, asked binary, vectors binary, masks binary")
-    blocks = placed.repartition((F.col("cell") / n_second).cast("int")).mapInArrow(block, "strip int, entries binary, held binary, codes binary")
-    found = probes.join(blocks, "strip").select("asked", "vectors", "masks", "entries", "held", "codes").mapInArrow(rank, "asked long, entry long, score double")
-
-    # nearest + 1 entries of each asked entry, its own among them
-    best = saved(_first(found, "asked", nearest + 1, F.desc("score"), F.asc("entry")), "best")
-    # each entry stands for its copies, of which the nearest + 1 smallest ids are all that one query can use
-    ranked = keyed.join(entries.select("same", "entry"), "same").select("entry", "vec_id")
-    few = saved(_first(ranked, "entry", nearest + 1, F.asc("vec_id")), "copies").select("entry", "vec_id")
-    shortlist = saved(_first(best.select("asked", "entry", "score").join(few, "entry"), "asked", nearest + 1, F.desc("score"), F.asc("vec_id")), "shortlist")
+    blocks = placed.repartition((F.col("cell") / n_second).cast("int")).mapInArrow(block, "strip int, entries binary, firsts binary, alone binary, held binary, codes binary")
+    found = probes.join(blocks, "strip").select("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes").mapInArrow(rank, "asked long, entry long, first long, alone boolean, score double")
+
+    if spread:
+        own = F.row_number().over(Window.partitionBy("asked", "first", "alone").orderBy(F.desc("score"), "entry"))
+        found = found.withColumn("own", own).where(~F.col("alone") | (F.col("own") <= nearest))
+    best = saved(_first(found, "asked", room, F.desc("score"), F.asc("first"), F.asc("entry")), "best")
+    # of an entry's ids the nearest + 1 smallest are all that one query can use
+    few = saved(_first(copies, "entry", nearest + 1, F.asc("vec_id")).drop("place"), "few")
+    listed = best.select("asked", "entry", "score").join(few, "entry")
+    if spread:
+        own = F.row_number().over(Window.partitionBy("asked", "vec_id").orderBy(F.desc("score"), "entry"))
+        listed = listed.withColumn("own", own).where(F.col("own") <= nearest)
+    shortlist = saved(_first(listed, "asked", room, F.desc("score"), F.asc("vec_id")), "shortlist")
     # per query: the list of its vector without its own id
     queries = asked.join(entries.select("same", F.col("entry").alias("asked")), "same").select(F.col("vec_id").alias("query_id"), "asked").distinct()
-    answer = queries.join(shortlist.select("asked", "vec_id", "score"), "asked").where("vec_id <> query_id")
+    answer = queries.join(shortlist.select("asked", "vec_id", "score", "n"), "asked").where("vec_id <> query_id")
+    answer = answer.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     answer = _first(answer, "query_id", nearest, F.desc("score"), F.asc("vec_id"))
     return answer.select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
 
