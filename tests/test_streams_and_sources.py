@@ -6,7 +6,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import joins, llm_hooks
+from tidewatch.operators import joins, llm_hooks, windows
 from tidewatch.sources import registry, tables
 from tidewatch.streaming import posts as streams
 
@@ -131,3 +131,10 @@ def test_delivery_cases(spark):
 @pytest.mark.parametrize(("n", "wanted"), [(1, 180.0), (100, 180.0 if 99 * 0.5 + 830 < 180 else 879.5)])
 def test_timeout(spark, n, wanted):
     assert spark.range(1).select(streams.site_timeout(180, F.lit(n), 0.5).alias("s")).first().s == wanted
+
+
+def test_span_tree_is_whole(spark):
+    """A chain of more spans than any fixed number of levels."""
+    chain = [(1, k, k - 1 if k else None) for k in range(20)] + [(1, 100, 77), (1, 101, 100), (2, 5, None)]
+    got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in windows.span_tree(spark.createDataFrame(chain, "trace_id long, span_id long, parent_id long")).collect()}
+    assert len(got) == len(chain) and got[1, 19] == (19, "/".join(f"{k:012d}" for k in range(20))) and got[1, 101][0] == 1 and got[2, 5] == (0, f"{5:012d}")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.scratch import scratch_dir
+
 
 def failure_streak(jobs: DataFrame, key: str = "slug", most: int = 20) -> DataFrame:
     """Failures since the last success, over the newest `most` ended jobs of each key.
@@ -61,25 +65,30 @@ def queue_position(jobs: DataFrame) -> DataFrame:
     return pending.withColumn("inner", rank).join(before, F.col("priority") == F.col("p")).select("id", "priority", (F.col("before") + F.col("inner")).alias("position"))
 
 
-def span_tree(spans: DataFrame, most_levels: int = 16) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Depth and path of every span below its root; a span whose parent is missing is a root.
 
-    One join for each level, only with the spans that the last one reached; stops when none is left.
+    One join for each level, only with the spans that the last one reached; stops when none is left. Levels are written to the shared
+    folder, so a deep tree has no long plan.
     """
+    spark = spans.sparkSession
+    folder = f"{scratch_dir(spark)}/spans-{uuid.uuid4().hex}"
     ids = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"))
     rooted = spans.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")), "left")
     text = F.lpad(F.col("span_id").cast("string"), 12, "0")
     level = rooted.where("s is null").select("trace_id", "span_id", F.lit(0).alias("depth"), text.alias("path"))
     children = spans.select("trace_id", F.col("span_id").alias("child"), "parent_id").where("parent_id is not null")
-    out = level
-    for k in range(1, most_levels):
+    k = 0
+    while True:
+        path = f"{folder}/level={k}"
+        level.write.option("compression", "zstd").parquet(path)
+        level = spark.read.schema(level.schema).parquet(path)
+        if level.isEmpty():
+            return spark.read.schema(level.schema).parquet(f"{folder}/level=*")
+        k += 1
         up = level.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("path").alias("above"))
         level = children.join(up, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")))
         level = level.select("trace_id", F.col("child").alias("span_id"), F.lit(k).alias("depth"), F.concat_ws("/", "above", F.lpad(F.col("child").cast("string"), 12, "0")).alias("path"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
 
 
 def scaled_spans(spans: DataFrame, width: int = 1000) -> DataFrame:
