@@ -181,6 +181,16 @@ def test_ownership(spark):
     assert all(got[k].spans == "" and got[k].n_example == 1 for k in range(6))
 
 
+def test_ownership_by_repositories(spark):
+    """One owner's value in many repositories is copied, in two it is live."""
+    few, many = "Zx81kQmP47vBt0LwRj52aa", "Qw72nRtY58cXp1MzKd36bb"
+    rows_ = [(k, many, "o1", f"l{k}") for k in range(6)] + [(10, few, "o1", "l1"), (11, few, "o1", "l2")]
+    got = {r.doc_id: r for r in secret_ownership.scan(spark.createDataFrame([*rows_, (20, "none", "o1", "l1")], "doc_id long, text string, source string, lang string")).collect()}
+    assert all((got[k].spans, got[k].n_example, got[k].n_repositories, got[k].n_owners) == ("", 1, 6, 1) for k in range(6))
+    assert all((got[k].spans, got[k].n_live, got[k].n_repositories, got[k].n_owners) == ("live:0:22", 1, 2, 1) for k in (10, 11))
+    assert (got[20].n_repositories, got[20].n_owners) == (0, 0)
+
+
 # 6
 
 

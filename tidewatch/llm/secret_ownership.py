@@ -2,8 +2,8 @@
 
 Base spans are found by three patterns. Besides, every long token that mixes letters and digits is a candidate. The values of all
 candidates are hashed, and for each hash the corpus gives the number of different repositories and owners that hold it. A value
-copied by many owners is an example from documentation; one that only a few hold, and whose characters look drawn at random, is
-taken for a live credential, and its occurrences outside the base spans become spans of the kind `live`.
+copied by many owners or into many repositories is an example from documentation; one that only few of both hold, and whose characters
+look drawn at random, is taken for a live credential, and its occurrences outside the base spans become spans of the kind `live`.
 
 An owner is a document's source, a repository a source and language.
 
@@ -26,6 +26,7 @@ KINDS = ("assign", "access", "hex", "live")
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 MAX_LIVE_OWNERS = 2
+MAX_LIVE_REPOSITORIES = 4
 MIN_DIFFERENT_CHARS = 10
 
 _SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
@@ -76,19 +77,21 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example (values of the document judged so)."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example (values of the document judged so), n_repositories and n_owners (the most that hold one of its values)."""
     seen = saved(extract(documents), "secrets")
     each = seen.select("doc_id", "text_hash", "owner", "repository", F.explode(F.concat("base", "more")).alias("x"))
     each = each.select("doc_id", "text_hash", "owner", "repository", "x", F.sha2(F.col("x.value"), 256).alias("value_hash"))
     different = F.size(F.array_distinct(F.split(F.col("x.value"), "")))
     holders = ownership(each).withColumnRenamed("value_hash", "_hash")
     judged = each.join(holders, F.col("value_hash") == F.col("_hash"))
-    rare = F.col("n_owners") <= MAX_LIVE_OWNERS
-    judged = judged.select("doc_id", "text_hash", "x", "value_hash", (rare & (different >= MIN_DIFFERENT_CHARS)).alias("live"), (~rare).alias("example"))
+    rare = (F.col("n_owners") <= MAX_LIVE_OWNERS) & (F.col("n_repositories") <= MAX_LIVE_REPOSITORIES)
+    judged = judged.select("doc_id", "text_hash", "x", "value_hash", (rare & (different >= MIN_DIFFERENT_CHARS)).alias("live"), (~rare).alias("example"), "n_repositories", "n_owners")
     added = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(
         F.collect_set(F.when(F.col("live") & (F.col("x.rank") == 3), F.col("x"))).alias("extra"),
         F.size(F.collect_set(F.when(F.col("live"), F.col("value_hash")))).cast("long").alias("n_live"),
         F.size(F.collect_set(F.when(F.col("example"), F.col("value_hash")))).cast("long").alias("n_example"),
+        F.max("n_repositories").alias("n_repositories"),
+        F.max("n_owners").alias("n_owners"),
     )
     out = seen.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left")
     return out.select(
@@ -98,4 +101,6 @@ def scan(documents: DataFrame) -> DataFrame:
         rendered(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN)))).alias("spans"),
         F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
         F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
+        F.coalesce("n_repositories", F.lit(0).cast("long")).alias("n_repositories"),
+        F.coalesce("n_owners", F.lit(0).cast("long")).alias("n_owners"),
     )
