@@ -316,6 +316,19 @@ def test_context(spark):
     assert pii_bootstrap.redacted("a bb ccc", [(2, 0, 4), (3, 1, 8)]) == "a <EMAIL>"
 
 
+def test_context_of_several_tokens(spark):
+    """Seeds of several tokens have the words before them as context, other shapes follow, far words count, and found ones support."""
+    phones = [f"+1 ({700 + k}) 555-{3000 + k}" for k in range(60)]
+    docs = [(100 + k, f"Please call me at {p} today") for k, p in enumerate(phones)]
+    docs += [(20, "So call me at 555-3824 now"), (21, "So call me at" + " " * 200 + "(743) 555 3824 now"), (22, "order (743) 555-3824, then 555-3824-11 now")]
+    docs += [(30 + k, f"ring {w} 60{k}1-77{k}2 soon. call me at 60{k}1-77{k}2 soon") for k, w in enumerate(["mobile no"] * 4)] + [(40, "ring mobile no 888-1234 soon")]
+    got = {r.doc_id: r for r in pii_bootstrap.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all((got[100 + k].n_phone, got[100 + k].n_card, got[100 + k].n_context) == (1, 0, 0) for k in range(60))
+    found = {k: [dict(docs)[k][int(x.split(":")[1]) : int(x.split(":")[2])] for x in got[k].spans.split(",") if x.startswith("context")] for k in range(20, 41) if k in got}
+    assert found[20] == ["555-3824"] and found[21] == ["(743) 555 3824"] and found[22] == []
+    assert all(found[30 + k] == [f"60{k}1-77{k}2"] * 2 for k in range(4)) and found[40] == ["888-1234"]
+
+
 # 9
 
 

@@ -1,10 +1,12 @@
 """Personal data, with contextual patterns bootstrapped from the data found.
 
-Base kinds are found by pattern. Every token that looks like an identifier (six digits or more, or an @) is an instance, and the two
-words before it, together with its shape, are a lexical pattern. Instances that the base rules found are the seeds. Spark then scores
-the graph of patterns and instances in turn: a pattern's confidence is the mean score of its different instances, an instance's
-score is what its patterns make of it together (noisy-or). Patterns of high confidence that enough different seeds support mark the
-tokens that follow them, which become spans of the kind `context`.
+Base kinds are found by pattern, and each base span is one instance and a seed. Outside of them, every token that looks like an
+identifier (six digits or more, or an @) is an instance, and so is a run of number tokens with six digits or more. The two words before
+an instance's start are its context and the outline of its characters is its shape; these are two patterns. Spark then scores the graph
+of patterns and instances in turn: a pattern's confidence is the mean score of its different instances, an instance's score is what its
+patterns make of it together (noisy-or, in which shapes count half, so that a shape alone finds nothing). A pattern counts if enough
+different instances support it, seeds or such as earlier rounds have found. Instances that follow a context of high confidence become
+spans of the kind `context`.
 
 Defined cases: a null text counts as empty; rows that share doc_id and text share their spans, and each keeps its row; null doc_ids
 stay; an empty table gives no rows; other columns are ignored by scan() and kept by redact().
@@ -28,6 +30,7 @@ ADDED = "context"
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
+SHAPE_WEIGHT = 0.5
 
 #: Fixed values of the base rule. An ip cannot begin within a run of digits that an earlier start of the run has failed on.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +41,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _INSTANCE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGE = "\"'()[]{}<>,;:!?.|"
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_SPACE = frozenset("\x20\x09\x0A\x0B\x0C\x0D")
+#: A token of a number's run, and the most digits of a run.
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().+/-]*")
+MAX_RUN_DIGITS = 19
 _DIGIT_RUN, _LETTER_RUN = re.compile("[0-9]+"), re.compile("[A-Za-z]+")
 
 
@@ -78,27 +84,67 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, pattern, value hash, seed) of the tokens that look like identifiers."""
-    out = []
+def words_before(text: str, at: int) -> str:
+    """The two words before a place, in lower case and without marks at their edges; words of marks alone don't count."""
+    words: list[str] = []
+    while at > 0 and len(words) < 2:
+        end = at
+        while end > 0 and text[end - 1] in _SPACE:
+            end -= 1
+        at = end
+        while at > 0 and text[at - 1] not in _SPACE:
+            at -= 1
+        if word := text[at:end].strip(_EDGE):
+            words.append(word.lower())
+    return " ".join(reversed(words))
+
+
+def free_instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the tokens and runs of number tokens outside the base spans that look like identifiers."""
+    run: list[tuple[int, int, int]] = []
+    k, reach = 0, 0
     for m in _INSTANCE.finditer(text):
         token = m[0]
         core = token.strip(_EDGE)
-        if sum(c.isdigit() for c in core) < 6 and "@" not in core:
-            continue
         start = m.start() + len(token) - len(token.lstrip(_EDGE))
         end = start + len(core)
-        before = _WORDS.findall(text[max(0, start - 80) : m.start()])[-2:]
-        shape = _LETTER_RUN.sub("a", _DIGIT_RUN.sub("9", core))[:20]
-        pattern = " ".join(w.lower().strip(_EDGE) for w in before) + " | " + shape
-        seed = any(s < end and start < e for s, _, e in base)
-        out.append((start, end, pattern, hashlib.md5(core.encode("utf-8", "surrogatepass")).hexdigest(), seed))
+        while k < len(base) and base[k][0] < end:
+            reach = max(reach, base[k][2])
+            k += 1
+        digits = sum(c.isdigit() for c in core)
+        # a number keeps the bracket that it begins with
+        if start < reach:
+            number = False
+        elif number := bool(_NUMBER.fullmatch(core)):
+            start -= token[: start - m.start()].endswith("(")
+            close = token[end - m.start() :].startswith(")")
+        goes_on = number and run and m.start() == run[-1][1] + 1 and start == m.start() and sum(r[2] for r in run) + digits <= MAX_RUN_DIGITS
+        if run and not goes_on:
+            if sum(r[2] for r in run) >= 6:
+                yield run[0][0], run[-1][1]
+            run = []
+        if number:
+            run.append((start, end + close, digits))
+        elif start >= reach and (digits >= 6 or "@" in core):
+            yield start, end
+    if run and sum(r[2] for r in run) >= 6:
+        yield run[0][0], run[-1][1]
+
+
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, bool]]:
+    """(start, end, context, shape, value hash, seed) of the base spans and of what else looks like an identifier."""
+    out = []
+    for found, seed in (([(start, end) for start, _, end in base], True), (free_instances(text, base), False)):
+        for start, end in found:
+            core = text[start:end]
+            shape = _LETTER_RUN.sub("a", _DIGIT_RUN.sub("9", core))
+            out.append((start, end, words_before(text, start), shape, hashlib.md5(core.encode("utf-8", "surrogatepass")).hexdigest(), seed))
     return out
 
 
-_FOUND = "doc_id long, text_hash long, base array<struct<start:int,rank:int,end:int>>, more array<struct<start:int,end:int,pattern:string,value:string,seed:boolean>>"
+_FOUND = "doc_id long, text_hash long, base array<struct<start:int,rank:int,end:int>>, more array<struct<start:int,end:int,context:string,shape:string,value:string,seed:boolean>>"
 _BASE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-_MORE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
+_MORE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +154,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = value.as_py() or ""
             spans = base_spans(text)
             base.append([dict(zip(("start", "rank", "end"), s, strict=True)) for s in spans])
-            more.append([dict(zip(("start", "end", "pattern", "value", "seed"), x, strict=True)) for x in instances(text, spans)])
+            more.append([dict(zip(("start", "end", "context", "shape", "value", "seed"), x, strict=True)) for x in instances(text, spans)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(base, _BASE_TYPE), pa.array(more, _MORE_TYPE)], ["doc_id", "text_hash", "base", "more"])
 
 
@@ -118,32 +164,36 @@ def find(documents: DataFrame) -> DataFrame:
     return saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_find, _FOUND), "pii")
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """pattern and confidence, from distinct edges (pattern, value, seed).
+def confident_contexts(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """context and confidence, from edges (context, shape, value, seed).
 
     Each round is two joins and two sums over the edges; sums combine before they shuffle, and large join partitions can be split.
     """
-    graph = saved(edges.groupBy("pattern", "value").agg(F.max(F.col("seed").cast("double")).alias("seed")), "pii-edges")
+    both = F.array(F.struct(F.lit("context").alias("kind"), F.col("context").alias("pattern")), F.struct(F.lit("shape").alias("kind"), F.col("shape").alias("pattern")))
+    each = edges.select("value", F.col("seed").cast("double").alias("seed"), F.explode(both).alias("p")).select("p.kind", "p.pattern", "value", "seed")
+    graph = saved(each.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
     seeds = graph.groupBy("value").agg(F.max("seed").alias("seed"))
-    graph = saved(graph.select("pattern", "value").join(seeds, "value"), "pii-graph")
+    graph = saved(graph.select("kind", "pattern", "value").join(seeds, "value"), "pii-graph")
     scores = graph.select("value", F.col("seed").alias("score")).distinct()
     patterns = None
     for k in range(rounds):
         scored = graph.join(scores, "value")
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("n_seeds"))
-        patterns = saved(patterns.where(F.col("n_seeds") >= min_seeds), "pii-patterns")
+        # instances that earlier rounds found support a pattern as seeds do
+        patterns = scored.groupBy("kind", "pattern").agg(F.avg("score").alias("confidence"), F.count_if(F.col("score") >= min_confidence).alias("n_support"))
+        patterns = saved(patterns.where(F.col("n_support") >= min_support), "pii-patterns")
         if k + 1 < rounds:
-            doubt = F.exp(F.sum(F.ln(F.greatest(1 - F.least(F.col("confidence"), F.lit(0.999)), F.lit(1e-3)))))
-            reached = graph.join(patterns, "pattern").groupBy("value").agg((1 - doubt).alias("reached"))
-            scores = seeds.join(reached, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score"))
-    return patterns.where(F.col("confidence") >= min_confidence).select("pattern", "confidence")
+            says = F.least(F.col("confidence"), F.lit(0.999)) * F.when(F.col("kind") == "shape", SHAPE_WEIGHT).otherwise(1.0)
+            doubt = F.exp(F.sum(F.ln(1 - says)))
+            reached = graph.join(patterns, ["kind", "pattern"]).groupBy("value").agg((1 - doubt).alias("reached"))
+            scores = saved(seeds.join(reached, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")), "pii-scores")
+    return patterns.where((F.col("kind") == "context") & (F.col("confidence") >= min_confidence)).select(F.col("pattern").alias("context"), "confidence")
 
 
 def added_spans(found: DataFrame) -> DataFrame:
-    """_id, _text and extra: spans that the confident patterns add to a document, outside its base spans."""
+    """_id, _text and extra: spans that the confident contexts add to a document, outside its base spans."""
     each = found.select("doc_id", "text_hash", F.explode("more").alias("x")).select("doc_id", "text_hash", "x.*")
-    patterns = confident_patterns(each.select("pattern", "value", "seed"))
-    hits = each.where(~F.col("seed")).join(patterns, "pattern", "left_semi")
+    contexts = confident_contexts(each.select("context", "shape", "value", "seed"))
+    hits = each.where(~F.col("seed")).join(contexts, "context", "left_semi")
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"))
     return saved(hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.collect_set(span).alias("extra")), "pii-added")
 
@@ -162,7 +212,9 @@ def scan(documents: DataFrame) -> DataFrame:
     def text(spans):
         return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["rank"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    # by difference, as a second argument of a filter's lambda would be the place in the array
+    ranks = F.transform("base", lambda x: x["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return out.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", extra)).alias("spans"), F.size(extra).cast("long").alias("n_context"))
 
 
