@@ -73,8 +73,8 @@ def test_blocks(n, kind):
 def test_token_file(odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
-    tool = Tokenizer.from_file(BPE)
-    tool.encode_special_tokens = True
+    tool = Tokenizer.from_file(BPE)  # as it is by default: an added token in a text is one id
+    assert 50256 in tool.encode(dict(odd_rows)[13], add_special_tokens=False).ids
     file = token_blocks.write_token_file(odd, BPE, 2)
     same(token_blocks.read_token_file(file), brute.token_blocks(odd_rows, tool), "doc_id", "start", "n_tokens", "ids_crc32")
     ids = {r.doc_id: r.ids for r in token_blocks.document_ids(file).collect()}
@@ -83,9 +83,9 @@ def test_token_file(odd, odd_rows, empty):
 
 
 def test_word_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_blocks, "CACHE_WORDS", 3)
+    monkeypatch.setattr(token_blocks, "MEMORY_BYTES", 500)
     tool = token_blocks.WordEncoder(BPE)
-    for text in ("one two three", "four five six seven", "one two", "", " lead", "a\n b"):
+    for text in ("one two three", "four five six seven", "one two", "", " lead", "a\n b", "x<|endoftext|>y one", "<|endoftext|> two", "one <|endoftext|>"):
         ids, at = tool.encode([text], 2)
         assert ids.tolist() == [*tool.tokenizer.encode(text, add_special_tokens=False).ids, 2] and at.tolist() == [0, len(ids)]
 
@@ -94,14 +94,17 @@ def test_word_memory_is_bounded(monkeypatch):
 
 
 def best_by_trying(pieces, unknown, byte_ids, text):
-    best = [(0, [])]
+    longest = max(map(len, pieces))
+    best = [(0, 0, [])]
     for end in range(1, len(text) + 1):
-        options = [(best[b][0] + pieces[text[b:end]][0], end - b, best[b][1] + [pieces[text[b:end]][1]]) for b in range(end) if text[b:end] in pieces]
+        options = [(best[b][0] + pieces[text[b:end]][0], end - b, [pieces[text[b:end]][1]]) for b in range(max(0, end - longest), end) if text[b:end] in pieces]
         if text[end - 1] not in pieces:
-            options.append((best[end - 1][0] + unknown, 1, best[end - 1][1] + [byte_ids[x] for x in text[end - 1].encode()]))
-        score, _, ids = max(options, key=lambda o: (o[0], o[1]))
-        best.append((score, ids))
-    return best[-1][1]
+            options.append((best[end - 1][0] + unknown, 1, [byte_ids[x] for x in text[end - 1].encode()]))
+        best.append(max(options, key=lambda o: (o[0], o[1])))
+    ids, at = [], len(text)
+    while at:
+        ids, at = best[at][2] + ids, at - best[at][1]
+    return ids
 
 
 def test_viterbi_by_trying():
@@ -128,8 +131,18 @@ def test_round_trip(odd, odd_rows, empty):
     path = tokenizers_.path("piece_bpe_32k.model")
     got = piece_viterbi.round_trip(odd, path)
     assert got.where("not decodes").count() == 0 and got.count() == len(odd_rows)
-    texts = piece_viterbi.decode(piece_viterbi.encode(odd, path), path)
-    same(texts, [(d, t or "") for d, t in odd_rows], "doc_id", "text")
+    encoded = piece_viterbi.encode(odd, path)
+    same(piece_viterbi.decode(encoded, path), [(d, t or "") for d, t in odd_rows], "doc_id", "text")
+    # the ids of the supplied model against trying every piece at every position
+    model = piece_viterbi.PieceModel.load(path)
+    table = {p: (int(s), k) for (k, p), s in zip(model.pieces.items(), model.score_of, strict=True)}
+    for limit in (64 << 20, 1000):
+        model.memory.limit = limit
+        for _, text in odd_rows:
+            wanted = best_by_trying(table, model.unknown, model.byte_ids, " " + text.replace(piece_viterbi.SPACE, "\0")) if text else []
+            if piece_viterbi.SPACE not in (text or ""):
+                assert model.encode(text or "").tolist() == wanted
+    same(encoded, [(d, model.encode(t or "").tolist()) for d, t in odd_rows], "doc_id", "ids")
     assert piece_viterbi.round_trip(empty, path).count() == 0
 
 
@@ -210,12 +223,42 @@ def test_jaccard(spark, odd_rows, size, percent):
 def test_jaccard_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MET_LIST", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
-    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", 1)
     docs = [(k, " ".join(f"w{(k * 7 + j) % 23 if j % 9 == k % 9 else j}" for j in range(60))) for k in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     same(jaccard_join.near_duplicates(df, 2, 60), brute.components(docs, 2, 60), "doc_id", "n_shingles", "component_id")
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that share a doc_id are one document: classes are connected through it, and one doc_id can stand for two classes."""
+    text = [" ".join(f"{c}{j}" for j in range(30)) for c in "abcdef"]
+    near = text[3].replace("d7", "x")
+    for docs in (
+        [(0, text[0]), (1, text[0]), (1, text[1]), (2, text[1])],
+        [(0, text[0]), (0, text[1]), (1, text[0]), (2, text[1]), (0, text[3]), (5, near)],
+        [(9, text[0]), (9, text[1]), (7, text[1]), (7, text[2]), (3, text[2])] + [(20, t) for t in text[3:]] * 8 + [(21, near)],
+    ):
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        same(jaccard_join.near_duplicates(df, 3, 70), brute.components(docs, 3, 70), "doc_id", "n_shingles", "component_id")
+    many_nulls = [(None, text[0])] * 30 + [(None, "only here")] * 20 + [(4, text[0]), (6, text[0])]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(many_nulls, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.component_id or -1) for r in got) == sorted([(True, 4)] * 30 + [(True, -1)] * 20 + [(False, 4)] * 2)
+
+
+def test_jaccard_large_group(spark):
+    """Near copies by the hundreds, of which only some link with each other, and one shingle that unrelated documents share."""
+    rng = np.random.default_rng(7)
+    words = [f"w{j}" for j in range(60)]
+    docs = []
+    for k in range(700):
+        own = list(words)
+        for j in rng.integers(0, 60, 1 + k % 3):
+            own[j] = f"x{rng.integers(0, 10_000)}"
+        docs.append((k, " ".join(own)))
+    docs += [(1000 + k, f"common three words {' '.join(f'u{k}_{j}' for j in range(5))}") for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    same(jaccard_join.near_duplicates(df, 3, 80), brute.components(docs, 3, 80), "doc_id", "n_shingles", "component_id")
+
+
 def test_jaccard_odd(odd, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.near_duplicates(odd).collect()}
     assert got[5, 0] == 5 and got[6, 0] == 6 and got[9, 1] == 8

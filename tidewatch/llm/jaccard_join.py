@@ -7,16 +7,22 @@ A document is the set of its distinct shingles, each a 64-bit hash. Two document
 2. Documents with equal sets are one class, represented by the smallest doc_id. Classes with the same size and the same prefix form
    a group.
 3. Each group sends the shingles of its prefix to buckets. A bucket keeps the shingles that groups of compatible size share.
-4. Groups are expanded to their members and pairs are verified: first by parity sketches, whose distance is never more than the
-   symmetric difference of the sets, so that no link is lost, then on whole sets. First each member of a shingle's list meets only the
-   list's leader. Then, once what is linked is known, all members of a list that aren't connected yet are compared by their sketches
-   in blocks of bounded size, each a task's work on packed arrays; only pairs that may link become rows. So a list of thousands of
-   near copies is dealt out over many tasks, and no link between components is missed.
-5. Links give connected components; the component is the smallest doc_id in it.
-
-Defined cases: a null or wordless text has an empty set, links with nothing and is its own component; a text with fewer words than a
-shingle is one shingle; a null doc_id has the component of its links, else null; rows that share a doc_id are one document in the
-links and each keeps its row; an empty table gives no rows; columns other than doc_id and text are ignored.
+4. The groups of a shingle's list meet the list's leader. The different pairs of groups that sizes and positions let link are expanded
+   to pairs of members, which are verified: first by parity sketches, whose distance is never more than the symmetric difference
+   of the sets, so that no link is lost, then on whole sets. Once more, members that aren't connected with the most linked member of
+   their list meet that one.
+5. The lists whose members aren't all connected yet are cut by size and into blocks of bounded number and bytes. Two blocks meet in a
+   unit of work, but the members of a list's largest component never meet each other. A unit compares sketches, and those that may link
+   meet again with their whole sets, of which a unit returns a spanning forest of its links: never more rows than it has members.
+   So no link between components is missed, and rows don't grow with the square of a group.
+6. Links give connected components; the component is the smallest doc_id in it.
+
+A shingle is a 64-bit hash of its words, of which 58 bits are kept beside the frequency class: sets are equal when these are.
+
+Defined cases: a null text or one without words has an empty set, links with nothing and is its own component; a text with fewer words
+than a shingle is one shingle; rows that share a doc_id are one document in the links and each keeps its row; a row with a null doc_id
+links nothing, has the component of a document with an equal set, and else null; an empty table gives no rows; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,21 +34,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import LOWER_ASCII, joined_bytes, mix, saved, slices, windows, with_columns, word_hashes, word_spans
+from .components import components, joined_labels
+from .shared import LOWER_ASCII, joined_bytes, mix, salted_join, saved, slices, tidy, whole_groups, windows, with_columns, word_hashes, word_spans
 
 SHINGLE_WORDS = 3
 PERCENT = 90
 #: Cells of the table of shingle counts, a fixed number whatever the input; tasks send it in slices.
 CELL_BITS = 22
-SLICES = 16
+SLICES = 256
 
-#: Rounds in which a list's members meet only its leader: one drawn by hash, then one with most links.
-STAR_ROUNDS = 2
-#: Members of a list that one block of the last round holds at most, but for chance; two blocks meet in a unit of work.
+#: Members of a list, and bytes of their sets, that one block of the last step holds at most, but for chance.
 BLOCK_MEMBERS = 512
-#: Entries of a list up to which a bucket compares them by pairs; of longer lists it keeps all, which are compared later.
+BLOCK_BYTES = 8 << 20
+#: Entries of a list up to which they are compared by pairs side by side with other lists; longer ones by rows.
 MET_LIST = 64
+#: Bytes of sketches that are compared in one step.
+STEP_BYTES = 16 << 20
 
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -85,7 +92,7 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
     """The class of each cell, 0 for all that don't stand out from the mean; 4 MB at any input.
 
     Every task sends its counts, up to 255 a cell, in slices; a slice's counts are added up as they arrive, so that a task holds one sum
-    for each slice. The driver gets the sums, 16 MB at any input.
+    for each of its slices. The driver gets the sums, 16 MB at any input.
     """
     wide = (1 << CELL_BITS) // SLICES
 
@@ -107,7 +114,7 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
 
     kind = "slice int, counts binary"
     sums = np.zeros((SLICES, wide), np.int64)
-    for k, raw in documents.select("text").mapInArrow(cells, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect():  # SLICES rows
+    for k, raw in documents.select("text").mapInArrow(tidy(cells), kind).repartition("slice").mapInArrow(tidy(add), kind).collect():  # SLICES rows
         sums[k] = np.frombuffer(raw, "<i4")
     sums = sums.reshape(-1)
     least = sums.mean() + 4 * np.sqrt(sums.mean()) + 2
@@ -120,14 +127,6 @@ def parity_sketch(keys: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((mix(keys) & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
 
 
-def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits that differ, at most the symmetric difference. A longer sketch is folded to the length of the shorter."""
-    if len(x) < len(y):
-        x, y = y, x
-    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (hashes of the whole set), prefix and sketch (its size in eight bytes first) of every document."""
 
@@ -143,7 +142,7 @@ def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> Data
                 sketch = [np.int64(len(s)).tobytes() + parity_sketch(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1), pa.array(h2), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "prefix", "sketch"])
 
-    return documents.mapInArrow(rows, "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, sketch binary")
+    return documents.mapInArrow(tidy(rows), "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, sketch binary")
 
 
 def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -179,108 +178,171 @@ def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
             keep[fit] = keep[fit + step] = True
         return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep], "n": n[keep], "pos": pos[keep].astype(np.int64)})
 
-    sent = groups.select("gid", "n", "prefix").mapInArrow(send, "bucket int, token binary, gid binary, n binary, pos binary")
+    sent = groups.select("gid", "n", "prefix").mapInArrow(tidy(send), "bucket int, token binary, gid binary, n binary, pos binary")
     return sent.groupBy("bucket").applyInArrow(meet, "token long, gid long, n long, pos long")
 
 
-def _with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """The pairs (a, b) with the column of both ends, as x and y. Joins can be split where an end has very many pairs."""
-    left, right = table.select(F.col("rep").alias("a"), F.col(column).alias("x")), table.select(F.col("rep").alias("b"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-
-def _checked(pairs: DataFrame, good) -> DataFrame:
-    """The distinct pairs for which good(x, y) holds."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [good(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.mapInArrow(check, "a long, b long").distinct()
+class Sketches:
+    """Parity sketches of many sets, those of a width side by side, and sums over pairs of them."""
+
+    def __init__(self, sketches: list[np.ndarray]):
+        width = np.array([len(x) for x in sketches], np.int64)
+        self.width, self.place, self.of = width, np.zeros(len(width), np.int64), {}
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            self.place[own] = np.arange(len(own))
+            self.of[int(w)] = np.stack([sketches[k] for k in own]).view(np.uint64)
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits that differ for each pair, at most the symmetric difference. The longer sketch is folded to the length of the shorter."""
+        a, b = np.where(self.width[a] >= self.width[b], a, b), np.where(self.width[a] >= self.width[b], b, a)
+        out = np.zeros(len(a), np.int64)
+        pair = self.width[a] * (1 << 32) + self.width[b]
+        for key in np.unique(pair):
+            p, q = int(key) >> 32, int(key) & 0xFFFFFFFF
+            own = np.flatnonzero(pair == key)
+            step = max(1, STEP_BYTES // p)
+            for k in range(0, len(own), step):
+                i = own[k : k + step]
+                x = np.bitwise_xor.reduce(self.of[p][self.place[a[i]]].reshape(len(i), p // q, -1), axis=1)
+                out[i] = np.bitwise_count(x ^ self.of[q][self.place[b[i]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def n_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
 def verified(pairs: DataFrame, sketches: DataFrame, whole_sets, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Sketches (rep, sketch) leave few; only of these are whole sets made, by whole_sets(ids)."""
 
-    def near(x, y) -> bool:
-        (n,), (o,) = np.frombuffer(x, "<i8", 1), np.frombuffer(y, "<i8", 1)
-        return (100 + percent) * sketch_distance(np.frombuffer(x, np.uint8, offset=8), np.frombuffer(y, np.uint8, offset=8)) <= (100 - percent) * int(n + o)
-
-    def link(x, y) -> bool:
-        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = np.concatenate((x, y))
-        both.sort(kind="stable")
-        common = int(np.count_nonzero(both[1:] == both[:-1]))
-        return 100 * common >= percent * (len(x) + len(y) - common)
-
-    left = saved(_checked(_with_both(pairs, sketches, "sketch"), near), "near-pairs")
-    ids = saved(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    return _checked(_with_both(left, whole_sets(ids), "members"), link)
-
-
-def _block_pairs(members: DataFrame, sketches: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """The pairs (a, b) of a list's members (token, rep, n, pos, label) with different labels that may link by size, position and sketch.
+    def with_both(some: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        # joins can be split where an end has very many pairs
+        left, right = table.select(F.col("rep").alias("a"), F.col(column).alias("x")), table.select(F.col("rep").alias("b"), F.col(column).alias("y"))
+        return some.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    A long list is cut into blocks by hash, and a member goes to one unit of work for each block that its own meets. Pairs that
-    several lists give are made distinct in packed form, by buckets of their own.
-    """
-    blocks = members.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).alias("blocks"))
-    rows = members.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    unit = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select(unit.alias("unit"), "rep", "n", "pos", "label", (F.col("own") > F.col("other")).alias("high"), (F.col("own") == F.col("other")).alias("inner"))
-    rows = rows.join(sketches, "rep").select(F.pmod("unit", F.lit(buckets)).alias("bucket"), "unit", "rep", "n", "pos", "label", "high", "inner", "sketch")
-
-    def compare(table: pa.Table) -> pa.Table:
-        unit, rep, n, pos, label = (table.column(c).to_numpy() for c in ("unit", "rep", "n", "pos", "label"))
-        high, inner = (table.column(c).to_numpy() for c in ("high", "inner"))
-        sketch = [np.frombuffer(x.as_buffer(), np.uint8, offset=8) for x in table.column("sketch")]
-        size = np.array([len(x) for x in sketch])
-        order = np.argsort(unit, kind="stable")
-        cuts = np.append(np.flatnonzero(np.diff(unit[order], prepend=unit[order[0]] - 1)), len(order))
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            own = order[x:y]
-            left, right = (own, own) if inner[own[0]] else (own[~high[own]], own[high[own]])
-            for p in np.unique(size[left]):
-                for q in np.unique(size[right]):
-                    i, j = left[size[left] == p], right[size[right] == q]
-                    width = min(p, q)
-                    u, v = (np.bitwise_xor.reduce(np.stack([sketch[k] for k in ks]).reshape(len(ks), -1, width), axis=1).view(np.uint64) for ks in (i, j))
-                    for k in range(0, len(i), 64):
-                        a, b = i[k : k + 64][:, None], j[None, :]
-                        good = (label[a] != label[b]) & (rep[a] != rep[b]) & may_link(n[a], pos[a], n[b], pos[b], percent)
-                        if left is right:
-                            good &= rep[a] < rep[b]
-                        s, t = np.nonzero(good)
-                        apart = np.bitwise_count(u[k + s] ^ v[t]).sum(axis=1, dtype=np.int64)
-                        near = (100 + percent) * apart <= (100 - percent) * (n[a[s, 0]] + n[b[0, t]])
-                        one, two = rep[a[s[near], 0]], rep[b[0, t[near]]]
-                        out_a.append(np.minimum(one, two))
-                        out_b.append(np.maximum(one, two))
-        return _packed_pairs(np.concatenate(out_a), np.concatenate(out_b), buckets)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (a, b)], ["a", "b"])
-
-    def distinct(table: pa.Table) -> pa.Table:
-        a, b = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("a", "b"))
-        return _packed_pairs(a, b, 1)
-
-    kind = "bucket int, a binary, b binary"
-    packed = rows.groupBy("bucket").applyInArrow(compare, kind).groupBy("bucket").applyInArrow(distinct, kind)
-    return packed.mapInArrow(unpack, "a long, b long")
+            raw = [*batch.column("x"), *batch.column("y")]
+            n = np.array([np.frombuffer(r.as_buffer(), "<i8", 1)[0] for r in raw], np.int64)
+            k = np.arange(len(batch))
+            apart = Sketches([np.frombuffer(r.as_buffer(), np.uint8, offset=8) for r in raw]).distance(k, k + len(k))
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * apart <= (100 - percent) * (n[: len(k)] + n[len(k) :])))
 
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = n_common(x, y)
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _packed_pairs(a: np.ndarray, b: np.ndarray, buckets: int) -> pa.Table:
-    """Distinct pairs in a row for each bucket that has any."""
-    pairs = np.unique(np.stack((a, b), axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-    bucket = (mix(np.ascontiguousarray(pairs[:, 0]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    found = np.unique(bucket)
-    return pa.table({"bucket": pa.array(found, pa.int32()), **{c: pa.array([pairs[bucket == k, i].tobytes() for k in found], pa.binary()) for i, c in enumerate(("a", "b"))}})
+    left = saved(with_both(pairs, sketches, "sketch").mapInArrow(tidy(near), "a long, b long").distinct(), "near-pairs")
+    ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return with_both(left, whole_sets(ids), "members").mapInArrow(tidy(link), "a long, b long").distinct()
+
+
+def _unit_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray, side: np.ndarray, unit: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of a unit with different labels that sizes and positions let link; rows are sorted by unit. A member on side 0
+    meets those on side 1, and on side 2 all members of a unit meet each other. Short units are taken side by side, long ones by rows."""
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (label[a] != label[b]) & ((side[a] == 2) | (side[a] != side[b])) & may_link(n[a], pos[a], n[b], pos[b], percent)
+
+    first = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
+    size = np.diff(np.append(first, len(unit)))
+    left = np.repeat(first + size, size) - np.arange(len(unit))
+    short = np.repeat(size <= MET_LIST, size)
+    for step in range(1, MET_LIST):
+        a = np.flatnonzero(short & (left > step))
+        if not len(a):
+            break
+        good = fit(a, a + step)
+        if good.any():
+            yield a[good], a[good] + step
+    for start, count in zip(first[size > MET_LIST], size[size > MET_LIST], strict=True):
+        every = np.arange(start, start + count)
+        for k in range(0, count, 64):
+            own = every[k : k + 64]
+            a, b = np.repeat(own, count), np.tile(every, len(own))
+            a, b = a[a < b], b[a < b]
+            good = fit(a, b)
+            if good.any():
+                yield a[good], b[good]
+
+
+def open_links(rows: DataFrame, sketches: DataFrame, whole_sets, percent: int, parts: int) -> DataFrame:
+    """Links (a, b) that connect what the members of lists (token, rep, n, pos, label) have with different labels, in blocks."""
+    # sizes of a link differ by at most one of these steps: a member goes to the two lists of its step
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * float(np.log(100 / percent))))
+    cut = rows.withColumn("token", F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step - 1))))
+    labels = cut.groupBy("token", "label").agg(F.count("*").alias("k"), F.sum("n").alias("bytes"))
+    sums = labels.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max(F.struct("k", "label", "bytes")).alias("x"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
+
+    def blocks(k, size):
+        return F.greatest(F.ceil(k / BLOCK_MEMBERS), F.ceil(8 * size / BLOCK_BYTES), F.lit(1)).cast("long")
+
+    sums = sums.where("x.k < k").select("token", "main", blocks(F.col("x.k"), F.col("x.bytes")).alias("n_main"), blocks(F.col("k") - F.col("x.k"), F.col("bytes") - F.col("x.bytes")).alias("n_minor"))
+    dealt = salted_join(cut, sums, ["token"], ["rep"])
+    minor = F.col("label") != F.col("main")
+    block = F.pmod(F.xxhash64("rep"), F.when(minor, F.col("n_minor")).otherwise(F.col("n_main")))
+    dealt = dealt.select("token", "rep", "n", "pos", "label", minor.alias("minor"), block.alias("own"), "n_main", "n_minor")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    other = F.when(F.col("minor"), F.concat(F.transform(each(F.col("n_main")), lambda i: F.struct(F.lit(True).alias("main"), i.alias("k"))), F.transform(each(F.col("n_minor")), lambda i: F.struct(F.lit(False).alias("main"), i.alias("k")))))
+    dealt = dealt.withColumn("other", F.explode(other.otherwise(F.transform(each(F.col("n_minor")), lambda i: F.struct(F.lit(False).alias("main"), i.alias("k"))))))
+    with_main = ~F.col("minor") | F.col("other.main")
+    low = F.when(with_main, F.when(F.col("minor"), F.col("other.k")).otherwise(F.col("own"))).otherwise(F.least("own", "other.k"))
+    high = F.when(with_main, F.when(F.col("minor"), F.col("own")).otherwise(F.col("other.k"))).otherwise(F.greatest("own", "other.k"))
+    side = F.when(with_main, F.col("minor").cast("int")).when(F.col("own") == F.col("other.k"), 2).otherwise((F.col("own") > F.col("other.k")).cast("int"))
+    units = dealt.select(F.xxhash64("token", with_main, low, high).alias("unit"), "rep", "n", "pos", "label", side.alias("side"))
+
+    def columns(table: pa.Table) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in ("n", "pos", "label", "side", "unit")]
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "unit"):
+            n, *rest = columns(table)
+            sketch = Sketches([np.frombuffer(x.as_buffer(), np.uint8, offset=8) for x in table.column("sketch")])
+            keep = np.zeros(len(n), bool)
+            for a, b in _unit_pairs(n, *rest, percent):
+                near = (100 + percent) * sketch.distance(a, b) <= (100 - percent) * (n[a] + n[b])
+                keep[a[near]] = keep[b[near]] = True
+            yield from table.drop_columns(["sketch"]).filter(pa.array(keep)).to_batches()
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "unit"):
+            n, pos, label, side, unit = columns(table)
+            rep = table.column("rep").to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("members")]
+            sketch = Sketches([parity_sketch(x) for x in sets])
+            _, root = np.unique(np.stack((unit, label)), axis=1, return_inverse=True)
+            root = root.reshape(-1)
+            links: list[tuple[int, int]] = []
+            for a, b in _unit_pairs(n, pos, label, side, unit, percent):
+                apart = root[a] != root[b]
+                a, b = a[apart], b[apart]
+                near = (100 + percent) * sketch.distance(a, b) <= (100 - percent) * (n[a] + n[b])
+                for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    if root[i] != root[j]:
+                        common = n_common(sets[i], sets[j])
+                        if 100 * common >= percent * (int(n[i]) + int(n[j]) - common):
+                            links.append((int(rep[i]), int(rep[j])))
+                            root[root == root[j]] = root[i]
+            found = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found.min(axis=1, initial=2**63 - 1)), pa.array(found.max(axis=1, initial=-(2**63)))], ["a", "b"])
+
+    def in_units(some: DataFrame) -> DataFrame:
+        return some.repartition(parts, "unit").sortWithinPartitions("unit")
+
+    kind = "unit long, rep long, n long, pos long, label long, side int"
+    left = saved(in_units(units.join(sketches, "rep").select("unit", "rep", "n", "pos", "label", "side", "sketch")).mapInArrow(tidy(suspects), kind), "suspects")
+    sets = whole_sets(left.select(F.col("rep").alias("doc_id")).distinct())
+    with_sets = left.join(sets, "rep").select("unit", "rep", "n", "pos", "label", "side", "members")
+    return in_units(with_sets).mapInArrow(tidy(forests), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -300,9 +362,6 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     # expansion of groups to members: a group of one is its only member; others are looked up by their prefix
     several = groups.where("n_members > 1").select("n", "prefix", "gid")
     members = saved(same.join(several, ["n", "prefix"]).select("gid", "rep", "n"), "members")
-    expanded = postings.join(members.select("gid", "rep"), "gid", "left").select("token", F.coalesce("rep", "gid").alias("rep"), "n", "pos")
-    within = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), "rep", "n", F.lit(0).cast("long").alias("pos"))
-    lists = saved(expanded.unionByName(within), "lists")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
@@ -315,39 +374,50 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
 
     def whole_sets(ids: DataFrame) -> DataFrame:
         wanted = docs.join(ids, "doc_id", "left_semi")
-        return saved((wanted.dropDuplicates(["doc_id", "text"]) if repeats else wanted).mapInArrow(whole, "rep long, members binary"), "sets")
+        # a document of several rows has a set for each, and links where one of them does
+        return saved((wanted.dropDuplicates(["doc_id", "text"]) if repeats else wanted).mapInArrow(tidy(whole), "rep long, members binary"), "sets")
 
     sketches = same.select("rep", "sketch")
-
     fits = may_link(F.col("n"), F.col("pos"), F.col("o"), F.col("pos2"), percent)
 
-    def open_lists(links: DataFrame | None) -> DataFrame:
-        """The lists whose members aren't all connected yet, with label (component so far) and degree (links so far) of each member."""
-        if links is None:
-            return lists.select("token", "rep", "n", "pos", F.col("rep").alias("label"), F.lit(0).cast("long").alias("degree"))
-        degrees = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count("*").alias("degree"))
-        rows = lists.join(components(links), F.col("rep") == F.col("id"), "left").join(degrees, F.col("rep") == F.col("d"), "left")
-        rows = saved(rows.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree")), "labelled")
-        still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-        return rows.join(still, "token", "left_semi")
-
-    links = None
-    for seed in range(STAR_ROUNDS):
-        rest = open_lists(links)
-        order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("token", "rep", F.lit(seed)).alias("h"), "rep", F.col("n").alias("o"), F.col("pos").alias("pos2"), "label")
-        lead = rest.groupBy("token").agg(F.min(order).alias("x")).select("token", F.col("x.rep").alias("lead"), "x.o", "x.pos2", F.col("x.label").alias("label2"))
-        star = rest.join(lead, "token").where((F.col("label") != F.col("label2")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        found = saved(verified(saved(star, "star-pairs"), sketches, whole_sets, percent), "links")
-        links = found if links is None else saved(links.unionByName(found), "links")
-    rest = open_lists(links)
-    pairs = _block_pairs(rest, sketches, percent, buckets)
-    last = verified(saved(pairs, "open-pairs"), sketches, whole_sets, percent)
-    links = saved(links.unionByName(last), "links")
-
-    final = components(links)
+    # pairs of groups: each list's groups with its leader, the group of the smallest hash, so that lists with the same groups have the same
+    order = F.struct(F.xxhash64("gid").alias("h"), "gid", F.col("n").alias("o"), F.col("pos").alias("pos2"))
+    lead = postings.groupBy("token").agg(F.min(order).alias("x")).select("token", F.col("x.gid").alias("lead"), "x.o", "x.pos2")
+    group_pairs = saved(salted_join(postings, lead, ["token"], ["gid"]).where((F.col("gid") != F.col("lead")) & fits).select("gid", "lead").distinct(), "group-pairs")
+    expanded = group_pairs.join(members.select("gid", "rep"), "gid", "left").select(F.coalesce("rep", "gid").alias("x"), F.col("lead").alias("y"))
+    expanded = expanded.unionByName(members.where("rep <> gid").select(F.col("rep").alias("x"), F.col("gid").alias("y")))
+    star = saved(expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star-pairs")
+    links = saved(verified(star, sketches, whole_sets, percent), "links")
+    if repeats:  # the classes of a document's rows are connected through it
+        often = full.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+        owner = same.select(F.col("n").alias("n_shingles"), "h1", "h2", "rep")
+        links = saved(links.unionByName(full.join(often, "doc_id").join(owner, ["n_shingles", "h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()), "links")
+    labels = components(links)
+
+    # lists of members, those of a group among them
+    listed = postings.join(members.select("gid", "rep"), "gid", "left").select("token", F.coalesce("rep", "gid").alias("rep"), "n", "pos")
+    within = members.select(F.xxhash64("gid", F.lit("group")).alias("token"), "rep", "n", F.lit(0).cast("long").alias("pos"))
+    lists = listed.unionByName(within)
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The lists whose members aren't all connected yet, with the label (component so far) of each member."""
+        own = labels.select(F.col("id").alias("rep"), "component")
+        rows = saved(rows.join(own, "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("label")), "labelled")
+        ends = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        return saved(salted_join(rows, ends, ["token"], ["rep"], "left_semi"), "open")
+
+    rest = still_open(lists)
+    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    order = F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), F.xxhash64("rep").alias("h"), F.col("rep").alias("lead"), F.col("n").alias("o"), F.col("pos").alias("pos2"), F.col("label").alias("label2"))
+    lead = rest.join(degrees, "rep", "left").groupBy("token").agg(F.min(order).alias("x")).select("token", "x.lead", "x.o", "x.pos2", "x.label2")
+    star = salted_join(rest, lead, ["token"], ["rep"]).where((F.col("label") != F.col("label2")) & fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    labels = joined_labels(labels, saved(verified(saved(star, "star-pairs"), sketches, whole_sets, percent), "links"))
+
+    rest = still_open(rest.drop("label"))
+    labels = joined_labels(labels, saved(open_links(rest, sketches, whole_sets, percent, buckets), "links"))
+
     owner = same.select(F.col("n").alias("_n"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep")
-    owner = owner.join(final, F.col("rep") == F.col("id"), "left").select("_n", "_h1", "_h2", F.coalesce("component", "rep").alias("label"))
-    # rows that share a doc_id are one document: their classes are linked through it
+    owner = owner.join(labels, F.col("rep") == F.col("id"), "left").select("_n", "_h1", "_h2", F.coalesce("component", "rep").alias("label"))
     out = prints.join(owner, (F.col("n_shingles") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 

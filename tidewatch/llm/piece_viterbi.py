@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordMemory, slices, with_columns
+from .shared import WordMemory, slices, tidy, with_columns
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10_000_000
-CACHE_WORDS = 1_000_000
+#: Bytes of words and ids that a worker remembers at most; then it forgets all and begins anew.
+MEMORY_BYTES = 64 << 20
 #: Characters of a part up to which it is relaxed together with others; pieces are shorter than this.
 LONGEST = 60
 
@@ -61,7 +62,7 @@ class PieceModel:
         self.score_of = np.array(scores, np.int64)
         self.id_of = np.array(ids, np.int32)
         self.splits = not any(" " in p.lstrip(" ") for p in pieces)
-        self.memory = WordMemory(CACHE_WORDS)
+        self.memory = WordMemory(MEMORY_BYTES)
         self.text_of = [self.pieces.get(k, "") for k in range(max(*ids, *byte_ids) + 1)]
         self.is_byte = np.isin(np.arange(len(self.text_of)), byte_ids)
 
@@ -223,7 +224,7 @@ def encode(documents: DataFrame, model_path: str) -> DataFrame:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _list(*model.encode_all([t or "" for t in part.column("text").to_pylist()]))], ["doc_id", "ids"])
 
-    return with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(rows, "doc_id long, ids array<int>")
+    return with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidy(rows), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -235,7 +236,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
             texts = [model.decode(np.array(x if x is not None else [], np.int32)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return with_columns(encoded, "doc_id", "ids").mapInArrow(rows, "doc_id long, text string")
+    return with_columns(encoded, "doc_id", "ids").mapInArrow(tidy(rows), "doc_id long, text string")
 
 
 def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
@@ -253,4 +254,4 @@ def round_trip(documents: DataFrame, model_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *values], ["doc_id", "n_pieces", "n_byte_pieces", "ids", "decodes"])
 
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return docs.mapInArrow(rows, "doc_id long, n_pieces long, n_byte_pieces long, ids array<int>, decodes boolean")
+    return docs.mapInArrow(tidy(rows), "doc_id long, n_pieces long, n_byte_pieces long, ids array<int>, decodes boolean")

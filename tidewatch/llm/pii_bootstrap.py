@@ -17,13 +17,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import saved
+from .shared import salted_join, saved, slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = "context"
@@ -142,26 +144,51 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out
 
 
-_FOUND = "doc_id long, text_hash long, base array<struct<start:int,rank:int,end:int>>, more array<struct<start:int,end:int,context:string,shape:string,value:string,seed:boolean>>"
-_BASE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())]))
-_MORE_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_())]))
+_BASE = "array<struct<start:int,rank:int,end:int>>"
+_MORE = "array<struct<start:int,end:int,context:string,shape:string,value:string,seed:boolean>>"
+_BASE_TYPE = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32())])
+_MORE_TYPE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("context", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("seed", pa.bool_())])
+
+
+def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.Array:
+    """A list array of structs from tuples in the order of the struct's fields."""
+    columns = zip(*chain.from_iterable(rows), strict=True) if any(rows) else [()] * len(kind)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
+
+
+def _tuples(column: pa.ListArray) -> list[list[tuple]]:
+    """The rows of a list array of base spans; a null has none."""
+    values, cuts = column.values, column.offsets.to_numpy()
+    every = list(zip(*(values.field(f.name).to_pylist() for f in _BASE_TYPE), strict=True))
+    return [every[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _with_texts(batch: pa.RecordBatch, *others: str) -> Iterator[pa.RecordBatch]:
+    """Slices with a column `text`, which stands in `row` where there is one."""
+    text = batch.column("row").field("text") if "row" in batch.schema.names else batch.column("text")
+    yield from slices(pa.RecordBatch.from_arrays([text, *(batch.column(c) for c in others)], ["text", *others]), "text")
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        base, more = [], []
-        for value in batch.column("text"):
-            text = value.as_py() or ""
-            spans = base_spans(text)
-            base.append([dict(zip(("start", "rank", "end"), s, strict=True)) for s in spans])
-            more.append([dict(zip(("start", "end", "context", "shape", "value", "seed"), x, strict=True)) for x in instances(text, spans)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(base, _BASE_TYPE), pa.array(more, _MORE_TYPE)], ["doc_id", "text_hash", "base", "more"])
+        carried = [c for c in batch.schema.names if c != "text"]
+        for part in _with_texts(batch, *carried):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            spans = [base_spans(t) for t in texts]
+            more = [instances(t, s) for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), _lists(spans, _BASE_TYPE), _lists(more, _MORE_TYPE)], [*carried, "base", "more"])
 
 
-def find(documents: DataFrame) -> DataFrame:
-    """Base spans and instances of every document, written to the shared folder."""
+def find(documents: DataFrame, rows: bool = False) -> DataFrame:
+    """doc_id, text_hash, base spans and instances of every document, written to the shared folder; with `rows`, whole rows go along,
+    so that what follows needs no second look at the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return saved(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(_find, _FOUND), "pii")
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
+    docs = documents.select(*keys, F.struct("*").alias("row") if rows else text.alias("text"))
+    carried = [f for f in docs.schema if f.name != "text"]
+    schema = T.StructType([*carried, T.StructField("base", T.DataType.fromDDL(_BASE)), T.StructField("more", T.DataType.fromDDL(_MORE))])
+    return saved(docs.mapInArrow(tidy(_find), schema), "pii")
 
 
 def confident_contexts(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -184,7 +211,7 @@ def confident_contexts(edges: DataFrame, rounds: int = ROUNDS, min_support: int
         if k + 1 < rounds:
             says = F.least(F.col("confidence"), F.lit(0.999)) * F.when(F.col("kind") == "shape", SHAPE_WEIGHT).otherwise(1.0)
             doubt = F.exp(F.sum(F.ln(1 - says)))
-            reached = graph.join(patterns, ["kind", "pattern"]).groupBy("value").agg((1 - doubt).alias("reached"))
+            reached = salted_join(graph, patterns, ["kind", "pattern"], ["value"]).groupBy("value").agg((1 - doubt).alias("reached"))
             scores = saved(seeds.join(reached, "value", "left").select("value", F.greatest("seed", F.coalesce("reached", F.lit(0.0))).alias("score")), "pii-scores")
     return patterns.where((F.col("kind") == "context") & (F.col("confidence") >= min_confidence)).select(F.col("pattern").alias("context"), "confidence")
 
@@ -193,7 +220,7 @@ def added_spans(found: DataFrame) -> DataFrame:
     """_id, _text and extra: spans that the confident contexts add to a document, outside its base spans."""
     each = found.select("doc_id", "text_hash", F.explode("more").alias("x")).select("doc_id", "text_hash", "x.*")
     contexts = confident_contexts(each.select("context", "shape", "value", "seed"))
-    hits = each.where(~F.col("seed")).join(contexts, "context", "left_semi")
+    hits = salted_join(each.where(~F.col("seed")), contexts, ["context"], ["doc_id", "start"], "left_semi")
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"))
     return saved(hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(F.collect_set(span).alias("extra")), "pii-added")
 
@@ -230,19 +257,23 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for value, extra in zip(batch.column("row").field("text").to_pylist(), batch.column("extra").to_pylist(), strict=True):
-            spans = base_spans(value or "") + [(x["start"], x["rank"], x["end"]) for x in extra or []]
-            texts.append(redacted(value, spans) if spans else value)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+        for part in _with_texts(batch, "row", "base", "extra"):
+            texts = part.column("text").to_pylist()
+            for k, (base, extra) in enumerate(zip(_tuples(part.column("base")), _tuples(part.column("extra")), strict=True)):
+                if base or extra:
+                    texts[k] = redacted(texts[k], base + extra)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """The documents with personal data replaced; all columns are kept, and n_chars follows the text."""
-    added = added_spans(find(documents))
-    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_h"))
-    rows = rows.join(added, _same("_d", "_h"), "left").select("row", "extra")
+    """The documents with personal data replaced; all columns are kept, and n_chars follows the text.
+
+    Every text is looked through once: the rows are written with what was found in them, and only they are read afterwards.
+    """
+    found = find(documents, rows=True)
+    rows = found.select("row", "base", "doc_id", "text_hash").join(added_spans(found), _same("doc_id", "text_hash"), "left").select("row", "base", "extra")
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("text", T.StringType())])
-    out = rows.mapInArrow(_redact, schema)
-    changed = {"text": F.col("text"), "n_chars": F.when(F.col("text").eqNullSafe(F.col("row.text")), F.col("row.n_chars") if "n_chars" in documents.columns else F.lit(None)).otherwise(F.length("text").cast("long"))}
+    out = rows.mapInArrow(tidy(_redact), schema)
+    n_chars = F.col("row.n_chars") if "n_chars" in documents.columns else F.lit(None)
+    changed = {"text": F.col("text"), "n_chars": F.when(F.col("text").eqNullSafe(F.col("row.text")), n_chars).otherwise(F.length("text").cast("long"))}
     return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns))

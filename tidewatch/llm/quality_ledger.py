@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import IS_WORD, joined_bytes, per_document, slices, windows, with_columns, word_hashes, word_spans
+from .shared import IS_WORD, joined_bytes, per_document, saved, slices, tidy, windows, with_columns, word_hashes, word_spans
 
 REPEAT_WINDOW = 8
 
@@ -130,7 +130,7 @@ def _failed(rules: tuple[Rule, ...]) -> Column:
 
 def ledger(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, the measurements and `failed`, in which bit k is set where rule k fails. One pass over the texts, no shuffle."""
-    return with_columns(documents, "doc_id", "text").mapInArrow(_measured, SCHEMA).withColumn("failed", _failed(rules))
+    return with_columns(documents, "doc_id", "text").mapInArrow(tidy(_measured), SCHEMA).withColumn("failed", _failed(rules))
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -162,5 +162,5 @@ def keep(documents: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
     """The documents that pass the base rules and the policy, with all their columns; no shuffle."""
     row = documents.select(F.struct("*").alias("row"))
     schema = T.StructType([T.StructField("row", row.schema["row"].dataType), *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    book = row.mapInArrow(_measured_rows, schema).withColumn("failed", _failed(RULES))
+    book = row.mapInArrow(tidy(_measured_rows), schema).withColumn("failed", _failed(RULES))
     return book.where(passes(BASE) & passes(policy)).select("row.*")

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch.functions.scratch import saved, scratch_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20
 
+#: What a remembered word takes besides its characters: a dict entry, a str head, an int and a start.
+ENTRY_BYTES = 160
+
 #: White space of every word rule here: space and \x09-\x0D.
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -26,6 +32,31 @@ _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: worker processes are used again and again, and would keep the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """The function for mapInArrow, after whose last batch a worker gives back what it has freed."""
+
+    @wraps(work)
+    def run(batches: Batches) -> Batches:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (multiply and shift)."""
     h = (h ^ (h >> np.uint64(32))) * _MUL1
@@ -102,14 +133,39 @@ def with_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[f"`{n}`"] for n in names))
 
 
+def whole_groups(batches: Batches, key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that are sorted by the key; what a task holds is a batch and the group that goes on."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        keys = table.column(key).to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+        rest = table.slice(cut)
+    if rest is not None and len(rest):
+        yield rest.combine_chunks()
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """A join in which one key may hold a large share of the rows of `left`: they are dealt out by a hash of the columns `spread`, and
+    `right`, which has few rows a key, goes to each share."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    each = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(each, [*keys, "_salt"], how).drop("_salt")
+
+
 class WordMemory:
-    """What a worker process remembers of the words it has seen: the ids of each, in one flat array. Bounded by `limit` words."""
+    """What a worker process remembers of the words it has seen: the ids of each, in one flat array. Bounded by `limit` bytes of words
+    and ids, whose number each word adds to at a fixed rate; beyond it everything is forgotten."""
 
     def __init__(self, limit: int):
         self.limit = limit
         self.forget()
 
     def forget(self) -> None:
+        self.size = 0
         self.known: dict = {}
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
@@ -118,10 +174,11 @@ class WordMemory:
         self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys)), strict=True))
         self.flat = np.concatenate((self.flat, flat))
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)))
+        self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + 4 * len(flat)
 
     def ids(self, cut: list[list[str]], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of lists of words, one list after the other, and where each list begins. `learn` gives ids and counts of new words."""
-        if len(self.known) > self.limit:
+        if self.size > self.limit:
             self.forget()
         codes = [list(map(self.known.get, c)) for c in cut]
         gaps = [[i for i, x in enumerate(k) if x is None] if None in k else () for k in codes]

@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, slices, with_columns
+from .shared import ENTRY_BYTES, saved, slices, tidy, with_columns
 
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_BYTES = 1 << 20
-#: Words that a worker remembers at most; then it forgets all and begins anew.
-CACHE_WORDS = 1_000_000
+#: Bytes of words and ids that a worker remembers at most; then it forgets all and begins anew.
+MEMORY_BYTES = 96 << 20
 
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<long>, n_ids long, payload binary"
 
@@ -128,31 +128,37 @@ class WordEncoder:
 
     A byte-level pre-tokenizer always cuts before a single white-space character between two other characters, so a text's ids are
     the ids of its pieces between such cuts, one after the other. Texts are split at spaces; a text in which a space has white space
-    beside it is encoded as a whole.
+    beside it is encoded as a whole, and so is one that holds a token added to the vocabulary (as `<|endoftext|>`), which the library
+    takes out of a text before it cuts it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for piece, k in self.tokenizer.get_vocab().items():
             self.opens[k] = piece[:1] == "Ġ"  # the space as a byte-level letter
         self.forget()
 
+    def apart(self, word: str) -> bool:
+        """Whether a text that holds the word is encoded as a whole, if the word's place in it doesn't tell."""
+        return any(t in word for t in self.added)
+
     def forget(self) -> None:
         #: Codes of the words that follow a space, and of those that begin a text. Code 0 is the end id; -1: white space beside a space.
         self.known: dict[str, int] = {}
         self.firsts: dict[str, int] = {}
         self.flat = np.zeros(1, np.uint32)
         self.starts = np.array([0, 1], np.int64)
+        self.size = 0
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str], firsts: list[str]) -> None:
-        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and not self.apart(w)]
         self.known.update(dict.fromkeys(words, -1))
         groups = [np.array(x, np.uint32) for x in self.ids_of([" " + " ".join(clean[k : k + 200]) for k in range(0, len(clean), 200)])]
         together = np.concatenate([np.zeros(0, np.uint32), *groups])
@@ -164,13 +170,14 @@ class WordEncoder:
         code = len(self.starts) - 1
         self.known.update(zip(clean, range(code, code + len(clean)), strict=True))
         self.firsts.update(zip(firsts, range(code + len(clean), code + len(lengths)), strict=True))
-        self.firsts.update({w: -1 for w in firsts if not w or w[-1].isspace()})
+        self.firsts.update({w: -1 for w in firsts if not w or w[-1].isspace() or self.apart(w)})
         self.flat = np.concatenate([self.flat, together, *(np.array(x, np.uint32) for x in lists)])
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
+        self.size += ENTRY_BYTES * (len(words) + len(firsts)) + sum(map(len, words)) + sum(map(len, firsts)) + 4 * int(lengths.sum())
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with `end` after each text, and the texts' starts."""
-        if len(self.known) > CACHE_WORDS:
+        if self.size > MEMORY_BYTES:
             self.forget()
         cut = [t.split(" ") for t in texts]
         firsts = [c[0] for c in cut]
@@ -184,10 +191,11 @@ class WordEncoder:
                 for i in g:
                     k[i] = self.known[c[i]]
         flat, starts = self.flat, self.starts
+        spaced = [t for t in self.added if " " in t]  # no word holds these
         whole: list[np.ndarray] = []  # texts that can't be cut
         for text, own, first in zip(texts, codes, firsts, strict=True):
             own[0] = self.firsts[first]
-            if -1 in own:
+            if -1 in own or (spaced and any(t in text for t in spaced)):
                 own[:] = [len(starts) - 1 + len(whole)]
                 whole.append(np.array(self.ids_of([text])[0], np.uint32))
             own.append(0)
@@ -237,7 +245,7 @@ def write_token_file(documents: DataFrame, tokenizer_path: str, end_id: int) ->
 
     docs = with_columns(documents, "doc_id", "text")
     ordered = docs.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(segments, SEGMENT_SCHEMA), "token-file")
+    return saved(ordered.mapInArrow(tidy(segments), SEGMENT_SCHEMA), "token-file")
 
 
 def read_token_file(file: DataFrame) -> DataFrame:
@@ -264,7 +272,7 @@ def read_token_file(file: DataFrame) -> DataFrame:
                     ["shard", "segment", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    read = file.select("shard", "segment", "doc_ids", "payload").mapInArrow(rows, "shard int, segment int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    read = file.select("shard", "segment", "doc_ids", "payload").mapInArrow(tidy(rows), "shard int, segment int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     found = read.join(starts, (F.col("shard") == F.col("s")) & (F.col("segment") == F.col("g")))
     return found.select("doc_id", (F.col("first") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -278,4 +286,4 @@ def document_ids(file: DataFrame) -> DataFrame:
                 ids, at = unpack(payload)
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
 
-    return file.select("doc_ids", "payload").mapInArrow(rows, "doc_id long, ids array<int>")
+    return file.select("doc_ids", "payload").mapInArrow(tidy(rows), "doc_id long, ids array<int>")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, slices, with_columns
+from .shared import saved, slices, tidy, with_columns
 
 BLOCK_IDS = 1 << 18
 
@@ -70,7 +70,7 @@ def write_flat(documents: DataFrame, ranks_path: str, pattern: str, end_id: int,
             yield row(number, np.concatenate(waiting), None, None)
 
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return saved(docs.mapInArrow(blocks, "shard int, block long, ids binary, ordinal long, doc_ids array<long>"), "flat-tokens")
+    return saved(docs.mapInArrow(tidy(blocks), "shard int, block long, ids binary, ordinal long, doc_ids array<long>"), "flat-tokens")
 
 
 def count_tokens(file: DataFrame, end_id: int) -> DataFrame:
@@ -86,7 +86,7 @@ def count_tokens(file: DataFrame, end_id: int) -> DataFrame:
                     ["shard", "block", "n", "n_ends", "ends"],
                 )
 
-    found = file.where(F.col("ids").isNotNull()).select("shard", "block", "ids").mapInArrow(scan, "shard int, block long, n long, n_ends long, ends array<int>")
+    found = file.where(F.col("ids").isNotNull()).select("shard", "block", "ids").mapInArrow(tidy(scan), "shard int, block long, n long, n_ends long, ends array<int>")
     order = Window.partitionBy("shard").orderBy("block")
     sums = found.withColumn("origin", F.sum("n").over(order) - F.col("n")).withColumn("before", F.sum("n_ends").over(order) - F.col("n_ends"))
     last = F.max(F.when(F.col("n_ends") > 0, F.col("origin") + F.element_at("ends", -1) + 1)).over(order.rowsBetween(Window.unboundedPreceding, -1))
