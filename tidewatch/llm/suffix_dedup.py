@@ -3,11 +3,12 @@
 A byte goes when a string of `length` bytes covers it that also starts in a document with a smaller doc_id. The work is dealt out by
 content:
 
-0. A text that equals the whole text of an earlier document goes as a whole, found by its SHA-256 sum; it takes no further part.
+0. Equal texts enter once, with their smallest doc_id: a row whose whole text an earlier document has (by its SHA-256 sum) loses all of
+   it. Of the removals that are left, every one is decided by the sort or by a merge of equal surroundings of one anchor before it.
 1. Documents are packed into batches (rows of a table), so that later passes find them again without a shuffle of texts.
 2. Each string of `length` bytes has an anchor: of its substrings of `ANCHOR` bytes, the one with the smallest hash, the first of
-   equals. Equal strings have equal anchors at the same place within them. Anchors go to buckets by hash; a bucket tells each
-   batch which of its anchors occur in more than one place.
+   equals. Equal strings have equal anchors at the same place within them. Anchors go to buckets by hash, whose number grows with the
+   bytes of all texts; a bucket tells each batch which of its anchors occur in more than one place.
 3. For those, batches send the anchor's surroundings: all the strings whose anchor it is. Within a batch, equal surroundings are
    sent once with their smallest doc_id and the places where they stand.
 4. A bucket makes equal surroundings one, and where an anchor has several it sorts the suffixes of their strings. Prefix polynomial hashes give the hash of any substring; binary search over them gives
@@ -34,13 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined_bytes, mix, saved, scratch_dir, slices, with_columns
+from .shared import joined_bytes, mix, salted_join, saved, scratch_dir, slices, tidy, with_columns
 
 LENGTH = 50
 ANCHOR = 32
 BATCH_BYTES = 2 << 20
 #: Strings that one sort takes together, unless one anchor has more.
 SORT_STRINGS = 400_000
+#: Bytes of text for each bucket of anchors, and for each bucket of the batch table: their numbers grow with the input.
+BUCKET_TEXT = 8 << 20
+TABLE_TEXT = 64 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LAST = np.iinfo(np.int64).max
@@ -180,6 +184,11 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)
 
 
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary row for each run of values between two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 # --- anchors --------------------------------------------------------------------------------------------------------------------
 
 
@@ -237,7 +246,7 @@ class Batch:
             self.offset = at - self.starts[self.first]
             self.doc = doc[at]
             bucket = (h[at] >> np.uint64(32)) % np.uint64(buckets)
-            code = (bucket << np.uint64(32)) | (h[at] & np.uint64(0xFFFFFFFF))
+            code = (bucket << np.uint64(32)) | (h[at] & np.uint64(0x7FFFFFFF))
             self.code, self.inverse, self.count = np.unique(code, return_inverse=True, return_counts=True)
         bounds = np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)
         self.cuts = np.searchsorted(self.code.astype(np.uint64), bounds)
@@ -289,15 +298,17 @@ def batch_table(documents: DataFrame, parts: int) -> DataFrame:
 
     spark = documents.sparkSession
     name = "scratch_batches_" + uuid.uuid4().hex
-    documents.select("doc_id", "text").mapInArrow(pack, _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    documents.select("doc_id", "text").mapInArrow(tidy(pack), _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 
-def whole_copies(documents: DataFrame, length: int) -> DataFrame:
-    """copy (a doc_id), sum, n_bytes of every row whose whole text an earlier document has; only sums are shuffled."""
+def whole_copies(documents: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """copy (a doc_id), sum, n_bytes of every row whose whole text an earlier document has, for which only sums are shuffled; and the
+    bytes of all texts that can hold a string."""
     sums = saved(documents.where("doc_id is not null").select("doc_id", F.sha2("text", 256).alias("sum"), F.octet_length("text").cast("long").alias("n_bytes")).where(F.col("n_bytes") >= length), "sums")
-    firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("sum").alias("s"), "first")
-    return saved(sums.join(firsts, F.col("sum") == F.col("s")).where("doc_id > first").select(F.col("doc_id").alias("copy"), "sum", "n_bytes"), "copies")
+    firsts = sums.groupBy("sum").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("sum", "first")
+    copies = salted_join(sums, firsts, ["sum"], ["doc_id"]).where("doc_id > first").select(F.col("doc_id").alias("copy"), "sum", "n_bytes")
+    return saved(copies, "copies"), sums.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -305,30 +316,36 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
     if not 0 <= length - anchor < 64:
         raise ValueError("an anchor lies within a string, and less than 64 bytes shorter")
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    copies = whole_copies(docs, length)
+    copies, n_bytes = whole_copies(docs, length)
+    least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least_parts, -(-n_bytes // BUCKET_TEXT))
     left = docs.withColumn("_sum", F.sha2("text", 256)).join(copies.hint("merge"), (F.col("doc_id") == F.col("copy")) & (F.col("_sum") == F.col("sum")), "left_anti")
-    batches = batch_table(left.select("doc_id", "text"), parts)
+    batches = batch_table(left.select("doc_id", "text"), max(least_parts, -(-n_bytes // TABLE_TEXT)))
 
     def opened(record: pa.RecordBatch, k: int) -> Batch:
         ids = record.column("doc_ids")[k].values
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         return Batch(ids.fill_null(0).to_numpy(), known, record.column("sizes")[k].values.to_numpy().astype(np.int64), np.frombuffer(record.column("data")[k].as_buffer(), np.uint8), length, anchor, parts)
 
+    def addressed(record: pa.RecordBatch, k: int, used: np.ndarray, values: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+        """A row for each bucket that a batch has something for."""
+        return pa.RecordBatch.from_arrays([*(pa.repeat(record.column(c)[k], len(used)) for c in ("key", "seq")), pa.array(used, pa.int32()), *values], ["key", "seq", "bucket", *names])
+
     def name_anchors(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for k in range(len(record)):
                 own = opened(record, k)
-                for b in np.flatnonzero(np.diff(own.cuts)):
-                    part = slice(own.cuts[b], own.cuts[b + 1])
-                    values = (own.code[part].astype("<u4").tobytes(), np.packbits(own.count[part] > 1).tobytes())
-                    yield pa.RecordBatch.from_arrays([record.column("key")[k : k + 1], record.column("seq")[k : k + 1], pa.array([b], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], ["key", "seq", "bucket", "codes", "several"])
+                used = np.flatnonzero(np.diff(own.cuts))
+                if len(used):  # the lowest bit: whether the batch has it several times
+                    codes = ((own.code & np.uint64(0x7FFFFFFF)).astype("<u4") << np.uint32(1)) | (own.count > 1).astype("<u4")
+                    yield addressed(record, k, used, [_binaries(codes, own.cuts[np.append(used, parts)])], ["codes"])
 
     def find_shared(table: pa.Table) -> pa.Table:
-        codes = [np.frombuffer(c, "<u4") for c in table.column("codes").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(c)).astype(bool) for c, s in zip(codes, table.column("several").to_pylist(), strict=True)])
+        codes = [np.frombuffer(c.as_buffer(), "<u4") for chunk in table.column("codes").chunks for c in chunk]
         every = np.concatenate(codes)
+        several = (every & 1).astype(bool)
+        every = every >> np.uint32(1)
         order = np.argsort(every, kind="stable")
         same = every[order][1:] == every[order][:-1]
         several[order[1:][same]] = several[order[:-1][same]] = True
@@ -336,8 +353,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
         bits = [np.packbits(x).tobytes() for x in np.split(several, ends[:-1])]
         return pa.table({"key": table.column("key"), "seq": table.column("seq"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
-    named = batches.mapInArrow(name_anchors, "key long, seq int, bucket int, codes binary, several binary")
-    shared = named.groupBy("bucket").applyInArrow(find_shared, "key long, seq int, bucket int, bits binary")
+    named = batches.mapInArrow(tidy(name_anchors), "key long, seq int, bucket int, codes binary")
+    shared = named.repartition(parts, "bucket").groupBy("bucket").applyInArrow(find_shared, "key long, seq int, bucket int, bits binary")
     seen = saved(shared.groupBy(F.col("key").alias("k1")).agg(F.collect_list(F.struct("seq", "bucket", "bits")).alias("seen")), "anchors")
 
     def own_replies(record: pa.RecordBatch, column: str, k: int) -> list[dict]:
@@ -364,20 +381,19 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
                 bucket = (own.code[own.inverse[rep]] >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
-                for b in np.flatnonzero(np.diff(cuts)):
-                    c = by[cuts[b] : cuts[b + 1]]
-                    text = own.data[_ranges(begin[c], size[c])]
-                    many = np.diff(place_cuts)[c]
-                    values = {
-                        "codes": own.code[own.inverse[rep[c]]].astype("<u4"),
-                        "strings": own.n_strings[rep[c]].astype("<u2"),
-                        "offsets": own.offset[rep[c]].astype("<u2"),
-                        "low": low[c].astype("<i8"),
-                        "many": many.astype("<i4"),
-                        "places": places[_ranges(place_cuts[c], many)].astype("<i4"),
-                        "text": text,
-                    }
-                    yield pa.RecordBatch.from_arrays([record.column("key")[k : k + 1], record.column("seq")[k : k + 1], pa.array([b], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values.values())], ["key", "seq", "bucket", *values])
+                used = np.flatnonzero(np.diff(cuts))
+                cuts = cuts[np.append(used, parts)]
+                many, width = np.diff(place_cuts)[by], size[by]
+                values = {
+                    "codes": (own.code[own.inverse[rep[by]]].astype("<u4"), cuts),
+                    "strings": (own.n_strings[rep[by]].astype("<u2"), cuts),
+                    "offsets": (own.offset[rep[by]].astype("<u2"), cuts),
+                    "low": (low[by].astype("<i8"), cuts),
+                    "many": (many.astype("<i4"), cuts),
+                    "places": (places[_ranges(place_cuts[by], many)].astype("<i4"), np.append(0, np.cumsum(many))[cuts]),
+                    "text": (own.data[_ranges(begin[by], width)], np.append(0, np.cumsum(width))[cuts]),
+                }
+                yield addressed(record, k, used, [_binaries(*v) for v in values.values()], list(values))
 
     def sort_bucket(table: pa.Table) -> pa.Table:
         kinds = {"codes": "<u4", "strings": "<u2", "offsets": "<u2", "low": "<i8", "text": "u1"}
@@ -460,11 +476,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, anchor: int = ANC
                 yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), *(pa.array(rows[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(rows["kept_sha256"]), pa.array(rows["kept"], pa.binary())], list(rows))
 
     with_seen = batches.join(seen, F.col("key") == F.col("k1"), "left")
-    sent = with_seen.select("key", "seq", "doc_ids", "sizes", "data", "seen").mapInArrow(send_surroundings, "key long, seq int, bucket int, codes binary, strings binary, offsets binary, low binary, many binary, places binary, text binary")
-    sorted_ = sent.groupBy("bucket").applyInArrow(sort_bucket, "key long, seq int, strings binary, many binary, places binary, runs binary, run binary, least binary")
+    sent = with_seen.select("key", "seq", "doc_ids", "sizes", "data", "seen").mapInArrow(tidy(send_surroundings), "key long, seq int, bucket int, codes binary, strings binary, offsets binary, low binary, many binary, places binary, text binary")
+    sorted_ = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_bucket, "key long, seq int, strings binary, many binary, places binary, runs binary, run binary, least binary")
     least = saved(sorted_.groupBy(F.col("key").alias("k2")).agg(F.collect_list(F.struct("seq", "strings", "many", "places", "runs", "run", "least")).alias("least")), "repeats")
     whole = batches.join(least, F.col("key") == F.col("k2"), "left").select("key", "seq", "doc_ids", "sizes", "data", "least")
-    rest = whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rest = whole.mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     nothing = F.lit("").cast("binary")
     gone = copies.select(F.col("copy").alias("doc_id"), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), nothing.alias("kept"))
     return rest.unionByName(gone)
