@@ -318,7 +318,7 @@ def test_nearest_repeated_rows(spark, times):
     extra = [(40, [float(x) for x in e]) for e in rng.normal(size=(30, 8)) * 3]
     for table in (rows_, rows_ + extra):
         got = {}
-        for r in multi_index.search(spark.createDataFrame(table, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", candidate_share=1.0).collect():
+        for r in multi_index.search(spark.createDataFrame(table, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", recall=1.0).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         wanted = brute.nearest(table, lambda k: k % 20 == 0)
         for q in wanted if table is rows_ else (0, 20):
@@ -333,7 +333,26 @@ def test_walk():
         a, b, held = rng.normal(size=6), rng.normal(size=5), rng.integers(0, 3, (6, 5))
         cells = multi_index.walk_cells(a, b, held, 7)
         order = sorted((-(a[i] + b[j]), i * 5 + j) for i in range(6) for j in range(5) if held[i, j])
-        assert cells == [c for _, c in order][: len(cells)] and sum(held[c // 5, c % 5] for c in cells) >= min(7, held.sum())
+        assert cells.tolist() == [c for _, c in order][: len(cells)] and sum(held[c // 5, c % 5] for c in cells) >= min(7, held.sum())
+        every = np.array([c for _, c in order])
+        assert multi_index.walk_length(a, b, held, every, 1).tolist() == np.cumsum(held.reshape(-1)[every]).tolist()
+        for run in (2, 3, 7):
+            steps = multi_index.walk_length(a, b, held, every, run)
+            for cell, n in zip(every, steps, strict=True):
+                walked = multi_index.walk_cells(a, b, held, n, run)
+                assert cell in walked and len(set(walked.tolist())) == len(walked) and held.reshape(-1)[walked].sum() == n
+
+
+def test_nearest_recall_on_the_table(spark):
+    """All queries of the whole table against brute force: recall of 0.9, and not by reading nearly all."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows_ = [(r.vec_id, r.embedding) for r in table.select("vec_id", "embedding").collect() if r.embedding is not None]
+    got = {}
+    for r in multi_index.search(table, "vec_id % 20 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wanted = brute.nearest(rows_, lambda k: k % 20 == 0)
+    assert set(got) == set(wanted) and all(len(got[q]) == 20 for q in got)
+    assert sum(len(got[q] & {v for v, _ in wanted[q]}) for q in wanted) >= 0.9 * 20 * len(wanted)
 
 
 # 8

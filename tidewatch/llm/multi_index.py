@@ -2,9 +2,13 @@
 
 A vector is cut into two halves, and each half is quantised with a codebook of its own, fitted by k-means on a bounded sample. The
 pair of codes is the vector's cell, and every vector is in the index. A query scores the codes of each half and walks the pairs of
-codes in the order of their summed score with a heap, until the cells it passed hold `candidates` different vectors; all vectors of
+codes in the order of their summed score with a heap, until the cells it passed hold a number of different vectors; all vectors of
 those cells are ranked again by the exact inner product.
 
+The number of codes grows with the square root of the number of vectors, up to a bound, so that a cell holds few. How far queries walk
+is measured: for a fixed number of vectors the true nearest ones are found among all, and the walk is as long as it takes to reach the
+wanted share of those. So it is short where vectors lie in clusters, and long where they fill space evenly.
+
 Nearness is the inner product, and so is the score of a half and a code; the sum over both halves orders the cells.
 
 Vectors that are equal have the same score for every query, so the index holds one entry a different vector, and its vec_ids follow by
@@ -26,13 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, tidy
 
 NEAREST = 20
-#: Codes of a half (64 at most, a word of bits), vectors of the sample that codebooks are fitted on, and k-means steps: fixed numbers.
-CODES = 64
+#: Bounds of the number of codes of a half, vectors of the sample that codebooks are fitted on, k-means steps, vectors on which the
+#: length of walks is measured, and queries whose walks are in memory at once: fixed numbers.
+CODES = (16, 256)
 SAMPLE = 20_000
 STEPS = 8
+PROBES = 128
+ASKED = 512
+#: Share of the true nearest that walks are to reach.
+RECALL = 0.95
+#: Vectors of a part of a strip; a task has a part.
+PART = 1 << 16
 #: Vectors of a block.
 BLOCK = 1024
 
@@ -55,21 +66,44 @@ def nearest_code(half: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.argmin((centres**2).sum(axis=1)[None, :] - 2 * half @ centres.T, axis=1)
 
 
-def walk_cells(first: np.ndarray, second: np.ndarray, held: np.ndarray, candidates: int) -> list[int]:
-    """Cells (i * codes + j) by descending first[i] + second[j], until they hold `candidates` vectors."""
+def walk_cells(first: np.ndarray, second: np.ndarray, held: np.ndarray, candidates: int, run: int = 1) -> np.ndarray:
+    """Cells (i * codes + j) by descending first[i] + second[j], until they hold `candidates` vectors.
+
+    The heap's steps are runs of second codes whose scores are next to each other; a run counts by its best.
+    """
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, out, total = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, [], 0
+    sums = np.add.reduceat(held[:, b], np.arange(0, len(b), run), axis=1).tolist()
+    one, two = first[a].tolist(), second[b][::run].tolist()
+    strips = a.tolist()
+    heap, out, total = [(-(one[0] + two[0]), 0, 0)], [], 0
     while heap and total < candidates:
         _, i, j = heapq.heappop(heap)
-        n = int(held[a[i], b[j]])
+        n = sums[strips[i]][j]
         if n:
-            out.append(int(a[i]) * len(second) + int(b[j]))
+            out.append((strips[i], j))
             total += n
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(first[a[x]] + second[b[y]]), x, y))
-    return out
+        # each run has one way to it: along its strip, or from the strip before to a strip's first run
+        if j + 1 < len(two):
+            heapq.heappush(heap, (-(one[i] + two[j + 1]), i, j + 1))
+        if j == 0 and i + 1 < len(one):
+            heapq.heappush(heap, (-(one[i + 1] + two[0]), i + 1, 0))
+    if not out:
+        return np.zeros(0, np.int64)
+    strip, at = np.array(out, np.int64).T
+    place = at[:, None] * run + np.arange(run)
+    cells = strip[:, None] * len(b) + b[np.minimum(place, len(b) - 1)]
+    return cells[(place < len(b)) & (held.reshape(-1)[cells] > 0)]
+
+
+def walk_length(first: np.ndarray, second: np.ndarray, held: np.ndarray, cell: np.ndarray, run: int) -> np.ndarray:
+    """The vectors that a walk has passed when it reaches each of the cells."""
+    b = np.argsort(-second, kind="stable")
+    lead = np.empty_like(second)
+    lead[b] = np.repeat(second[b][::run], run)[: len(b)]
+    score = (first[:, None] + lead[None, :]).reshape(-1)
+    order = np.argsort(-score, kind="stable")
+    passed = np.cumsum(held.reshape(-1)[order])
+    return passed[np.searchsorted(-score[order], -score[cell], side="right") - 1]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -87,13 +121,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candidate_share: float = 0.5, least_candidates: int = 400, codes: int = CODES) -> DataFrame:
+def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, recall: float = RECALL, least_candidates: int = 400) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the nearest found of every row for which `is_query` (SQL on vec_id) holds.
 
-    A query looks at candidate_share of all different vectors, and at least_candidates at least.
+    A query looks at so many vectors as the wanted recall takes, and at least_candidates at least; a recall of 1 takes all.
     """
-    if codes > 64:
-        raise ValueError("a strip's second codes are the bits of one word: 64 codes at most")
     spark = embeddings.sparkSession
     rows = saved(usable(embeddings), "vectors")
     key = F.sha2(F.array_join(F.transform("embedding", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256)
@@ -111,8 +143,11 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
     spread, room = most_own > nearest, nearest + min(most_own, nearest)
 
     # the sample: the entries with the smallest hashes, a fixed number
-    sample = np.array([r[0] for r in entries.orderBy("same").limit(SAMPLE).select("embedding").toLocalIterator()])
+    drawn = entries.orderBy("same").limit(SAMPLE).select("entry", "embedding").collect()
+    sample = np.array([r.embedding for r in drawn])
     cut = max(1, sample.shape[1] // 2)
+    codes = int(np.clip(1 << round(np.log2(n_entries) / 2), *CODES))
+    run = max(1, codes // 32)
     books = fit_codebook(sample[:, :cut], codes, 1), fit_codebook(sample[:, cut:], codes, 2)
     shared_books = spark.sparkContext.broadcast(books)
     n_second = len(books[1])
@@ -124,12 +159,35 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
             cell = nearest_code(m[:, :cut], one) * len(two) + nearest_code(m[:, cut:], two)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("entry", "first", "alone", "embedding")), pa.array(cell.astype(np.int32))], ["entry", "first", "alone", "embedding", "cell"])
 
-    placed = saved(entries.select("entry", "first", "alone", "embedding").mapInArrow(place, "entry long, first long, alone boolean, embedding array<double>, cell int"), "cells")
+    placed = saved(entries.select("entry", "first", "alone", "embedding").mapInArrow(tidy(place), "entry long, first long, alone boolean, embedding array<double>, cell int"), "cells")
     held = np.zeros((len(books[0]), n_second), np.int64)
     for cell, n in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # codes ** 2 rows at most
         held[cell // n_second, cell % n_second] = n
-    wanted = max(least_candidates, int(np.ceil(candidate_share * n_entries)))
     shared_held = spark.sparkContext.broadcast(held)
+    n_words = -(-n_second // 64)
+    n_parts = np.maximum(1, -(-held.sum(axis=1) // PART))
+
+    def true_nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = probes_of.value
+        for batch in batches:
+            score = q @ _matrix(batch.column("embedding")).T
+            score[ids[:, None] == batch.column("entry").to_numpy()[None, :]] = -np.inf
+            few = min(nearest, len(batch))
+            best = np.argpartition(-score, few - 1, axis=1)[:, :few]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), few)), pa.array(np.take_along_axis(score, best, axis=1).reshape(-1)), batch.column("cell").take(pa.array(best.reshape(-1)))], ["probe", "score", "cell"])
+
+    wanted = n_entries
+    if recall < 1:
+        few = min(PROBES, len(drawn))
+        probes_of = spark.sparkContext.broadcast((np.array([r.entry for r in drawn[:few]]), sample[:few]))
+        near = placed.select("entry", "embedding", "cell").mapInArrow(tidy(true_nearest), "probe int, score double, cell int")
+        rows_of = _first(near.where("score > double('-inf')"), "probe", nearest, F.desc("score"), F.asc("cell")).collect()  # PROBES * nearest rows at most
+        steps = []
+        for k in range(few):
+            cells = np.array([r.cell for r in rows_of if r.probe == k], np.int64)
+            steps.append(walk_length(books[0] @ sample[k, :cut], books[1] @ sample[k, cut:], held, cells, run))
+        steps = np.sort(np.concatenate(steps))
+        wanted = max(least_candidates, int(steps[min(len(steps) - 1, int(np.ceil(recall * len(steps))))]) if len(steps) else 0)
 
     # queries are asked once for each different vector
     asked = keyed.where(is_query).select("vec_id", "same")
@@ -138,35 +196,39 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = shared_books.value
         for batch in batches:
-            m = _matrix(batch.column("embedding"))
-            masks = np.zeros((len(one), len(m)), np.uint64)
-            for k, (f, s) in enumerate(zip(m[:, :cut] @ one.T, m[:, cut:] @ two.T, strict=True)):
-                cells = np.array(walk_cells(f, s, shared_held.value, wanted), np.int64)
-                np.bitwise_or.at(masks[:, k], cells // n_second, np.uint64(1) << (cells % n_second).astype(np.uint64))
-            ids = batch.column("entry").to_numpy()
-            for strip in np.flatnonzero(masks.any(axis=1)):
-                own = np.flatnonzero(masks[strip])
-                for k in range(0, len(own), BLOCK):
-                    part = own[k : k + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, m, masks[strip]))], ["strip", "asked", "vectors", "masks"])
+            every = _matrix(batch.column("embedding"))
+            for start in range(0, len(every), ASKED):
+                m, ids = every[start : start + ASKED], batch.column("entry").to_numpy()[start : start + ASKED]
+                masks = np.zeros((len(one), len(m), n_words), np.uint64)
+                for k, (f, s) in enumerate(zip(m[:, :cut] @ one.T, m[:, cut:] @ two.T, strict=True)):
+                    strip, code = np.divmod(walk_cells(f, s, shared_held.value, wanted, run), n_second)
+                    np.bitwise_or.at(masks, (strip, k, code // 64), np.uint64(1) << (code % 64).astype(np.uint64))
+                for strip in np.flatnonzero(masks.any(axis=(1, 2))):
+                    own = np.flatnonzero(masks[strip].any(axis=1))
+                    for part in range(n_parts[strip]):
+                        yield pa.RecordBatch.from_arrays([pa.array([strip], pa.int32()), pa.array([part], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, m, masks[strip]))], ["strip", "part", "asked", "vectors", "masks"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m, cell, ids, firsts = _matrix(batch.column("embedding")), *(batch.column(c).to_numpy() for c in ("cell", "entry", "first"))
+            m, cell, ids, firsts, part = _matrix(batch.column("embedding")), *(batch.column(c).to_numpy() for c in ("cell", "entry", "first", "part"))
             alone = batch.column("alone").to_numpy(zero_copy_only=False).astype(bool)
-            order = np.argsort(cell // n_second, kind="stable")
-            cuts = np.flatnonzero(np.diff(cell[order] // n_second, prepend=-1, append=-1))
+            strip = (cell // n_second).astype(np.int64)
+            key = strip << 32 | part
+            order = np.argsort(key, kind="stable")
+            cuts = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for k in range(a, b, BLOCK):
-                    part = order[k : min(b, k + BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array([cell[part[0]] // n_second], pa.int32()), *(pa.array([x[part].tobytes()], pa.binary()) for x in (ids, firsts, alone, m, (cell % n_second).astype(np.uint8)))], ["strip", "entries", "firsts", "alone", "held", "codes"])
+                    own = order[k : min(b, k + BLOCK)]
+                    yield pa.RecordBatch.from_arrays([pa.array(strip[own[:1]], pa.int32()), pa.array(part[own[:1]], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, firsts, alone, m, (cell % n_second).astype(np.uint8)))], ["strip", "part", "entries", "firsts", "alone", "held", "codes"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked_ids, q, masks, entry_ids, firsts, alone, v, codes in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes")), strict=True):
                 asked_ids, entry_ids, firsts, alone = np.frombuffer(asked_ids, np.int64), np.frombuffer(entry_ids, np.int64), np.frombuffer(firsts, np.int64), np.frombuffer(alone, bool)
                 q, v = np.frombuffer(q).reshape(len(asked_ids), -1), np.frombuffer(v).reshape(len(entry_ids), -1)
-                walked = (np.frombuffer(masks, np.uint64)[:, None] >> np.frombuffer(codes, np.uint8).astype(np.uint64)) & np.uint64(1) == 1
+                codes = np.frombuffer(codes, np.uint8).astype(np.uint64)
+                words = np.frombuffer(masks, np.uint64).reshape(len(asked_ids), n_words)[:, (codes // 64).astype(np.int64)]
+                walked = (words >> (codes % 64)) & np.uint64(1) == 1
                 rough = np.where(walked, q @ v.T, -np.inf)
                 top = len(entry_ids) if spread else min(room, len(entry_ids))
                 limit = -np.partition(-rough, top - 1, axis=1)[:, top - 1]
@@ -187,9 +249,10 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, candida
                 best = np.arange(len(i)) - np.searchsorted(i, i) < room
                 yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i[best]]), *(pa.array(x[j[best]]) for x in (entry_ids, firsts, alone)), pa.array(score[best])], ["asked", "entry", "first", "alone", "score"])
 
-    probes = asked_entries.select("entry", "embedding").mapInArrow(walk, "strip int, asked binary, vectors binary, masks binary")
-    blocks = placed.repartition((F.col("cell") / n_second).cast("int")).mapInArrow(block, "strip int, entries binary, firsts binary, alone binary, held binary, codes binary")
-    found = probes.join(blocks, "strip").select("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes").mapInArrow(rank, "asked long, entry long, first long, alone boolean, score double")
+    probes = asked_entries.select("entry", "embedding").mapInArrow(tidy(walk), "strip int, part int, asked binary, vectors binary, masks binary")
+    part_of = F.pmod("entry", F.element_at(F.array(*(F.lit(int(k)) for k in n_parts)), (F.col("cell") / n_second).cast("int") + 1)).cast("int")
+    blocks = placed.withColumn("part", part_of).repartition((F.col("cell") / n_second).cast("int"), "part").mapInArrow(tidy(block), "strip int, part int, entries binary, firsts binary, alone binary, held binary, codes binary")
+    found = probes.join(blocks, ["strip", "part"]).select("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes").mapInArrow(tidy(rank), "asked long, entry long, first long, alone boolean, score double")
 
     if spread:
         own = F.row_number().over(Window.partitionBy("asked", "first", "alone").orderBy(F.desc("score"), "entry"))
