@@ -48,7 +48,7 @@ def test_poisson(spark):
 def test_mix_many_sources(spark, monkeypatch):
     ids = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), (F.col("id") % 7).cast("string").alias("source"))
     plain = rows(mixing.mix(ids, {}), "doc_id", "copy", "shuffle_key")
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 1)
     assert rows(mixing.mix(ids, {}), "doc_id", "copy", "shuffle_key") == plain
 
 
@@ -166,6 +166,13 @@ def test_policies(odd, empty):
         for rule in policy.rules:
             without = quality_ledger.Policy("x", tuple(x for x in policy.rules if x != rule))
             assert book.where(quality_ledger.passes(without)).count() - kept == table[rule].n_only_this_rule
+    verdicts = quality_ledger.judged(book).collect()
+    assert len(verdicts) == odd.count()
+    for r in verdicts:
+        masks = {p.version: quality_ledger.mask_of(p) for p in quality_ledger.POLICIES}
+        assert [r.kept_base, r.kept_2024_1, r.kept_2024_2] == [not r.failed & m for m in masks.values()]
+        alone = [x.name for k, x in enumerate(quality_ledger.RULES) if r.failed & masks["2024-2"] == 1 << k]
+        assert [r.only_rule] == (alone or [None]) and r.n_only_rule == (sum(v.only_rule == r.only_rule for v in verdicts) if alone else None)
     out = quality_ledger.keep(odd)
     assert out.columns == odd.columns and quality_ledger.keep(empty).count() == 0
     wanted = book.where(quality_ledger.passes(quality_ledger.BASE) & quality_ledger.passes(quality_ledger.POLICIES[-1]))

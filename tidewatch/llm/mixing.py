@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .shared import saved
 
-#: Rows of the rate table up to which it is broadcast (about 1 kB each at most rates under 5).
-BROADCAST_SOURCES = 2_000
+#: Bytes of the rate table (sources and distributions) up to which it is broadcast.
+BROADCAST_BYTES = 4 << 20
 SALTS = 32
 
 
@@ -31,9 +31,14 @@ def uniform(*parts: Column | str) -> Column:
 def poisson_distribution(mean: Column) -> Column:
     """The distribution function at 0, 1, 2, ... as far as a double can tell it from 1."""
     top = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
-    log_factorial = F.transform(F.sequence(F.lit(0), top), lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda a, i: a + F.ln(F.greatest(i, F.lit(1)).cast("double"))))
-    mass = F.transform(log_factorial, lambda f, k: F.exp(k * F.ln(mean) - mean - f))
-    return F.when(mean > 0, F.transform(mass, lambda _, k: F.aggregate(F.slice(mass, F.lit(1), k + 1), F.lit(0.0), lambda a, p: a + p))).otherwise(F.array(F.lit(1.0)))
+    empty = F.struct((-mean).alias("log_mass"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("sums"))
+
+    def step(state: Column, k: Column) -> Column:
+        log_mass = state["log_mass"] + F.when(k > 0, F.ln(mean) - F.ln(k.cast("double"))).otherwise(0.0)
+        total = state["sum"] + F.exp(log_mass)
+        return F.struct(log_mass.alias("log_mass"), total.alias("sum"), F.array_append(state["sums"], total).alias("sums"))
+
+    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(0), top), empty, step, lambda state: state["sums"])).otherwise(F.array(F.lit(1.0)))
 
 
 def repetition_rates(documents: DataFrame, weights: dict[str, float], default_weight: float = 1.0, size: float = 1.0) -> DataFrame:
@@ -51,7 +56,8 @@ def mix(documents: DataFrame, weights: dict[str, float], default_weight: float =
     rates = repetition_rates(documents, weights, default_weight, size)
     table = saved(rates.select(F.col("source").alias("_source"), poisson_distribution(F.col("rate")).alias("_distribution")), "rates")
     row = documents.select(F.struct("*").alias("_row"), F.col("source").alias("_s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"))
-    if table.count() <= BROADCAST_SOURCES:
+    size = F.octet_length(F.coalesce("_source", F.lit(""))) + 8 * F.size("_distribution") + 64
+    if (table.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
         joined = row.join(F.broadcast(table), F.col("_s").eqNullSafe(F.col("_source")))
     else:  # a source may hold a third of all rows: deal each out over SALTS keys
         salted = row.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))

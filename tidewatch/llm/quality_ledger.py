@@ -129,8 +129,9 @@ def _failed(rules: tuple[Rule, ...]) -> Column:
 
 
 def ledger(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measurements and `failed`, in which bit k is set where rule k fails. One pass over the texts, no shuffle."""
-    return with_columns(documents, "doc_id", "text").mapInArrow(tidy(_measured), SCHEMA).withColumn("failed", _failed(rules))
+    """doc_id, the measurements and `failed`, in which bit k is set where rule k fails; written to the shared folder. One pass over the
+    texts, no shuffle; all policies and ablations read the ledger alone."""
+    return saved(with_columns(documents, "doc_id", "text").mapInArrow(tidy(_measured), SCHEMA).withColumn("failed", _failed(rules)), "ledger")
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -158,6 +159,23 @@ def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
     )
 
 
+def only_rule(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The name of the rule that alone rejects a document under the policy, null where none or several do."""
+    counted = F.col("failed").bitwiseAND(F.lit(mask_of(policy, rules)).cast("long"))
+    return F.coalesce(*(F.when(counted == 1 << k, F.lit(r.name)) for k, r in enumerate(rules)))
+
+
+def judged(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger with the verdict of every policy (kept_<version>), the rule that alone rejects a document under the newest one, and
+    how many documents that one would give back if the rule were dropped."""
+    newest = policies[-1]
+    # a row for each rule of the policy
+    gains = ablations(book, (newest,), rules).select(F.col("rule").alias("_rule"), F.col("n_only_this_rule").alias("n_only_rule"))
+    versions = [passes(p, rules).alias("kept_" + p.version.replace("-", "_")) for p in policies]
+    rows = book.select("*", *versions, only_rule(newest, rules).alias("only_rule"))
+    return rows.join(F.broadcast(gains), F.col("only_rule") == F.col("_rule"), "left").drop("_rule")
+
+
 def keep(documents: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
     """The documents that pass the base rules and the policy, with all their columns; no shuffle."""
     row = documents.select(F.struct("*").alias("row"))

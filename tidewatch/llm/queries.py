@@ -32,9 +32,9 @@ def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_ledger.ledger(_table(spark, sf_dir, "documents"))
-    base, policy = quality_ledger.passes(quality_ledger.BASE), quality_ledger.passes(quality_ledger.POLICIES[-1])
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & policy).alias("kept"))
+    book = quality_ledger.judged(quality_ledger.ledger(_table(spark, sf_dir, "documents")))
+    verdicts = [(~F.col("kept_base")).alias("base_failed"), (F.col("kept_base") & F.col("kept_2024_2")).alias("kept")]
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *verdicts, "failed", "kept_2024_1", "only_rule", "n_only_rule")
 
 
 def op5_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,13 +97,16 @@ counted AS (
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
     length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_letters
   FROM d LEFT JOIN repeated USING (doc_id) LEFT JOIN line_counts USING (doc_id)),
-judged AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    2 * n_symbols > n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR word_chars > 15 * n_words OR (n_letters >= 100 AND 2 * n_upper > n_letters) AS policy_failed
+bits AS (
+  SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
+    + CASE WHEN n_lines >= 4 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN n_letters >= 100 AND 2 * n_upper > n_letters THEN 32 ELSE 0 END)::BIGINT AS failed
   FROM counted)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT policy_failed AS kept
-FROM judged
+  n_repeat_words::BIGINT AS n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, failed & 15 = 0 AS kept_2024_1,
+  CASE failed WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'long_words' WHEN 32 THEN 'shouting' END AS only_rule,
+  CASE WHEN failed IN (1, 2, 4, 8, 16, 32) THEN count(*) OVER (PARTITION BY failed) END::BIGINT AS n_only_rule
+FROM bits
 """
 
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{k}' THEN {w}::DOUBLE" for k, w in MIX_WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
