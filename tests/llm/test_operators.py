@@ -230,6 +230,7 @@ def test_jaccard(spark, odd_rows, size, percent):
 def test_jaccard_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "MET_LIST", 2)
     monkeypatch.setattr(jaccard_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     docs = [(k, " ".join(f"w{(k * 7 + j) % 23 if j % 9 == k % 9 else j}" for j in range(60))) for k in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     same(jaccard_join.near_duplicates(df, 2, 60), brute.components(docs, 2, 60), "doc_id", "n_shingles", "component_id")

@@ -50,6 +50,8 @@ BLOCK_BYTES = 8 << 20
 MET_LIST = 64
 #: Bytes of sketches that are compared in one step.
 STEP_BYTES = 16 << 20
+#: Counted doc_ids (8 bytes each) up to which those whose sets are wanted go to the texts; beyond, the texts are joined with them.
+BROADCAST_IDS = 500_000
 
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
@@ -373,7 +375,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     repeats = _repeats(full)
 
     def whole_sets(ids: DataFrame) -> DataFrame:
-        wanted = docs.join(ids, "doc_id", "left_semi")
+        ids = saved(ids, "wanted")
+        wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         # a document of several rows has a set for each, and links where one of them does
         return saved((wanted.dropDuplicates(["doc_id", "text"]) if repeats else wanted).mapInArrow(tidy(whole), "rep long, members binary"), "sets")
 
