@@ -24,9 +24,9 @@ def _identity(value: object, url: bool) -> bool:
     if isinstance(value, bool):
         return False
     if isinstance(value, int):
-        return not url
-    shape = r"\S{1,512}" if url else r"[A-Za-z0-9._-]{2,128}"
-    return isinstance(value, str) and bool(re.fullmatch(shape, value))
+        return True
+    shape = r"[A-Za-z0-9._\-/:%?&=+,~@#]{2,512}" if url else r"[A-Za-z0-9._\-]{2,128}"
+    return isinstance(value, str) and bool(re.fullmatch(shape, value.strip()))
 
 
 def looks_like_row(x: object) -> bool:

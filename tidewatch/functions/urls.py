@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -108,7 +111,96 @@ def long_numbers(url: Column) -> Column:
 
 
 def href_pattern(href: Column) -> Column:
-    return F.regexp_replace(href, "[0-9]+", "{n}")
+    """Numbers that are a query value or a whole segment, as {n}."""
+    return F.regexp_replace(F.regexp_replace(href, "=[0-9]+", "={n}"), "/[0-9]+(/|$)", "/{n}$1")
+
+
+def is_script(href: Column) -> Column:
+    """Whether a link leads nowhere by itself: blank, a fragment or a script."""
+    return F.coalesce(F.trim(href) == "", F.lit(True)) | F.coalesce(href.rlike(r"(?i)^\s*(#|javascript:)"), F.lit(False))
+
+
+def absolute(href: Column, base: Column) -> Column:
+    """A link as the page at `base` means it: with its own scheme, of the same scheme, from the root, or next to the page."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path(base), "^(.*/)", 1)
+    return (
+        F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(root, path(base), href))
+        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
+    )
+
+
+def without_fragment(url: Column) -> Column:
+    """For comparing: no fragment, no slashes at the end, lower case; a null is empty."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "(?s)#.*$", ""), "/+$", ""))
+
+
+def grounded(url: Column) -> Column:
+    """As without_fragment, with runs of slashes as one, but for those behind the scheme."""
+    return F.regexp_replace(without_fragment(url), "(?<!:)/+|(?<=:)/{3,}", "/")
+
+
+def fits_template(template: str, url: Column) -> Column:
+    """Whether a URL is the template with something in its places {post_id}, {id}, {board}, {page}."""
+    # the template is known when the plan is built
+    t = re.sub(r"(?<!:)/+|(?<=:)/{3,}", "/", template.split("#")[0].rstrip("/").lower())
+    pattern = "".join("[^/?#&]+" if x in ("{post_id}", "{id}", "{board}", "{page}") else re.escape(x) for x in re.split(r"(\{(?:post_id|id|board|page)\})", t))
+    u = grounded(url)
+    return F.lit(bool(t)) & (u != "") & ((u == t) | u.rlike(f"^(?:{pattern})$"))
+
+
+def endpoint_family(template: str, url: Column) -> Column:
+    """Whether both have the same host and, but for numbers and the place {post_id}, the same path."""
+    t = F.lit(template.replace("{post_id}", "0"))
+    shape = lambda x: F.regexp_replace(F.lower(F.regexp_replace(path(x), "/+$", "")), "[0-9]+", "*")
+    return F.coalesce((host(t) == host(url)) & (shape(t) == shape(url)), F.lit(False))
+
+
+def sitemap_url(url: Column) -> Column:
+    """Scheme and host in lower case, a path of at least a slash, the query, no fragment; null without scheme or host."""
+    u = F.trim(url)
+    p, q = path(u), query(u)
+    whole = F.concat(F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)), F.when(p == "", "/").otherwise(p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    return F.when(host(u).isNotNull(), whole)
+
+
+#: Words of a board's URL.
+BOARD_WORDS = ("notice", "bbs", "board", "news", "article", "post", "공지", "게시판", "뉴스", "글")
+
+
+def board_score(url: Column) -> Column:
+    """How much a URL looks like a list of posts."""
+    p, q = path(url), F.concat(F.lit("?"), query(url))
+    named = F.concat(F.lower(p), q).rlike("|".join(BOARD_WORDS))
+    depth = F.size(F.filter(F.split(p, "/"), lambda s: s != ""))
+    points = ((3, named), (2, q.rlike("(?i)[?&](id|no|page|p|bid|cid|board)=")), (1, p.rlike("/[0-9]{3,}(/|$)")), (1, depth.between(1, 3)))
+    return reduce(lambda a, b: a + b, (F.when(when, F.lit(n)).otherwise(F.lit(0)) for n, when in points))
+
+
+def with_query(url: Column, updates: dict[str, Column]) -> Column:
+    """The URL with these query values; other keys keep their order and their repeats, the new ones follow."""
+    parts = F.filter(F.split(query(url), "&"), lambda x: x != "")
+    kept = F.filter(parts, lambda x: ~F.split_part(x, F.lit("="), F.lit(1)).isin(*updates))
+    kept = F.transform(kept, lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))
+    new = F.array(*(F.concat(F.lit(k + "="), F.url_encode(v.cast("string"))) for k, v in updates.items()))
+    every = F.array_join(F.concat(kept, new), "&")
+    head, tail = F.regexp_extract(url, "^([^?#]*)", 1), F.regexp_extract(url, "(#.*)$", 1)
+    return F.concat(head, F.lit("?"), every, tail)
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """The template with its places {name} filled; a null is empty, and an unknown place stays as it is."""
+    found = re.split(r"(\{[A-Za-z_][A-Za-z0-9_]*\})", template)
+    return F.concat(*(F.coalesce(values[x[1:-1]].cast("string"), F.lit("")) if x[1:-1] in values and x.startswith("{") else F.lit(x) for x in found if x))
+
+
+def proxied(url: Column, proxy: str | None) -> Column:
+    """The proxy's URL with the percent-encoded target in its place."""
+    quoted = F.replace(F.url_encode(url), F.lit("+"), F.lit("%20"))
+    return F.replace(F.lit(proxy), F.lit("{target}"), quoted) if proxy else url
 
 
 def urls_in_text(text: Column) -> Column:
@@ -119,35 +211,47 @@ def urls_in_text(text: Column) -> Column:
 
 def article_score(url: Column, site: Column) -> Column:
     """Additive score of how much a URL looks like one article of the site; null gives -1."""
-    p, q = path(url), query(url)
+    p, q = F.lower(path(url)), F.lower(query(url))
 
     def plus(n: int, when: Column) -> Column:
         return F.when(when, F.lit(n)).otherwise(F.lit(0))
 
-    last = F.element_at(F.split(F.rtrim(p, F.lit("/")), "/"), -1)
     total = (
         plus(4, same_site(url, site))
         + plus(1, ~p.isin("", "/"))
         + plus(2, F.concat(p, F.lit("?"), q).rlike("[0-9]{3,}"))
-        + plus(1, F.lower(p).rlike("view|detail|article|notice|read|thread|post|bbs|board"))
+        + plus(1, p.rlike("view|detail|article|notice|read|thread|post|bbs|board"))
         + plus(-3, q.rlike("(^|&)(sort|filter|search|keyword|query|q|page|category)="))
         + plus(-2, p.rlike("/(search|list|index|all|category|tag|sort|filter)(/|$)"))
-        + plus(-3, p.rlike("/(members|profiles|users)(/|$)"))
-        + plus(-2, p.rlike("/(forums|boards|categories)(/|$)|/(board|forum|node|category)/[0-9]+"))
+        + plus(-3, p.rlike("/(members?|profiles?|users?)(/|$)"))
+        + plus(-3, q.rlike("(^|&)(u|user|userid|member)="))
+        + plus(-2, p.rlike("/(forums|boards|categories)(/|$)|/(board|forum|node|category)/[0-9]+/?$"))
         + plus(-3, p.rlike("/archives?(/|$)"))
-        + plus(1, (F.length(last) >= 5) & (q == "") & last.rlike("^[A-Za-z0-9_-]+$"))
+        + plus(-3, p.rlike("/[a-z]+_list(/|$)"))
+        + plus(1, (q == "") & p.rlike("/[a-z0-9][a-z0-9_-]{4,}/?$"))
     )
-    return F.when(url.isNull(), F.lit(-1)).otherwise(total)
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit(-1)).otherwise(total)
+
 
+def page_link(template: str, page: Column, param: str | None = "page", mode: str = "query_param", unit: int | None = None, page_size: int = 20, page_size_max: int | None = None, size_param: str | None = None, board: str = "", when_paged: dict[str, str] | None = None) -> Column:
+    """The URL of a page of a list. Its places {board}, {page}, {page_size} are filled, with page_size cut to the maximum.
 
-def page_link(template: str, page: Column, param: str = "page", mode: str = "query_param", unit: int = 1) -> Column:
-    """The URL of a page of a list: `none`, `query_param` (always set) or `offset` ((page - 1) * unit, beyond the first)."""
-    base = F.lit(template)
-    join = F.lit("&" if "?" in template else "?")
+    Modes: `none`; `query_param` sets page and size always; `offset` sets (page - 1) * unit and the unit beyond the first page;
+    `path_segment` leaves it to the place {page}. Beyond the first page the parameters `when_paged` are added, but in mode `none`.
+    """
+    size = min(page_size, page_size_max) if page_size_max is not None else page_size
+    base = rendered(template, {"board": F.lit(board), "page": page, "page_size": F.lit(size)})
+    extra = {k: F.lit(v) for k, v in (when_paged or {}).items()}
+    step = size if unit is None else unit
     if mode == "none":
         return base
     if mode == "query_param":
-        return F.concat(base, join, F.lit(param + "="), page.cast("string"))
-    if mode == "offset":
-        return F.when(page > 1, F.concat(base, join, F.lit(param + "="), ((page - 1) * unit).cast("string"))).otherwise(base)
-    raise ValueError(f"unknown pagination {mode!r}")
+        always = {k: v for k, v in ((param, page), (size_param, F.lit(size))) if k}
+        later = always | extra
+    elif mode == "offset":
+        always, later = {}, {k: v for k, v in ((param, (page - 1) * step), (size_param, F.lit(step))) if k} | extra
+    elif mode == "path_segment":
+        always, later = {}, extra
+    else:
+        raise ValueError(f"unknown pagination {mode!r}")
+    return F.when(page > 1, with_query(base, later) if later else base).otherwise(with_query(base, always) if always else base)

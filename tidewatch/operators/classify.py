@@ -121,7 +121,9 @@ def failure(status: Column, rc: Column, tail: Column) -> tuple[Column, Column]:
         .otherwise("unknown")
     )
     last_check = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\[FAIL\]\s+([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.lit(-1))
-    timeout = text.rlike(r"validate_internal_timeout_[0-9]+s")
+    # of attempts that say what failed, the last one counts
+    errors = F.regexp_extract_all(text, F.lit(r'"error"\s*:\s*"((?:\\.|[^"\\])*)"'), F.lit(1))
+    timeout = F.coalesce(F.try_element_at(errors, F.lit(-1)), text).rlike(r"validate_internal_timeout_[0-9]+s")
     known = F.when(last_check.isin(*KNOWN_CHECKS), last_check)
     generation = F.coalesce(known, F.when(timeout, F.lit("validate_timeout")), last_check, _first_token(text, GENERATION))
     recogniser = F.when(text.rlike(r"recognize_reject\s+\([^)]+\)"), F.concat(F.lit("recognizer:"), F.trim(F.regexp_extract(text, r"recognize_reject\s+\(([^)]+)\)", 1))))
@@ -155,7 +157,8 @@ def site_kind(feed: Column, link_feed: Column, audio: Column, rows: Column, sema
         .when(~feed & ~link_feed & script & (rows < 3), "spa_rendered")
         .otherwise("unknown")
     )
-    confidence = F.when(kind == "unknown", "low").when(~feed & link_feed, "medium").when((kind == "static_html") & (rows < 10), "medium").otherwise("high")
+    weak = (~feed & link_feed) | ((kind == "static_html") & (rows < 10)) | ((kind == "hybrid") & ~semantic)
+    confidence = F.when(kind == "unknown", "low").when(weak, "med").otherwise("high")
     return kind, confidence
 
 

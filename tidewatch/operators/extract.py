@@ -15,10 +15,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,8 +160,8 @@ def posts_of(rows: DataFrame, spec: dict, keys: tuple[str, ...], page_size: int
     names = list(_sources(spec))
     extra = [n for n in names if n not in STANDARD]
     out = rows.where(F.coalesce(F.trim("post_id"), F.lit("")) != "")
-    if page_size:
-        out = out.where(F.col("row_no") <= page_size)
+    if page_size:  # of the rows that stay
+        out = out.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))).where(F.col("_place") <= page_size)
     raw = F.map_filter(F.create_map(*(x for n in extra for x in (F.lit(n), F.col(n)))), lambda _, v: v.isNotNull()) if extra else F.create_map().cast("map<string,string>")
     return out.select(*keys, "row_no", *(F.coalesce("title", F.lit("")).alias("title") if n == "title" else F.col(n) for n in names if n in STANDARD), raw.alias("raw"))
 
@@ -172,12 +171,22 @@ def scan_html(pages: DataFrame, spec: dict, site: str = "", board: str = "", pag
     return posts_of(fields_of(html_rows(pages, spec), spec, site=site, board=board), spec, ("page_id", "url") if "url" not in spec["fields"] else ("page_id",), page_size)
 
 
+def _succeeded(spec: dict, body: str) -> Column:
+    gate = spec.get("success_when")
+    return json_path(F.col(body), gate["path"]).eqNullSafe(F.lit(str(gate["equals"]))) if gate else F.lit(True)
+
+
+def failed_payloads(payloads: DataFrame, spec: dict, body: str = "body") -> DataFrame:
+    """The payloads that don't pass the specification's success test, with what they had instead. scan_json leaves them out, and whoever
+    scans can count, keep or refuse them."""
+    gate = spec.get("success_when", {"path": []})
+    return payloads.where(~_succeeded(spec, body)).withColumn("found", json_path(F.col(body), gate["path"]))
+
+
 def scan_json(payloads: DataFrame, spec: dict, body: str = "body", keys: tuple[str, ...] = ("page_id",), site: str = "", board: str = "", page_size: int | None = None) -> DataFrame:
     """A list scan of JSON payloads: success test, list path, values of an object as a list, item sub-path, allowed types, fields."""
     check(spec)
-    rows = payloads
-    if gate := spec.get("success_when"):
-        rows = rows.where(json_path(F.col(body), gate["path"]).eqNullSafe(F.lit(str(gate["equals"]))))
+    rows = payloads.where(_succeeded(spec, body))
     found = json_path(F.col(body), spec.get("list_path", [])) if spec.get("list_path") else F.col(body)
     if spec.get("list_values"):
         items = F.map_values(F.from_json(found, "map<string,string>"))
@@ -207,7 +216,3 @@ def with_articles(posts: DataFrame, articles: DataFrame, columns: dict[str, bool
 def decoded(body: Column, charset: str) -> Column:
     """Bytes as text in one of Spark's charsets; bytes that don't fit are replaced."""
     return F.decode(body, charset)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import classify
+
 
 def owed_posts(posts: DataFrame, subscriptions: DataFrame, deliveries: DataFrame) -> DataFrame:
     """slug, post_id, target_id of posts that a target is owed: collected since its first subscription to the slug, and not in the ledger."""
@@ -45,13 +47,20 @@ def latest_with_ties(rows: DataFrame, key: str, order: str) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
-def catalogue_status(entries: DataFrame, jobs: DataFrame, configured: DataFrame) -> DataFrame:
-    """entry_id, url, whether configured, and status by the latest job: registered, untried or the job's status."""
-    last = jobs.groupBy("url").agg(F.max_by(F.struct("status", "result_rc"), "id").alias("j"))
-    known = configured.select("url").distinct().withColumn("configured", F.lit(True))
-    rows = entries.join(last, "url", "left").join(known, "url", "left")
+def catalogue_status(entries: DataFrame, jobs: DataFrame, configured: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """entry_id, url, whether configured, and status: registered, untried, or the kind of failure of the latest registration.
+
+    An entry counts as configured under its own URL or, by the table aliases (url, other), under another one. A registration that ended
+    well but left no configuration is no registered entry; it keeps the kind `done`.
+    """
+    last = jobs.where("kind = 'register'").groupBy("url").agg(F.max_by(F.struct("status", "result_rc", "result_tail"), "id").alias("j"))
+    known = configured.select("url").distinct()
+    if aliases is not None:
+        known = known.unionByName(aliases.join(known.withColumnRenamed("url", "other"), "other", "left_semi").select("url")).distinct()
+    rows = entries.join(last, "url", "left").join(known.withColumn("configured", F.lit(True)), "url", "left")
     configured_ = F.coalesce("configured", F.lit(False))
-    status = F.when(configured_ | (F.col("j.status") == "done"), F.lit("registered")).when(F.col("j").isNull(), F.lit("untried")).otherwise(F.col("j.status"))
+    kind, _ = classify.failure(F.col("j.status"), F.col("j.result_rc"), F.col("j.result_tail"))
+    status = F.when(configured_, F.lit("registered")).when(F.col("j").isNull(), F.lit("untried")).otherwise(kind)
     return rows.select("entry_id", "url", configured_.alias("configured"), status.alias("status"))
 
 
@@ -87,19 +96,24 @@ def first_rule(rows: DataFrame, url: str, rules: Sequence[tuple[str, str]]) -> D
 
 
 def policy_hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """url_id and the first rule (smallest priority) that rejects it.
+    """url_id and the first rule (smallest priority) that rejects it, from url_id, host, path.
 
-    A rule has a host suffix, a path prefix or both, which must then both hold. Rows meet only the rules of a suffix of their host, by
-    equality, or rules without a host, of which a policy has a handful: they are joined by the first path segment.
+    A rule (priority, rule, host_suffix, path_prefix, path_ext, root_only) has a host suffix, a path prefix or both, which must then both
+    hold; `root_only` confines a host to its root; an ending of the path rejects by itself. Rows meet rules by equality alone: of a
+    suffix of their host, of one of their path's prefixes, or of their path's ending.
     """
-    labels = F.split("host", r"\.")
+    labels = F.split(F.rtrim(F.lower("host"), F.lit(".")), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    rows = rows.where("host is not null")
-    by_host = rows.withColumn("suffix", F.explode(suffixes)).join(rules.where("host_suffix is not null"), F.col("suffix") == F.col("host_suffix"))
-    by_host = by_host.where("path_prefix is null or startswith(path, path_prefix)")
-    by_path = rows.withColumn("segment", F.concat(F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))))
-    by_path = by_path.join(rules.where("host_suffix is null"), F.col("segment") == F.col("path_prefix"))
-    hits = by_host.select("url_id", "priority", "rule").unionByName(by_path.select("url_id", "priority", "rule"))
+    low = F.lower(F.coalesce("path", F.lit("")))
+    segments = F.split(F.regexp_replace(low, "^/|/+$", ""), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), k), "/")))
+    rows = rows.select("url_id", "host", low.alias("path"), prefixes.alias("prefixes"))
+    wanted = rules.select("priority", "rule", F.lower("host_suffix").alias("host_suffix"), F.rtrim(F.lower("path_prefix"), F.lit("/")).alias("path_prefix"), F.lower("path_ext").alias("path_ext"), F.coalesce("root_only", F.lit(False)).alias("root_only"))
+    by_host = rows.where("host is not null").withColumn("host_suffix", F.explode(suffixes)).join(wanted.where("host_suffix is not null"), "host_suffix")
+    by_host = by_host.where("(path_prefix is null and (not root_only or path in ('', '/'))) or array_contains(prefixes, path_prefix)")
+    by_path = rows.withColumn("path_prefix", F.explode("prefixes")).join(wanted.where("host_suffix is null and path_prefix is not null"), "path_prefix")
+    by_end = rows.withColumn("path_ext", F.regexp_extract("path", r"(\.[^./]+)$", 1)).join(wanted.where("path_ext is not null"), "path_ext")
+    hits = reduce(DataFrame.unionByName, (x.select("url_id", "priority", "rule") for x in (by_host, by_path, by_end)))
     return hits.groupBy("url_id").agg(F.min_by("rule", "priority").alias("rule"))
 
 
@@ -149,9 +163,12 @@ def shared_keys(rows: DataFrame, left: str, right: str) -> DataFrame:
 def filters_pass(posts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """slug, post_id, target_id and whether any of the target's filters lets the post pass; an empty filter passes all.
 
-    Filters of a target and slug are gathered once and not per post.
+    Each different filter of a slug is looked for once a post, and only what passed is joined with the targets: texts never meet them.
     """
-    wanted = subscriptions.groupBy("slug", "target_id").agg(F.bool_or(F.coalesce("filter_prompt", F.lit("")) == "").alias("any"), F.collect_set("filter_prompt").alias("filters"))
-    rows = posts.select("slug", "post_id", "text").join(wanted, "slug")
-    hit = F.col("any") | F.exists("filters", lambda f: F.contains(F.lower("text"), F.lower(f)))
-    return rows.select("slug", "post_id", "target_id", hit.alias("passes"))
+    wanted = subscriptions.select("slug", "target_id", F.lower(F.coalesce("filter_prompt", F.lit(""))).alias("filter")).distinct()
+    filters = wanted.groupBy("slug").agg(F.collect_set("filter").alias("filters"))
+    lowered = F.lower("text")
+    hits = posts.select("slug", "post_id", lowered.alias("text")).join(filters, "slug").select("slug", "post_id", F.explode(F.filter("filters", lambda f: F.contains(F.col("text"), f))).alias("filter"))
+    passed = hits.join(wanted, ["slug", "filter"]).select("slug", "post_id", "target_id").distinct()
+    every = posts.select("slug", "post_id").join(wanted.select("slug", "target_id").distinct(), "slug")
+    return every.join(passed.withColumn("passes", F.lit(True)), ["slug", "post_id", "target_id"], "left").select("slug", "post_id", "target_id", F.coalesce("passes", F.lit(False)).alias("passes"))

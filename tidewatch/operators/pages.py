@@ -12,11 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import dom, urls
+from tidewatch.functions.transforms import html_unescape
 
-NODE = "page_id long, node int, parent int, position int, tag string, element_id string, classes array<string>, attrs map<string,string>, own_text string, text string, n_children int"
+NODE = "page_id long, node int, parent int, position int, tag string, element_id string, classes array<string>, attrs map<string,string>, own_text string, text string, n_children int, ancestors array<int>, skeleton boolean"
 SKIPPED = ("script", "style", "meta", "link")
-#: Characters of a repeating pattern's sample.
+#: Characters of a repeating pattern's sample, and of a data attribute's value, and attributes of a row.
 MAX_SAMPLE = 120
+MAX_VALUE = 80
+MAX_ATTRS = 8
+#: Marks of rows that are only drawn until data comes, descendants that are looked at for them, and tags of drawings.
+SKELETON = re.compile(r"skeleton|loading|placeholder", re.I)
+SKELETON_DEPTH = 10
+VISUAL = ("svg", "g", "path", "circle", "rect", "polygon", "use", "defs")
 #: Characters of text that one batch of nodes holds at most, unless a single node has more.
 BATCH_CHARS = 8 << 20
 #: Schema.org's types of an article, and how deep they are looked for.
@@ -28,7 +35,8 @@ MAX_LD_DEPTH = 8
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """Every element of every page (page_id, html) as a row, with its own text and all text within it."""
+    """Every element of every page (page_id, html) as a row, with its own text and all text within it; an anchor with the nodes that it
+    lies in, and whether a node holds one that only fills a place until data comes."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -36,18 +44,32 @@ def nodes(pages: DataFrame) -> DataFrame:
                 root = dom.parse(text or "")
                 every = list(root.walk())
                 number = {id(n): k for k, n in enumerate(every)}
+                last = list(range(len(every)))  # of each node's descendants, which follow it
+                for k in range(len(every) - 1, -1, -1):
+                    if (up := number.get(id(every[k].parent), -1)) >= 0:
+                        last[up] = max(last[up], last[k])
+                marked = [bool(SKELETON.search(n.attrs.get("class", ""))) for n in every]
+                bare = [any(marked[k + 1 : min(last[k], k + SKELETON_DEPTH) + 1]) for k in range(len(every))]
                 start, texts, size = 0, [], 0
                 for k, n in enumerate(every):
                     texts.append(("".join(p for p in n.parts if isinstance(p, str)).strip(), n.text()))
                     size += len(texts[-1][0]) + len(texts[-1][1])
                     if size >= BATCH_CHARS or k + 1 == len(every):
-                        yield _rows(page_id, every[start : k + 1], start, number, texts)
+                        yield _rows(page_id, every[start : k + 1], start, number, texts, bare)
                         start, texts, size = k + 1, [], 0
 
     return pages.select("page_id", "html").mapInArrow(explode, NODE)
 
 
-def _rows(page_id: int, own: list[dom.Node], start: int, number: dict[int, int], texts: list[tuple[str, str]]) -> pa.RecordBatch:
+def _above(node: dom.Node, number: dict[int, int]) -> list[int]:
+    out, up = [], node.parent
+    while up is not None and id(up) in number:
+        out.append(number[id(up)])
+        up = up.parent
+    return out
+
+
+def _rows(page_id: int, own: list[dom.Node], start: int, number: dict[int, int], texts: list[tuple[str, str]], bare: list[bool]) -> pa.RecordBatch:
     columns = [
         [page_id] * len(own),
         list(range(start, start + len(own))),
@@ -60,8 +82,10 @@ def _rows(page_id: int, own: list[dom.Node], start: int, number: dict[int, int],
         [t for t, _ in texts],
         [t for _, t in texts],
         [len(n.children) for n in own],
+        [_above(n, number) if n.tag == "a" else None for n in own],
+        bare[start : start + len(own)],
     ]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODE.split(", ")])
 
 
@@ -86,31 +110,65 @@ def names_article(script):
 
 
 def signature(tag: Column, classes: Column) -> Column:
-    """tag.class1.class2"""
-    return F.array_join(F.concat(F.array(tag), F.slice(classes, 1, 2)), ".")
+    """tag.class1.class2 with all classes."""
+    return F.array_join(F.concat(F.array(tag), classes), ".")
+
+
+def common_prefix(texts: Column) -> Column:
+    """What all texts of an array begin with: what the least and the greatest of them share. Null where that is nothing."""
+    low, high = F.array_min(texts), F.array_max(texts)
+    n = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda k: F.substr(low, F.lit(1), k) == F.substr(high, F.lit(1), k)))
+    return F.nullif(F.substr(low, F.lit(1), n), F.lit(""))
 
 
-def repeating_patterns(node_rows: DataFrame, least: int = 3, most: int = 15) -> DataFrame:
-    """Groups of like children of one parent, ranked within each page: page_id, selector, n, sample, href_pattern, place.
+def row_links(node_rows: DataFrame, page_urls: DataFrame | None = None) -> DataFrame:
+    """page_id, row, href (the link of all anchors in a node, or of itself, that most looks like an article) and first_attrs (of its first
+    anchor); page_urls (page_id, url) tells links of the site apart."""
+    anchors = node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"), "attrs", F.concat(F.array("node"), "ancestors").alias("rows"))
+    anchors = anchors.join(page_urls.select("page_id", F.col("url").alias("base")), "page_id", "left") if page_urls is not None else anchors.withColumn("base", F.lit(None).cast("string"))
+    full = F.coalesce(urls.absolute(F.col("href"), F.col("base")), "href")
+    score = F.when(urls.is_script(F.col("href")), F.lit(-1)).otherwise(urls.article_score(full, F.col("base")))
+    scored = anchors.select("page_id", "node", "href", "attrs", score.alias("score"), F.explode("rows").alias("row"))
+    return scored.groupBy("page_id", "row").agg(F.max_by("href", F.struct(F.col("score"), -F.col("node"))).alias("href"), F.min_by("attrs", "node").alias("first_attrs"))
 
-    Children are grouped by page, parent and signature, which is one aggregate; anchors are joined by the row they lie in.
+
+def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None, least: int = 3, most: int = 15) -> DataFrame:
+    """Groups of like children of one parent, ranked within each page: page_id, selector, n, sample, href_pattern, href_prefix, sample_href,
+    href_is_script, variants (signatures of the parent's other groups of that tag), merged_count, data_attrs (of the first row), place.
+
+    Children are grouped by page, parent and signature, which is one aggregate; anchors are joined by the row they lie in. Groups whose
+    first row only fills a place until data comes are left out.
     """
     rows = node_rows.where((F.col("tag") != "") & ~F.col("tag").isin(*SKIPPED))
-    parents = node_rows.where(F.col("n_children") >= least).where("tag <> 'head'").select(
-        F.col("page_id").alias("p"), F.col("node").alias("up"), F.when(F.col("element_id").isNotNull(), F.concat(F.lit("#"), "element_id")).otherwise(F.array_join(F.concat(F.array("tag"), "classes"), ".")).alias("parent_signature")
-    )
-    anchors = node_rows.where("tag = 'a'").select("page_id", F.col("parent").alias("row"), F.col("attrs")["href"].alias("href"))
-    anchors = anchors.unionByName(node_rows.where("tag = 'a'").select("page_id", F.col("node").alias("row"), F.col("attrs")["href"].alias("href")))
-    first = anchors.groupBy("page_id", "row").agg(F.min("href").alias("href")).select(F.col("page_id").alias("ap"), "row", "href")
-    rows = rows.join(parents, (F.col("page_id") == F.col("p")) & (F.col("parent") == F.col("up"))).join(first, (F.col("page_id") == F.col("ap")) & (F.col("node") == F.col("row")), "left")
-    groups = rows.groupBy("page_id", "parent", "parent_signature", signature(F.col("tag"), F.col("classes")).alias("own")).agg(
-        F.count("*").alias("n"), F.min_by(F.substring("text", 1, MAX_SAMPLE), "node").alias("sample"), F.min_by("href", "node").alias("href")
+    selector = F.when(F.col("element_id").isNotNull(), F.concat(F.lit("#"), "element_id")).otherwise(signature(F.col("tag"), F.col("classes")))
+    parents = node_rows.where(F.col("n_children") >= least).where("tag <> 'head'").select(F.col("page_id").alias("p"), F.col("node").alias("up"), selector.alias("parent_signature"))
+    found = row_links(node_rows, page_urls).select(F.col("page_id").alias("ap"), "row", "href", "first_attrs")
+    rows = rows.join(parents, (F.col("page_id") == F.col("p")) & (F.col("parent") == F.col("up"))).join(found, (F.col("page_id") == F.col("ap")) & (F.col("node") == F.col("row")), "left")
+    real = F.when(~urls.is_script(F.col("href")), F.col("href"))
+    data = F.map_filter(F.map_concat(F.map_filter(F.coalesce("first_attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(F.col("attrs"), k)), "attrs"), lambda k, _: k.startswith("data-"))
+    groups = rows.withColumn("real", real).groupBy("page_id", "parent", "parent_signature", "tag", signature(F.col("tag"), F.col("classes")).alias("own")).agg(
+        F.count("*").alias("n"),
+        F.min_by(F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, MAX_SAMPLE), "node").alias("sample"),
+        F.min_by("real", F.when(F.col("real").isNotNull(), F.col("node"))).alias("sample_href"),
+        (F.count("href") > 0).alias("linked"),
+        F.collect_set("real").alias("reals"),
+        F.min_by("skeleton", "node").alias("skeleton"),
+        F.min_by(data, "node").alias("data"),
     )
-    groups = groups.where(F.col("n") >= least).withColumn("selector", F.concat_ws(" > ", "parent_signature", "own"))
-    order = (F.desc("n"), F.desc(F.col("href").isNotNull()), F.desc(F.length("sample")), F.asc("selector"), F.asc("parent"))
+    siblings = groups.where("n >= 2").groupBy("page_id", "parent", "tag").agg(F.sum("n").alias("all_n"), F.collect_set("own").alias("all_own"))
+    groups = groups.where((F.col("n") >= least) & ~F.col("skeleton")).join(siblings, ["page_id", "parent", "tag"], "left")
+    others = F.array_sort(F.array_remove("all_own", F.col("own")))
+    attrs = F.map_from_entries(F.slice(F.array_sort(F.map_entries("data")), 1, MAX_ATTRS))
+    groups = groups.select(
+        "page_id", "parent", F.concat_ws(" > ", "parent_signature", "own").alias("selector"), "n", "sample", "sample_href", urls.href_pattern(F.col("sample_href")).alias("href_pattern"),
+        common_prefix(F.col("reals")).alias("href_prefix"), (F.col("linked") & F.col("sample_href").isNull()).alias("href_is_script"), others.alias("variants"),
+        F.when(F.size(others) > 0, F.col("all_n")).alias("merged_count"), F.transform_values(attrs, lambda _, v: F.substring(v, 1, MAX_VALUE)).alias("data_attrs"),
+        (F.when(F.col("sample_href").isNull(), 1).otherwise(0) + F.when(F.col("sample") == "", 1).otherwise(0) + F.when(F.col("tag").isin(*VISUAL), 2).otherwise(0)).alias("penalty"),
+    )
+    order = (F.asc("penalty"), F.desc("n"), F.desc(F.col("sample_href").isNotNull()), F.desc(F.length("sample")), F.asc("selector"), F.asc("parent"))
     best = groups.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "selector").orderBy(*order))).where("k = 1")
     ranked = best.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(*order))).where(F.col("place") <= most)
-    return ranked.select("page_id", "selector", "n", "sample", urls.href_pattern(F.col("href")).alias("href_pattern"), "place")
+    return ranked.drop("k", "penalty", "parent")
 
 
 def links(node_rows: DataFrame) -> DataFrame:
@@ -152,11 +210,10 @@ def pager_hints(node_rows: DataFrame, first: int = 500, most: int = 8) -> DataFr
 
 
 def page_text(html: Column, most: int = 6000) -> Column:
-    """Visible text, roughly: scripts, styles and comments cut, tags as line breaks, common entities read."""
+    """Visible text, roughly: scripts, styles and comments cut, tags as line breaks, entities read."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", ""), r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = F.replace(html_unescape(text), F.lit("\u00a0"), F.lit(" "))
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     return F.substring(F.array_join(lines, "\n"), 1, most)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scratch import scratch_dir
+from tidewatch.functions.scratch import saved, scratch_dir
 
 
 def failure_streak(jobs: DataFrame, key: str = "slug", most: int = 20) -> DataFrame:
@@ -56,13 +56,15 @@ def page(rows: DataFrame, offset: int, limit: int, *order: Column) -> DataFrame:
 def queue_position(jobs: DataFrame) -> DataFrame:
     """Pending jobs with the number of pending ones before them by (priority, id).
 
-    Ranks come from counts by priority and a window within each, so no task holds the whole queue of other priorities.
+    The queue is dealt out in ranges of (priority, id); a job's place is its place in its range after the lengths of the ranges before,
+    of which there is a row each. So no task holds the whole queue, nor all of one priority.
     """
-    pending = jobs.where("status = 'pending'").select("id", "priority")
-    counts = pending.groupBy("priority").agg(F.count("*").alias("n"))
-    before = counts.select(F.col("priority").alias("p"), (F.sum("n").over(Window.orderBy("priority")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("priority").orderBy("id")) - 1
-    return pending.withColumn("inner", rank).join(before, F.col("priority") == F.col("p")).select("id", "priority", (F.col("before") + F.col("inner")).alias("position"))
+    # written, as the lengths and the places must come from the same ranges
+    ranges = saved(jobs.where("status = 'pending'").select("id", "priority").repartitionByRange("priority", "id").withColumn("part", F.spark_partition_id()), "queue")
+    counts = ranges.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("priority", "id")) - 1
+    return ranges.withColumn("inner", rank).join(before, "part").select("id", "priority", (F.col("before") + F.col("inner")).alias("position"))
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
