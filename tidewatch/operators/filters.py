@@ -87,6 +87,10 @@ def recent_requests(jobs: DataFrame, since: Column) -> DataFrame:
 PRIVATE = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|22[4-9]\.|2[3-5][0-9]\.)"
 
 
+#: As above, for addresses of version 6: none, this host, mapped private ones, unique local, link local, multicast, documentation.
+PRIVATE_6 = r"(?i)^\[(::1?\]|::ffff:(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|2001:0?db8:|64:ff9b:|100::)"
+
+
 def url_problem(url: Column) -> Column:
     """The first structural reason against a URL, null if there is none."""
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
@@ -98,7 +102,7 @@ def url_problem(url: Column) -> Column:
         .when(~F.lower(url).rlike("^https?://"), "scheme")
         .when(authority.contains("@"), "user info")
         .when(name == "", "no host")
-        .when(name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | authority.startswith("["), F.when(name.rlike(PRIVATE), "private address").otherwise("address"))
+        .when(name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | authority.startswith("["), F.when(name.rlike(PRIVATE) | authority.rlike(PRIVATE_6), "private address").otherwise("address"))
     )
 
 

@@ -167,8 +167,7 @@ def filters_pass(posts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """
     wanted = subscriptions.select("slug", "target_id", F.lower(F.coalesce("filter_prompt", F.lit(""))).alias("filter")).distinct()
     filters = wanted.groupBy("slug").agg(F.collect_set("filter").alias("filters"))
-    lowered = F.lower("text")
-    hits = posts.select("slug", "post_id", lowered.alias("text")).join(filters, "slug").select("slug", "post_id", F.explode(F.filter("filters", lambda f: F.contains(F.col("text"), f))).alias("filter"))
+    hits = posts.select("slug", "post_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(filters, "slug").select("slug", "post_id", F.explode(F.filter("filters", lambda f: F.contains(F.col("text"), f))).alias("filter"))
     passed = hits.join(wanted, ["slug", "filter"]).select("slug", "post_id", "target_id").distinct()
     every = posts.select("slug", "post_id").join(wanted.select("slug", "target_id").distinct(), "slug")
     return every.join(passed.withColumn("passes", F.lit(True)), ["slug", "post_id", "target_id"], "left").select("slug", "post_id", "target_id", F.coalesce("passes", F.lit(False)).alias("passes"))

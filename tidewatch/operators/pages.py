@@ -126,9 +126,10 @@ def row_links(node_rows: DataFrame, page_urls: DataFrame | None = None) -> DataF
     anchor); page_urls (page_id, url) tells links of the site apart."""
     anchors = node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"), "attrs", F.concat(F.array("node"), "ancestors").alias("rows"))
     anchors = anchors.join(page_urls.select("page_id", F.col("url").alias("base")), "page_id", "left") if page_urls is not None else anchors.withColumn("base", F.lit(None).cast("string"))
-    full = F.coalesce(urls.absolute(F.col("href"), F.col("base")), "href")
-    score = F.when(urls.is_script(F.col("href")), F.lit(-1)).otherwise(urls.article_score(full, F.col("base")))
-    scored = anchors.select("page_id", "node", "href", "attrs", score.alias("score"), F.explode("rows").alias("row"))
+    # a link's full form and its score are columns of their own: written out in each other they make code too long to compile
+    anchors = anchors.withColumn("full", F.coalesce(urls.absolute(F.col("href"), F.col("base")), "href"))
+    anchors = anchors.withColumn("score", F.when(urls.is_script(F.col("href")), F.lit(-1)).otherwise(urls.article_score(F.col("full"), F.col("base"))))
+    scored = anchors.select("page_id", "node", "href", "attrs", "score", F.explode("rows").alias("row"))
     return scored.groupBy("page_id", "row").agg(F.max_by("href", F.struct(F.col("score"), -F.col("node"))).alias("href"), F.min_by("attrs", "node").alias("first_attrs"))
 
 
@@ -214,7 +215,7 @@ def page_text(html: Column, most: int = 6000) -> Column:
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1>", ""), r"(?s)<!--.*?-->", "")
     text = F.regexp_replace(bare, r"(?s)<[^>]*>", "\n")
     text = F.replace(html_unescape(text), F.lit("\u00a0"), F.lit(" "))
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.array_join(lines, "\n"), 1, most)
 
 

@@ -295,13 +295,13 @@ def owed_posts(posts, subscriptions, deliveries):
     return joins.owed_posts(posts, subscriptions, deliveries)
 
 
-@query("posts", "subscriptions", "deliveries", sql="""
-WITH since AS (SELECT slug, target_id, min(created_at) AS since FROM subscriptions WHERE user_id % 40 < 3 GROUP BY ALL),
-d AS (SELECT DISTINCT slug, post_id, target_id FROM deliveries)
+@query("posts", "watches", "handed", sql="""
+WITH since AS (SELECT slug, target_id, min(created_at) AS since FROM watches GROUP BY ALL),
+d AS (SELECT DISTINCT slug, post_id, target_id FROM handed)
 SELECT slug, post_id FROM posts p WHERE collected_at < timestamp '2024-01-20 12:00:00' - interval 7 day AND NOT EXISTS (
   SELECT 1 FROM since s WHERE s.slug = p.slug AND p.collected_at >= s.since AND NOT EXISTS (SELECT 1 FROM d WHERE d.slug = p.slug AND d.post_id = p.post_id AND d.target_id = s.target_id))""")
-def gc_candidates(posts, subscriptions, deliveries):
-    return joins.collectable_posts(posts, subscriptions.where("user_id % 40 < 3"), deliveries, F.expr(f"{NOW} - interval 7 days"))
+def gc_candidates(posts, watches, handed):
+    return joins.collectable_posts(posts, watches, handed, F.expr(f"{NOW} - interval 7 days"))
 
 
 @query("subscriptions", "preferences", sql="SELECT DISTINCT user_id FROM subscriptions s LEFT JOIN preferences p USING (user_id) WHERE coalesce(opted_out, false) = false")
@@ -320,13 +320,20 @@ def latest_job_ties(jobs):
 
 
 @query("entries", "jobs", sql="""
-WITH e AS (SELECT entry_id, 'http://h' || (entry_id % 30) || '.example.com/b/' || (entry_id % 200) AS url FROM entries),
-l AS (SELECT url, arg_max(status, id) AS status FROM jobs GROUP BY url), c AS (SELECT DISTINCT url FROM jobs WHERE result_rc = 0 AND attempts = 0)
-SELECT e.entry_id, e.url, c.url IS NOT NULL AS configured, CASE WHEN c.url IS NOT NULL OR l.status = 'done' THEN 'registered' WHEN l.url IS NULL THEN 'untried' ELSE l.status END AS status
-FROM e LEFT JOIN l ON l.url = e.url LEFT JOIN c ON c.url = e.url""")
+WITH e AS (SELECT entry_id, 'http://' || CASE WHEN entry_id % 4 = 3 THEN 'www.' ELSE '' END || 'h' || (entry_id % 30) || '.example.com/b/' || (entry_id % 200) AS url FROM entries),
+l AS (SELECT url, status, result_rc AS rc, coalesce(result_tail, '') AS t FROM jobs WHERE kind = 'register' QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1),
+k AS (SELECT url, CASE WHEN status IN ('pending', 'running') THEN status WHEN rc = 0 AND status <> 'failed' THEN 'done' WHEN rc = 1 THEN 'gen_fail' WHEN rc = 4 OR (rc = 2 AND contains(t, 'TARGET_NOT_FOUND')) THEN 'url_dead' WHEN rc = 2 THEN 'policy_reject'
+  WHEN rc = 5 THEN 'capability_blocked' WHEN rc = 3 THEN 'gate_reject' WHEN rc IN (-1, -2, -3, -4, -5, -99) OR (status = 'failed' AND rc = 0) THEN 'bug' ELSE 'unknown' END AS kind FROM l),
+c AS (SELECT DISTINCT url FROM jobs WHERE result_rc = 0 AND attempts = 0),
+a AS (SELECT url FROM c UNION SELECT replace(url, 'http://', 'http://www.') FROM c)
+SELECT e.entry_id, e.url, a.url IS NOT NULL AS configured, CASE WHEN a.url IS NOT NULL THEN 'registered' WHEN k.url IS NULL THEN 'untried' ELSE k.kind END AS status
+FROM e LEFT JOIN k ON k.url = e.url LEFT JOIN a ON a.url = e.url""")
 def catalogue_status(entries, jobs):
-    e = entries.select("entry_id", F.concat(F.lit("http://h"), (F.col("entry_id") % 30).cast("string"), F.lit(".example.com/b/"), (F.col("entry_id") % 200).cast("string")).alias("url"))
-    return joins.catalogue_status(e, jobs, jobs.where("result_rc = 0 and attempts = 0"))
+    """Entries under www. are known by their alias without it."""
+    n = F.col("entry_id")
+    e = entries.select("entry_id", F.concat(F.lit("http://"), F.when(n % 4 == 3, "www.").otherwise(""), F.lit("h"), (n % 30).cast("string"), F.lit(".example.com/b/"), (n % 200).cast("string")).alias("url"))
+    aliases = e.where("entry_id % 4 = 3").select("url", F.replace("url", F.lit("://www."), F.lit("://")).alias("other")).distinct()
+    return joins.catalogue_status(e, jobs, jobs.where("result_rc = 0 and attempts = 0"), aliases)
 
 
 @query("jobs", sql="SELECT id FROM jobs WHERE status = 'pending' AND (slug IS NULL OR slug NOT IN (SELECT slug FROM jobs WHERE status = 'running' AND slug IS NOT NULL))")
@@ -360,14 +367,28 @@ def rule_match(entries):
     return joins.first_rule(entries, "url", RULES).select("entry_id", "rule")
 
 
-POLICY = ((1, "spam", "spam-farm.example.org", None), (2, "german", "example.org", "/de"), (3, "spanish", None, "/es"), (4, "french", "example.net", "/fr"), (5, "pills", "cheap-pills.example.com", None))
+POLICY = (
+    (1, "spam", "spam-farm.example.org", None, None, False),
+    (2, "german", "example.org", "/de", None, False),
+    (3, "spanish", None, "/es", None, False),
+    (4, "french", "example.net", "/fr", None, False),
+    (5, "pills", "cheap-pills.example.com", None, None, False),
+    (6, "deep", None, "/deep/er", None, False),
+    (7, "document", None, None, ".pdf", False),
+    (8, "root", "example.com", None, None, True),
+)
 
 
-@query("entries", sql=URL_PARTS + ", r(priority, rule, h, p) AS (VALUES " + ", ".join(f"({a}, '{b}', {repr(c) if c else 'NULL'}, {repr(d) if d else 'NULL'})" for a, b, c, d in POLICY) + """)
-SELECT entry_id AS url_id, arg_min(rule, priority) AS rule FROM u JOIN r ON (h IS NULL OR host = h OR ends_with(host, '.' || h)) AND (p IS NULL OR starts_with(path, p)) GROUP BY entry_id""")
+@query("entries", sql=URL_PARTS + """, w AS (SELECT entry_id, host, CASE entry_id % 5 WHEN 0 THEN '/deep/er/x' WHEN 1 THEN '/files/a.PDF' WHEN 2 THEN '/' ELSE lower(path) END AS path FROM u),
+r(priority, rule, h, p, x, o) AS (VALUES """ + ", ".join(f"({a}, '{b}', {repr(c) if c else 'NULL'}, {repr(d) if d else 'NULL'}, {repr(x) if x else 'NULL'}, {o})" for a, b, c, d, x, o in POLICY) + """)
+SELECT entry_id AS url_id, arg_min(rule, priority) AS rule FROM w JOIN r ON (x IS NOT NULL AND ends_with(lower(path), x)) OR ((h IS NOT NULL OR p IS NOT NULL) AND (h IS NULL OR host = h OR ends_with(host, '.' || h))
+  AND (p IS NULL OR path = p OR starts_with(path, p || '/')) AND (NOT o OR path IN ('', '/'))) GROUP BY entry_id""")
 def url_policy(entries):
-    rules = entries.sparkSession.createDataFrame(POLICY, "priority int, rule string, host_suffix string, path_prefix string")
-    return joins.policy_hits(_parts(entries).withColumnRenamed("entry_id", "url_id"), rules)
+    """Rules of hosts, paths of any depth, endings and roots, over paths that each of them meets."""
+    rules = entries.sparkSession.createDataFrame(POLICY, "priority int, rule string, host_suffix string, path_prefix string, path_ext string, root_only boolean")
+    n = F.col("entry_id") % 5
+    path = F.when(n == 0, "/deep/er/x").when(n == 1, "/files/a.PDF").when(n == 2, "/").otherwise(F.col("path"))
+    return joins.policy_hits(_parts(entries).select(F.col("entry_id").alias("url_id"), "host", path.alias("path")), rules)
 
 
 @query("entries", sql="""
@@ -393,9 +414,9 @@ def missing_ids(posts, deliveries):
     return joins.missing_ids(posts, deliveries.where("kind = 'filtered'"), ["slug", "post_id"])
 
 
-@query("users", "settings", sql="SELECT user_id, 'user' AS origin FROM users WHERE user_id % 2 = 0 UNION ALL SELECT target_id, 'setting' FROM settings WHERE target_id NOT IN (SELECT user_id FROM users WHERE user_id % 2 = 0)")
-def union_by_key(users, settings):
-    return joins.union_by_key(users.where("user_id % 2 = 0").select("user_id", F.lit("user").alias("origin")), settings.select(F.col("target_id").alias("user_id"), F.lit("setting").alias("origin")), "user_id")
+@query("channels", "settings", sql="SELECT target_id AS user_id, 'channel' AS origin FROM channels UNION ALL SELECT target_id, 'setting' FROM settings WHERE target_id NOT IN (SELECT target_id FROM channels)")
+def union_by_key(channels, settings):
+    return joins.union_by_key(*(x.select(F.col("target_id").alias("user_id"), F.lit(origin).alias("origin")) for x, origin in ((channels, "channel"), (settings, "setting"))), "user_id")
 
 
 @query("posts", "subscriptions", sql="""
@@ -593,10 +614,13 @@ def display_groups(jobs):
 @query("observations", sql="""
 SELECT id, CASE WHEN is_index AND error IS NULL AND would_skip THEN 'podcast' WHEN is_index AND id % 12 >= 5 AND (n_new = 1 OR id % 12 >= 10) THEN 'hybrid' WHEN is_index AND id % 12 < 3 THEN 'rss'
 WHEN NOT is_index AND n_new = 0 AND error IS NULL AND would_skip THEN 'podcast' WHEN NOT is_index AND n_new = 0 AND id % 12 < 3 THEN 'rss' WHEN NOT is_index AND n_new = 0 AND id % 12 >= 5 THEN 'hybrid'
-WHEN NOT is_index AND n_new <> 0 AND error IS NULL AND id % 12 >= 5 THEN 'static_html' WHEN NOT is_index AND n_new <> 0 AND error IS NOT NULL AND id % 12 < 3 THEN 'spa_rendered' ELSE 'unknown' END AS kind FROM observations""")
+WHEN NOT is_index AND n_new <> 0 AND error IS NULL AND id % 12 >= 5 THEN 'static_html' WHEN NOT is_index AND n_new <> 0 AND error IS NOT NULL AND id % 12 < 3 THEN 'spa_rendered' ELSE 'unknown' END AS kind,
+CASE WHEN is_index AND error IS NULL AND would_skip THEN 'high' WHEN is_index AND id % 12 >= 5 AND n_new = 1 THEN 'high' WHEN is_index AND id % 12 >= 10 THEN 'med' WHEN is_index AND id % 12 < 3 THEN 'high'
+WHEN NOT is_index AND n_new = 0 AND (id % 12 < 3 OR id % 12 >= 5 OR (error IS NULL AND would_skip)) THEN 'med' WHEN NOT is_index AND n_new <> 0 AND error IS NULL AND id % 12 >= 10 THEN 'high'
+WHEN NOT is_index AND n_new <> 0 AND error IS NULL AND id % 12 >= 5 THEN 'med' WHEN NOT is_index AND n_new <> 0 AND error IS NOT NULL AND id % 12 < 3 THEN 'high' ELSE 'low' END AS confidence FROM observations""")
 def site_kinds(observations):
-    kind, _ = classify.site_kind(F.col("is_index"), F.col("n_new") == 0, F.col("error").isNull() & F.col("would_skip"), F.col("id") % 12, F.col("n_new") == 1, F.col("error").isNotNull())
-    return observations.select("id", kind.alias("kind"))
+    kind, confidence = classify.site_kind(F.col("is_index"), F.col("n_new") == 0, F.col("error").isNull() & F.col("would_skip"), F.col("id") % 12, F.col("n_new") == 1, F.col("error").isNotNull())
+    return observations.select("id", kind.alias("kind"), confidence.alias("confidence"))
 
 
 @query("observations", sql="""
@@ -648,11 +672,19 @@ def registrable_domain(entries):
     return entries.select("entry_id", urls.registrable(F.col("url")).alias("site"))
 
 
-@query("entries", sql=URL_PARTS + r""" SELECT entry_id, CAST(4 * (array_to_string(string_split(host, '.')[-2:], '.') = 'example.com')::INT + (path NOT IN ('', '/'))::INT + 2 * regexp_matches(path || '?' || query, '[0-9]{3,}')::INT
-+ regexp_matches(lower(path), 'view|detail|article|notice|read|thread|post|bbs|board')::INT - 3 * regexp_matches(query, '(^|&)(sort|filter|search|keyword|query|q|page|category)=')::INT
-+ (length(split_part(rtrim(path, '/'), '/', -1)) >= 5 AND query = '' AND regexp_matches(split_part(rtrim(path, '/'), '/', -1), '^[A-Za-z0-9_-]+$'))::INT AS INTEGER) AS score FROM u""")
+#: URLs of every kind that the score knows, with the points that its rule gives them on the site example.com.
+SCORED = (
+    ("http://a.example.com/", 4), ("http://a.example.com/user/bobby", 3), ("http://a.example.com/t?userid=55", 2), ("http://a.example.com/board_list?board=1618", 5),
+    ("http://a.example.com/news/archives/06-2025", 5), ("http://a.example.com/forum/board/41/", 4), ("http://a.example.com/members/sam.123", 4), ("http://a.example.com/store/search?sort=best&filter=x", 0),
+    ("http://a.example.com/article/12345", 9), ("http://a.example.com/Thread/View?id=777", 8), ("http://a.example.com/forums/general", 4), ("http://b.example.org/article/12345", 5),
+    (None, -1), ("http://a.example.com/category/9/", 1), ("http://a.example.com/news_list", 3), ("http://a.example.com/profile/", 3),
+)
+
+
+@query("entries", sql="SELECT entry_id, CASE entry_id % 16 " + " ".join(f"WHEN {k} THEN {n}" for k, (_, n) in enumerate(SCORED)) + " END AS score FROM entries")
 def article_score(entries):
-    return entries.select("entry_id", urls.article_score(F.col("url"), F.lit("http://a.example.com/")).alias("score"))
+    url = F.element_at(F.array(*(F.lit(u) for u, _ in SCORED)), (F.col("entry_id") % 16 + 1).cast("int"))
+    return entries.select("entry_id", urls.article_score(url, F.lit("http://www.example.com/")).alias("score"))
 
 
 @query("entries", sql="SELECT entry_id, split_part(split_part(url, '?', 1), '#', 1) AS bare FROM entries")
@@ -899,3 +931,6 @@ def urls_in_text(posts):
 
 
 ORACLES["urls_in_text"] = ORACLES["urls_in_text"].replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')")
+
+
+from . import site_queries  # noqa: E402, F401  registers its queries

@@ -142,6 +142,38 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "cases": ("labels", {"id": "doc_id", "outcome": "CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'registered' ELSE 'failed' END", "score": "CAST(quality - toxic AS DOUBLE)", "fix_layer": "concat('layer', CAST(doc_id % 7 AS STRING))"}),
     "prices": ("part", {"key": "CASE WHEN p_partkey % 2 = 0 THEN concat('p', CAST(p_partkey % 3 AS STRING), ':m', CAST(p_size % 4 AS STRING)) ELSE concat('m', CAST(p_size % 4 AS STRING)) END", "prompt": "CAST(p_size AS DOUBLE)", "completion": "CAST(p_size * 2 AS DOUBLE)", "per": "1000000.0", "partkey": "p_partkey"}),
     "entries": ("pages", {"entry_id": "page_id", "url": "url", "html": "html"}),
+    # pages with what the reports look for, each where its number says so
+    "sites": (
+        "pages",
+        {
+            "page_id": "page_id",
+            "url": "concat('http://h', CAST(page_id % 9 AS STRING), '.example.com/s/', CAST(page_id AS STRING))",
+            "html": """concat('<html><head><title>Site ', CAST(page_id AS STRING), ' &amp; Co</title>',
+                CASE WHEN page_id % 3 = 0 THEN '<meta property="og:type" content="article">' ELSE '' END,
+                CASE page_id % 4 WHEN 1 THEN concat('<script type="application/ld+json">{"headline":"', repeat('h', 150), '","@type":"NewsArticle"}</script>') WHEN 2 THEN '<script type="application/ld+json">{"@type":"Organization"}</script>' ELSE '' END,
+                CASE WHEN page_id % 5 = 2 THEN '<link rel="alternate" type="application/rss+xml" href="/feed.xml">' ELSE '' END, '</head><body>',
+                CASE WHEN page_id % 7 = 3 THEN '<div itemscope itemtype="https://schema.org/BlogPosting"></div>' ELSE '' END,
+                CASE WHEN page_id % 2 = 0 THEN '<nav>' ELSE '<main>' END, '<ul class="list">',
+                repeat('<li class="row a" data-id="7"><b><a href="/tag/x">t</a></b> <a href="/board/view/1001">post</a></li>', CAST(page_id % 6 AS INT)),
+                repeat('<li class="row b"><a href="javascript:go(2)">note</a></li>', CAST(page_id % 4 AS INT)),
+                '</ul>', CASE WHEN page_id % 2 = 0 THEN '</nav>' ELSE '</main>' END,
+                '<p>', repeat('<a href="https://one.example.org/x">o</a>', CAST(page_id % 5 * 50 AS INT)),
+                CASE WHEN page_id % 5 > 2 THEN '<a href="https://two.example.net/">t</a><a href="https://three.test.com/">t</a>' ELSE '' END, '</p>',
+                CASE page_id % 8 WHEN 5 THEN '<a href="/list?page=2">next</a>' WHEN 6 THEN '<a href="/l/page/2">2</a><a href="/l/page/3">3</a>' WHEN 7 THEN '<a href="/rss/all">feed</a>' ELSE '' END,
+                '</body></html>')""",
+        },
+    ),
+    # few who follow, and what was handed to them, so that posts owed to nobody exist
+    "watches": (
+        "supplier",
+        {
+            "slug": "concat('src', CAST(s_suppkey % 23 AS STRING))",
+            "target_id": "concat('w', CAST(s_suppkey % 2 AS STRING))",
+            "user_id": "s_suppkey",
+            "created_at": "timestamp '2024-01-01 00:00:00' + (s_suppkey * 53 % 600) * " + HOUR,
+        },
+    ),
+    "handed": ("documents", {"slug": "source", "post_id": "CAST(doc_id AS STRING)", "target_id": "concat('w', CAST(doc_id % 2 AS STRING))", "user_id": "doc_id", "kind": "'sent'", "sent_at": "timestamp '2024-01-19 00:00:00'"}),
     "vocabulary": (
         "events",
         {
