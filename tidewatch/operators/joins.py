@@ -131,12 +131,21 @@ def span_parents(spans: DataFrame) -> DataFrame:
     return joined.select("trace_id", "span_id", "parent_name", F.col("s").isNull().alias("is_root"))
 
 
-def rendered_growth(static: DataFrame, rendered: DataFrame, factor: int = 2, least: int = 5) -> DataFrame:
-    """Row patterns (page, selector, n) of two renderings side by side, and whether the second shows enough more rows."""
+def rendered_growth(static: DataFrame, rendered: DataFrame, factor: int = 2, least: int = 5, repeats: int = 20) -> DataFrame:
+    """Row patterns (page, selector, n) of two renderings side by side, and whether the second shows enough more rows: by their sums, or by
+    the rows of patterns that only it has or has at least three times as often."""
     a, b = static.select("page_id", "selector", F.col("n").alias("n_static")), rendered.select("page_id", "selector", F.col("n").alias("n_rendered"))
     both = a.join(b, ["page_id", "selector"], "full")
-    sums = both.groupBy("page_id").agg(F.coalesce(F.sum("n_static"), F.lit(0)).alias("n_static"), F.coalesce(F.sum("n_rendered"), F.lit(0)).alias("n_rendered"))
-    return sums.withColumn("needs_rendering", (F.col("n_rendered") >= factor * F.col("n_static")) & (F.col("n_rendered") - F.col("n_static") >= least))
+    x, y = F.coalesce("n_static", F.lit(0)), F.coalesce("n_rendered", F.lit(0))
+    drawn = F.when((x == 0) & (y >= 3), y).when((x > 0) & (y >= 3 * x) & (y - x >= 5), y - x).otherwise(0)
+    sums = both.groupBy("page_id").agg(F.sum(x).alias("n_static"), F.sum(y).alias("n_rendered"), F.sum(drawn).alias("n_drawn"))
+    by_sum = (F.col("n_rendered") >= factor * F.col("n_static")) & (F.col("n_rendered") - F.col("n_static") >= least)
+    return sums.select("page_id", "n_static", "n_rendered", (by_sum | (F.col("n_drawn") >= repeats)).alias("needs_rendering"))
+
+
+def subscribed(sites: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """The sites that anyone follows."""
+    return sites.join(subscriptions.select("slug").distinct(), "slug", "left_semi")
 
 
 def earliest_active(jobs: DataFrame) -> DataFrame:

@@ -120,6 +120,16 @@ def run_totals(site_runs: DataFrame) -> DataFrame:
     )
 
 
+def notify_totals(target_runs: DataFrame) -> DataFrame:
+    """One row: targets that were served, that failed, and that had nothing to get."""
+    return target_runs.agg(F.count("*").alias("n_targets"), *(F.count_if(F.col("status") == x).alias(f"n_{x}") for x in ("ok", "failed", "empty")), F.coalesce(F.sum("n_posts"), F.lit(0)).alias("n_posts"))
+
+
+def config_counts(configs: DataFrame) -> DataFrame:
+    """Configurations by strategy, handwritten ones by their adapter as well."""
+    return configs.groupBy("strategy", F.when(F.col("strategy") == "handwritten", F.col("adapter")).alias("adapter")).agg(F.count("*").alias("n"))
+
+
 def user_activity(**sources: DataFrame) -> DataFrame:
     """user_id, the sorted list of sources that know the user, first and last time. Each source has user_id and ts."""
     every = None

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.functions import urls
+from tidewatch.functions import dates, urls
 
 #: Platforms by the form of their URLs, in the order in which they are tried.
 PLATFORM_RULES: tuple[tuple[str, str], ...] = (
@@ -341,3 +341,126 @@ def related_article(first_article_url: Column, post_urls: Column) -> Column:
     """Whether the article that a probe found is one of the posts, or one holds the other."""
     a = urls.without_fragment(first_article_url)
     return (a != "") & F.exists(post_urls, lambda u: (urls.without_fragment(u) != "") & (F.contains(a, urls.without_fragment(u)) | F.contains(urls.without_fragment(u), a)))
+
+
+#: Names of script variables that hold a board's id.
+ID_VARIABLE = r"(?i)((?:g_s|window\.)?(?:club|cafe|board|menu|lounge|forum|community|channel|gallery|site|page|category|topic|thread|article|post|tenant|workspace|space)(?:Id|_id|ID|_ID))\s*[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_-]{1,64})[\"']?"
+MAX_PER_SOURCE = 20
+
+
+def runtime_ids(pages: DataFrame) -> DataFrame:
+    """page_id, source, name, value: ids that a page (page_id, html) states in script variables and in its og:url. A value is a number
+    of two digits or more, or a name with a digit or a dash; other names are variables."""
+    html = F.coalesce("html", F.lit(""))
+    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(ID_VARIABLE), F.lit(1)).alias("name"), F.regexp_extract_all(html, F.lit(ID_VARIABLE), F.lit(2)).alias("value"))
+    good = F.filter(F.array_distinct(both), lambda x: x["value"].rlike("^[0-9]{2,}$") | (x["value"].rlike("^.{2,}$") & x["value"].rlike("[0-9-]") & x["value"].rlike("[A-Za-z_-]")))
+    named = F.transform(F.slice(good, 1, MAX_PER_SOURCE), lambda x: F.struct(F.lit("js_var").alias("source"), x["name"].alias("name"), x["value"].alias("value")))
+    tag = F.regexp_extract(html, r"(?i)(<meta\b[^>]*\bproperty\s*=\s*[\"']og:url[\"'][^>]*>)", 1)
+    last = F.regexp_extract(F.regexp_extract(tag, r"(?i)\bcontent\s*=\s*[\"']([^\"']*)", 1), r"^[a-z]+://[^/?#]*/(?:[^?#]*/)?([0-9]{2,})/?(?:[?#]|$)", 1)
+    own = F.when(last != "", F.array(F.struct(F.lit("meta_og_url").alias("source"), F.lit("og:url last segment").alias("name"), last.alias("value")))).otherwise(F.array().cast("array<struct<source:string,name:string,value:string>>"))
+    return pages.select("page_id", F.explode(F.concat(named, own)).alias("x")).select("page_id", "x.*")
+
+
+def structure_hint(patterns: DataFrame, least: int = 3) -> DataFrame:
+    """page_id, n_clusters, n_prefixes, n_view_links, mixed: how a page's repeated links within its host are spread. Many first segments
+    and no links to details by a query's id are the sign of a hub of sections."""
+    link = F.coalesce("href_pattern", "sample_url")
+    own = (F.col("sample_url").isNull() & link.startswith("/")) | (urls.host(F.col("sample_url")) == F.col("page_host"))
+    rows = patterns.where((F.col("n") >= least) & F.coalesce(own, F.lit(False))).withColumn("path", F.when(link.startswith("/"), F.regexp_replace(link, "[?#].*$", "")).otherwise(urls.path(link)))
+    segments = F.filter(F.split("path", "/"), lambda x: (x != "") & ~x.startswith("{"))
+    prefix = F.concat(F.lit("/"), F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")))
+    view = F.col("path").rlike("(?i)view|read|detail|article|post|thread") & link.rlike(r"(?i)[?&][a-z_]*(id|no|idx|seq|num)=")
+    sums = rows.groupBy("page_id").agg(F.count("*").alias("n_clusters"), F.countDistinct(prefix).alias("n_prefixes"), F.count_if(view).alias("n_view_links"))
+    return sums.withColumn("mixed", (F.col("n_prefixes") >= 4) & (F.col("n_view_links") == 0))
+
+
+def best_article(candidates: DataFrame, least: int = 4) -> DataFrame:
+    """page_id, url: of a page's candidates (page_id, pos, url, page_url) the one that most looks like an article, the first of equals; where
+    none reaches the least score, simply the first."""
+    scored = candidates.withColumn("score", urls.article_score(F.col("url"), F.col("page_url")))
+    best = scored.groupBy("page_id").agg(F.max_by("url", F.struct("score", -F.col("pos"))).alias("best"), F.max("score").alias("top"), F.min_by("url", "pos").alias("first"))
+    return best.select("page_id", F.when(F.col("top") >= least, F.col("best")).otherwise(F.col("first")).alias("url"))
+
+
+def list_checks(posts: DataFrame, scans: DataFrame, least_body: int = 1) -> DataFrame:
+    """slug and the names of the checks that a scan fails, in their order; a scan (slug, row_selector, body_optional) may have no posts.
+
+    posts: slug, post_id, title, published_at, body_length (null where no article was fetched).
+    """
+    p = F.col("post_id")
+    sums = posts.groupBy("slug").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.trim(F.coalesce(p, F.lit(""))) == "").alias("blank"),
+        F.countDistinct(F.coalesce(p, F.lit(""))).alias("ids"),
+        F.count_if(~F.coalesce(p, F.lit("")).rlike(r"(?U)^[\w\-./:%,]{1,200}$")).alias("bad"),
+        F.count_if(F.trim(F.coalesce("title", F.lit(""))) == "").alias("untitled"),
+        F.count_if((F.coalesce("published_at", F.lit("")) != "") & ~dates.is_iso(F.col("published_at"))).alias("undated"),
+        F.count("published_at").alias("dated"),
+        F.count_if(p.rlike("[0-9]")).alias("numbered"),
+        F.count_if(F.regexp_extract(p, r"^\s*([0-9]{4})\s*$", 1).try_cast("int").between(1990, 2030)).alias("years"),
+        F.max("body_length").alias("body"),
+    )
+    rows = scans.join(sums, "slug", "left").na.fill(0, ["n", "blank", "ids", "bad", "untitled", "undated", "dated", "numbered", "years"])
+    some = F.col("n") > 0
+    rules = (
+        ("posts_nonempty", ~some),
+        ("post_id_nonempty", F.col("blank") > 0),
+        ("post_id_unique", F.col("ids") < F.col("n")),
+        ("post_id_stable_shape", F.col("bad") > 0),
+        ("title_nonempty", F.col("untitled") > 0),
+        ("published_at_iso", F.col("undated") > 0),
+        ("row_selector_not_nav", some & F.coalesce("row_selector", F.lit("")).rlike(NAV_SELECTOR) & (F.col("dated") == 0) & (F.col("numbered") == 0)),
+        ("post_id_not_year_archive", some & (F.col("years") == F.col("n"))),
+        ("article_body_len", some & (F.coalesce("body", F.lit(0)) < least_body) & ~F.col("body_optional")),
+    )
+    return rows.select("slug", F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in rules))).alias("failed"))
+
+
+def routed(call_site: Column, routes: dict[str, str], default: str, override: str | None = None) -> Column:
+    """(provider, model) of a call: the override, the call site's own route, the route `_default`, or the default; routes are provider:model."""
+    target = F.lit(override) if override else F.coalesce(*(F.when(call_site == k, F.lit(v)) for k, v in routes.items() if k != "_default"), F.lit(routes.get("_default", default)))
+    return F.struct(F.split_part(target, F.lit(":"), F.lit(1)).alias("provider"), F.regexp_replace(target, "^[^:]*:", "").alias("model"))
+
+
+def pattern_id(host: Column, prefix: Column) -> Column:
+    """Twelve digits of the SHA-1 sum of host|prefix."""
+    return F.substring(F.sha1(F.concat_ws("|", host, prefix)), 1, 12)
+
+
+def site_board(slugs: Sequence[DataFrame], subscriptions: DataFrame, markers: DataFrame, configs: DataFrame, streaks: DataFrame) -> tuple[DataFrame, tuple[Column, ...]]:
+    """slug, n_subs, strategy, marker, streak of every slug that any source knows; and the order to show them in: broken ones first, then
+    by streak, those that haven't failed, by name."""
+    every = reduce(DataFrame.unionByName, (x.select("slug") for x in (*slugs, subscriptions, markers, configs, streaks))).where("slug is not null").distinct()
+    subs = subscriptions.groupBy("slug").agg(F.count("*").alias("n_subs"))
+    marked = markers.groupBy("slug").agg(F.min("marker").alias("marker"))
+    rows = reduce(lambda a, b: a.join(b, "slug", "left"), (subs, marked, configs.select("slug", "strategy"), streaks.select("slug", "streak")), every)
+    rows = rows.select("slug", F.coalesce("n_subs", F.lit(0)).cast("long").alias("n_subs"), "strategy", "marker", F.coalesce("streak", F.lit(0)).cast("long").alias("streak"))
+    return rows, (F.desc(F.coalesce(F.col("marker") == "BROKEN", F.lit(False))), F.desc("streak"), F.asc(F.coalesce(F.col("marker") == "FAILED", F.lit(False))), F.asc("slug"))
+
+
+def fetched_articles(posts: DataFrame, responses: DataFrame, skip_status: Sequence[int] = ()) -> DataFrame:
+    """Posts with status, content and note of their article's response (url, status, content); a status that is to be skipped gives no
+    content and a note instead, and a post without a response stays as it is."""
+    r = responses.select(F.col("url").alias("_url"), "status", "content")
+    skipped = F.coalesce(F.col("status").isin(*skip_status), F.lit(False)) if skip_status else F.lit(False)
+    joined = posts.join(r, F.col("url") == F.col("_url"), "left")
+    return joined.select(*posts.columns, "status", F.when(~skipped, F.col("content")).alias("content"), F.when(skipped, F.concat(F.lit("skipped: HTTP "), F.col("status").cast("string"))).alias("fetch_note"))
+
+
+def evolved(rows: DataFrame, schema: str, defaults: dict[str, object] | None = None, renamed_values: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Rows of an older form in the columns of `schema`: new ones get their default, values of a column that were renamed get their new
+    name, and types widen."""
+    wanted = T.StructType.fromDDL(schema)
+    out = []
+    for f in wanted:
+        value = F.col(f"`{f.name}`") if f.name in rows.columns else F.lit((defaults or {}).get(f.name))
+        for old, new in (renamed_values or {}).get(f.name, {}).items():
+            value = F.when(value == old, F.lit(new)).otherwise(value)
+        out.append(value.cast(f.dataType).alias(f.name))
+    return rows.select(*out)
+
+
+def run_summary(totals: DataFrame) -> DataFrame:
+    """One row: the summary line and the same figures as JSON, from n_done, n_errors, n_timeouts, n_inserted."""
+    line = F.concat_ws(" ", *(F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in (("done", "n_done"), ("errors", "n_errors"), ("timeouts", "n_timeouts"), ("inserted", "n_inserted"))))
+    return totals.select(line.alias("summary"), F.to_json(F.struct("n_done", "n_errors", "n_timeouts", "n_inserted")).alias("json"))

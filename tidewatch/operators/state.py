@@ -90,6 +90,14 @@ def reap_stale(runs: DataFrame, site_runs: DataFrame, now: Column, minutes: int)
     return after.select("run_id", F.when(F.col("_dead").isNotNull(), F.lit("crashed")).otherwise(F.col("status")).alias("status")), made
 
 
+def finalised(runs: DataFrame, site_runs: DataFrame) -> DataFrame:
+    """run_id and status: a run whose sites are all queued is done once each of them has ended and none is missing."""
+    seen = site_runs.groupBy("run_id").agg(F.count("*").alias("n_seen"), F.count_if(F.col("status") == "running").alias("n_open"))
+    rows = runs.join(seen, "run_id", "left")
+    over = (F.col("status") == "enqueue_done") & (F.coalesce("n_seen", F.lit(0)) >= F.col("n_sites")) & (F.coalesce("n_open", F.lit(0)) == 0)
+    return rows.select("run_id", F.when(over, "done").otherwise(F.col("status")).alias("status"))
+
+
 def delivery_blocked(runs: DataFrame, site_runs: DataFrame) -> DataFrame:
     """Days on which a run is still running, or has queued sites that haven't ended."""
     unfinished = site_runs.where("status = 'running'").select("run_id").distinct().withColumn("unfinished", F.lit(True))

@@ -106,6 +106,11 @@ def top_per_key(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= k)
 
 
+def flagged_first(rows: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
+    """All rows, with `within` true for the first k of each key."""
+    return rows.withColumn("within", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= k)
+
+
 def stale_keys(rows: DataFrame, key: str, now: Column, days: int) -> DataFrame:
     """Keys whose newest row is older than so many days."""
     return rows.groupBy(key).agg(F.max("ts").alias("last_ts")).where(F.col("last_ts") < now - F.expr(f"interval {int(days)} days"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions import urls
-from tidewatch.operators import classify, filters, pages, reports, sites, windows
+from tidewatch.functions import jsonwalk, urls
+from tidewatch.operators import classify, filters, joins, pages, reports, sites, state, windows
+from tidewatch.streaming import posts as streams
 
 from .catalogue import NOW, query, text
 
@@ -333,3 +334,178 @@ def address_gate(entries):
     """Addresses of both kinds, written out."""
     url = _pick(["http://[::1]/", "http://[fe80::1]:80/a", "http://[fd12:3456::1]/", "http://[::ffff:10.0.0.1]/", "http://[2606:4700::1111]/", "http://192.168.1.1/", "http://ok.example.com/"])
     return entries.select("entry_id", filters.url_problem(url).alias("problem"))
+
+
+# --- runs, checks and the rest --------------------------------------------------------------------------------------------------
+
+
+@query("runs", "site_runs", sql="""
+WITH c AS (SELECT run_id, count(*) AS n, count(*) FILTER (WHERE status = 'running') AS k FROM site_runs GROUP BY run_id)
+SELECT r.run_id, CASE WHEN r.status = 'enqueue_done' AND coalesce(n, 0) >= 3 AND coalesce(k, 0) = 0 THEN 'done' ELSE r.status END AS status FROM runs r LEFT JOIN c USING (run_id)""")
+def finalised_runs(runs, site_runs):
+    return state.finalised(runs.withColumn("n_sites", F.lit(3)), site_runs)
+
+
+@query("site_runs", sql="SELECT count(*) AS n_targets, count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status = 'error') AS n_failed, count(*) FILTER (WHERE status = 'timeout') AS n_empty, CAST(sum(n_new) AS BIGINT) AS n_posts FROM site_runs")
+def notify_totals(site_runs):
+    renamed = F.when(F.col("status") == "error", "failed").when(F.col("status") == "timeout", "empty").otherwise(F.col("status"))
+    return reports.notify_totals(site_runs.select(renamed.alias("status"), F.col("n_new").alias("n_posts")))
+
+
+@query("users", sql="SELECT CASE user_id % 3 WHEN 0 THEN 'handwritten' WHEN 1 THEN 'html' ELSE 'json' END AS strategy, CASE WHEN user_id % 3 = 0 THEN 'a' || (user_id % 4) END AS adapter, count(*) AS n FROM users GROUP BY ALL")
+def config_counts(users):
+    return reports.config_counts(users.select(_pick(["handwritten", "html", "json"], "user_id").alias("strategy"), F.concat(F.lit("a"), (F.col("user_id") % 4).cast("string")).alias("adapter")))
+
+
+@query("site_runs", sql="""
+WITH t AS (SELECT count(*) FILTER (WHERE status = 'ok') AS a, count(*) FILTER (WHERE status = 'error') AS b, count(*) FILTER (WHERE status = 'timeout') AS c, CAST(sum(n_new) AS BIGINT) AS d FROM site_runs)
+SELECT 'done=' || a || ' errors=' || b || ' timeouts=' || c || ' inserted=' || d AS summary, '{"n_done":' || a || ',"n_errors":' || b || ',"n_timeouts":' || c || ',"n_inserted":' || d || '}' AS json FROM t""")
+def run_summary(site_runs):
+    return sites.run_summary(reports.run_totals(site_runs))
+
+
+CHECKS = ("", "post_id_nonempty,post_id_stable_shape", "post_id_unique", "post_id_stable_shape", "title_nonempty", "published_at_iso", "row_selector_not_nav", "post_id_not_year_archive", "article_body_len", "posts_nonempty")
+
+
+@query("posts", sql=f"SELECT DISTINCT slug, {_case(CHECKS, 'CAST(substr(slug, 4) AS INT)')} AS failed FROM posts")
+def list_checks(posts):
+    """Lists that each fail one check, by the number of their slug."""
+    k = F.substring("slug", 4, 9).cast("int") % 10
+    n = F.row_number().over(windows.Window.partitionBy("slug").orderBy("post_id"))
+    rows = posts.withColumn("rn", n).where(k != 9)
+    first = F.col("rn") == 1
+    letters = F.translate(F.col("rn").cast("string"), "0123456789", "abcdefghij")
+    post_id = F.when((k == 1) & first, "").when((k == 2) & (F.col("rn") <= 2), "same").when((k == 3) & first, "a b").when(k == 6, letters).when(k == 7, (F.lit(1990) + F.col("rn") % 41).cast("string")).otherwise(F.col("post_id"))
+    rows = rows.where((k != 7) | (F.col("rn") <= 41)).select("slug", post_id.alias("post_id"), F.when((k == 4) & first, " ").otherwise("t").alias("title"), F.when((k == 5) & first, "yesterday").when(k != 6, "2024-01-15").alias("published_at"), F.when(k != 8, 100).alias("body_length"))
+    scans = posts.select("slug").distinct().select("slug", F.when(k == 6, "nav li").otherwise("main li").alias("row_selector"), F.lit(False).alias("body_optional"))
+    return sites.list_checks(rows, scans).select("slug", F.array_join("failed", ",").alias("failed"))
+
+
+@query("jobs", "subscriptions", sql="""
+WITH s AS (SELECT slug, count(*) AS n_subs FROM subscriptions GROUP BY slug), k AS (SELECT slug, count(*) FILTER (WHERE status = 'failed') AS streak FROM jobs WHERE slug IS NOT NULL GROUP BY slug),
+a AS (SELECT slug FROM s UNION SELECT slug FROM k), r AS (SELECT slug, coalesce(n_subs, 0) AS n_subs, CASE WHEN n % 2 = 0 THEN 'html' END AS strategy, CASE n % 5 WHEN 0 THEN 'BROKEN' WHEN 1 THEN 'FAILED' END AS marker, coalesce(streak, 0) AS streak
+  FROM (SELECT slug, CAST(substr(slug, 4) AS INT) AS n FROM a) LEFT JOIN s USING (slug) LEFT JOIN k USING (slug))
+SELECT *, CAST(row_number() OVER (ORDER BY coalesce(marker = 'BROKEN', false) DESC, streak DESC, coalesce(marker = 'FAILED', false), slug) AS INTEGER) AS place FROM r QUALIFY place <= 10""")
+def site_board(jobs, subscriptions):
+    streaks = jobs.where("slug is not null").groupBy("slug").agg(F.count_if(F.col("status") == "failed").alias("streak"))
+    slugs = subscriptions.select("slug").union(streaks.select("slug")).distinct()
+    n = F.substring("slug", 4, 9).cast("int")
+    markers = slugs.where(n % 5 < 2).select("slug", F.when(n % 5 == 0, "BROKEN").otherwise("FAILED").alias("marker"))
+    rows, order = sites.site_board([jobs], subscriptions, markers, slugs.where(n % 2 == 0).select("slug", F.lit("html").alias("strategy")), streaks)
+    first = rows.orderBy(*order).limit(10)
+    return first.withColumn("place", F.row_number().over(windows.Window.orderBy(*order)))
+
+
+@query("entries", sql="""
+SELECT entry_id AS page_id, 'js_var' AS source, 'boardId' AS name, CAST(entry_id + 10 AS VARCHAR) AS value FROM entries WHERE entry_id % 2 = 0 UNION ALL SELECT entry_id, 'js_var', 'cafe_id', 'ab-' || entry_id FROM entries WHERE entry_id % 3 = 0
+UNION ALL SELECT entry_id, 'meta_og_url', 'og:url last segment', CAST(entry_id + 100 AS VARCHAR) FROM entries WHERE entry_id % 5 = 0""")
+def runtime_ids(entries):
+    n = F.col("entry_id")
+    html = F.concat(
+        F.lit("<html><head>"),
+        F.when(n % 5 == 0, F.concat(F.lit('<meta content="http://a.example.com/b/'), (n + 100).cast("string"), F.lit('/?x=1" property="og:url">'))).otherwise('<meta property="og:url" content="http://a.example.com/b/about">'),
+        F.lit("<script>var menuId = target; "),
+        F.when(n % 2 == 0, F.concat(F.lit('var boardId = "'), (n + 10).cast("string"), F.lit('"; boardId='), (n + 10).cast("string"), F.lit(";"))).otherwise(""),
+        F.when(n % 3 == 0, F.concat(F.lit('{"cafe_id": "ab-'), n.cast("string"), F.lit('"}'))).otherwise(""),
+        F.lit("</script>"),
+    )
+    return sites.runtime_ids(entries.select(n.alias("page_id"), html.alias("html")))
+
+
+@query("entries", sql="""
+SELECT entry_id AS page_id, CASE WHEN entry_id % 3 = 0 THEN 5 ELSE 2 END AS n_clusters, CASE WHEN entry_id % 3 = 0 THEN 5 ELSE 2 END AS n_prefixes, CAST(entry_id % 3 = 1 AS BIGINT) AS n_view_links, entry_id % 3 = 0 AS mixed FROM entries""")
+def structure_hints(entries):
+    n = F.col("entry_id") % 3
+    hrefs = F.when(n == 0, F.array(*(F.lit(f"/s{k}/{{n}}") for k in range(5)))).otherwise(F.array(F.when(n == 1, "/board/view?post_id={n}").otherwise("/board/{n}"), F.lit("/about"), F.lit("http://other.example.org/x")))
+    rows = entries.select(F.col("entry_id").alias("page_id"), F.lit("a.example.com").alias("page_host"), F.explode(hrefs).alias("href_pattern"), F.lit(4).alias("n"))
+    return sites.structure_hint(rows.withColumn("sample_url", F.when(F.col("href_pattern").startswith("http"), F.col("href_pattern"))))
+
+
+@query("entries", sql="SELECT entry_id AS page_id, CASE entry_id % 3 WHEN 0 THEN 'http://a.example.com/article/12345' WHEN 1 THEN 'http://b.example.org/login' ELSE 'http://a.example.com/notice/77777' END AS url FROM entries")
+def best_articles(entries):
+    n = F.col("entry_id") % 3
+    found = F.when(n == 0, F.array(F.lit("http://a.example.com/user/me"), F.lit("http://a.example.com/article/12345"))).when(n == 1, F.array(F.lit("http://b.example.org/login"), F.lit("http://c.example.net/article/1"))).otherwise(F.array(F.lit("http://a.example.com/notice/77777"), F.lit("http://a.example.com/notice/88888")))
+    rows = entries.select(F.col("entry_id").alias("page_id"), F.lit("http://www.example.com/").alias("page_url"), F.posexplode(found).alias("pos", "url"))
+    return sites.best_article(rows)
+
+
+@query("posts", sql="""
+SELECT post_id, CASE WHEN CAST(post_id AS BIGINT) % 4 < 3 THEN CAST([200, 403, 500][CAST(post_id AS BIGINT) % 4 + 1] AS INTEGER) END AS status, CASE WHEN CAST(post_id AS BIGINT) % 4 IN (0, 2) THEN 'body' END AS content,
+CASE WHEN CAST(post_id AS BIGINT) % 4 = 1 THEN 'skipped: HTTP 403' END AS fetch_note FROM posts""")
+def fetched_articles(posts):
+    n = F.col("post_id").cast("bigint") % 4
+    responses = posts.where(n < 3).select("url", F.when(n == 0, 200).when(n == 1, 403).otherwise(500).alias("status"), F.lit("body").alias("content"))
+    return sites.fetched_articles(posts.select("post_id", "url"), responses, [401, 403]).drop("url")
+
+
+@query("jobs", sql="SELECT id, CASE status WHEN 'done' THEN 'finished' ELSE status END AS status, 0::BIGINT AS n_retries, CAST(attempts AS DOUBLE) AS attempts FROM jobs")
+def evolved_jobs(jobs):
+    return sites.evolved(jobs, "id long, status string, n_retries long, attempts double", {"n_retries": 0}, {"status": {"done": "finished"}})
+
+
+@query("calls", sql="SELECT id, CASE call_site WHEN 'click' THEN 'gem' WHEN 'view' THEN 'open' ELSE 'gem' END AS provider, CASE call_site WHEN 'click' THEN 'flash' WHEN 'view' THEN 'm:x' ELSE 'pro' END AS model FROM calls")
+def call_routes(calls):
+    return calls.select("id", sites.routed(F.col("call_site"), {"click": "gem:flash", "view": "open:m:x", "_default": "gem:pro"}, "none:none").alias("r")).select("id", "r.provider", "r.model")
+
+
+@query("entries", sql="SELECT entry_id AS page_id, '$.data.items' AS path, entry_id % 9 AS n, CASE WHEN entry_id % 2 = 0 THEN 'feed' END AS item_subpath FROM entries WHERE entry_id % 9 >= 5")
+def json_lists(entries):
+    """Lists of rows in payloads, plain ones and such as lie in an envelope."""
+    n = F.col("entry_id")
+    plain = F.to_json(F.transform(F.sequence(F.lit(1), F.greatest(n % 9, F.lit(1)).cast("int")), lambda k: F.struct(k.alias("id"), F.concat(F.lit("t"), k.cast("string")).alias("title"))))
+    packed = F.to_json(F.transform(F.sequence(F.lit(1), F.greatest(n % 9, F.lit(1)).cast("int")), lambda k: F.struct(F.struct(F.concat(F.lit("/p/"), k.cast("string")).alias("url"), F.concat(F.lit("t"), k.cast("string")).alias("title")).alias("feed"))))
+    body = F.concat(F.lit('{"data":{"items":'), F.when(n % 2 == 0, packed).otherwise(plain), F.lit("}}"))
+    return jsonwalk.find_lists(entries.select(n.alias("page_id"), body.alias("body"))).withColumn("n", F.col("n").cast("long"))
+
+
+@query("entries", sql="""
+SELECT entry_id, 'a.boardId' AS path, CAST(entry_id + 10 AS VARCHAR) AS value FROM entries UNION ALL SELECT entry_id, 'a.l[0].x_id', 'ab' FROM entries UNION ALL SELECT entry_id, 'userID', 'k-' || entry_id FROM entries WHERE entry_id % 2 = 0""")
+def json_id_keys(entries):
+    """Keys of ids, by a table function."""
+    spark = entries.sparkSession
+    spark.udtf.register("id_keys", sites.IdKeys)
+    n = F.col("entry_id").cast("string")
+    body = F.concat(F.lit('{"a":{"boardId":'), (F.col("entry_id") + 10).cast("string"), F.lit(',"l":[{"x_id":"ab"},{"x_id":"a b"}],"id":5},"userID":"'), F.when(F.col("entry_id") % 2 == 0, F.concat(F.lit("k-"), n)).otherwise(""), F.lit('"}'))
+    return spark.sql("SELECT entry_id, k.path, k.value FROM {bodies}, LATERAL id_keys(body) AS k", bodies=entries.select("entry_id", body.alias("body")))
+
+
+@query("jobs", "subscriptions", sql="SELECT DISTINCT slug FROM jobs WHERE slug IN (SELECT slug FROM subscriptions)")
+def subscribed_sites(jobs, subscriptions):
+    return joins.subscribed(jobs.select("slug").distinct(), subscriptions)
+
+
+@query("jobs", sql="SELECT id FROM jobs WHERE kind IN ('register', 'reprobe') AND status = 'failed' AND attempts > 0 AND contains(lower(url), 'h1')")
+def trace_search(jobs):
+    traces = jobs.select("id", "kind", (F.col("status") != "failed").alias("ok"), F.col("attempts").alias("n_spans"), F.create_map(F.lit("url"), F.upper("url")).alias("attrs"))
+    return traces.where(filters.trace_filter(["register", "reprobe"], True, False, "h1")).select("id")
+
+
+@query("jobs", sql="SELECT id FROM jobs WHERE attempts IN (1, 2) AND contains(url, '/b/1') AND kind = 'reprobe' AND starts_with(status, 'f') AND id % 3 = 2")
+def case_query(jobs):
+    cases = jobs.select("id", F.array(F.concat(F.lit("k"), F.col("attempts").cast("string"))).alias("failure_keys"), F.col("url").alias("body"), F.col("kind").alias("fix_layer"), "status", F.array(F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("candidates"))
+    return cases.where(filters.case_query(["k1", "k2"], "/b/1", "reprobe", "f", "c2")).select("id")
+
+
+@query("posts", sql="SELECT slug, post_id, row_number() OVER (PARTITION BY slug ORDER BY collected_at, post_id) <= 3 AS within FROM posts")
+def first_articles(posts):
+    return windows.flagged_first(posts.select("slug", "post_id", "collected_at"), "slug", 3, F.asc("collected_at"), F.asc("post_id")).drop("collected_at")
+
+
+@query("observations", sql="""
+WITH o AS (SELECT id, slug, ts, CASE WHEN id % 4 = 3 THEN NULL ELSE id % 4 > 0 END AS empty FROM observations), i AS (SELECT *, count(*) FILTER (WHERE empty = false) OVER (PARTITION BY slug ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT id, slug, CAST(sum(CASE WHEN empty THEN 1 ELSE 0 END) OVER (PARTITION BY slug, island ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM i""")
+def body_drift(observations):
+    """Articles without a body in a row; rounds in which none was fetched neither add nor reset."""
+    empty = F.when(F.col("id") % 4 != 3, F.col("id") % 4 > 0)
+    return windows.counter(observations.withColumn("empty", empty), "slug", F.col("empty"), ~F.col("empty"))
+
+
+@query("observations", sql="SELECT id, coalesce(lag(current_lastmod) OVER (PARTITION BY slug ORDER BY ts, id) = current_lastmod, false) AS skip FROM observations")
+def sitemap_skips(observations):
+    before = F.lag("current_lastmod").over(windows.Window.partitionBy("slug").orderBy("ts", "id"))
+    return observations.withColumn("before", before).select("id", streams.would_skip(F.col("before"), F.col("current_lastmod")).alias("skip"))
+
+
+@query("entries", sql="SELECT entry_id, substr(sha1('h' || (entry_id % 9) || '|/p'), 1, 12) AS pattern_id FROM entries")
+def pattern_ids(entries):
+    return entries.select("entry_id", sites.pattern_id(F.concat(F.lit("h"), (F.col("entry_id") % 9).cast("string")), F.lit("/p")).alias("pattern_id"))

@@ -27,7 +27,7 @@ MARKERS = ("FAILED", "REJECTED", "BUG", "BROKEN")
 
 def state_files(spark: SparkSession, folder: str, schema: str, slugs: list[str] | None = None) -> DataFrame:
     """One row a state document, slug from the file's name; markers and broken JSON are left out."""
-    rows = spark.read.option("wholetext", True).text(f"{folder}/*.json").select(F.url_decode(file_stem()).alias("slug"), "value")
+    rows = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.url_decode(file_stem()).alias("slug"), "value")
     rows = rows.where(~F.col("slug").rlike(rf"\.({'|'.join(MARKERS)})$"))
     rows = rows.where(F.col("slug").isin(*slugs)) if slugs else rows
     return rows.select("slug", F.from_json("value", schema).alias("s")).where("s is not null").select("slug", "s.*")
@@ -35,19 +35,19 @@ def state_files(spark: SparkSession, folder: str, schema: str, slugs: list[str]
 
 def marker_files(spark: SparkSession, folder: str) -> DataFrame:
     """slug, kind and payload of the marker files."""
-    rows = spark.read.option("wholetext", True).text(f"{folder}/*.json").select(file_stem().alias("stem"), F.col("value").alias("payload"))
+    rows = spark.read.text(f"{folder}/*.json", wholetext=True).select(file_stem().alias("stem"), F.col("value").alias("payload"))
     kind = F.regexp_extract("stem", rf"\.({'|'.join(MARKERS)})$", 1)
     return rows.where(kind != "").select(F.regexp_replace("stem", rf"\.({'|'.join(MARKERS)})$", "").alias("slug"), kind.alias("kind"), "payload")
 
 
 def config_files(spark: SparkSession, folder: str) -> DataFrame:
     """slug and text of each configuration document."""
-    return spark.read.option("wholetext", True).text(f"{folder}/*.json").select(file_stem().alias("slug"), F.col("value").alias("config"))
+    return spark.read.text(f"{folder}/*.json", wholetext=True).select(file_stem().alias("slug"), F.col("value").alias("config"))
 
 
 def front_matter(spark: SparkSession, folder: str) -> DataFrame:
     """name, header (the lines between the first two rulers) and body of Markdown files."""
-    rows = spark.read.option("wholetext", True).text(f"{folder}/*.md")
+    rows = spark.read.text(f"{folder}/*.md", wholetext=True)
     return rows.select(file_stem().alias("name"), F.regexp_extract("value", r"(?s)^---\n(.*?)\n---\n", 1).alias("header"), F.regexp_replace("value", r"(?s)^---\n.*?\n---\n", "").alias("body"))
 
 
@@ -57,6 +57,20 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(fields).option("columnNameOfCorruptRecord", "_broken").json(path).where("_broken is null").drop("_broken")
 
 
+def line_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: lines of a JSON log, and how many of them are malformed."""
+    fields = T.StructType.fromDDL(schema).add("_broken", "string")
+    # through the text, as a count of the corrupt column alone can't be read from JSON
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", fields, {"columnNameOfCorruptRecord": "_broken"}).alias("x"))
+    return lines.agg(F.count("*").alias("n_lines"), F.count_if(F.col("x._broken").isNotNull()).alias("n_malformed"))
+
+
+def trace_parts(lines: DataFrame, trace_id: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of one trace's log (type, trace_id, ...) that describe it, and its spans."""
+    own = lines.where(F.col("trace_id") == trace_id)
+    return own.where("type = 'trace'").drop("type"), own.where("type = 'span'").drop("type")
+
+
 def newest_lines(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The last n lines by a time column, oldest first."""
     return rows.orderBy(F.desc(order)).limit(n).orderBy(order)
@@ -123,5 +137,13 @@ def append_json(rows: DataFrame, path: str, *by: str) -> None:
     (rows.write.partitionBy(*by) if by else rows.write).mode("append").json(path)
 
 
+def append_traces(traces: DataFrame, spans: DataFrame, folder: str) -> None:
+    """Appends traces and spans as lines of JSON, a folder for each trace, and a start and an end line for each trace to the index."""
+    both = traces.withColumn("type", F.lit("trace")).unionByName(spans.withColumn("type", F.lit("span")), allowMissingColumns=True)
+    append_json(both, f"{folder}/traces", "trace_id")
+    ends = F.explode(F.array(F.struct(F.lit("start").alias("event"), F.col("started").alias("ts")), F.struct(F.lit("end").alias("event"), F.col("ended").alias("ts"))))
+    append_json(traces.select("trace_id", "kind", "ok", ends.alias("e")).select("trace_id", "kind", "ok", "e.event", "e.ts").where("ts is not null"), f"{folder}/index")
+
+
 def export_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
