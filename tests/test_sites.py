@@ -81,7 +81,8 @@ def test_files_and_days(spark, tmp_path):
     assert tuple(tables.config_files(spark, str(tmp_path)).first()) == ("a", '{"x": 1}')
     tables.publish(spark.range(3), f"{tmp_path}/t")
     assert spark.read.parquet(f"{tmp_path}/t").count() == 3
-    assert one(spark, extract.decoded(F.lit("가".encode("euc-kr")), "EUC-KR"), streams.would_skip(F.lit("a"), F.lit("a")), streams.would_skip(F.lit(None), F.lit("a"))) == ("가", True, False)
+    assert one(spark, *(extract.decoded(F.lit(b), c) for b, c in (("가".encode("euc-kr"), "euc-kr"), (b"a\xffb", "utf-8")))) == ("가", "a\ufffdb")
+    assert one(spark, streams.would_skip(F.lit("a"), F.lit("a")), streams.would_skip(F.lit(None), F.lit("a"))) == (True, False)
     assert one(spark, urls.long_numbers(F.lit("/a/1234/b56?x=98765"))) == (["1234", "98765"],)
 
 

@@ -13,9 +13,11 @@ template, concat. Later fields may use earlier ones, and `site` and `board`.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,5 +216,11 @@ def with_articles(posts: DataFrame, articles: DataFrame, columns: dict[str, bool
 
 
 def decoded(body: Column, charset: str) -> Column:
-    """Bytes as text in one of Spark's charsets; bytes that don't fit are replaced."""
-    return F.decode(body, charset)
+    """Bytes as text in any of Python's charsets; bytes that don't fit are replaced. Spark's own decode knows few, and fails on such bytes."""
+    codecs.lookup(charset)  # an unknown one is refused as the plan is built
+
+    @F.pandas_udf("string")
+    def text(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+
+    return text(body)
