@@ -137,3 +137,47 @@ def nearest(vectors, is_query, n=20):
         order = [j for j in np.lexsort((ids, -score)) if ids[j] != ids[k]][:n]
         out[int(ids[k])] = [(int(ids[j]), float(score[j])) for j in order]
     return out
+
+
+def secrets(docs, kinds=("assign", "access", "hex", "live")):
+    """(doc_id, spans, n_live, n_example, n_repositories, n_owners) of (doc_id, text, source, lang)."""
+    found, owners, repositories = [], defaultdict(set), defaultdict(set)
+    for _, text, source, lang in docs:
+        text = text or ""
+        base = [(m.start(), m.end(), m[2], "assign") for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 6]
+        base += [(m.start(), m.end(), m[0], "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        base += [(m.start(), m.end(), m[0], "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        more = [(m.start(), m.end(), m[0], "live") for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        more = [x for x in more if not any(b[0] < x[1] and x[0] < b[1] for b in base)]
+        found.append((base, more))
+        for x in base + more:
+            owners[x[2]].add((source,))
+            repositories[x[2]].add((source, lang))
+    rare = {v: len(owners[v]) <= 2 and len(repositories[v]) <= 4 for v in owners}
+    live = {v for v in rare if rare[v] and len(set(v)) >= 10}
+    out = []
+    for (doc_id, *_), (base, more) in zip(docs, found, strict=True):
+        spans = base + [x for x in more if x[2] in live]
+        values = {x[2] for x in base + more}
+        text = ",".join(f"{k}:{a}:{b}" for a, b, _, k in sorted(spans, key=lambda x: (x[0], kinds.index(x[3]), x[1])))
+        out.append((doc_id, text, len(values & live), sum(not rare[v] for v in values), max((len(repositories[v]) for v in values), default=0), max((len(owners[v]) for v in values), default=0)))
+    return out
+
+
+def confident_contexts(edges, rounds=3, support=3, least=0.8, shape_weight=0.5):
+    """Contexts of high confidence from (context, shape, value, seed)."""
+    graph, seeds = defaultdict(set), defaultdict(float)
+    for context, shape, value, seed in edges:
+        graph["context", context].add(value)
+        graph["shape", shape].add(value)
+        seeds[value] = max(seeds[value], float(seed))
+    scores = dict(seeds)
+    for k in range(rounds):
+        patterns = {p: sum(scores[v] for v in vs) / len(vs) for p, vs in graph.items() if sum(scores[v] >= least for v in vs) >= support}
+        if k + 1 < rounds:
+            doubt = defaultdict(lambda: 1.0)
+            for (kind, p), confidence in patterns.items():
+                for v in graph[kind, p]:
+                    doubt[v] *= 1 - min(confidence, 0.999) * (shape_weight if kind == "shape" else 1)
+            scores = {v: max(seeds[v], 1 - doubt[v]) for v in seeds}
+    return {p for (kind, p), confidence in patterns.items() if kind == "context" and confidence >= least}

@@ -211,6 +211,19 @@ def test_ownership_by_repositories(spark):
     assert (got[20].n_repositories, got[20].n_owners) == (0, 0)
 
 
+def test_ownership_by_brute_force(spark, odd_rows):
+    rng = np.random.default_rng(8)
+    letters = list("abcdefXYZ0123456789+/")
+    pool = ["".join(rng.choice(letters, 24)) for _ in range(12)] + ["a1" * 12, "AKIA" + "B2" * 9]
+    docs = [(d, t, f"s{k % 3}", "en") for k, (d, t) in enumerate(odd_rows)]
+    for k in range(80):
+        words = [pool[int(i)] if rng.random() < 0.5 else f"token={pool[int(i)]}" for i in rng.integers(0, len(pool), 4)]
+        docs.append((100 + k, " ".join(words), None if k % 9 == 0 else f"o{int(rng.integers(0, 3))}", f"l{int(rng.integers(0, 3))}" if k % 4 else None))
+    docs += [(500 + k, f"see {pool[0]}x{k % 6} there", f"own{k % 7}", "en") for k in range(40)]
+    got = secret_ownership.scan(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"))
+    same(got, brute.secrets(docs), "doc_id", "spans", "n_live", "n_example", "n_repositories", "n_owners")
+
+
 # 6
 
 
@@ -399,6 +412,26 @@ def test_context_of_several_tokens(spark):
     assert all(found[30 + k] == [f"60{k}1-77{k}2"] * 2 for k in range(4)) and found[40] == ["888-1234"]
 
 
+def test_context_by_brute_force(spark, odd_rows):
+    """The added spans of whole tables against a plain scoring of the same instances."""
+    rng = np.random.default_rng(9)
+    places = ["call me at", "card on file", "ref no", "mail to", "my id is", "serial"]
+    docs = list(odd_rows)
+    for k in range(150):
+        n = int(rng.integers(0, 40))
+        kinds = [f"+1 ({700 + n}) 555-{3000 + n}", f"555-{3000 + n}", f"user{n}@mail.example.com", f"{4111111111111111 + n}", f"X{100000 + n}", "nothing"]
+        docs.append((1000 + k, " and ".join(f"{places[int(rng.integers(0, len(places)))]} {kinds[int(rng.integers(0, len(kinds)))]} x" for _ in range(4))))
+    found = [(d, t or "", pii_bootstrap.base_spans(t or "")) for d, t in docs]
+    each = [(d, t, b, pii_bootstrap.instances(t, b)) for d, t, b in found]
+    contexts = brute.confident_contexts([x[2:] for *_, more in each for x in more])
+    assert contexts
+    wanted = []
+    for d, t, base, more in each:
+        spans = [(pii_bootstrap.KINDS[r], a, b) for a, r, b in base] + sorted({("context", x[0], x[1]) for x in more if not x[5] and x[2] in contexts})
+        wanted.append((d, ",".join(brute.rendered(spans, [*pii_bootstrap.KINDS, "context"]))))
+    same(pii_bootstrap.scan(spark.createDataFrame(docs, "doc_id long, text string")), wanted, "doc_id", "spans")
+
+
 # 9
 
 
