@@ -1,5 +1,6 @@
 """Rules and rankings of sites, where their queries' tables don't reach."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import jsonwalk, urls
@@ -91,3 +92,15 @@ def test_articles_join(spark):
     articles = spark.createDataFrame([("u1", "new", "new"), ("u2", "new", None)], "url string, body string, title string")
     got = {r.url: (r.body, r.title) for r in extract.with_articles(posts, articles, {"body": False, "title": True}).collect()}
     assert got == {"u1": ("new", "new"), "u2": ("have", "old"), "u3": ("x", "keep")}
+
+
+def test_scratch(spark, tmp_path):
+    from tidewatch.functions import scratch
+
+    first, second = scratch.saved(spark.range(3), "a"), scratch.saved(spark.range(4), "b")
+    scratch.clear_scratch(spark, keep=1)
+    assert second.count() == 4 and len(scratch._made) == 1
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        spark.read.parquet(first.inputFiles()[0]).count()
+    scratch.clear_scratch(spark)
+    assert scratch._made == []

@@ -7,19 +7,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by this driver, the oldest first.
+_made: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset (tests, notebooks) a new local folder is set."""
+    """The session's spark.checkpoint.dir. Only a local session (tests, notebooks) may leave it unset, and gets a new local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a scratch table."""
+    _made.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: this cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
+    """Removes what has been written so far, but for the newest `keep` folders. Results that aren't written yet still read their scratch
+    tables, so this is for whoever has written them."""
+    gone = _made[: len(_made) - keep] if keep else list(_made)
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scratch import saved, scratch_dir
+from tidewatch.functions.scratch import new_path, saved
 
 
 def failure_streak(jobs: DataFrame, key: str = "slug", most: int = 20) -> DataFrame:
@@ -74,7 +72,7 @@ def span_tree(spans: DataFrame) -> DataFrame:
     folder, so a deep tree has no long plan.
     """
     spark = spans.sparkSession
-    folder = f"{scratch_dir(spark)}/spans-{uuid.uuid4().hex}"
+    folder = new_path(spark, "spans")
     ids = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"))
     rooted = spans.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")), "left")
     text = F.lpad(F.col("span_id").cast("string"), 12, "0")
