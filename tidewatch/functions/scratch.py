@@ -37,11 +37,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession, keep: int = 0) -> None:
-    """Removes what has been written so far, but for the newest `keep` folders. Results that aren't written yet still read their scratch
-    tables, so this is for whoever has written them."""
-    gone = _made[: len(_made) - keep] if keep else list(_made)
-    for path in gone:
+def scratch_mark() -> int:
+    """How many folders there are; those of before a mark can be left alone."""
+    return len(_made)
+
+
+def clear_scratch(spark: SparkSession, keep: int = 0, since: int = 0) -> None:
+    """Removes what has been written since a mark, but for the newest `keep` folders. Results that aren't written yet still read their
+    scratch tables, so this is for whoever has written them."""
+    for path in _made[since : len(_made) - keep]:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         _made.remove(path)
