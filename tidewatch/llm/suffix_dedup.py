@@ -26,7 +26,6 @@ row with a null doc_id keeps all and removes nothing; an empty table gives no ro
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined_bytes, mix, salted_join, saved, scratch_dir, slices, tidy, with_columns
+from .shared import joined_bytes, mix, new_path, salted_join, saved, slices, tidy, with_columns
 
 LENGTH = 50
 ANCHOR = 32
@@ -297,8 +296,9 @@ def batch_table(documents: DataFrame, parts: int) -> DataFrame:
             yield row()
 
     spark = documents.sparkSession
-    name = "scratch_batches_" + uuid.uuid4().hex
-    documents.select("doc_id", "text").mapInArrow(tidy(pack), _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    path = new_path(spark, "batches")
+    name = "scratch_" + path.rsplit("/", 1)[-1].replace("-", "_")
+    documents.select("doc_id", "text").mapInArrow(tidy(pack), _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
