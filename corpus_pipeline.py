@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import jaccard_join, mixing, piece_viterbi, pii_bootstrap, quality_ledger
 from tidewatch.llm.queries import MIX_WEIGHTS
-from tidewatch.llm.shared import saved
+from tidewatch.llm.shared import clear_scratch, saved, scratch_mark
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_mark()
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch(spark, keep=1, since=mark)  # what the stage has written on its way, and the one before
     return docs
