@@ -39,7 +39,7 @@ BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_BYTES = 1 << 20
 #: Bytes of words and ids that a worker remembers at most; then it forgets all and begins anew.
-MEMORY_BYTES = 96 << 20
+MEMORY_BYTES = 192 << 20
 
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<long>, n_ids long, payload binary"
 
