@@ -158,8 +158,13 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str], firsts: list[str]) -> None:
-        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace() and not self.apart(w)]
-        self.known.update(dict.fromkeys(words, -1))
+        # most words are plain: only where one at all holds an added token is each looked at
+        special = any(t in "\n".join(words) for t in self.added)
+        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        if special:
+            clean = [w for w in clean if not self.apart(w)]
+        if len(clean) < len(words):
+            self.known.update(dict.fromkeys(words, -1))
         groups = [np.array(x, np.uint32) for x in self.ids_of([" " + " ".join(clean[k : k + 200]) for k in range(0, len(clean), 200)])]
         together = np.concatenate([np.zeros(0, np.uint32), *groups])
         cuts = np.flatnonzero(self.opens[together])
