@@ -1,5 +1,7 @@
 """Every operator against a plain version, on odd rows: nulls, empty and very long texts, repeats, ties, extra columns, no rows."""
 
+import random
+
 import brute
 import numpy as np
 import pyarrow as pa
@@ -505,3 +507,21 @@ def test_shared_bytes():
     starts, ends, docs = word_spans(data, offsets)
     assert [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"three", b"four", b"averyveryverylongword", b"x"] and docs.tolist() == [1, 1, 3, 3]
     assert len(set(word_hashes(data, starts, ends).tolist())) == 4
+
+
+def test_pieces_of_any_text():
+    """The ids of texts from awkward characters are the library's, whole text by whole text."""
+    letters = [*"ab1 \n\t.,'s&é×÷ñß“…½_", "\r\n", "\x1c", "\x85", "\xa0", " ", "​", "　", "́", "日", "'ve", "<|endoftext|>", "  ", "\n\n"]
+    tool, drawn = token_blocks.WordEncoder(BPE), random.Random(7)
+    for _ in range(300):
+        texts = ["".join(drawn.choice(letters) for _ in range(drawn.randrange(14))) for _ in range(10)] + [None, "x" * 700 + " é" + "y." * 400]
+        ids, at = tool.encode(pa.array(texts, pa.string()), 2)
+        for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == [*tool.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    monkeypatch.setattr(token_blocks, "word_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    tool = token_blocks.WordEncoder(BPE)
+    ids, _ = tool.encode(["one two one.", "three"], 2)
+    assert ids.tolist() == [i for t in ("one two one.", "three") for i in [*tool.tokenizer.encode(t, add_special_tokens=False).ids, 2]]

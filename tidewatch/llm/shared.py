@@ -111,6 +111,23 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return h
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> bool:
+    """Whether each run of bytes from a equals the one from b."""
+    length = a_ends - a
+    if (length != b_ends - b).any():
+        return False
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    todo, at = np.flatnonzero((a != b) & (length > 0)), 0
+    while len(todo):
+        left = np.minimum(length[todo] - at, 8)
+        if (((eight[a[todo] + at] ^ eight[b[todo] + at]) & _TAIL[left]) != 0).any():
+            return False
+        at += 8
+        todo = todo[length[todo] > at]
+    return True
+
+
 def windows(hashes: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of `size` words within a document, and the index of each run's first word."""
     n = len(hashes) - size + 1

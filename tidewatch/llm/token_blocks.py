@@ -23,22 +23,26 @@ written next to each other, in the order of their text; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ENTRY_BYTES, saved, slices, tidy, with_columns
+from .shared import ENTRY_BYTES, IS_WORD, joined_bytes, same_bytes, saved, slices, tidy, with_columns, word_hashes
 
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_BYTES = 1 << 20
-#: Bytes of words and ids that a worker remembers at most; then it forgets all and begins anew.
+#: Bytes of a piece that a worker remembers at most; longer ones are encoded each time.
+LONG_PIECE = 256
+#: Bytes of pieces and ids that a worker remembers at most; then it forgets all and begins anew.
 MEMORY_BYTES = 192 << 20
 
 SEGMENT_SCHEMA = "shard int, segment int, doc_ids array<long>, n_ids long, payload binary"
@@ -123,13 +127,50 @@ def unpack(payload: bytes, documents: slice | None = None) -> tuple[np.ndarray,
 # --- encoding -------------------------------------------------------------------------------------------------------------------
 
 
+#: Fixed values of the pre-tokenizer: white space beyond ASCII as UTF-8, and ASCII letters, digits and marks.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_HEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+_WORD_BYTE, _MARK_BYTE = np.zeros(256, bool), np.zeros(256, bool)
+_WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK_BYTE[33:127] = ~_WORD_BYTE[33:127]
+_LATIN_BYTE = np.zeros(256, bool)  # second bytes of the letters from U+00C0 to U+00FF
+_LATIN_BYTE[128:192] = True
+_LATIN_BYTE[[0x97, 0xB7]] = False
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, blob: bytes) -> np.ndarray:
+    """Whether each byte begins a piece, where a byte-level pre-tokenizer always cuts: before white space, before the last white-space
+    character that text follows and behind it unless it is a space, and between a letter or digit and an ASCII mark."""
+    n = len(data)
+    begins = np.zeros(n + 1, bool)
+    begins[offsets] = True
+    if not n:
+        return begins[:n]
+    inner = ~begins[1:n]  # of a byte and the one after it: whether both are of one text
+    white = ~IS_WORD[data]
+    if any(x in blob for x in _WIDE_HEADS):
+        for m in _WIDE_SPACE.finditer(blob):
+            white[m.start() : m.end()] = True
+    begins[1:n] |= white[1:] & ~white[:-1]
+    ends = np.flatnonzero(white[:-1] & ~white[1:] & inner) + 1
+    last = ends - 1
+    for _ in range(2):  # to the first byte of the character
+        last = last - (data[last] & 0xC0 == 0x80)
+    begins[last] = True
+    begins[ends[data[last] != 32]] = True
+    marks = _MARK_BYTE[data]
+    begins[1:n] |= marks[1:] & _WORD_BYTE[data[:-1]]
+    begins[2:n] |= marks[2:] & _LATIN_BYTE[data[1:-1]] & (data[:-2] == 0xC3)
+    return begins[:n]
+
+
 class WordEncoder:
-    """Whole-text encoding through the tokenizers library, in which each different word is encoded once.
+    """Whole-text encoding through the tokenizers library, in which each different piece is encoded once.
 
-    A byte-level pre-tokenizer always cuts before a single white-space character between two other characters, so a text's ids are
-    the ids of its pieces between such cuts, one after the other. Texts are split at spaces; a text in which a space has white space
-    beside it is encoded as a whole, and so is one that holds a token added to the vocabulary (as `<|endoftext|>`), which the library
-    takes out of a text before it cuts it.
+    A byte-level pre-tokenizer always cuts at some places (see piece_starts), so a text's ids are the ids of its pieces between such
+    cuts, one after the other. A text that holds a token added to the vocabulary (as `<|endoftext|>`), which the library takes out of a
+    text before it cuts it, is one piece, and so is every text where the pre-tokenizer is of another kind. Pieces are told apart by
+    hashes, and compared byte by byte with the first of the same hash. Long ones are encoded anew each time.
     """
 
     def __init__(self, path: str):
@@ -137,19 +178,19 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary, rules = self.tokenizer.get_vocab(), json.loads(self.tokenizer.to_str())
+        first = rules["pre_tokenizer"] or {}
+        #: The new line and the space as byte-level letters.
+        self.newline = vocabulary.get("Ċ")
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        for piece, k in self.tokenizer.get_vocab().items():
-            self.opens[k] = piece[:1] == "Ġ"  # the space as a byte-level letter
+        self.opens[[k for piece, k in vocabulary.items() if piece[:1] == "Ġ"]] = True
+        self.cuts = first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"] and rules["normalizer"] is None and self.newline is not None
+        self.groups = self.cuts and not any(c.isspace() for t in self.added for c in t)
         self.forget()
 
-    def apart(self, word: str) -> bool:
-        """Whether a text that holds the word is encoded as a whole, if the word's place in it doesn't tell."""
-        return any(t in word for t in self.added)
-
     def forget(self) -> None:
-        #: Codes of the words that follow a space, and of those that begin a text. Code 0 is the end id; -1: white space beside a space.
-        self.known: dict[str, int] = {}
-        self.firsts: dict[str, int] = {}
+        #: Codes of pieces. Code 0 is the end id.
+        self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1, np.uint32)
         self.starts = np.array([0, 1], np.int64)
         self.size = 0
@@ -157,65 +198,92 @@ class WordEncoder:
     def ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str], firsts: list[str]) -> None:
-        # most words are plain: only where one at all holds an added token is each looked at
-        special = any(t in "\n".join(words) for t in self.added)
-        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        if special:
-            clean = [w for w in clean if not self.apart(w)]
-        if len(clean) < len(words):
-            self.known.update(dict.fromkeys(words, -1))
-        groups = [np.array(x, np.uint32) for x in self.ids_of([" " + " ".join(clean[k : k + 200]) for k in range(0, len(clean), 200)])]
-        together = np.concatenate([np.zeros(0, np.uint32), *groups])
-        cuts = np.flatnonzero(self.opens[together])
-        if len(cuts) != len(clean):
-            raise ValueError("the vocabulary joins words across a space")
-        lists = self.ids_of(firsts)
-        lengths = np.concatenate((np.diff(np.append(cuts, len(together))), np.array([len(x) for x in lists], np.int64))).astype(np.int64)
-        code = len(self.starts) - 1
-        self.known.update(zip(clean, range(code, code + len(clean)), strict=True))
-        self.firsts.update(zip(firsts, range(code + len(clean), code + len(lengths)), strict=True))
-        self.firsts.update({w: -1 for w in firsts if not w or w[-1].isspace() or self.apart(w)})
-        self.flat = np.concatenate([self.flat, together, *(np.array(x, np.uint32) for x in lists)])
+    def together(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in self.ids_of(texts))])
+
+    def learn(self, keys: list[bytes]) -> np.ndarray:
+        """The codes of new pieces."""
+        words = [k.decode(errors="replace") for k in keys]
+        # where one piece at all holds an added token, each is encoded by itself
+        grouped = self.groups and not any(t in "\n".join(words) for t in self.added)
+        spaced, bare, alone = [], [], []
+        for k, w in enumerate(words):
+            (alone if not grouped or w.isspace() else spaced if w[0] == " " else bare).append(k)
+        # pieces that begin with a space are cut at the ids that open with one, the others at the new lines between them
+        one = self.together(["".join(words[k] for k in spaced[a : a + 200]) for a in range(0, len(spaced), 200)])
+        two = self.together(["\n".join(words[k] for k in bare[a : a + 200]) + "\n" for a in range(0, len(bare), 200)])
+        opens, closes = np.flatnonzero(self.opens[one]), np.flatnonzero(two == self.newline)
+        if len(opens) != len(spaced) or len(closes) != len(bare):
+            raise ValueError("the vocabulary joins pieces across white space")
+        lists = self.ids_of([words[k] for k in alone])
+        lengths = np.concatenate((np.diff(np.append(opens, len(one))), np.diff(closes, prepend=-1) - 1, np.array([len(x) for x in lists], np.int64)))
+        codes = np.empty(len(keys), np.int64)
+        codes[[*spaced, *bare, *alone]] = len(self.starts) - 1 + np.arange(len(keys))
+        self.known.update(zip(keys, codes.tolist(), strict=True))
+        self.flat = np.concatenate([self.flat, one, two[two != self.newline] if self.cuts else two, *(np.array(x, np.uint32) for x in lists)])
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(lengths)))
-        self.size += ENTRY_BYTES * (len(words) + len(firsts)) + sum(map(len, words)) + sum(map(len, firsts)) + 4 * int(lengths.sum())
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids with `end` after each text, and the texts' starts."""
+        self.size += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + 4 * int(lengths.sum())
+        return codes
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray, blob: bytes) -> np.ndarray:
+        """The starts of the pieces of all texts, with the end."""
+        begins = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            begins[:-1] = piece_starts(data, offsets, blob)
+            for token in map(str.encode, self.added):
+                at = blob.find(token)
+                while at >= 0:
+                    k = int(np.searchsorted(offsets, at, side="right"))
+                    begins[offsets[k - 1] : offsets[k]] = False
+                    at = blob.find(token, max(at + 1, int(offsets[k])))
+        begins[offsets] = True
+        return np.flatnonzero(begins)
+
+    def encode(self, texts: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids with `end` after each text, and the texts' starts. Nulls count as empty."""
         if self.size > MEMORY_BYTES:
             self.forget()
-        cut = [t.split(" ") for t in texts]
-        firsts = [c[0] for c in cut]
-        codes = [list(map(self.known.get, c)) for c in cut]
-        gaps = [[i for i, x in enumerate(k) if x is None] if None in k else () for k in codes]
-        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
-        new_firsts = [w for w in dict.fromkeys(firsts) if w not in self.firsts]
-        if new or new_firsts:
-            self.learn(list(new), new_firsts)
-            for c, k, g in zip(cut, codes, gaps, strict=True):
-                for i in g:
-                    k[i] = self.known[c[i]]
-        flat, starts = self.flat, self.starts
-        spaced = [t for t in self.added if " " in t]  # no word holds these
-        whole: list[np.ndarray] = []  # texts that can't be cut
-        for text, own, first in zip(texts, codes, firsts, strict=True):
-            own[0] = self.firsts[first]
-            if -1 in own or (spaced and any(t in text for t in spaced)):
-                own[:] = [len(starts) - 1 + len(whole)]
-                whole.append(np.array(self.ids_of([text])[0], np.uint32))
-            own.append(0)
-        if whole:
-            flat = np.concatenate([flat, *whole])
-            starts = np.concatenate((starts, starts[-1] + np.cumsum([len(x) for x in whole])))
-        n = np.array([len(c) for c in codes], np.int64)
-        every = np.fromiter(chain.from_iterable(codes), np.int64, int(n.sum()))
-        begin = starts[every]
-        length = starts[every + 1] - begin
-        at = np.concatenate(([0], np.cumsum(length)))
-        ids = flat[np.repeat(begin - at[:-1], length) + np.arange(at[-1])]
-        bounds = at[np.concatenate(([0], np.cumsum(n)))]
-        ids[bounds[1:] - 1] = end
-        return ids, bounds
+        data, offsets = joined_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        blob, n_texts = data.tobytes(), len(offsets) - 1
+        bounds = self.pieces(data, offsets, blob)
+        starts, stops = bounds[:-1], bounds[1:]
+        codes = np.zeros(len(starts), np.int64)
+        long = stops - starts > LONG_PIECE
+        short = np.flatnonzero(~long)
+        a, b = starts[short], stops[short]
+        hashes = word_hashes(data, a, b)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        rep, own = order[new], np.empty(len(order), np.int64)
+        own[order] = np.cumsum(new) - 1
+        keys = [blob[i:j] for i, j in zip(a[rep].tolist(), b[rep].tolist(), strict=True)]
+        if not same_bytes(data, a, b, a[rep][own], b[rep][own]):  # two pieces of one hash
+            every = [blob[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            keys = list(dict.fromkeys(every))
+            place = dict(zip(keys, range(len(keys)), strict=True))
+            own = np.array([place[k] for k in every], np.int64)
+        found = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            found[unknown] = self.learn([keys[k] for k in unknown.tolist()])
+        codes[short] = found[own]
+        flat, at = self.flat, self.starts
+        if long.any():
+            more = [np.array(x, np.uint32) for x in self.ids_of([blob[i:j].decode(errors="replace") for i, j in zip(starts[long].tolist(), stops[long].tolist(), strict=True)])]
+            codes[long] = len(at) - 1 + np.arange(len(more))
+            flat, at = np.concatenate([flat, *more]), np.concatenate((at, at[-1] + np.cumsum([len(x) for x in more])))
+        # the end id behind each text
+        n = np.diff(np.searchsorted(starts, offsets))
+        every = np.zeros(len(codes) + n_texts, np.int64)
+        every[np.arange(len(codes)) + np.repeat(np.arange(n_texts), n)] = codes
+        begin = at[every]
+        length = at[every + 1] - begin
+        total = np.concatenate(([0], np.cumsum(length)))
+        ids = flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
+        text_starts = total[np.concatenate(([0], np.cumsum(n + 1)))]
+        ids[text_starts[1:] - 1] = end
+        return ids, text_starts
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -241,7 +309,7 @@ def write_token_file(documents: DataFrame, tokenizer_path: str, end_id: int) ->
         shard, number, tool = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text", SEGMENT_BYTES):
-                ids, starts = tool.encode([t or "" for t in part.column("text").to_pylist()], end_id)
+                ids, starts = tool.encode(part.column("text"), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([pack(ids, starts)], pa.binary())],
                     ["shard", "segment", "doc_ids", "n_ids", "payload"],
