@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, multi_index, piece_viterbi, pii_bootstrap, quality_ledger, secret_ownership, suffix_dedup, token_blocks, token_scan
+from . import jaccard_join, mixing, multi_index, piece_viterbi, pii_bootstrap, quality_ledger, secret_ownership, spelling_variants, style_tree, suffix_dedup, token_blocks, token_scan, whitening
 
 #: The large first source counts four times as much as any other.
 MIX_WEIGHTS = {"src0": 4.0}
@@ -61,6 +61,18 @@ def op10_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, FLAT_END_ID)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(_table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.group(_table(spark, sf_dir, "documents"), typos=spelling_variants.every_31st)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_scan": op10_token_scan,
+    "op11_whitening": op11_whitening,
+    "op12_style_tree": op12_style_tree,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
@@ -109,9 +124,41 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM bits
 """
 
+#: The crc32 is taken byte by byte over a table that is made by its rule.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(d || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM counted, crc),
+changed AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
+deletions AS (SELECT word, n, p, substr(word, 1, p) || substr(word, p + 2) AS key FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM deletions a JOIN deletions b USING (key, p) WHERE a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM deletions d JOIN words w ON d.key = w.word
+  UNION SELECT w.word, d.word, d.n FROM deletions d JOIN words w ON d.key = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+forms AS (
+  SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END::BIGINT AS form_n
+  FROM words LEFT JOIN best USING (word)),
+led AS (
+  SELECT word, form AS at FROM forms WHERE form IS NOT NULL
+  UNION SELECT led.word, forms.form FROM led JOIN forms ON forms.word = led.at WHERE forms.form IS NOT NULL),
+ends AS (SELECT led.word, led.at AS root FROM led JOIN forms ON forms.word = led.at WHERE forms.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
+
 _WEIGHT = "CASE " + " ".join(f"WHEN source = '{k}' THEN {w}::DOUBLE" for k, w in MIX_WEIGHTS.items()) + " ELSE 1.0::DOUBLE END"
 
 ORACLES = {
     "op1_mix_sources": mixing.MIX_SQL.format(documents="documents", weight=_WEIGHT, size=1.0, seed="mix"),
     "op4_quality_ledger": QUALITY_SQL,
+    "op13_spelling_variants": SPELLING_SQL,
 }
