@@ -1,7 +1,7 @@
 """Main text of pages by site style trees.
 
-The DOMs of one host are merged: an element stands for all elements with the same path of labels (tag and classes) from the root. Each
-merged element has two kinds of nodes beneath it: presentation nodes (the sequences of its children's labels) and content nodes (its
+The DOMs of one host are merged: an element stands for all elements with the same path of labels (tag, id and classes, without digits; for branches without id and
+class the place among their like) from the root. Each merged element has two kinds of nodes beneath it: presentation nodes (the sequences of its children's labels) and content nodes (its
 texts). Over all pages of the host, the entropy of each kind, by the logarithm of the number of occurrences, tells how much it varies:
 a menu or notice that is the same on every page has none. The importance of an element is `PRESENTATION` times the entropy of
 presentation plus the rest times that of content, as a share of what the host's pages themselves have, so a host full of copies loses
@@ -107,6 +107,7 @@ class Page:
         self._raw_tag = [""]
         self._stack, self._run, self._links, self._in_link, self._n_links = [0], [], 0, False, 0
         self._open: Counter = Counter()  # tags on the stack
+        self._nth: Counter = Counter()
         self._read(source)
         self._judge_markup()
 
@@ -176,6 +177,9 @@ class Page:
         self._raw_tag.append(tag)
         self.parent.append(top)
         self.label.append(label)
+        if not named and kind in BRANCHES:  # what has no name is told apart by its place among its like
+            self._nth[top, code] += 1
+            code += self._nth[top, code] << 32
         self.path.append((self.path[top] * _STEP + code) & _MASK)
         self.dropped.append(furniture)
         self.comment.append(comment)
