@@ -87,14 +87,31 @@ def recent_requests(jobs: DataFrame, since: Column) -> DataFrame:
 PRIVATE = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|22[4-9]\.|2[3-5][0-9]\.)"
 
 
-#: As above, for addresses of version 6: none, this host, mapped private ones, unique local, link local, multicast, documentation.
-PRIVATE_6 = r"(?i)^\[(::1?\]|::ffff:(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|2001:0?db8:|64:ff9b:|100::)"
+#: As above, for addresses of version 6 written out as 32 digits: all outside of the global and site-local ranges, and of the
+#: former those for protocols (with their exceptions), for documentation and for relays.
+PRIVATE_6 = r"^(?!2|3|fe[c-f])|^20010(?:0|1)(?!01(?:0{23}[12]$)|03|040112|2|3)|^20010db8|^2002"
+
+
+def written_out(address: Column) -> Column:
+    """The 32 digits of an address of version 6, whatever its spelling; null if it is none."""
+    quad = F.regexp_extract(address, r":([0-9]{1,3}(?:\.[0-9]{1,3}){3})$", 1)
+    byte = lambda k: F.split_part(quad, F.lit("."), F.lit(k)).try_cast("int")
+    fine = F.coalesce(F.greatest(*(byte(k) for k in (1, 2, 3, 4))) <= 255, F.lit(False))
+    pair = lambda k: F.hex(byte(k) * 256 + byte(k + 1))
+    plain = F.when(quad == "", address).when(fine, F.concat(F.substring(address, F.lit(1), F.length(address) - F.length(quad)), pair(1), F.lit(":"), pair(3)))
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    first, rest = groups(F.split_part(plain, F.lit("::"), F.lit(1))), groups(F.split_part(plain, F.lit("::"), F.lit(2)))
+    gap = F.greatest(8 - F.size(first) - F.size(rest), F.lit(0))
+    whole = F.when(plain.contains("::"), F.concat(first, F.array_repeat(F.lit("0"), gap), rest)).otherwise(first)
+    fits = (F.size(whole) == 8) & (F.size(F.split(plain, "::")) <= 2) & F.forall(whole, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$"))
+    return F.when(fits, F.lower(F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")))
 
 
 def url_problem(url: Column) -> Column:
     """The first structural reason against a URL, null if there is none."""
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     name = F.coalesce(urls.host(url), F.lit(""))
+    six = written_out(F.regexp_extract(authority, r"^\[([^\]%]*)", 1))
     return (
         F.when(url.isNull() | (F.trim(url) == ""), "blank")
         .when(url.rlike(r"(?U)[\s\x00-\x1f\x7f]"), "white space")
@@ -102,7 +119,7 @@ def url_problem(url: Column) -> Column:
         .when(~F.lower(url).rlike("^https?://"), "scheme")
         .when(authority.contains("@"), "user info")
         .when(name == "", "no host")
-        .when(name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | authority.startswith("["), F.when(name.rlike(PRIVATE) | authority.rlike(PRIVATE_6), "private address").otherwise("address"))
+        .when(name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | authority.startswith("["), F.when(name.rlike(PRIVATE) | F.coalesce(six.rlike(PRIVATE_6), F.lit(False)), "private address").otherwise("address"))
     )
 
 

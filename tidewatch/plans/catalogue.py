@@ -933,4 +933,4 @@ def urls_in_text(posts):
 ORACLES["urls_in_text"] = ORACLES["urls_in_text"].replace("list_distinct(", "list_sort(list_distinct(").replace(", 1)), ' ')", ", 1))), ' ')")
 
 
-from . import site_queries  # noqa: E402, F401  registers its queries
+from . import gate_queries, site_queries  # noqa: E402, F401  register their queries

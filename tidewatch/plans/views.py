@@ -183,6 +183,22 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "attempt_failed": "event_type = 'error'",
         },
     ),
+    # attempts of fetching a user's site of a day; most of a site's attempts end alike, by the user
+    "attempts": (
+        "events",
+        {
+            "site": "concat('u', CAST(user_id AS STRING), '-', CAST(day(ts) AS STRING))",
+            "site_url": "concat('https://u', CAST(user_id AS STRING), '.example.co.kr/b')",
+            "way": "CASE WHEN event_id % 2 = 0 THEN 'baseline' WHEN event_id % 5 < 2 THEN 'static' WHEN event_id % 5 = 2 THEN 'headless' WHEN event_id % 5 = 3 THEN CASE WHEN {k} % 2 = 0 THEN 'captured' ELSE 'login_headers' END ELSE CASE WHEN {k} % 2 = 0 THEN 'external' ELSE 'paid' END END",
+            "name": "CASE WHEN event_id % 5 < 2 THEN concat('S1.H', CAST({k} % 4 + 1 AS STRING)) ELSE concat('X', CAST({k} % 3 AS STRING)) END",
+            "class": """CASE WHEN event_id % 2 = 0 THEN CASE day(ts) % 4 WHEN 0 THEN 'BLOCKED_BOT' WHEN 1 THEN 'UNKNOWN_ERROR' WHEN 2 THEN 'OK' ELSE event_type END
+                ELSE CASE user_id % 8 WHEN 0 THEN 'NOT_FOUND' WHEN 1 THEN 'BLOCKED_BOT' WHEN 2 THEN 'UNKNOWN_ERROR' WHEN 3 THEN 'LOGIN_REQUIRED' WHEN 4 THEN CASE WHEN {k} % 3 = 0 THEN 'BLOCKED_BOT' ELSE 'NOT_FOUND' END ELSE CASE WHEN {k} % 4 = 0 THEN 'HTTP_ERROR' ELSE 'OK' END END END""",
+            "status": "CASE WHEN user_id % 9 = 1 THEN 406 WHEN event_type = 'view' THEN 200 END",
+            "error": "CASE WHEN {k} % 3 = 1 THEN 'ConnectTimeout: x' WHEN event_type = 'error' THEN 'other' END",
+            "note": "CASE {k} % 3 WHEN 0 THEN 'suspiciously empty body (154 bytes)' WHEN 1 THEN 'redirected to login' ELSE CASE WHEN user_id % 10 = 7 THEN 'Cloudflare Ray ID' END END",
+            "final_url": "CASE WHEN user_id % 11 = 6 THEN 'http://landing.example.org/' WHEN {k} % 2 = 0 THEN concat('https://www.u', CAST(user_id AS STRING), '.example.co.kr/b') END",
+        },
+    ),
     "turns": ("conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "text": "text"}),
 }
 
