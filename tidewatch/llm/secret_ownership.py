@@ -7,16 +7,20 @@ look drawn at random, is taken for a live credential, and its occurrences outsid
 
 An owner is a document's source, a repository a source and language.
 
+A text's matches and the gaps between them come out of one pass each and become rows. Where they start is a running sum over the rows of
+a text, and what lies free of the base spans is told by running extremes, so the work is linear in a text's matches but for a sort, and
+a text that is one dump of keys costs no more than its length. Rows that share doc_id and text are counted first and looked at once.
+
 Defined cases: a null text counts as empty; a null source or language is an owner or repository of its own; rows that share doc_id
 and text share their spans, and each keeps its row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import salted_join, saved
 
 #: Fixed values of the base rule.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,44 +33,48 @@ MAX_LIVE_OWNERS = 2
 MAX_LIVE_REPOSITORIES = 4
 MIN_DIFFERENT_CHARS = 10
 
-_SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
-
-
-def spans(text: Column, pattern: str, rank: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches, in code points; value is the group, and shorter ones are dropped.
+#: Shares over which a value that very many documents hold is dealt.
+SALTS = 32
+_KEY = ("_id", "_text")
 
-    A match begins where the text before it ends: the lengths of the gaps and of the matches are added up.
-    """
-    whole, value, gap = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    parts = F.arrays_zip(whole.alias("whole"), value.alias("value"), gap.alias("gap"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["whole"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value"))
-        keeps = x["whole"].isNotNull() & (F.length(x["value"]) >= least)
-        return F.struct(end.alias("at"), F.when(keeps, F.array_append(state["found"], one)).otherwise(state["found"]).alias("found"))
-
-    found = F.aggregate(parts, first, step, lambda state: state["found"])
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
+def matches(text: Column, pattern: str, rank: int) -> Column:
+    """The leftmost non-overlapping matches of a kind as (rank, i, gap, length, value): each with the length of the text since the one before."""
+    whole, gap = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    value = (lambda w: F.regexp_extract(w, pattern, 2)) if rank == 0 else (lambda w: w)
+    rows = F.transform(F.arrays_zip(whole.alias("w"), gap.alias("g")), lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["w"]).alias("length"), value(x["w"]).alias("value")))
+    found = F.filter(rows, lambda x: x["length"].isNotNull())  # the last gap has no match behind it
+    return F.when(F.regexp_like(text, F.lit(pattern)), found)
 
 
 def rendered(found: Column) -> Column:
-    """kind:start:end by start, then kind, joined by commas."""
+    """kind:start:end by start, then kind, joined by commas; found has (start, rank, end)."""
     kind = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(kind, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.sort_array(found), lambda x: F.concat_ws(":", F.element_at(kind, x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def extract(documents: DataFrame) -> DataFrame:
-    """doc_id, text hash, owner, repository, base spans and further candidates of every document."""
+    """_id, _text (a hash), owner, repository and the matches of every document."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col("source").alias("owner"), F.struct("source", "lang").alias("repository"), text.alias("text"))
-    found = docs.select("doc_id", "text_hash", "owner", "repository", spans(F.col("text"), ASSIGN, 0, 2, 6).alias("assign"), spans(F.col("text"), ACCESS, 1).alias("access"), spans(F.col("text"), HEX, 2).alias("hex"), spans(F.col("text"), CANDIDATE, 3).alias("more"))
-    base = F.concat("assign", "access", "hex")
-    mixed = F.filter("more", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]"))
-    free = F.filter(mixed, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.withColumn("base", base).select("doc_id", "text_hash", "owner", "repository", "assign", "access", "hex", "base", free.alias("more"))
+    docs = documents.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("_text"), F.col("source").alias("owner"), F.struct("source", "lang").alias("repository"), text.alias("text"))
+    kinds = (ASSIGN, ACCESS, HEX, CANDIDATE)
+    none = F.array().cast("array<struct<rank:int,i:int,gap:int,length:int,value:string>>")
+    return docs.select("_id", "_text", "owner", "repository", F.concat(*(F.coalesce(matches(F.col("text"), p, k), none) for k, p in enumerate(kinds))).alias("matches"))
+
+
+def placed(seen: DataFrame) -> DataFrame:
+    """_id, _text, rank, start, end, value of the base spans and of the further candidates that are free of them, once for each text."""
+    each = seen.select(*_KEY, F.inline("matches")).distinct().repartition(*_KEY)
+    end = F.sum(F.col("gap") + F.col("length")).over(Window.partitionBy(*_KEY, "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    spans = each.select(*_KEY, "rank", (end - F.col("length")).alias("start"), end.alias("end"), "value").where((F.col("rank") != 0) | (F.length("value") >= 6))
+    spans = spans.where((F.col("rank") < 3) | (F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    # of equal starts the base spans come first, so a candidate has those that start with it before it; both windows run forwards, as only
+    # such are added up row by row
+    base, so_far = F.col("rank") < 3, (Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(base, F.col("end"))).over(Window.partitionBy(*_KEY).orderBy("start", "rank", "end").rowsBetween(*so_far))
+    ahead = F.min(F.when(base, F.col("start"))).over(Window.partitionBy(*_KEY).orderBy(F.desc("start"), F.desc("rank"), F.desc("end")).rowsBetween(*so_far))
+    free = F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))
+    return spans.withColumn("free", free).where(base | F.col("free")).select(*_KEY, "rank", "start", "end", "value")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -79,28 +87,28 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and n_example (values of the document judged so), n_repositories and n_owners (the most that hold one of its values)."""
     seen = saved(extract(documents), "secrets")
-    each = seen.select("doc_id", "text_hash", "owner", "repository", F.explode(F.concat("base", "more")).alias("x"))
-    each = each.select("doc_id", "text_hash", "owner", "repository", "x", F.sha2(F.col("x.value"), 256).alias("value_hash"))
-    different = F.size(F.array_distinct(F.split(F.col("x.value"), "")))
-    holders = ownership(each).withColumnRenamed("value_hash", "_hash")
-    judged = each.join(holders, F.col("value_hash") == F.col("_hash"))
+    found = saved(placed(seen.where(F.size("matches") > 0)).withColumn("value_hash", F.sha2("value", 256)), "secret-spans")
+    holding = seen.where(F.size("matches") > 0).select(F.col("_id").alias("i"), F.col("_text").alias("t"), "owner", "repository").distinct()
+    each = found.select(*_KEY, "value_hash").distinct().join(holding, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_text") == F.col("t")))
+    # a value that a third of all documents hold is one key of this join
+    judged = salted_join(found, ownership(each), ["value_hash"], [*_KEY], salts=SALTS)
     rare = (F.col("n_owners") <= MAX_LIVE_OWNERS) & (F.col("n_repositories") <= MAX_LIVE_REPOSITORIES)
-    judged = judged.select("doc_id", "text_hash", "x", "value_hash", (rare & (different >= MIN_DIFFERENT_CHARS)).alias("live"), (~rare).alias("example"), "n_repositories", "n_owners")
-    added = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).agg(
-        F.collect_set(F.when(F.col("live") & (F.col("x.rank") == 3), F.col("x"))).alias("extra"),
+    live = rare & (F.size(F.array_distinct(F.split("value", ""))) >= MIN_DIFFERENT_CHARS)
+    judged = judged.select(*_KEY, "rank", F.struct("start", "rank", "end").alias("x"), "value_hash", live.alias("live"), (~rare).alias("example"), "n_repositories", "n_owners")
+    base = F.col("rank") < 3
+    texts = judged.groupBy(*_KEY).agg(
+        *(F.count_if(F.col("rank") == k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])),
+        F.sha2(rendered(F.collect_list(F.when(base, F.col("x")))), 256).alias("base_sha256"),
+        rendered(F.collect_list(F.when(base | F.col("live"), F.col("x")))).alias("spans"),
         F.size(F.collect_set(F.when(F.col("live"), F.col("value_hash")))).cast("long").alias("n_live"),
         F.size(F.collect_set(F.when(F.col("example"), F.col("value_hash")))).cast("long").alias("n_example"),
         F.max("n_repositories").alias("n_repositories"),
         F.max("n_owners").alias("n_owners"),
     )
-    out = seen.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text")), "left")
-    return out.select(
-        "doc_id",
-        *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
-        F.sha2(rendered(F.col("base")), 256).alias("base_sha256"),
-        rendered(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN)))).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
-        F.coalesce("n_repositories", F.lit(0).cast("long")).alias("n_repositories"),
-        F.coalesce("n_owners", F.lit(0).cast("long")).alias("n_owners"),
-    )
+    texts = texts.withColumnsRenamed({k: f"{k}2" for k in _KEY})
+    # every document, those of one doc_id and text as one row with their number
+    rows = seen.groupBy(*_KEY).agg(F.count("*").alias("n_rows"))
+    out = rows.join(texts, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_text") == F.col("_text2")), "left")
+    nothing = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_assign", "n_access", "n_hex", "n_live", "n_example", "n_repositories", "n_owners")}
+    out = out.withColumns(nothing | {"base_sha256": F.coalesce("base_sha256", F.sha2(F.lit(""), 256)), "spans": F.coalesce("spans", F.lit("")), "again": F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows")))})
+    return out.select(F.col("_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example", "n_repositories", "n_owners")
