@@ -181,3 +181,44 @@ def confident_contexts(edges, rounds=3, support=3, least=0.8, shape_weight=0.5):
                     doubt[v] *= 1 - min(confidence, 0.999) * (shape_weight if kind == "shape" else 1)
             scores = {v: max(seeds[v], 1 - doubt[v]) for v in seeds}
     return {p for (kind, p), confidence in patterns.items() if kind == "context" and confidence >= least}
+
+
+def personal_instances(text, base):
+    """(start, end, context, shape, seed) of base spans (start, end) and of what else looks like an identifier, by plain rules."""
+    edge, space = "\"'()[]{}<>,;:!?.|", " \t\n\x0b\x0c\r"
+    words, k = [], 0  # (start, text) of everything between white space
+    while k < len(text):
+        if text[k] in space:
+            k += 1
+            continue
+        end = k
+        while end < len(text) and text[end] not in space:
+            end += 1
+        words.append((k, text[k:end]))
+        k = end
+    found, run = [], []
+    for at, word in [*words, (len(text) + 9, "")]:
+        left, core = len(word) - len(word.lstrip(edge)), word.strip(edge)
+        start, end = at + left, at + left + len(core)
+        taken = any(a < end and start < b for a, b in base)
+        number = not taken and core[:1] in set("+(0123456789") and re.fullmatch(r"[+(]*[0-9][0-9().+/-]*", core)
+        if number:
+            start -= word[:left].endswith("(")
+            end += word[left + len(core) :].startswith(")")
+        joins = number and run and at == start == run[-1][1] + 1
+        if run and not joins:
+            if sum(n for *_, n in run) >= 6:
+                found.append((run[0][0], run[-1][1]))
+            run = []
+        n = sum(c.isdigit() for c in core)
+        if number:
+            run.append((start, end, n))
+        elif not taken and re.search("[0-9@]", word) and (n >= 6 or "@" in core):
+            found.append((start, end))
+
+    def context(start):
+        before = [w for w in (x.strip(edge) for x in re.split(f"[{space}]+", text[:start])) if w]
+        return " ".join(before[-2:]).lower()
+
+    shape = lambda s: re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", "9", s))
+    return [(a, b, context(a), shape(text[a:b]), seed) for spans, seed in ((base, True), (found, False)) for a, b in spans]

@@ -442,6 +442,20 @@ def test_context_of_several_tokens(spark):
     assert all(found[30 + k] == [f"60{k}1-77{k}2"] * 2 for k in range(4)) and found[40] == ["888-1234"]
 
 
+def test_instances_by_brute_force(odd_rows):
+    """Free tokens, runs of numbers of any length, contexts and shapes, by plain rules."""
+    rng = np.random.default_rng(6)
+    parts = ["1234", "5678", "(02)", "99-11", "+82", "x@y", "a1b2c3d4", "id:", "No.", "word,", "10.0.0.7", "me@site.org", "4111111111111111", "\"77\"", "3.14.", "12/24", "²³", "[55]", "+1 (555) 123-4567"]
+    texts = [t or "" for _, t in odd_rows if len(t or "") < 9000] + ["".join(str(p) + str(rng.choice([" ", " ", " ", "\n", "  ", ""])) for p in rng.choice(parts, 40)) for _ in range(400)]
+    texts += ["call 1234 5678 9012 3456 7890 1234 now", " ".join(["123456"] * 500)]
+    for text in texts:
+        base = pii_bootstrap.base_spans(text)
+        got = [(a, b, c, s, seed) for a, b, c, s, _, seed in pii_bootstrap.instances(text, base)]
+        assert sorted(got) == sorted(brute.personal_instances(text, [(a, b) for a, _, b in base]))
+    whole = pii_bootstrap.instances("call 1234 5678 9012 3456 7890 1234 now", [])
+    assert [x[:4] for x in whole] == [(5, 34, "call", "9 9 9 9 9 9")]
+
+
 def test_context_by_brute_force(spark, odd_rows):
     """The added spans of whole tables against a plain scoring of the same instances."""
     rng = np.random.default_rng(9)
@@ -452,7 +466,7 @@ def test_context_by_brute_force(spark, odd_rows):
         kinds = [f"+1 ({700 + n}) 555-{3000 + n}", f"555-{3000 + n}", f"user{n}@mail.example.com", f"{4111111111111111 + n}", f"X{100000 + n}", "nothing"]
         docs.append((1000 + k, " and ".join(f"{places[int(rng.integers(0, len(places)))]} {kinds[int(rng.integers(0, len(kinds)))]} x" for _ in range(4))))
     found = [(d, t or "", pii_bootstrap.base_spans(t or "")) for d, t in docs]
-    each = [(d, t, b, pii_bootstrap.instances(t, b)) for d, t, b in found]
+    each = [(d, t, b, [(x[0], x[1], x[2], x[3], t[x[0] : x[1]], x[4]) for x in brute.personal_instances(t, [(s, e) for s, _, e in b])]) for d, t, b in found]
     contexts = brute.confident_contexts([x[2:] for *_, more in each for x in more])
     assert contexts
     wanted = []

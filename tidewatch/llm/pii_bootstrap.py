@@ -44,9 +44,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _INSTANCE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _EDGE = "\"'()[]{}<>,;:!?.|"
 _SPACE = frozenset("\x20\x09\x0A\x0B\x0C\x0D")
-#: A token of a number's run, and the most digits of a run.
+#: A token of a number's run.
 _NUMBER = re.compile(r"[+(]*[0-9][0-9().+/-]*")
-MAX_RUN_DIGITS = 19
 _DIGIT_RUN, _LETTER_RUN = re.compile("[0-9]+"), re.compile("[A-Za-z]+")
 
 
@@ -102,8 +101,9 @@ def words_before(text: str, at: int) -> str:
 
 
 def free_instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """(start, end) of the tokens and runs of number tokens outside the base spans that look like identifiers."""
-    run: list[tuple[int, int, int]] = []
+    """(start, end) of the tokens and runs of number tokens outside the base spans that look like identifiers. A run is whole however
+    long: number tokens with one character of white space and nothing else between them, six digits or more in all."""
+    first, last, total = 0, -1, 0  # the run: its start and end, and its digits
     k, reach = 0, 0
     for m in _INSTANCE.finditer(text):
         token = m[0]
@@ -113,24 +113,23 @@ def free_instances(text: str, base: list[tuple[int, int, int]]) -> Iterator[tupl
         while k < len(base) and base[k][0] < end:
             reach = max(reach, base[k][2])
             k += 1
-        digits = sum(c.isdigit() for c in core)
+        digits, close = sum(c.isdigit() for c in core), False
         # a number keeps the bracket that it begins with
         if start < reach:
             number = False
         elif number := bool(_NUMBER.fullmatch(core)):
             start -= token[: start - m.start()].endswith("(")
             close = token[end - m.start() :].startswith(")")
-        goes_on = number and run and m.start() == run[-1][1] + 1 and start == m.start() and sum(r[2] for r in run) + digits <= MAX_RUN_DIGITS
-        if run and not goes_on:
-            if sum(r[2] for r in run) >= 6:
-                yield run[0][0], run[-1][1]
-            run = []
+        if not (number and total and m.start() == last + 1 and start == m.start()):
+            if total >= 6:
+                yield first, last
+            first, total = start, 0
         if number:
-            run.append((start, end + close, digits))
+            last, total = end + close, total + digits
         elif start >= reach and (digits >= 6 or "@" in core):
             yield start, end
-    if run and sum(r[2] for r in run) >= 6:
-        yield run[0][0], run[-1][1]
+    if total >= 6:
+        yield first, last
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, str, bool]]:
