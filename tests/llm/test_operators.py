@@ -310,6 +310,26 @@ def test_jaccard_large_group(spark):
     same(jaccard_join.near_duplicates(df, 3, 80), brute.components(docs, 3, 80), "doc_id", "n_shingles", "component_id")
 
 
+def test_jaccard_shares_of_lists(spark, monkeypatch):
+    """Shingles in several buckets, and lists with the same groups: no link is lost."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 8)
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(30)]
+    docs = []
+    for k in range(120):
+        words = [*common, *(f"w{int(x)}" for x in rng.integers(0, 40, 12))] if k % 2 else [f"v{k // 8}x{j}" for j in range(40)]
+        for _ in range(int(rng.integers(0, 3))):
+            words[int(rng.integers(0, len(words)))] = f"n{int(rng.integers(0, 5))}"
+        docs.append((k, " ".join(words)))
+    same(jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), [(d, n, c) for d, n, c in brute.components(docs)], "doc_id", "n_shingles", "component_id")
+
+
+def test_count_codes():
+    counts = np.array([0, 1, 127, 128, 1000, 30_000, 10**6])
+    back = jaccard_join._COUNT_OF[jaccard_join._count_codes(counts)]
+    assert (back[:4] == counts[:4]).all() and abs(back[4] / 1000 - 1) < 0.05 and abs(back[5] / 30_000 - 1) < 0.05 and back[6] > 31_000
+
+
 def test_jaccard_odd(odd, empty):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.near_duplicates(odd).collect()}
     assert got[5, 0] == 5 and got[6, 0] == 6 and got[9, 1] == 8

@@ -6,7 +6,9 @@ A document is the set of its distinct shingles, each a 64-bit hash. Two document
    The class only sets the order; any order gives the same links.
 2. Documents with equal sets are one class, represented by the smallest doc_id. Classes with the same size and the same prefix form
    a group.
-3. Each group sends the shingles of its prefix to buckets. A bucket keeps the shingles that groups of compatible size share.
+3. Each group sends the shingles of its prefix to buckets, whose number grows with the prefixes' bytes; a shingle whose count says that its
+   list is long goes to several. A bucket keeps the shingles that groups of compatible size share. Shingles whose lists have the same
+   groups, such as those of one passage, become one list with each group's first position, which loses no pair.
 4. The groups of a shingle's list meet the list's leader. The different pairs of groups that sizes and positions let link are expanded
    to pairs of members, which are verified: first by parity sketches, whose distance is never more than the symmetric difference
    of the sets, so that no link is lost, then on whole sets. Once more, members that aren't connected with the most linked member of
@@ -46,6 +48,8 @@ SLICES = 256
 #: Members of a list, and bytes of their sets, that one block of the last step holds at most, but for chance.
 BLOCK_MEMBERS = 512
 BLOCK_BYTES = 8 << 20
+#: Rows of prefix shingles in a bucket, 24 bytes each, and of one shingle beyond which it goes to several.
+LIST_ROWS = 1 << 19
 #: Entries of a list up to which they are compared by pairs side by side with other lists; longer ones by rows.
 MET_LIST = 64
 #: Bytes of sketches that are compared in one step.
@@ -90,11 +94,21 @@ def may_link(n, pos, o, pos2, percent: int):
     return (100 * n >= percent * o) & (100 * o >= percent * n) & ((100 + percent) * (n - pos) >= percent * (n + o)) & ((100 + percent) * (o - pos2) >= percent * (n + o))
 
 
-def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
-    """The class of each cell, 0 for all that don't stand out from the mean; 4 MB at any input.
+def _count_codes(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte: those below 128 as they are, greater ones by sixteenths of their logarithm."""
+    large = 128 + np.minimum(16 * np.log2(np.maximum(counts, 128) / 128), 127)
+    return np.where(counts < 128, counts, large).astype(np.uint8)
 
-    Every task sends its counts, up to 255 a cell, in slices; a slice's counts are added up as they arrive, so that a task holds one sum
-    for each of its slices. The driver gets the sums, 16 MB at any input.
+
+_COUNT_OF = np.where(np.arange(256) < 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 128) / 16)).astype(np.int64)
+
+
+def frequency_classes(documents: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each cell, 0 for all that don't stand out from the mean, 4 MB at any input; and of each class about the most that a cell
+    of it counts.
+
+    Every task sends its counts, a byte each, in slices; a slice's counts are added up as they arrive, so that a task holds one sum
+    for each of its slices. The driver gets the sums, 32 MB at any input.
     """
     wide = (1 << CELL_BITS) // SLICES
 
@@ -104,23 +118,26 @@ def frequency_classes(documents: DataFrame, size: int) -> np.ndarray:
             for part in slices(batch, "text"):
                 every = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(part.column("text"), size)])
                 np.add.at(counts, every >> np.uint64(64 - CELL_BITS), 1)
-        sent = np.minimum(counts, 255).astype(np.uint8).reshape(SLICES, wide)
+        sent = _count_codes(counts).reshape(SLICES, wide)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in sent], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = np.minimum(sums.get(k, 0) + np.frombuffer(raw, np.uint8).astype(np.int64), 2**31 - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
+                sums[k] = sums.get(k, 0) + _COUNT_OF[np.frombuffer(raw, np.uint8)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     kind = "slice int, counts binary"
     sums = np.zeros((SLICES, wide), np.int64)
     for k, raw in documents.select("text").mapInArrow(tidy(cells), kind).repartition("slice").mapInArrow(tidy(add), kind).collect():  # SLICES rows
-        sums[k] = np.frombuffer(raw, "<i4")
+        sums[k] = np.frombuffer(raw, "<i8")
     sums = sums.reshape(-1)
     least = sums.mean() + 4 * np.sqrt(sums.mean()) + 2
-    return np.where(sums > least, np.clip(1 + 4 * np.log2(np.maximum(sums, 1) / least), 1, 63), 0).astype(np.uint8)
+    classes = np.where(sums > least, np.clip(1 + 4 * np.log2(np.maximum(sums, 1) / least), 1, 63), 0).astype(np.uint8)
+    most = np.zeros(64, np.int64)
+    np.maximum.at(most, classes, sums)
+    return classes, most
 
 
 def parity_sketch(keys: np.ndarray) -> np.ndarray:
@@ -147,8 +164,13 @@ def fingerprints(documents: DataFrame, size: int, percent: int, classes) -> Data
     return documents.mapInArrow(tidy(rows), "doc_id long, n_shingles long, h1 long, h2 long, prefix binary, sketch binary")
 
 
-def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """token, gid, n, pos of the prefix shingles that two groups share whose sizes and positions let them link."""
+def shared_postings(groups: DataFrame, percent: int, most: np.ndarray, parts: int) -> DataFrame:
+    """token, gid, n, pos of the prefix shingles that two groups share whose sizes and positions let them link; token names a list of groups,
+    that of all shingles with the same groups. `most` bounds the count of each class of shingles, `parts` is the least number of buckets.
+
+    A bucket's rows are LIST_ROWS on average. A shingle that may have more goes to several buckets by its groups' hash and is kept whole, as none of them
+    sees all of its list; so the most common shingle of a corpus is no task's alone."""
+    shares = np.maximum(-(-most // LIST_ROWS), 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,31 +179,44 @@ def shared_postings(groups: DataFrame, percent: int, buckets: int) -> DataFrame:
             token = np.concatenate([np.zeros(0, np.uint64), *tokens])
             gid, n = (np.repeat(batch.column(c).to_numpy(), length) for c in ("gid", "n"))
             pos = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-            bucket = (token % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[b] : cuts[b + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x[own].astype(k).tobytes()], pa.binary()) for x, k in ((token, "<u8"), (gid, "<i8"), (n, "<i4"), (pos, "<i4")))], ["bucket", "token", "gid", "n", "pos"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        token, gid, n, pos = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("token", "<u8"), ("gid", "<i8"), ("n", "<i4"), ("pos", "<i4")))
+            several = shares[token >> np.uint64(58)]
+            share = np.where(several > 1, 1 + (mix(gid.astype(np.uint64)) % several.astype(np.uint64)).astype(np.int64), 0)  # 0: whole in its bucket
+            for k in range(0, max(len(token), 1), 65_536):
+                own = slice(k, k + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(share[own].astype(np.int32)), pa.array(gid[own]), pa.array(n[own].astype(np.int32)), pa.array(pos[own].astype(np.int32))], ["token", "share", "gid", "n", "pos"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = list(batches)
+        if not every:
+            return
+        table = pa.Table.from_batches(every)
+        token, share, gid, n, pos = (table.column(c).to_numpy() for c in ("token", "share", "gid", "n", "pos"))
         order = np.lexsort((n, token))
-        token, gid, n, pos = token[order], gid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        token, share, gid, n, pos = token[order], share[order], gid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
         last = np.append(np.flatnonzero(token[1:] != token[:-1]), len(token) - 1)
-        size = np.repeat(np.diff(last, prepend=-1), np.diff(last, prepend=-1))
-        left = np.repeat(last, np.diff(last, prepend=-1)) - np.arange(len(token))  # entries of the list that follow
-        keep = size > MET_LIST
+        runs = np.diff(last, prepend=-1)
+        size = np.repeat(runs, runs)
+        left = np.repeat(last, runs) - np.arange(len(token))  # entries of the list that follow
+        keep = (size > MET_LIST) | (share > 0)
         for step in range(1, MET_LIST):
-            a = np.flatnonzero((left >= step) & (size <= MET_LIST))
+            a = np.flatnonzero((left >= step) & ~((size > MET_LIST) | (share > 0)))
             if not len(a):
                 break
             fit = a[may_link(n[a], pos[a], n[a + step], pos[a + step], percent)]
             keep[fit] = keep[fit + step] = True
-        return pa.table({"token": token[keep].view(np.int64), "gid": gid[keep], "n": n[keep], "pos": pos[keep].astype(np.int64)})
+        token, share, gid, n, pos = token[keep], share[keep], gid[keep], n[keep], pos[keep]
+        if len(token):
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            same = np.bitwise_xor.reduceat(mix(gid.astype(np.uint64) ^ _SHORT), first)
+            whole = share[first] == 0
+            names = np.where(whole, same, mix(token[first].view(np.uint64)))  # equal names only add pairs
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, np.diff(np.append(first, len(token)))).view(np.int64)), pa.array(gid), pa.array(n), pa.array(pos)], ["token", "gid", "n", "pos"])
 
-    sent = groups.select("gid", "n", "prefix").mapInArrow(tidy(send), "bucket int, token binary, gid binary, n binary, pos binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "token long, gid long, n long, pos long")
+    entries = groups.agg(F.sum(F.octet_length("prefix").cast("long"))).first()[0] or 0
+    buckets = max(parts, -(-entries // 8 // LIST_ROWS))
+    sent = groups.select("gid", "n", "prefix").mapInArrow(tidy(send), "token long, share int, gid long, n int, pos int").repartition(int(buckets), "token", "share")
+    met = sent.mapInArrow(tidy(meet), "token long, gid long, n long, pos long")
+    return met.groupBy("token", "gid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
 
 
 class Sketches:
@@ -351,7 +386,8 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     """doc_id, n_shingles and component_id of every document."""
     spark = documents.sparkSession
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, size))  # 4 MB at any input
+    found, most = frequency_classes(docs, size)
+    classes = spark.sparkContext.broadcast(found)  # 4 MB at any input
     prints = saved(fingerprints(docs, size, percent, classes), "fingerprints")
 
     full = prints.where("n_shingles > 0 and doc_id is not null")
@@ -359,7 +395,7 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, percent: in
     same = saved(same.select(F.col("n_shingles").alias("n"), "h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.prefix").alias("prefix"), F.col("x.sketch").alias("sketch")), "classes")
     groups = saved(same.groupBy("n", "prefix").agg(F.min("rep").alias("gid"), F.count("*").alias("n_members")), "groups")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = saved(shared_postings(groups, percent, buckets), "postings")
+    postings = saved(shared_postings(groups, percent, most, buckets), "postings")
 
     # expansion of groups to members: a group of one is its only member; others are looked up by their prefix
     several = groups.where("n_members > 1").select("n", "prefix", "gid")
