@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators import diagnosis, gates, markup, pages
+from tidewatch.operators import diagnosis, feeds, gates, markup, pages
+from tidewatch.sources import catalogs
 
 from .catalogue import query
 
@@ -162,3 +163,31 @@ def portfolio_roots(entries):
     blog = F.when(F.expr("right(no, 1)") < "7", F.concat(F.lit('<a href="/blog/'), "no", F.lit('">b</a>'))).otherwise("")
     made = p.select("page_id", F.concat("root", F.lit("/")).alias("url"), F.concat(F.lit("<title>"), title, F.lit("</title>"), menu, blog).alias("html"))
     return markup.portfolios(made, pages.nodes(made))
+
+
+# --- catalogues and feeds -------------------------------------------------------------------------------------------------------
+
+
+@query("entries", sql=r"""
+WITH e AS (SELECT regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS catalog, entry_id, regexp_extract(html, '<h1>([^<]*)', 1) AS name, regexp_replace(url, '[?#].*', '') AS url FROM entries),
+p AS (SELECT catalog, CAST(row_number() OVER (PARTITION BY catalog ORDER BY entry_id) - 1 AS INTEGER) AS pos, trim(name) AS name, url FROM e),
+t AS (SELECT *, name = '' OR length(name) > 200 AS unnamed, row_number() OVER (PARTITION BY catalog, url, name = '' OR length(name) > 200 ORDER BY pos) AS k FROM p)
+SELECT catalog, pos, name, url, CASE WHEN unnamed THEN 'no name' WHEN k > 1 THEN 'URL twice' ELSE 'URL in ' || nullif(min(CASE WHEN NOT unnamed AND k = 1 THEN catalog END) OVER (PARTITION BY url), catalog) END AS error FROM t""")
+def catalogue_entries(entries):
+    """A YAML catalogue for each language, out of the pages' headings and addresses, read back with what is wrong in it."""
+    line = F.concat(F.lit('  - name: "'), F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)", 1), r'(["\\\\])', r"\\$1"), F.lit('"\n    url: '), F.regexp_replace("url", "[?#].*", ""), F.lit("\n"))
+    listed = entries.select(urls.first_segment(F.col("url")).alias("lang"), F.struct("entry_id", line.alias("line")).alias("x"))
+    files = listed.groupBy(F.concat(F.lit("catalogs/"), "lang", F.lit(".yaml")).alias("path")).agg(F.concat(F.lit("schema: 2\nentries:\n"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "")).alias("value"))
+    return catalogs.across(catalogs.read_entries(files))
+
+
+@query("entries", sql=r"""
+WITH p AS (SELECT entry_id AS page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS root, rtrim(regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1), '/') AS path, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS hrefs FROM entries)
+SELECT page_id, 'input-url-feed-fetch' AS source, url FROM p
+UNION ALL SELECT page_id, 'page-path-fallback', root || path || unnest(['/rss.xml', '/feed', '/index.xml', '.rss']) FROM p
+UNION ALL SELECT page_id, 'well-known-path', root || unnest(['/feed', '/rss', '/atom.xml', '/rss.xml', '/feed.xml', '/feeds']) FROM p
+UNION ALL SELECT DISTINCT page_id, 'page-feed-link', root || href FROM (SELECT page_id, root, unnest(hrefs) AS href FROM p) WHERE regexp_matches(lower(href), 'rss|feed|atom|\.xml')""")
+def feed_places(entries):
+    """The places where feeds of a page may be."""
+    p = entries.select(F.col("entry_id").alias("page_id"), "url", "html")
+    return feeds.candidates(p, pages.nodes(p)).select("page_id", "source", "url")

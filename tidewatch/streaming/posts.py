@@ -15,6 +15,8 @@ REPROBE_AT, BROKEN_AT = 2, 3
 
 NEW_SCHEMA = "slug string, post_id string"
 ACTION_SCHEMA = "slug string, streak int, action string"
+DRIFT_AT, DRIFT_SCHEMA = 3, "slug string, ts timestamp, streak int"
+DELIVERY_SCHEMA = "target_id string, day date, ts timestamp"
 
 
 def new_posts(posts: DataFrame, cap: int = SEEN_CAP) -> DataFrame:
@@ -66,6 +68,55 @@ def breakage(polls: DataFrame) -> DataFrame:
     return polls.select("slug", "ts", "broken").groupBy("slug").applyInPandasWithState(step, ACTION_SCHEMA, "streak int", "append", GroupStateTimeout.NoTimeout)
 
 
+def body_drift(polls: DataFrame) -> DataFrame:
+    """slug, ts, streak for each poll (slug, ts, body_fetched, body_empty) from the third in a row on whose fetched bodies were all
+    empty. A poll that fetched none changes nothing, one that got a body ends the streak; polls that come late count when they come."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        streak = state.get[0] if state.exists else 0
+        out = []
+        for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+            if row.body_fetched > 0:
+                streak = streak + 1 if row.body_empty == row.body_fetched else 0
+                if streak >= DRIFT_AT:
+                    out.append((key[0], row.ts, streak))
+        state.update((streak,))
+        yield pd.DataFrame({"slug": [x[0] for x in out], "ts": pd.to_datetime([x[1] for x in out]), "streak": pd.array([x[2] for x in out], "int32")})
+
+    whole = F.coalesce("body_fetched", F.lit(0)).alias("body_fetched"), F.coalesce("body_empty", F.lit(0)).alias("body_empty")
+    return polls.select("slug", F.col("ts").cast("timestamp").alias("ts"), *whole).groupBy("slug").applyInPandasWithState(step, DRIFT_SCHEMA, "streak int", "append", GroupStateTimeout.NoTimeout)
+
+
+def deliveries(ticks: DataFrame, hours_east: int = 9, forget_days: int = 35, watermark: str = "2 days") -> DataFrame:
+    """target_id, day, ts: for each target and calendar day east of UTC the first tick (target_id, ts, deliver_at 'HH:MM') at or after
+    its time of delivery; a target whose time was missed is served by the day's next tick.
+
+    State is a target's last day, which later ticks of that day or of earlier ones, late or come again after a restart, don't pass.
+    It is forgotten, by a timer on event time, when a target has had no tick for `forget_days`."""
+    east = pd.Timedelta(hours=hours_east)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, latest = state.get if state.exists else ("", 0)
+        out = []
+        for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+            local = row.ts + east
+            day = local.strftime("%Y-%m-%d")
+            if day > last and row.deliver_at <= local.strftime("%H:%M"):
+                out.append((key[0], local.date(), row.ts))
+                last = day
+            latest = max(latest, int(row.ts.timestamp() * 1000))
+        state.update((last, latest))
+        # a timer lies beyond the watermark, or the engine doesn't take it
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + forget_days * 86_400_000)
+        yield pd.DataFrame({"target_id": [x[0] for x in out], "day": pd.Series([x[1] for x in out], dtype="object"), "ts": pd.to_datetime([x[2] for x in out])})
+
+    rows = ticks.select("target_id", F.col("ts").cast("timestamp").alias("ts"), "deliver_at").where("target_id is not null and ts is not null and deliver_at is not null")
+    return rows.withWatermark("ts", watermark).groupBy("target_id").applyInPandasWithState(step, DELIVERY_SCHEMA, "day string, latest long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def append_verified(store: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer: adds rows with new keys in a folder of the batch's own, so that a repeated batch replaces itself, then
     counts that every key is there; a batch that isn't whole fails and comes again."""
