@@ -138,3 +138,21 @@ def test_span_tree_is_whole(spark):
     chain = [(1, k, k - 1 if k else None) for k in range(20)] + [(1, 100, 77), (1, 101, 100), (2, 5, None)]
     got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in windows.span_tree(spark.createDataFrame(chain, "trace_id long, span_id long, parent_id long")).collect()}
     assert len(got) == len(chain) and got[1, 19] == (19, "/".join(f"{k:012d}" for k in range(20))) and got[1, 101][0] == 1 and got[2, 5] == (0, f"{5:012d}")
+
+
+def test_span_circles(spark):
+    """Spans on a circle of parents, and what hangs on it, are kept without a depth."""
+    spans = [(1, 1, None), (1, 2, 1), (1, 3, 4), (1, 4, 3), (1, 5, 4), (2, 3, 9), (2, 7, 7)]
+    got = {(r.trace_id, r.span_id): r.depth for r in windows.span_tree(spark.createDataFrame(spans, "trace_id long, span_id long, parent_id long")).collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): None, (1, 4): None, (1, 5): None, (2, 3): 0, (2, 7): None}
+
+
+def test_filter_hits_of_many_filters(spark, monkeypatch):
+    from tidewatch.operators import joins
+
+    monkeypatch.setattr(joins, "FILTERS_A_ROW", 2)
+    posts = spark.createDataFrame([("s", str(k), f"Word{k} of News") for k in range(12)] + [("s", "n", None), ("t", "0", "x")], "slug string, post_id string, text string")
+    subscriptions = spark.createDataFrame([("s", f"u{k}", f"word{k} ") for k in range(9)] + [("s", "all", None), ("s", "news", "NEWS"), ("s", "u1", "word2 "), ("q", "u1", "x")], "slug string, target_id string, filter_prompt string")
+    got = {(r.post_id, r.target_id) for r in joins.filter_hits(posts, subscriptions).collect()}
+    assert got == {(str(k), f"u{k}") for k in range(9)} | {("2", "u1")} | {(str(k), t) for k in range(12) for t in ("all", "news")} | {("n", "all")}
+    assert joins.filters_pass(posts, subscriptions).count() == 13 * 11

@@ -169,14 +169,28 @@ def shared_keys(rows: DataFrame, left: str, right: str) -> DataFrame:
     return rows.withColumn("shared", F.array_sort(F.array_intersect(left, right)))
 
 
-def filters_pass(posts: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """slug, post_id, target_id and whether any of the target's filters lets the post pass; an empty filter passes all.
+#: Different filters of a slug that one row holds at most, but for chance.
+FILTERS_A_ROW = 256
+
+
+def filter_hits(posts: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """slug, post_id, target_id of the posts that any of a target's filters lets pass; an empty filter passes all.
 
-    Each different filter of a slug is looked for once a post, and only what passed is joined with the targets: texts never meet them.
+    Each different filter of a slug is looked for once a post, in rows of bounded numbers of filters, and only what passed is joined with
+    the targets: texts never meet them. The joins are plain inner ones, whose hot slugs Spark splits.
     """
     wanted = subscriptions.select("slug", "target_id", F.lower(F.coalesce("filter_prompt", F.lit(""))).alias("filter")).distinct()
-    filters = wanted.groupBy("slug").agg(F.collect_set("filter").alias("filters"))
-    hits = posts.select("slug", "post_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(filters, "slug").select("slug", "post_id", F.explode(F.filter("filters", lambda f: F.contains(F.col("text"), f))).alias("filter"))
-    passed = hits.join(wanted, ["slug", "filter"]).select("slug", "post_id", "target_id").distinct()
-    every = posts.select("slug", "post_id").join(wanted.select("slug", "target_id").distinct(), "slug")
-    return every.join(passed.withColumn("passes", F.lit(True)), ["slug", "post_id", "target_id"], "left").select("slug", "post_id", "target_id", F.coalesce("passes", F.lit(False)).alias("passes"))
+    different = wanted.select("slug", "filter").distinct()
+    rows = different.groupBy("slug").agg(F.ceil(F.count("*") / FILTERS_A_ROW).alias("n"))
+    filters = different.join(rows, "slug").groupBy("slug", F.pmod(F.xxhash64("filter"), F.col("n")).alias("row")).agg(F.collect_list("filter").alias("filters"))
+    found = F.filter("filters", lambda f: F.contains(F.col("text"), f))
+    hits = posts.select("slug", "post_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).join(filters, "slug").select("slug", "post_id", F.explode(found).alias("filter"))
+    return hits.join(wanted, ["slug", "filter"]).select("slug", "post_id", "target_id").distinct()
+
+
+def filters_pass(posts: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """The hits, and every other pair of a post and a target of its slug with `passes` false: as many rows as there are pairs, for who
+    asks for them."""
+    every = posts.select("slug", "post_id").join(subscriptions.select("slug", "target_id").distinct(), "slug")
+    passed = filter_hits(posts, subscriptions).withColumn("passes", F.lit(True))
+    return every.join(passed, ["slug", "post_id", "target_id"], "left").select("slug", "post_id", "target_id", F.coalesce("passes", F.lit(False)).alias("passes"))

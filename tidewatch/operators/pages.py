@@ -102,7 +102,7 @@ def ld_types(x: object, depth: int = 0) -> Iterator[str]:
         yield from ld_types(v, depth + 1)
 
 
-@F.udf(T.BooleanType())
+@F.udf(returnType=T.BooleanType(), useArrow=True)
 def names_article(script):
     """Whether a JSON-LD script names a type of article; scripts that aren't JSON name none."""
     try:

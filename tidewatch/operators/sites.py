@@ -281,7 +281,7 @@ def marker_summary(markers: DataFrame) -> DataFrame:
     return out.select("slug", "kind", F.when(dead, "dead").otherwise(F.col("grp")).alias("grp"), F.when(dead, "dead").otherwise(F.col("status")).alias("status"))
 
 
-@F.udtf(returnType="path: string, value: string")
+@F.udtf(returnType="path: string, value: string", useArrow=True)
 class IdKeys:
     """Keys that end in Id with a number or a short name, to a depth of six and over the first twenty elements of a list; as a table
     function: LATERAL id_keys(json)."""
@@ -309,7 +309,7 @@ class IdKeys:
                 stack += [(f"{prefix}[{k}]", v, depth + 1) for k, v in enumerate(x[:20]) if isinstance(v, (dict, list))]
 
 
-@F.udf(T.ArrayType(T.StringType()))
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
 def message_chunks(text, most):
     """A text in chunks of at most `most` characters, cut behind the last line break of the second half of a chunk, if it has one."""
     out, rest = [], text or ""

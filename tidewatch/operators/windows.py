@@ -66,7 +66,8 @@ def queue_position(jobs: DataFrame) -> DataFrame:
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
-    """Depth and path of every span below its root; a span whose parent is missing is a root.
+    """Depth and path of every span below its root; a span whose parent is missing is a root. Spans that hang on a circle of parents are
+    below none: their depth and path are null.
 
     One join for each level, only with the spans that the last one reached; stops when none is left. Levels are written to the shared
     folder, so a deep tree has no long plan.
@@ -84,7 +85,9 @@ def span_tree(spans: DataFrame) -> DataFrame:
         level.write.option("compression", "zstd").parquet(path)
         level = spark.read.schema(level.schema).parquet(path)
         if level.isEmpty():
-            return spark.read.schema(level.schema).parquet(f"{folder}/level=*")
+            reached = spark.read.schema(level.schema).parquet(f"{folder}/level=*")
+            lost = spans.select("trace_id", "span_id").join(reached, ["trace_id", "span_id"], "left_anti")
+            return reached.unionByName(lost, allowMissingColumns=True)
         k += 1
         up = level.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("path").alias("above"))
         level = children.join(up, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")))

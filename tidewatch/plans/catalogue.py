@@ -426,6 +426,12 @@ def subscription_filters(posts, subscriptions):
     return joins.filters_pass(posts, subscriptions)
 
 
+@query("posts", "subscriptions", sql="""
+SELECT slug, post_id, target_id FROM posts p JOIN subscriptions s USING (slug) GROUP BY ALL HAVING bool_or(coalesce(filter_prompt, '') = '' OR contains(lower(p.text), lower(filter_prompt)))""")
+def subscription_hits(posts, subscriptions):
+    return joins.filter_hits(posts, subscriptions)
+
+
 # --- windows --------------------------------------------------------------------------------------------------------------------
 
 
