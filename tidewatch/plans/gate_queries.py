@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators import diagnosis, feeds, gates, markup, pages
+from tidewatch.operators import diagnosis, feeds, gates, markup, pages, traffic
 from tidewatch.sources import catalogs
 
 from .catalogue import query
@@ -191,3 +191,37 @@ def feed_places(entries):
     """The places where feeds of a page may be."""
     p = entries.select(F.col("entry_id").alias("page_id"), "url", "html")
     return feeds.candidates(p, pages.nodes(p)).select("page_id", "source", "url")
+
+
+# --- pages and their requests ---------------------------------------------------------------------------------------------------
+
+
+@query("entries", sql=r"""
+WITH n AS (SELECT entry_id AS page_id, html, regexp_replace(CASE WHEN url LIKE '%?%' THEN html ELSE regexp_replace(html, '(?s)<nav>.*</nav>', '') END, '(?s)<article>.*</article>', '') AS shell FROM entries),
+c AS (SELECT page_id, length(shell) AS s, length(html) AS r, len(regexp_extract_all(shell, '<a ')) AS sa, len(regexp_extract_all(html, '<a ')) AS ra, len(regexp_extract_all(html, '<p>')) AS p FROM n),
+d AS (SELECT *, round(r / s, 2) AS ratio, CASE WHEN p >= 3 THEN p ELSE 0 END + CASE WHEN sa = 0 AND ra >= 3 THEN ra ELSE 0 END AS drawn, CASE WHEN sa >= 3 THEN sa ELSE 0 END AS kept FROM c),
+t AS (SELECT *, CASE WHEN ratio >= 2 AND ra - sa >= 5 THEN 'size' WHEN drawn >= 20 THEN 'repeat' END AS rule FROM d)
+SELECT page_id, s AS static_size, r AS rendered_size, ratio, sa AS static_rows, ra AS rendered_rows, CAST(kept AS BIGINT) AS repeat_static, CAST(drawn AS BIGINT) AS repeat_drawn, rule AS trigger_rule, rule IS NOT NULL AS insufficient FROM t""")
+def rendering_needed(entries):
+    """Whole pages beside shells of theirs: without the article, and without the menu where the address has no query."""
+    whole = entries.select(F.col("entry_id").alias("page_id"), "url", "html")
+    bare = F.when(F.col("url").contains("?"), F.col("html")).otherwise(F.regexp_replace("html", "(?s)<nav>.*</nav>", ""))
+    found = traffic.rendering(whole.select("page_id", F.regexp_replace(bare, "(?s)<article>.*</article>", "").alias("html")), whole.select("page_id", "html"))
+    return found.withColumns({c: F.col(c).cast("long") for c in ("static_size", "rendered_size")})
+
+
+@query("entries", sql=rf"""
+WITH p AS (SELECT entry_id AS page_id, url, {PARTS} FROM entries),
+h AS (
+  SELECT page_id, 0 AS rank, 'query_param' AS kind, 'page' AS param, regexp_replace(regexp_replace(url, '#.*$', ''), '([?&]page=)[^&]*', '\1{{page}}') AS url_template, 'html_anchor' AS source, url AS evidence_url FROM p WHERE url LIKE '%page=%'
+  UNION ALL SELECT page_id, 1, 'path_segment', 'page', root || '/' || lang || '/page/{{page}}/', 'html_anchor', root || '/' || lang || '/page/' || no || '/' FROM p WHERE url LIKE '%.html'
+  UNION ALL SELECT page_id, 2, 'query_param', 'offset', regexp_replace(url, '#.*$', '') || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'offset={{page}}', 'har_xhr', root || '/api/list?offset=' || no FROM p WHERE lang = 'en')
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY rank) AS INTEGER) AS place, kind, param, url_template, source, evidence_url FROM h""")
+def pager_templates(entries):
+    """Pages with a link to themselves, some with a pager of one link, some whose requests page through an API."""
+    p = _parts(entries)
+    link = lambda *x: F.concat(F.lit('<a href="'), *x, F.lit('">x</a>'))
+    pager = F.when(F.endswith("url", F.lit(".html")), F.concat(F.lit('<div class="pager">'), link("root", F.lit("/"), "lang", F.lit("/page/"), "no", F.lit("/")), F.lit("</div>"))).otherwise("")
+    made = p.select("page_id", "url", F.concat("html", link(F.col("url")), pager).alias("html"))
+    requests = p.where("lang = 'en'").select("page_id", F.lit(1).alias("pos"), F.concat("root", F.lit("/api/list?offset="), "no").alias("url"), F.lit("xhr").alias("resource_type"), F.lit("application/json").alias("content_type"))
+    return traffic.pager_hints(made, pages.nodes(made), requests)
