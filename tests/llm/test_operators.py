@@ -374,6 +374,19 @@ def test_nearest_recall_and_ties(spark):
     assert [x[1] for x in table[0]] == list(range(100, 120)) and [x[1] for x in table[120]] == [0, *range(100, 119)]
 
 
+def test_nearest_many_codes(spark, monkeypatch):
+    """Codes beyond what a byte numbers, and a sample that grows with them; a recall of 1 finds all."""
+    monkeypatch.setattr(multi_index, "CODES", (600, 1024))
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 10)) * 4
+    vectors = {k: (centres[k % 60] + rng.normal(size=10) * 0.2).tolist() for k in range(3000)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    wanted = {(q, k + 1, v) for q, own in brute.nearest(list(vectors.items()), lambda k: k % 50 == 0, 5).items() for k, (v, _) in enumerate(own)}
+    assert {(r.query_id, r["rank"], r.vec_id) for r in multi_index.search(df, "vec_id % 50 = 0", 5, recall=1).collect()} == wanted
+    found = {(r.query_id, r.vec_id) for r in multi_index.search(df, "vec_id % 50 = 0", 5).collect()}
+    assert len(found & {(q, v) for q, _, v in wanted}) >= 0.9 * len(wanted)
+
+
 def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in multi_index.search(df, "vec_id % 20 = 0").orderBy("rank").collect()]

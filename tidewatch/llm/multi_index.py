@@ -7,7 +7,9 @@ those cells are ranked again by the exact inner product.
 
 The number of codes grows with the square root of the number of vectors, up to a bound, so that a cell holds few. How far queries walk
 is measured: for a fixed number of vectors the true nearest ones are found among all, and the walk is as long as it takes to reach the
-wanted share of those. So it is short where vectors lie in clusters, and long where they fill space evenly.
+wanted share of those; the codebooks aren't fitted on these vectors where there are enough. So it is short where vectors lie in clusters, and
+long where they fill space evenly. Beyond a million vectors cells grow with them, as the number of codes doesn't any more: what all
+tasks and the driver know of the cells is a number for each.
 
 Nearness is the inner product, and so is the score of a half and a code; the sum over both halves orders the cells.
 
@@ -33,10 +35,10 @@ from pyspark.sql import functions as F
 from .shared import saved, tidy
 
 NEAREST = 20
-#: Bounds of the number of codes of a half, vectors of the sample that codebooks are fitted on, k-means steps, vectors on which the
-#: length of walks is measured, and queries whose walks are in memory at once: fixed numbers.
-CODES = (16, 256)
-SAMPLE = 20_000
+#: Bounds of the number of codes of a half, vectors of the sample that codebooks are fitted on (this number, or so many for each code if that
+#: is more), k-means steps, vectors on which the length of walks is measured, and queries whose walks are in memory at once: fixed numbers.
+CODES = (16, 1024)
+SAMPLE, SAMPLE_A_CODE = 20_000, 40
 STEPS = 8
 PROBES = 128
 ASKED = 512
@@ -142,13 +144,14 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, recall:
     most_own = copies.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     spread, room = most_own > nearest, nearest + min(most_own, nearest)
 
-    # the sample: the entries with the smallest hashes, a fixed number
-    drawn = entries.orderBy("same").limit(SAMPLE).select("entry", "embedding").collect()
-    sample = np.array([r.embedding for r in drawn])
-    cut = max(1, sample.shape[1] // 2)
     codes = int(np.clip(1 << round(np.log2(n_entries) / 2), *CODES))
+    # the sample: the entries with the smallest hashes, a fixed number; the first of them measure walks and fit no codebook, if there are enough
+    drawn = entries.orderBy("same").limit(PROBES + max(SAMPLE, SAMPLE_A_CODE * codes)).select("entry", "embedding").toArrow()
+    drawn_entries, sample = drawn.column("entry").to_numpy(), _matrix(drawn.column("embedding").combine_chunks())
+    fitted = sample[PROBES:] if len(sample) >= 8 * PROBES else sample
+    cut = max(1, sample.shape[1] // 2)
     run = max(1, codes // 32)
-    books = fit_codebook(sample[:, :cut], codes, 1), fit_codebook(sample[:, cut:], codes, 2)
+    books = fit_codebook(fitted[:, :cut], codes, 1), fit_codebook(fitted[:, cut:], codes, 2)
     shared_books = spark.sparkContext.broadcast(books)
     n_second = len(books[1])
 
@@ -161,8 +164,8 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, recall:
 
     placed = saved(entries.select("entry", "first", "alone", "embedding").mapInArrow(tidy(place), "entry long, first long, alone boolean, embedding array<double>, cell int"), "cells")
     held = np.zeros((len(books[0]), n_second), np.int64)
-    for cell, n in placed.groupBy("cell").agg(F.count("*").alias("n")).collect():  # codes ** 2 rows at most
-        held[cell // n_second, cell % n_second] = n
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # codes ** 2 rows at most
+    held.reshape(-1)[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     shared_held = spark.sparkContext.broadcast(held)
     n_words = -(-n_second // 64)
     n_parts = np.maximum(1, -(-held.sum(axis=1) // PART))
@@ -178,8 +181,8 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, recall:
 
     wanted = n_entries
     if recall < 1:
-        few = min(PROBES, len(drawn))
-        probes_of = spark.sparkContext.broadcast((np.array([r.entry for r in drawn[:few]]), sample[:few]))
+        few = min(PROBES, len(sample))
+        probes_of = spark.sparkContext.broadcast((drawn_entries[:few], sample[:few]))
         near = placed.select("entry", "embedding", "cell").mapInArrow(tidy(true_nearest), "probe int, score double, cell int")
         rows_of = _first(near.where("score > double('-inf')"), "probe", nearest, F.desc("score"), F.asc("cell")).collect()  # PROBES * nearest rows at most
         steps = []
@@ -219,14 +222,14 @@ def search(embeddings: DataFrame, is_query: str, nearest: int = NEAREST, recall:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 for k in range(a, b, BLOCK):
                     own = order[k : min(b, k + BLOCK)]
-                    yield pa.RecordBatch.from_arrays([pa.array(strip[own[:1]], pa.int32()), pa.array(part[own[:1]], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, firsts, alone, m, (cell % n_second).astype(np.uint8)))], ["strip", "part", "entries", "firsts", "alone", "held", "codes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(strip[own[:1]], pa.int32()), pa.array(part[own[:1]], pa.int32()), *(pa.array([x[own].tobytes()], pa.binary()) for x in (ids, firsts, alone, m, (cell % n_second).astype(np.uint16)))], ["strip", "part", "entries", "firsts", "alone", "held", "codes"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked_ids, q, masks, entry_ids, firsts, alone, v, codes in zip(*(batch.column(c).to_pylist() for c in ("asked", "vectors", "masks", "entries", "firsts", "alone", "held", "codes")), strict=True):
                 asked_ids, entry_ids, firsts, alone = np.frombuffer(asked_ids, np.int64), np.frombuffer(entry_ids, np.int64), np.frombuffer(firsts, np.int64), np.frombuffer(alone, bool)
                 q, v = np.frombuffer(q).reshape(len(asked_ids), -1), np.frombuffer(v).reshape(len(entry_ids), -1)
-                codes = np.frombuffer(codes, np.uint8).astype(np.uint64)
+                codes = np.frombuffer(codes, np.uint16).astype(np.uint64)
                 words = np.frombuffer(masks, np.uint64).reshape(len(asked_ids), n_words)[:, (codes // 64).astype(np.int64)]
                 walked = (words >> (codes % 64)) & np.uint64(1) == 1
                 rough = np.where(walked, q @ v.T, -np.inf)
