@@ -208,3 +208,28 @@ def test_addresses(spark, zone):
     assert {r.a: r.w for r in out} == {a: ipaddress.ip_address(a).packed.hex() for a in ADDRESSES}
     bad = spark.createDataFrame([("1:2:3",), (":::",), ("::1::",), ("::ffff:300.1.1.1",), ("12345::",), ("",)], "a string").select(filters.written_out(F.col("a")).alias("w")).collect()
     assert [r.w for r in bad] == [None] * 6
+
+
+def test_site_findings(spark):
+    """Every finding, a healthy site, and one of which nothing is known."""
+    import datetime as dt
+
+    now = dt.datetime(2024, 1, 20, 12)
+    sites_ = [
+        ("fine", False, True, ["category"], "http://a/b?category=1", 0, 2, now, 9),
+        ("bad", True, False, None, "http://a/b?x=1", 2, 3, now - dt.timedelta(hours=25), 0),
+        ("disjoint", False, True, ["page"], "http://a/b", 0, 0, None, 1),
+        ("unknown", None, None, None, None, None, None, None, None),
+    ]
+    frame = spark.createDataFrame(sites_, "slug string, failed boolean, has_config boolean, config_keys array<string>, job_url string, breakage int, body_empty_streak int, last_poll_at timestamp, n_baseline int")
+    subs = [(1, "fine", "http://a/b?category=1", "t1", now - dt.timedelta(days=30)), (2, "disjoint", "http://a/b?y=&page=2", "t1", now - dt.timedelta(days=8)), (3, "disjoint", "http://a/b?z=2#f", "t2", now - dt.timedelta(days=6)), (4, "disjoint", "http://a/b?w=2", "t3", now - dt.timedelta(days=7))]
+    subscriptions = spark.createDataFrame(subs, "id long, slug string, url string, target_id string, created_at timestamp")
+    deliveries = spark.createDataFrame([("fine", "t1", "sent"), ("disjoint", "t1", "filtered"), ("disjoint", "t3", "sent")], "slug string, target_id string, kind string")
+    sampled = spark.createDataFrame([("fine",), ("bad",), ("disjoint",)], "slug string")
+    samples = spark.createDataFrame([("fine", "1", 5), ("fine", "2", 0), ("disjoint", "7", 0), ("disjoint", "7", None)], "slug string, post_id string, body_chars int")
+    got = [tuple(r) for r in diagnosis.site_findings(frame, subscriptions, deliveries, sampled, samples, F.lit(now)).orderBy("slug", "place").collect()]
+    assert [g[:1] + g[2:] for g in got] == [
+        ("bad", "error", "auto_register_failed", None), ("bad", "error", "body_empty_drift", "3"), ("bad", "error", "breakage_signal", "2"), ("bad", "error", "config_missing", None), ("bad", "error", "fetch_sim_empty", None),
+        ("bad", "warn", "query_kwargs_mismatch", "http://a/b?x=1"), ("bad", "warn", "stale_poll", "2024-01-19 11:00:00"), ("bad", "info", "empty_baseline", None),
+        ("disjoint", "error", "fetch_sim_same_id", "7"), ("disjoint", "warn", "article_body_empty", "1"), ("disjoint", "warn", "never_delivered", "t1"), ("disjoint", "info", "query_kwargs_keys_disjoint", "http://a/b?z=2#f"),
+    ]

@@ -98,3 +98,12 @@ def test_portfolios(spark):
     found = frame(spark, *(c[:2] for c in cases.values()))
     got = {r.page_id: r for r in markup.portfolios(found, pages.nodes(found)).collect()}
     assert set(got) == {0, 1} and got[0].n_projects == 3 and got[0].blog_link == "https://blog.ncase.example.me/" and got[1].blog_link == "https://ncase.example.me/blog/1" and got[0].title == "It's Nicky Case!"
+
+
+def test_tree_lists(spark):
+    rows = "".join(f"<li><a href=/v/{k}>t{k}</a><span>d{k}</span></li>" for k in range(5))
+    page = f"<html><body><h1>Head</h1><div><p>one</p></div><div><ul>{rows}</ul></div></body></html>"
+    got = markup.tree_lists(frame(spark, ("u", page), ("u", None), ("u", "plain"))).collect()
+    # links and dates meet in the list; the paragraphs' only element and the heading stand for themselves
+    assert [(r.page_id, r.place, r.path, r.n_children, r.n_linked) for r in got] == [(0, 1, "/html/body/div[2]/ul", 5, 5), (0, 2, "/html/body/h1", 0, 0), (0, 3, "/html/body/div[1]/p", 0, 0)]
+    assert len(markup.tree_candidates("".join(f"<s{k}>x</s{k}>" for k in range(30)))) == 10

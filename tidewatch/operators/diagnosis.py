@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
@@ -102,3 +102,73 @@ def verdicts(attempts: DataFrame, rendered: DataFrame | None = None) -> DataFram
     )
     headers = F.when(c("static_fine"), c("easiest")).when(c("captured_fine"), "S1.Hcap").when(c("headless_ok") > 0, "S4 (브라우저)").otherwise("n/a")
     return s.select("site", F.when(F.size("tags") > 0, F.array_join("tags", " / ")).otherwise(PENDING).alias("verdict"), "tags", strategy.alias("strategy"), headers.alias("headers"))
+
+
+# --- what is wrong with a site that is watched ----------------------------------------------------------------------------------
+
+SEVERITIES = ("error", "warn", "info")
+#: Polls in a row without a body, hours without a poll, and days without a delivery that are too many.
+DRIFT, STALE_HOURS, SILENT_DAYS = 3, 24, 7
+
+
+def query_keys(url: Column) -> Column:
+    """The names of a URL's parameters that have a value."""
+    pairs = F.filter(F.split(urls.query(url), "&"), lambda p: p.rlike("^[^=]+=."))
+    return F.array_distinct(F.transform(pairs, lambda p: F.split_part(p, F.lit("="), F.lit(1))))
+
+
+def lost_queries(sites: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """slug, severity, tag, detail: of the addresses that a site was registered by (those of its subscriptions in their order, then its job's)
+    the first whose parameters its configuration has none of; a warning if it has no parameters at all."""
+    known = sites.select("slug", F.coalesce("config_keys", F.array().cast("array<string>")).alias("keys"))
+    own = subscriptions.groupBy("slug", "url").agg(F.min("id").alias("pos")).select("slug", "url", "pos")
+    every = own.unionByName(sites.select("slug", F.col("job_url").alias("url"), F.lit((1 << 63) - 1).alias("pos"))).where("url <> ''")
+    odd = every.join(known, "slug").withColumn("asked", query_keys(F.col("url"))).where((F.size("asked") > 0) & ~F.arrays_overlap("asked", "keys"))
+    first = odd.groupBy("slug").agg(F.min_by(F.struct("url", F.size("keys").alias("n")), "pos").alias("x"))
+    none = F.col("x.n") == 0
+    return first.select("slug", F.when(none, "warn").otherwise("info").alias("severity"), F.when(none, "query_kwargs_mismatch").otherwise("query_kwargs_keys_disjoint").alias("tag"), F.col("x.url").alias("detail"))
+
+
+def never_delivered(subscriptions: DataFrame, deliveries: DataFrame, now: Column) -> DataFrame:
+    """A warning for every subscription that is old enough and to whose target nothing of its site was sent; what was filtered doesn't count."""
+    old = subscriptions.where(F.col("created_at") <= now - F.expr(f"interval {SILENT_DAYS} days"))
+    sent = deliveries.where("kind = 'sent'").select("slug", "target_id").distinct()
+    return old.join(sent, ["slug", "target_id"], "left_anti").select("slug", F.lit("warn").alias("severity"), F.lit("never_delivered").alias("tag"), F.col("target_id").cast("string").alias("detail"))
+
+
+def sampled_findings(sampled: DataFrame, samples: DataFrame) -> DataFrame:
+    """Findings of trial fetches: sampled (slug) says for which sites there was one, samples (slug, post_id, body_chars) what it gave:
+    nothing, several posts of one id, or only empty bodies."""
+    sums = samples.groupBy("slug").agg(F.count("*").alias("n"), F.min("post_id").alias("lo"), F.max("post_id").alias("hi"), F.count("body_chars").alias("bodies"), F.coalesce(F.max("body_chars"), F.lit(0)).alias("longest"))
+    s = sampled.select("slug").distinct().join(sums, "slug", "left")
+    rules = (
+        ("error", "fetch_sim_empty", F.col("n").isNull(), F.lit(None).cast("string")),
+        ("error", "fetch_sim_same_id", (F.col("n") > 1) & F.col("lo").eqNullSafe(F.col("hi")), F.col("lo").cast("string")),
+        ("warn", "article_body_empty", (F.col("bodies") > 0) & (F.col("longest") == 0), F.col("bodies").cast("string")),
+    )
+    return _found(s, rules)
+
+
+def _found(rows: DataFrame, rules: tuple) -> DataFrame:
+    """slug, severity, tag, detail of the rules (severity, tag, condition, detail) that hold; rows are read once."""
+    each = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(t).alias("tag"), d.alias("detail"))) for s, t, c, d in rules)))
+    return rows.select("slug", F.explode(each).alias("f")).select("slug", "f.*")
+
+
+def site_findings(sites: DataFrame, subscriptions: DataFrame, deliveries: DataFrame, sampled: DataFrame, samples: DataFrame, now: Column) -> DataFrame:
+    """slug, place, severity, tag, detail of everything that is wrong with a site, within a site the worst first.
+
+    sites: slug, failed, has_config, config_keys (the parameters that its configuration passes on), job_url, breakage, body_empty_streak,
+    last_poll_at, n_baseline; subscriptions: id, slug, url, target_id, created_at. What is null is unknown and no finding."""
+    text = lambda c: F.col(c).cast("string")
+    rules = (
+        ("error", "auto_register_failed", F.col("failed"), F.lit(None).cast("string")),
+        ("error", "config_missing", ~F.col("has_config"), F.lit(None).cast("string")),
+        ("error", "breakage_signal", F.col("breakage") > 0, text("breakage")),
+        ("error", "body_empty_drift", F.col("body_empty_streak") >= DRIFT, text("body_empty_streak")),
+        ("warn", "stale_poll", now - F.expr(f"interval {STALE_HOURS} hours") > F.col("last_poll_at"), F.date_format("last_poll_at", "yyyy-MM-dd HH:mm:ss")),
+        ("info", "empty_baseline", F.col("n_baseline") == 0, F.lit(None).cast("string")),
+    )
+    every = _found(sites, rules).unionByName(lost_queries(sites, subscriptions)).unionByName(never_delivered(subscriptions, deliveries, now)).unionByName(sampled_findings(sampled, samples))
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("slug").orderBy(rank, "tag", "detail"))).select("slug", "place", "severity", "tag", "detail")

@@ -216,3 +216,52 @@ def portfolios(pages: DataFrame, node_rows: DataFrame) -> DataFrame:
     sums = a.groupBy("page_id").agg(F.max_by("full", F.when(blog, F.col("node"))).alias("blog_link"), F.count_distinct(project).alias("n_projects"))
     found = sums.where(F.col("blog_link").isNotNull() & (F.col("n_projects") >= LEAST_PROJECTS)).join(heads, "page_id")
     return found.select("page_id", F.substring("title", 1, 120).alias("title"), "blog_link", "n_projects")
+
+
+# --- lists by the tag tree ------------------------------------------------------------------------------------------------------
+
+#: Bytes of a page and texts that are looked at, and places that are given.
+TREE_BYTES, TREE_TEXTS, TREE_PLACES = 500_000, 20_000, 10
+
+
+def tree_candidates(source: str, most: int = TREE_PLACES) -> list[tuple[str, int, int]]:
+    """(path, children, children with a link) of the elements in which most kinds of texts meet: texts with the same path of tags are of
+    one kind, and meet in the deepest element that holds all of them. Of equal ones the first."""
+    root = dom.parse(source.encode("utf-8", "replace")[:TREE_BYTES].decode("utf-8", "ignore"))
+    steps: dict[int, tuple[str, ...]] = {id(root): ()}
+    at: dict[tuple[str, ...], dom.Node] = {}
+    kinds: dict[tuple[str, ...], tuple[str, ...]] = {}
+    texts = 0
+    for node in root.walk():
+        above = node.parent
+        like = [c for c in above.children if c.tag == node.tag] if id(above) in steps else []
+        place = next((k for k, c in enumerate(like, 1) if c is node), 1)
+        path = (*steps[id(above)], f"{node.tag}[{place}]" if len(like) > 1 else node.tag)
+        steps[id(node)] = path
+        at[path] = node
+        n = sum(isinstance(p, str) and bool(p.strip()) for p in node.parts)
+        if n and texts < TREE_TEXTS:
+            texts += n
+            kind = tuple(s.split("[")[0] for s in path)
+            known = kinds.get(kind, path)
+            kinds[kind] = known[: next((k for k, (a, b) in enumerate(zip(known, path, strict=False)) if a != b), min(len(known), len(path)))]
+    counts: dict[tuple[str, ...], int] = defaultdict(int)
+    for meeting in kinds.values():
+        if meeting:
+            counts[meeting] += 1
+    best = sorted(counts, key=lambda p: -counts[p])[:most]
+    return [("/" + "/".join(p), len(at[p].children), sum(any(n.tag == "a" for n in c.walk()) for c in at[p].children)) for p in best]
+
+
+def tree_lists(pages: DataFrame) -> DataFrame:
+    """page_id, place, path, n_children, n_linked: elements that may be lists by the tree of their tags; a measure beside
+    pages.repeating_patterns, which goes by classes."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(page_id, k, *x) for page_id, text in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for k, x in enumerate(tree_candidates(text or ""), 1)]
+            kinds = (batch.schema.field("page_id").type, pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "place", "path", "n_children", "n_linked"])
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "html").mapInArrow(look, f"page_id {kind}, place int, path string, n_children long, n_linked long")
