@@ -225,3 +225,44 @@ def pager_templates(entries):
     made = p.select("page_id", "url", F.concat("html", link(F.col("url")), pager).alias("html"))
     requests = p.where("lang = 'en'").select("page_id", F.lit(1).alias("pos"), F.concat("root", F.lit("/api/list?offset="), "no").alias("url"), F.lit("xhr").alias("resource_type"), F.lit("application/json").alias("content_type"))
     return traffic.pager_hints(made, pages.nodes(made), requests)
+
+
+# --- watched sites --------------------------------------------------------------------------------------------------------------
+
+NOW = "timestamp '2024-01-25 00:00:00'"
+
+
+@query("jobs", "subscriptions", "deliveries", sql=f"""
+WITH s AS (
+  SELECT slug, count(*) AS n, count(*) FILTER (WHERE status = 'failed') AS k, count(*) FILTER (WHERE status = 'pending') AS p, CASE count(*) % 3 WHEN 0 THEN [] WHEN 1 THEN ['page'] ELSE ['k'] END AS keys, min(url) || '?k=1' AS job_url,
+    max(ts) FILTER (WHERE status = 'done' AND attempts = 0) AS last_poll FROM jobs WHERE slug IS NOT NULL GROUP BY slug),
+u AS (SELECT slug, url, min(id) AS pos FROM (SELECT slug, id, CASE WHEN user_id % 5 = 0 THEN 'http://h/b?k=' || user_id || '&e=' ELSE 'http://h/b' END AS url FROM subscriptions) GROUP BY ALL UNION ALL SELECT slug, job_url, 9223372036854775807 FROM s),
+q AS (SELECT slug, s.keys, first(u.url ORDER BY pos) AS url FROM u JOIN s USING (slug) WHERE contains(u.url, '?') AND NOT list_contains(s.keys, 'k') GROUP BY ALL),
+m AS (SELECT slug, count(*) AS n, count(DISTINCT user_id) AS ids, min(user_id) AS id, count(result_rc) AS bodies, coalesce(max(result_rc), 0) AS longest FROM jobs WHERE status = 'rejected' AND user_id % 29 = 0 AND slug IS NOT NULL GROUP BY slug),
+f AS (
+  SELECT slug, 'error' AS severity, 'auto_register_failed' AS tag, NULL AS detail FROM s WHERE k % 2 = 1
+  UNION ALL SELECT slug, 'error', 'config_missing', NULL FROM s WHERE n % 5 = 0
+  UNION ALL SELECT slug, 'error', 'breakage_signal', CAST(k % 3 AS VARCHAR) FROM s WHERE k % 3 > 0
+  UNION ALL SELECT slug, 'error', 'body_empty_drift', CAST(p % 5 AS VARCHAR) FROM s WHERE p % 5 >= 3
+  UNION ALL SELECT slug, 'warn', 'stale_poll', strftime(last_poll, '%Y-%m-%d %H:%M:%S') FROM s WHERE last_poll < {NOW} - interval '24' hour
+  UNION ALL SELECT slug, 'info', 'empty_baseline', NULL FROM s WHERE n % 4 = 0
+  UNION ALL SELECT slug, CASE WHEN len(keys) = 0 THEN 'warn' ELSE 'info' END, CASE WHEN len(keys) = 0 THEN 'query_kwargs_mismatch' ELSE 'query_kwargs_keys_disjoint' END, url FROM q
+  UNION ALL SELECT slug, 'warn', 'never_delivered', target_id FROM subscriptions b WHERE created_at <= {NOW} - interval '7' day AND NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.slug = b.slug AND d.target_id = b.target_id AND d.kind = 'sent')
+  UNION ALL SELECT slug, 'error', 'fetch_sim_empty', NULL FROM s WHERE slug NOT IN (SELECT slug FROM m)
+  UNION ALL SELECT slug, 'error', 'fetch_sim_same_id', CAST(id AS VARCHAR) FROM m WHERE n > 1 AND ids = 1
+  UNION ALL SELECT slug, 'warn', 'article_body_empty', CAST(bodies AS VARCHAR) FROM m WHERE bodies > 0 AND longest = 0)
+SELECT slug, severity, tag, detail, count(*) AS n FROM f GROUP BY ALL""")
+def watch_findings(jobs, subscriptions, deliveries):
+    """What is wrong with the sites that are watched; a target that several subscriptions of a site name is counted."""
+    n, failed, pending = F.count("*"), F.count_if(F.col("status") == "failed"), F.count_if(F.col("status") == "pending")
+    keys = F.when(n % 3 == 0, F.array().cast("array<string>")).when(n % 3 == 1, F.array(F.lit("page"))).otherwise(F.array(F.lit("k")))
+    done = F.when((F.col("status") == "done") & (F.col("attempts") == 0), F.col("ts"))
+    own = jobs.where("slug is not null")
+    watched = own.groupBy("slug").agg(
+        (failed % 2 == 1).alias("failed"), (n % 5 > 0).alias("has_config"), keys.alias("config_keys"), F.concat(F.min("url"), F.lit("?k=1")).alias("job_url"), (failed % 3).alias("breakage"), (pending % 5).alias("body_empty_streak"),
+        F.max(done).alias("last_poll_at"), (n % 4).alias("n_baseline"),
+    )
+    url = F.when(F.col("user_id") % 5 == 0, F.concat(F.lit("http://h/b?k="), F.col("user_id").cast("string"), F.lit("&e="))).otherwise("http://h/b")
+    samples = own.where("status = 'rejected' and user_id % 29 = 0").select("slug", F.col("user_id").cast("string").alias("post_id"), F.col("result_rc").alias("body_chars"))
+    found = diagnosis.site_findings(watched, subscriptions.withColumn("url", url), deliveries, watched, samples, F.expr(NOW))
+    return found.groupBy("slug", "severity", "tag", "detail").agg(F.count("*").alias("n"))
