@@ -233,3 +233,9 @@ def test_site_findings(spark):
         ("bad", "warn", "query_kwargs_mismatch", "http://a/b?x=1"), ("bad", "warn", "stale_poll", "2024-01-19 11:00:00"), ("bad", "info", "empty_baseline", None),
         ("disjoint", "error", "fetch_sim_same_id", "7"), ("disjoint", "warn", "article_body_empty", "1"), ("disjoint", "warn", "never_delivered", "t1"), ("disjoint", "info", "query_kwargs_keys_disjoint", "http://a/b?z=2#f"),
     ]
+
+
+def test_rejection_groups(spark):
+    cases = {"verdict target_not_found": "exclude", "HTTP 404 of all": "exclude", "Cloudflare page": "blocked", "BASELINE_BLOCKED": "blocked", "blocked, cert_or_dns_broken": "exclude", "an article": "content", None: "content"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", sites.rejection_group(F.col("t")).alias("g")).collect()
+    assert {r.t: r.g for r in got} == cases

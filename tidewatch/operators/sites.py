@@ -271,6 +271,12 @@ def unpacked(text: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).when(text.rlike(r"^\s*\[") & parsed.isNotNull(), parsed).otherwise(F.array(text))
 
 
+def rejection_group(reason: Column) -> Column:
+    """What a site was rejected for: exclude (it is gone), blocked or content."""
+    said = F.upper(F.coalesce(reason, F.lit("")))
+    return F.when(said.rlike("TARGET_NOT_FOUND|CERT_OR_DNS_BROKEN|HTTP 404"), "exclude").when(said.rlike("CLOUDFLARE|BLOCKED"), "blocked").otherwise("content")
+
+
 def marker_summary(markers: DataFrame) -> DataFrame:
     """slug, kind, grp, status of every site's marker (slug, kind, last_status, reason_group)."""
     kind, last = F.col("kind"), F.coalesce("last_status", F.lit("unknown"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import urls
-from tidewatch.operators import diagnosis, feeds, gates, markup, pages, traffic
+from tidewatch.operators import diagnosis, feeds, gates, markup, pages, sites, traffic
 from tidewatch.sources import catalogs
 
 from .catalogue import query
@@ -266,3 +266,15 @@ def watch_findings(jobs, subscriptions, deliveries):
     samples = own.where("status = 'rejected' and user_id % 29 = 0").select("slug", F.col("user_id").cast("string").alias("post_id"), F.col("result_rc").alias("body_chars"))
     found = diagnosis.site_findings(watched, subscriptions.withColumn("url", url), deliveries, watched, samples, F.expr(NOW))
     return found.groupBy("slug", "severity", "tag", "detail").agg(F.count("*").alias("n"))
+
+
+@query("jobs", sql="""
+WITH r AS (SELECT slug, CASE WHEN status = 'rejected' THEN 'rejected' WHEN status = 'failed' THEN 'failed' ELSE 'polling' END AS kind, status, upper(coalesce(result_tail, '')) AS t FROM jobs WHERE slug IS NOT NULL),
+g AS (SELECT kind, CASE kind WHEN 'failed' THEN 'blocked' WHEN 'polling' THEN 'board' ELSE CASE WHEN contains(t, 'TARGET_NOT_FOUND') THEN 'dead' WHEN contains(t, 'BLOCKED') THEN 'blocked' ELSE 'content' END END AS grp, status FROM r)
+SELECT kind, grp, CASE WHEN kind = 'polling' THEN CASE WHEN status = 'done' THEN 'active' ELSE status END ELSE grp END AS status, count(*) AS n FROM g GROUP BY ALL""")
+def rejection_groups(jobs):
+    """Markers of sites, those that were rejected by what their reasons say."""
+    kind = F.when(F.col("status").isin("rejected", "failed"), F.col("status")).otherwise("polling")
+    last = F.when(F.col("status") == "done", "ok").otherwise(F.col("status"))
+    markers = jobs.where("slug is not null").select("slug", kind.alias("kind"), last.alias("last_status"), sites.rejection_group(F.col("result_tail")).alias("reason_group"))
+    return sites.marker_summary(markers).groupBy("kind", "grp", "status").agg(F.count("*").alias("n"))
