@@ -1,10 +1,12 @@
 """Every operator against a plain version, on odd rows: nulls, empty and very long texts, repeats, ties, extra columns, no rows."""
 
 import random
+from urllib.parse import urlparse
 
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -574,6 +576,19 @@ def test_counts(odd, odd_rows, empty):
     assert token_scan.token_counts(empty, path, pattern, 50256).count() == 0
 
 
+def test_row_groups_of_large_rows(spark):
+    """What a writer holds and a reader decodes at once doesn't grow with the rows of a task."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two three four five six seven").alias("text")).coalesce(1)
+    path, pattern = tokenizers_.path("byte_bpe_50k.tiktoken"), tokenizers_.PATTERN
+    flat = token_scan.write_flat(docs, path, pattern, 50256, 4)
+    for table in (flat, token_blocks.write_token_file(docs, BPE, 2)):
+        for file in table.inputFiles():
+            groups = pq.ParquetFile(urlparse(file).path).metadata
+            assert all(groups.row_group(k).num_rows <= 16 for k in range(groups.num_row_groups))
+    n = len(token_scan.encoding(path, pattern).encode_ordinary("one two three four five six seven"))
+    assert flat.count() > 16 and rows(token_scan.token_counts(docs, path, pattern, 50256, 4), "doc_id", "n_tokens") == sorted(((k, n) for k in range(40)), key=repr)
+
+
 def test_shared_bytes():
     from tidewatch.llm.shared import joined_bytes, word_hashes, word_spans
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scratch import clear_scratch, new_path, saved, scratch_mark  # noqa: F401
+from tidewatch.functions.scratch import LARGE_ROWS, clear_scratch, new_path, saved, scratch_mark  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20

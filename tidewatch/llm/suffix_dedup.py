@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import joined_bytes, mix, new_path, salted_join, saved, slices, tidy, with_columns
+from .shared import LARGE_ROWS, joined_bytes, mix, new_path, salted_join, saved, slices, tidy, with_columns
 
 LENGTH = 50
 ANCHOR = 32
@@ -298,7 +298,7 @@ def batch_table(documents: DataFrame, parts: int) -> DataFrame:
     spark = documents.sparkSession
     path = new_path(spark, "batches")
     name = "scratch_" + path.rsplit("/", 1)[-1].replace("-", "_")
-    documents.select("doc_id", "text").mapInArrow(tidy(pack), _BATCHES).write.bucketBy(parts, "key").option("compression", "zstd").option("path", path).saveAsTable(name)
+    documents.select("doc_id", "text").mapInArrow(tidy(pack), _BATCHES).write.bucketBy(parts, "key").options(compression="zstd", path=path, **LARGE_ROWS).saveAsTable(name)
     return spark.table(name)
 
 

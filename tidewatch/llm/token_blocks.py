@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ENTRY_BYTES, IS_WORD, joined_bytes, same_bytes, saved, slices, tidy, with_columns, word_hashes
+from .shared import ENTRY_BYTES, IS_WORD, LARGE_ROWS, joined_bytes, same_bytes, saved, slices, tidy, with_columns, word_hashes
 
 BLOCK = 128
 PERCENTILE = 0.9
@@ -318,7 +318,7 @@ def write_token_file(documents: DataFrame, tokenizer_path: str, end_id: int) ->
 
     docs = with_columns(documents, "doc_id", "text")
     ordered = docs.withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return saved(ordered.mapInArrow(tidy(segments), SEGMENT_SCHEMA), "token-file")
+    return saved(ordered.mapInArrow(tidy(segments), SEGMENT_SCHEMA), "token-file", **LARGE_ROWS)
 
 
 def read_token_file(file: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, slices, tidy, with_columns
+from .shared import LARGE_ROWS, saved, slices, tidy, with_columns
 
 BLOCK_IDS = 1 << 18
 
@@ -70,7 +70,7 @@ def write_flat(documents: DataFrame, ranks_path: str, pattern: str, end_id: int,
             yield row(number, np.concatenate(waiting), None, None)
 
     docs = with_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return saved(docs.mapInArrow(tidy(blocks), "shard int, block long, ids binary, ordinal long, doc_ids array<long>"), "flat-tokens")
+    return saved(docs.mapInArrow(tidy(blocks), "shard int, block long, ids binary, ordinal long, doc_ids array<long>"), "flat-tokens", **LARGE_ROWS)
 
 
 def count_tokens(file: DataFrame, end_id: int) -> DataFrame:
