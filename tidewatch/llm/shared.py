@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
-from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -13,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scratch import LARGE_ROWS, clear_scratch, new_path, saved, scratch_mark  # noqa: F401
+from tidewatch.functions.scratch import LARGE_ROWS, Batches, clear_scratch, give_back, new_path, saved, scratch_mark, tidy  # noqa: F401
 
 #: Bytes of text that one vectorised step handles at most, unless a single document is longer.
 SLICE_BYTES = 2 << 20
@@ -32,31 +30,6 @@ _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
-def give_back() -> None:
-    """Returns freed memory to the system: worker processes are used again and again, and would keep the most that any task took."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
-def tidy(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """The function for mapInArrow, after whose last batch a worker gives back what it has freed."""
-
-    @wraps(work)
-    def run(batches: Batches) -> Batches:
-        try:
-            yield from work(batches)
-        finally:
-            give_back()
-
-    return run
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (multiply and shift)."""
     h = (h ^ (h >> np.uint64(32))) * _MUL1

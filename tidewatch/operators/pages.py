@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions import dom, urls
+from tidewatch.functions.scratch import tidy
 from tidewatch.functions.transforms import html_unescape
 
-NODE = "page_id long, node int, parent int, position int, tag string, element_id string, classes array<string>, attrs map<string,string>, own_text string, text string, n_children int, ancestors array<int>, skeleton boolean"
+#: Columns of nodes. Ancestors, the tags and roles above a node, and its place among the page's links stand at links alone; links and
+#: link_data at nodes with siblings: the different links within a node or of itself, each with its first anchor, and data attributes of the first.
+NODE = {
+    "page_id": "long", "node": "int", "parent": "int", "position": "int", "tag": "string", "element_id": "string", "classes": "array<string>", "attrs": "map<string,string>", "own_text": "string",
+    "text": "string", "n_children": "int", "ancestors": "array<int>", "skeleton": "boolean", "up_tag": "string", "up_id": "string", "up_classes": "array<string>", "up_children": "int",
+    "above": "array<string>", "above_roles": "array<string>", "nth_link": "int", "links": "array<struct<href:string,node:int>>", "link_data": "map<string,string>",
+}
+ARROW = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string()),
+    "array<array<string>>": pa.list_(pa.list_(pa.string())), "array<struct<href:string,node:int>>": pa.list_(pa.struct([("href", pa.string()), ("node", pa.int32())])),
+}
 SKIPPED = ("script", "style", "meta", "link")
 #: Characters of a repeating pattern's sample, and of a data attribute's value, and attributes of a row.
 MAX_SAMPLE = 120
@@ -26,6 +39,7 @@ SKELETON_DEPTH = 10
 VISUAL = ("svg", "g", "path", "circle", "rect", "polygon", "use", "defs")
 #: Characters of text that one batch of nodes holds at most, unless a single node has more.
 BATCH_CHARS = 8 << 20
+BATCH_ROWS = 4096
 #: A call in a link.
 SCRIPT_CALL = r"(?i)(?:javascript:\s*)?([A-Za-z_$][\w$]*)\s*\(\s*['\"]?([A-Za-z0-9_-]+)['\"]?"
 #: Schema.org's types of an article, and how deep they are looked for.
@@ -36,59 +50,153 @@ ARTICLE_TYPES = frozenset(
 MAX_LD_DEPTH = 8
 
 
-def nodes(pages: DataFrame) -> DataFrame:
-    """Every element of every page (page_id, html) as a row, with its own text and all text within it; an anchor with the nodes that it
-    lies in, and whether a node holds one that only fills a place until data comes."""
+def nodes(pages: DataFrame, *columns: str, wanted: Callable[[dom.Node], bool] | None = None) -> DataFrame:
+    """Every element of every page (page_id, html) as a row, with its own text and all text within it, and whether it holds one that only
+    fills a place until data comes; with the page's url as own_url where pages have it. Named columns alone are made, besides page_id and
+    node, and of the nodes only those that are wanted."""
+    made = ["node", *(c for c in columns if c not in ("page_id", "node"))] if columns else [c for c in NODE if c != "page_id"]
+    base = ["url"] if "url" in pages.columns else []
+    names = ["page_id", *made, *("own_url" for _ in base)]
+    arrow = [ARROW[NODE.get(c, "string")] for c in names]
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, size = [], 0
         for batch in batches:
-            for page_id, text in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                root = dom.parse(text or "")
-                every = list(root.walk())
-                number = {id(n): k for k, n in enumerate(every)}
-                last = list(range(len(every)))  # of each node's descendants, which follow it
-                for k in range(len(every) - 1, -1, -1):
-                    if (up := number.get(id(every[k].parent), -1)) >= 0:
-                        last[up] = max(last[up], last[k])
-                marked = [bool(SKELETON.search(n.attrs.get("class", ""))) for n in every]
-                bare = [any(marked[k + 1 : min(last[k], k + SKELETON_DEPTH) + 1]) for k in range(len(every))]
-                start, texts, size = 0, [], 0
-                for k, n in enumerate(every):
-                    texts.append(("".join(p for p in n.parts if isinstance(p, str)).strip(), n.text()))
-                    size += len(texts[-1][0]) + len(texts[-1][1])
-                    if size >= BATCH_CHARS or k + 1 == len(every):
-                        yield _rows(page_id, every[start : k + 1], start, number, texts, bare)
-                        start, texts, size = k + 1, [], 0
-
-    return pages.select("page_id", "html").mapInArrow(explode, NODE)
-
-
-def _above(node: dom.Node, number: dict[int, int]) -> list[int]:
-    out, up = [], node.parent
-    while up is not None and id(up) in number:
-        out.append(number[id(up)])
-        up = up.parent
-    return out
-
-
-def _rows(page_id: int, own: list[dom.Node], start: int, number: dict[int, int], texts: list[tuple[str, str]], bare: list[bool]) -> pa.RecordBatch:
-    columns = [
-        [page_id] * len(own),
-        list(range(start, start + len(own))),
-        [number.get(id(n.parent), -1) for n in own],
-        [n.index for n in own],
-        [n.tag for n in own],
-        [n.attrs.get("id") for n in own],
-        [n.classes for n in own],
-        [list(n.attrs.items()) for n in own],
-        [t for t, _ in texts],
-        [t for _, t in texts],
-        [len(n.children) for n in own],
-        [_above(n, number) if n.tag == "a" else None for n in own],
-        bare[start : start + len(own)],
-    ]
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODE.split(", ")])
+            for row in range(len(batch)):
+                page_id, html, *url = (c[row].as_py() for c in batch.columns)
+                page = _Page(dom.parse(html or ""))
+                makers = [getattr(page, c) for c in made]
+                size += len(html or "")
+                for k, n in enumerate(page.every):
+                    if wanted is None or wanted(n):
+                        cells.append([page_id, *(f(n, k) for f in makers), *url])
+                        size += sum(len(x) for x in cells[-1] if isinstance(x, str))
+                        if size >= BATCH_CHARS or len(cells) >= BATCH_ROWS:
+                            yield _batch(cells, names, arrow)
+                            cells, size = [], 0
+                page.forget()
+        if cells:
+            yield _batch(cells, names, arrow)
+
+    return pages.select("page_id", "html", *base).mapInArrow(tidy(explode), ", ".join(f"{c} {NODE.get(c, 'string')}" for c in names))
+
+
+def _batch(cells: list[list], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), kinds, strict=True)], names)
+
+
+class _Page:
+    """The columns of a page's nodes by name."""
+
+    def __init__(self, root: dom.Node):
+        self.every = list(root.walk())
+        self.number = {id(n): k for k, n in enumerate(self.every)}
+
+    def forget(self) -> None:
+        """Takes the tree apart, which nothing but a search for cycles would free."""
+        for n in self.every:
+            n.parent = None
+
+    def node(self, n: dom.Node, k: int) -> int:
+        return k
+
+    def parent(self, n: dom.Node, k: int) -> int:
+        return self.number.get(id(n.parent), -1)
+
+    def position(self, n: dom.Node, k: int) -> int:
+        return n.index
+
+    def tag(self, n: dom.Node, k: int) -> str:
+        return n.tag
+
+    def element_id(self, n: dom.Node, k: int) -> str | None:
+        return n.attrs.get("id")
+
+    def classes(self, n: dom.Node, k: int) -> list[str]:
+        return n.classes
+
+    def attrs(self, n: dom.Node, k: int) -> list[tuple[str, str]]:
+        return list(n.attrs.items())
+
+    def own_text(self, n: dom.Node, k: int) -> str:
+        return "".join(p for p in n.parts if isinstance(p, str)).strip()
+
+    def text(self, n: dom.Node, k: int) -> str:
+        return n.text()
+
+    def n_children(self, n: dom.Node, k: int) -> int:
+        return len(n.children)
+
+    def _above(self, n: dom.Node) -> list[dom.Node]:
+        out, up = [], n.parent
+        while up is not None and id(up) in self.number:
+            out.append(up)
+            up = up.parent
+        return out
+
+    def ancestors(self, n: dom.Node, k: int) -> list[int] | None:
+        return [self.number[id(x)] for x in self._above(n)] if n.tag == "a" else None
+
+    def above(self, n: dom.Node, k: int) -> list[str] | None:
+        return [x.tag for x in self._above(n)] if n.tag == "a" else None
+
+    def above_roles(self, n: dom.Node, k: int) -> list[str] | None:
+        return [x.attrs["role"] for x in self._above(n) if "role" in x.attrs] if n.tag == "a" else None
+
+    def up_tag(self, n: dom.Node, k: int) -> str | None:
+        return n.parent.tag if id(n.parent) in self.number else None
+
+    def up_id(self, n: dom.Node, k: int) -> str | None:
+        return n.parent.attrs.get("id")
+
+    def up_classes(self, n: dom.Node, k: int) -> list[str]:
+        return n.parent.classes
+
+    def up_children(self, n: dom.Node, k: int) -> int:
+        return len(n.parent.children)
+
+    @cached_property
+    def _last(self) -> list[int]:
+        """Of each node's descendants, which follow it."""
+        last = list(range(len(self.every)))
+        for k in range(len(last) - 1, -1, -1):
+            if (up := self.number.get(id(self.every[k].parent), -1)) >= 0:
+                last[up] = max(last[up], last[k])
+        return last
+
+    @cached_property
+    def _marked(self) -> list[int]:
+        return [k for k, n in enumerate(self.every) if "class" in n.attrs and SKELETON.search(n.attrs["class"])]
+
+    @cached_property
+    def _hrefs(self) -> list[int]:
+        return [k for k, n in enumerate(self.every) if n.tag == "a" and "href" in n.attrs]
+
+    def skeleton(self, n: dom.Node, k: int) -> bool:
+        at = bisect_right(self._marked, k)
+        return at < len(self._marked) and self._marked[at] <= min(self._last[k], k + SKELETON_DEPTH)
+
+    def nth_link(self, n: dom.Node, k: int) -> int | None:
+        return bisect_left(self._hrefs, k) if n.tag == "a" and "href" in n.attrs else None
+
+    def links(self, n: dom.Node, k: int) -> list[dict] | None:
+        if len(n.parent.children) < 2:
+            return None
+        first: dict[str, int] = {}  # hrefs() with the nodes
+        for j in self._hrefs[bisect_left(self._hrefs, k) : bisect_right(self._hrefs, self._last[k])]:
+            first.setdefault(self.every[j].attrs["href"], j)
+        return [{"href": h, "node": j} for h, j in first.items()]
+
+    def hrefs(self, k: int) -> tuple[str, ...]:
+        """The different links within a node or of itself, in their order."""
+        own = self._hrefs[bisect_left(self._hrefs, k) : bisect_right(self._hrefs, self._last[k])]
+        return tuple(dict.fromkeys(self.every[j].attrs["href"] for j in own))
+
+    def link_data(self, n: dom.Node, k: int) -> list[tuple[str, str]] | None:
+        at = bisect_left(self._hrefs, k)
+        if len(n.parent.children) < 2 or at == len(self._hrefs) or self._hrefs[at] > self._last[k]:
+            return None
+        return [x for x in self.every[self._hrefs[at]].attrs.items() if x[0].startswith("data-")]
 
 
 def ld_types(x: object, depth: int = 0) -> Iterator[str]:
@@ -123,33 +231,41 @@ def common_prefix(texts: Column) -> Column:
     return F.nullif(F.substr(low, F.lit(1), n), F.lit(""))
 
 
-def row_links(node_rows: DataFrame, page_urls: DataFrame | None = None) -> DataFrame:
-    """page_id, row, href (the link of all anchors in a node, or of itself, that most looks like an article) and first_attrs (of its first
-    anchor); page_urls (page_id, url) tells links of the site apart."""
-    anchors = node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"), "attrs", F.concat(F.array("node"), "ancestors").alias("rows"))
-    anchors = anchors.join(page_urls.select("page_id", F.col("url").alias("base")), "page_id", "left") if page_urls is not None else anchors.withColumn("base", F.lit(None).cast("string"))
-    # a link's full form and its score are columns of their own: written out in each other they make code too long to compile
-    anchors = anchors.withColumn("full", F.coalesce(urls.absolute(F.col("href"), F.col("base")), "href"))
-    anchors = anchors.withColumn("score", F.when(urls.is_script(F.col("href")), F.lit(-1)).otherwise(urls.article_score(F.col("full"), F.col("base"))))
-    scored = anchors.select("page_id", "node", "href", "attrs", "score", F.explode("rows").alias("row"))
-    return scored.groupBy("page_id", "row").agg(F.max_by("href", F.struct(F.col("score"), -F.col("node"))).alias("href"), F.min_by("attrs", "node").alias("first_attrs"))
+#: What repeating_patterns reads of nodes.
+PATTERN_COLUMNS = ("parent", "tag", "classes", "attrs", "text", "skeleton", "up_tag", "up_id", "up_classes", "up_children", "links", "link_data")
+
+
+def best_link(links: Column, base: Column) -> Column:
+    """Of a node's links (href, node) the one that most looks like an article, of equals the first; base tells links of the site apart."""
+    # a link's full form and its score are variables of their own: written out in each other they make too large an expression
+    full = F.transform(links, lambda x: F.struct(x["href"].alias("href"), x["node"].alias("node"), F.coalesce(urls.absolute(x["href"], base), x["href"]).alias("full")))
+    score = lambda x: F.when(urls.is_script(x["href"]), F.lit(-1)).otherwise(urls.article_score(x["full"], base))
+    best = F.array_max(F.transform(full, lambda x: F.struct(score(x).alias("score"), (-x["node"]).alias("order"), x["href"].alias("href"))))["href"]
+    return F.when(F.size(links) == 1, links[0]["href"]).when(F.size(links) > 1, best)
+
+
+def sampled(text: Column) -> Column:
+    return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, MAX_SAMPLE)
 
 
 def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None, least: int = 3, most: int = 15) -> DataFrame:
     """Groups of like children of one parent, ranked within each page: page_id, selector, n, sample, href_pattern, href_prefix, sample_href,
     href_is_script, variants (signatures of the parent's other groups of that tag), merged_count, data_attrs (of the first row), calls (functions
-    that its rows' links call), place.
+    that its rows' links call), place. page_urls (page_id, url) tells links of the site apart, and is read where nodes don't have the page's url.
 
-    Children are grouped by page, parent and signature, which is one aggregate; anchors are joined by the row they lie in. Groups whose
-    first row only fills a place until data comes are left out.
+    Children are grouped by page, parent and signature, which is one aggregate: a row has what it needs of its parent and of the links
+    within it, so that groups and not rows are shuffled. Groups whose first row only fills a place until data comes are left out.
     """
-    # samples are cut before the first join, so that no whole text is shuffled
-    sample = F.substring(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), 1, MAX_SAMPLE)
-    rows = node_rows.where((F.col("tag") != "") & ~F.col("tag").isin(*SKIPPED)).select("page_id", "node", "parent", "tag", "classes", "attrs", "skeleton", sample.alias("sample"))
-    selector = F.when(F.col("element_id").isNotNull(), F.concat(F.lit("#"), "element_id")).otherwise(signature(F.col("tag"), F.col("classes")))
-    parents = node_rows.where(F.col("n_children") >= least).where("tag <> 'head'").select(F.col("page_id").alias("p"), F.col("node").alias("up"), selector.alias("parent_signature"))
-    found = row_links(node_rows, page_urls).select(F.col("page_id").alias("ap"), "row", "href", "first_attrs")
-    rows = rows.join(parents, (F.col("page_id") == F.col("p")) & (F.col("parent") == F.col("up"))).join(found, (F.col("page_id") == F.col("ap")) & (F.col("node") == F.col("row")), "left")
+    if least < 2:
+        raise ValueError("least is 2 at least: an only child repeats nothing")
+    if page_urls is None:
+        node_rows = node_rows.withColumn("own_url", F.lit(None).cast("string"))
+    elif "own_url" not in node_rows.columns:
+        node_rows = node_rows.join(page_urls.select("page_id", F.col("url").alias("own_url")), "page_id", "left")
+    # samples are cut before the shuffle
+    rows = node_rows.where((F.col("tag") != "") & ~F.col("tag").isin(*SKIPPED)).where(F.col("up_children") >= least).where("up_tag <> 'head'")
+    selector = F.when(F.col("up_id").isNotNull(), F.concat(F.lit("#"), "up_id")).otherwise(signature(F.col("up_tag"), F.col("up_classes")))
+    rows = rows.select("page_id", "node", "parent", selector.alias("parent_signature"), "tag", "classes", "attrs", "skeleton", sampled(F.col("text")).alias("sample"), best_link(F.col("links"), F.col("own_url")).alias("href"), F.col("link_data").alias("first_attrs"))
     real = F.when(~urls.is_script(F.col("href")), F.col("href"))
     data = F.map_filter(F.map_concat(F.map_filter(F.coalesce("first_attrs", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key(F.col("attrs"), k)), "attrs"), lambda k, _: k.startswith("data-"))
     groups = rows.withColumn("real", real).groupBy("page_id", "parent", "parent_signature", "tag", signature(F.col("tag"), F.col("classes")).alias("own")).agg(
@@ -157,18 +273,84 @@ def repeating_patterns(node_rows: DataFrame, page_urls: DataFrame | None = None,
         F.min_by("sample", "node").alias("sample"),
         F.min_by("real", F.when(F.col("real").isNotNull(), F.col("node"))).alias("sample_href"),
         (F.count("href") > 0).alias("linked"),
-        F.collect_set("real").alias("reals"),
+        F.min("real").alias("low"),
+        F.max("real").alias("high"),
         F.collect_set(F.when(urls.is_script(F.col("href")), F.nullif(F.regexp_extract("href", SCRIPT_CALL, 1), F.lit("")))).alias("calls"),
         F.min_by("skeleton", "node").alias("skeleton"),
         F.min_by(data, "node").alias("data"),
     )
+    return ranked_patterns(groups, least, most)
+
+
+GROUP = {
+    "page_id": "long", "parent": "int", "up_tag": "string", "up_id": "string", "up_classes": "array<string>", "tag": "string", "own": "string", "n": "long", "text": "string",
+    "skeleton": "boolean", "data": "map<string,string>", "choices": "array<array<string>>",
+}
+
+
+def sibling_groups(pages: DataFrame, least: int = 3) -> DataFrame:
+    """Groups of like children of the parents that have `least` children or more: page_id, parent, its tag, id and classes, tag, own (signature),
+    n, text, skeleton and data (attributes) of the first, choices (the different lists of links that the children have), own_url."""
+    base = ["url"] if "url" in pages.columns else []
+    names = [*GROUP, *("own_url" for _ in base)]
+    arrow = [ARROW[GROUP.get(c, "string")] for c in names]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, size = [], 0
+        for batch in batches:
+            for row in range(len(batch)):
+                page_id, html, *url = (c[row].as_py() for c in batch.columns)
+                page = _Page(dom.parse(html or ""))
+                size += len(html or "")
+                for up, parent in enumerate(page.every):
+                    if len(parent.children) < least or parent.tag == "head":
+                        continue
+                    groups: dict[tuple[str, str], list[dom.Node]] = {}
+                    for n in parent.children:
+                        if n.tag not in SKIPPED:
+                            groups.setdefault((n.tag, ".".join([n.tag, *n.classes])), []).append(n)
+                    for (tag, own), rows in groups.items():
+                        first, k = rows[0], page.number[id(rows[0])]
+                        data = [x for x in page.link_data(first, k) or [] if x[0] not in first.attrs] + [x for x in first.attrs.items() if x[0].startswith("data-")]
+                        choices = list(dict.fromkeys(filter(None, (page.hrefs(page.number[id(n)]) for n in rows))))
+                        cells.append([page_id, up, parent.tag, parent.attrs.get("id"), parent.classes, tag, own, len(rows), first.text(), page.skeleton(first, k), data, choices, *url])
+                        size += len(cells[-1][8])
+                        if size >= BATCH_CHARS or len(cells) >= BATCH_ROWS:
+                            yield _batch(cells, names, arrow)
+                            cells, size = [], 0
+                page.forget()
+        if cells:
+            yield _batch(cells, names, arrow)
+
+    return pages.select("page_id", "html", *base).mapInArrow(tidy(explode), ", ".join(f"{c} {GROUP.get(c, 'string')}" for c in names))
+
+
+def page_patterns(pages: DataFrame, least: int = 3, most: int = 15) -> DataFrame:
+    """repeating_patterns of pages (page_id, html, and url to tell links of the site apart): groups leave the scan of a page whole, so that
+    neither rows nor links are shuffled."""
+    found = sibling_groups(pages, least)
+    found = found if "own_url" in found.columns else found.withColumn("own_url", F.lit(None).cast("string"))
+    numbered = lambda c: F.transform(c, lambda h, k: F.struct(h.alias("href"), k.alias("node")))
+    found = found.withColumn("best", F.transform("choices", lambda c: best_link(numbered(c), F.col("own_url"))))
+    found = found.withColumn("reals", F.filter("best", lambda h: ~urls.is_script(h)))
+    calls = F.transform(F.filter("best", lambda h: urls.is_script(h)), lambda h: F.nullif(F.regexp_extract(h, SCRIPT_CALL, 1), F.lit("")))
+    selector = F.when(F.col("up_id").isNotNull(), F.concat(F.lit("#"), "up_id")).otherwise(signature(F.col("up_tag"), F.col("up_classes")))
+    groups = found.select(
+        "page_id", "parent", selector.alias("parent_signature"), "tag", "own", "n", sampled(F.col("text")).alias("sample"), F.try_element_at("reals", F.lit(1)).alias("sample_href"), (F.size("best") > 0).alias("linked"),
+        F.array_min("reals").alias("low"), F.array_max("reals").alias("high"), F.array_distinct(F.array_compact(calls)).alias("calls"), "skeleton", "data",
+    )
+    return ranked_patterns(groups, least, most)
+
+
+def ranked_patterns(groups: DataFrame, least: int, most: int) -> DataFrame:
+    """The groups of repeating_patterns with their variants, ranked within each page."""
     siblings = groups.where("n >= 2").groupBy("page_id", "parent", "tag").agg(F.sum("n").alias("all_n"), F.collect_set("own").alias("all_own"))
     groups = groups.where((F.col("n") >= least) & ~F.col("skeleton")).join(siblings, ["page_id", "parent", "tag"], "left")
     others = F.array_sort(F.array_remove("all_own", F.col("own")))
     attrs = F.map_from_entries(F.slice(F.array_sort(F.map_entries("data")), 1, MAX_ATTRS))
     groups = groups.select(
         "page_id", "parent", F.concat_ws(" > ", "parent_signature", "own").alias("selector"), "n", "sample", "sample_href", urls.href_pattern(F.col("sample_href")).alias("href_pattern"),
-        common_prefix(F.col("reals")).alias("href_prefix"), (F.col("linked") & F.col("sample_href").isNull()).alias("href_is_script"), others.alias("variants"),
+        common_prefix(F.array("low", "high")).alias("href_prefix"), (F.col("linked") & F.col("sample_href").isNull()).alias("href_is_script"), others.alias("variants"),
         F.when(F.size(others) > 0, F.col("all_n")).alias("merged_count"), F.transform_values(attrs, lambda _, v: F.substring(v, 1, MAX_VALUE)).alias("data_attrs"), F.array_sort("calls").alias("calls"),
         (F.when(F.col("sample_href").isNull(), 1).otherwise(0) + F.when(F.col("sample") == "", 1).otherwise(0) + F.when(F.col("tag").isin(*VISUAL), 2).otherwise(0)).alias("penalty"),
     )
@@ -183,15 +365,28 @@ def links(node_rows: DataFrame) -> DataFrame:
     return node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"), "text")
 
 
+def hrefs(node_rows: DataFrame) -> DataFrame:
+    """page_id, node, href of the anchors."""
+    return node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"))
+
+
 def feed_links(node_rows: DataFrame) -> DataFrame:
     """page_id, href, source: alternates of a feed type, and anchors whose path names a feed; of equal hrefs the first source wins."""
     rel = node_rows.where("tag = 'link'").where(F.array_contains(F.split(F.lower(F.col("attrs")["rel"]), r"\s+"), "alternate") & F.lower(F.col("attrs")["type"]).rlike("rss|atom"))
     rel = rel.select("page_id", F.col("attrs")["href"].alias("href"), F.lit("link_rel").alias("source"), F.lit(0).alias("rank"))
-    body = links(node_rows).where(F.lower("href").rlike(r"(^|[/._-])(rss|feed|atom)([/._?-]|$)"))
+    body = hrefs(node_rows).where(F.lower("href").rlike(r"(^|[/._-])(rss|feed|atom)([/._?-]|$)"))
     every = rel.unionByName(body.select("page_id", "href", F.lit("html_body").alias("source"), F.lit(1).alias("rank"))).where("href is not null")
     return every.groupBy("page_id", "href").agg(F.min_by("source", "rank").alias("source"))
 
 
+#: What meta_signals reads of nodes, and of which; the first node stands for a page that has no signal.
+SIGNAL_COLUMNS = ("tag", "attrs", "own_text", "text")
+
+
+def signalling(n: dom.Node) -> bool:
+    return n.tag in ("title", "meta", "script") or "itemtype" in n.attrs or n.index == 0 and not n.parent.tag
+
+
 def meta_signals(node_rows: DataFrame) -> DataFrame:
     """page_id, og_type, has_article_ld, has_microdata, title."""
     a = F.col("attrs")
@@ -204,9 +399,17 @@ def meta_signals(node_rows: DataFrame) -> DataFrame:
     )
 
 
+#: What feed_links and pager_hints read of nodes, and of which.
+HINT_COLUMNS = ("tag", "attrs", "nth_link")
+
+
+def hinting(n: dom.Node) -> bool:
+    return n.tag in ("a", "link")
+
+
 def pager_hints(node_rows: DataFrame, first: int = 500, most: int = 8) -> DataFrame:
     """page_id, kind, name: query parameters with a page number, and /page/N paths with two different numbers or more."""
-    anchors = links(node_rows).withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("node"))).where(F.col("k") <= first)
+    anchors = hrefs(node_rows.where(F.col("nth_link") < first))
     parameter = F.regexp_extract(F.col("href"), r"[?&](page|p|pg|offset|start|skip|cursor|_page|page_num)=[0-9]+", 1)
     by_query = anchors.select("page_id", F.lit("query").alias("kind"), parameter.alias("name")).where("name <> ''").distinct()
     stem = F.regexp_extract("href", r"^(.*/page/)[0-9]+", 1)

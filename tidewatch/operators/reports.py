@@ -258,9 +258,11 @@ def sitemap_fit(paths: DataFrame, least: int = 30, share: float = 0.8) -> DataFr
 
 
 def external_links(links: DataFrame, least_hosts: int = 3, ratio: float = 0.95) -> DataFrame:
-    """page: share of links to other hosts, different other hosts, and whether the page is a hub of many sites."""
+    """page: share of links to other hosts, different other hosts, and whether the page is a hub of many sites. A row stands for n_links
+    links where it has that column."""
+    n = F.col("n_links") if "n_links" in links.columns else F.lit(1)
     outside = F.col("link_host") != F.col("page_host")
-    sums = links.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if(outside).alias("k"), F.countDistinct(F.when(outside, F.col("link_host"))).alias("n_hosts"), F.countDistinct(F.when(outside, F.col("link_site"))).alias("n_sites"))
+    sums = links.groupBy("page_id").agg(F.sum(n).alias("n"), F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("k"), F.countDistinct(F.when(outside, F.col("link_host"))).alias("n_hosts"), F.countDistinct(F.when(outside, F.col("link_site"))).alias("n_sites"))
     share = F.round(F.col("k") / F.col("n"), 4)
     return sums.select("page_id", "n", share.alias("external_share"), "n_hosts", ((F.col("n_hosts") >= least_hosts) & (F.col("k") / F.col("n") >= ratio) & (F.col("n_sites") > 1)).alias("hub"))
 

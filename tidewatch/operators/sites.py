@@ -224,18 +224,25 @@ def same_host_rows(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("page_id").agg(F.coalesce(F.sum(F.when(good, F.greatest(F.coalesce("n", F.lit(1)), F.lit(0)))), F.lit(0)).alias("n_rows"))
 
 
-def in_navigation(node_rows: DataFrame) -> DataFrame:
-    """page_id, node, nav: the anchors, and whether they lie in navigation by tag or role."""
-    holders = node_rows.where(F.col("tag").isin(*NAV_TAGS) | F.coalesce(F.col("attrs")["role"].isin("navigation", "complementary", "banner", "contentinfo"), F.lit(False))).select("page_id", F.col("node").alias("up"), F.lit(True).alias("nav"))
-    above = node_rows.where("tag = 'a'").select("page_id", "node", F.explode_outer("ancestors").alias("up"))
-    return above.join(holders, ["page_id", "up"], "left").groupBy("page_id", "node").agg(F.coalesce(F.bool_or("nav"), F.lit(False)).alias("nav"))
+#: What nav_only reads of nodes.
+NAV_COLUMNS = ("tag", "attrs", "above", "above_roles")
+
+
+def in_navigation() -> Column:
+    """Whether an anchor lies in navigation by tag or role."""
+    known = lambda names: F.array(*map(F.lit, names))
+    return F.arrays_overlap("above", known(NAV_TAGS)) | F.arrays_overlap("above_roles", known(("navigation", "complementary", "banner", "contentinfo")))
 
 
 def nav_only(node_rows: DataFrame, page_urls: DataFrame) -> DataFrame:
-    """page_id, in_nav, outside_nav, nav_only: where a page's links within its host lie; pages without such links are left out."""
-    links = node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href")).join(page_urls, "page_id")
-    own = links.where(~urls.is_script(F.col("href")) & (urls.host(urls.absolute(F.col("href"), F.col("url"))) == urls.host(F.col("url"))))
-    sums = own.join(in_navigation(node_rows), ["page_id", "node"]).groupBy("page_id").agg(F.count_if("nav").alias("in_nav"), F.count_if(~F.col("nav")).alias("outside_nav"))
+    """page_id, in_nav, outside_nav, nav_only: where a page's links within its host lie; pages without such links are left out. page_urls
+    (page_id, url) is read where nodes don't have the page's url. Equal links are counted before their addresses are read."""
+    if "own_url" not in node_rows.columns:
+        node_rows = node_rows.join(page_urls.select("page_id", F.col("url").alias("own_url")), "page_id")
+    links = node_rows.where("tag = 'a' and attrs['href'] is not null").groupBy("page_id", "own_url", F.col("attrs")["href"].alias("href"), in_navigation().alias("nav")).agg(F.count("*").alias("n"))
+    own = links.where(~urls.is_script(F.col("href")) & (urls.host(urls.absolute(F.col("href"), F.col("own_url"))) == urls.host(F.col("own_url"))))
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    sums = own.groupBy("page_id").agg(count(F.col("nav")).alias("in_nav"), count(~F.col("nav")).alias("outside_nav"))
     return sums.withColumn("nav_only", F.col("outside_nav") == 0)
 
 

@@ -107,7 +107,7 @@ def rendering(static: DataFrame, rendered: DataFrame) -> DataFrame:
     signs = lambda c: sum((F.length(c) - F.length(F.replace(c, F.lit(s), F.lit("")))) / len(s) for s in ("data-id=", "<a "))
     sized = lambda df, name: df.groupBy("page_id").agg(F.max("html").alias("html")).select("page_id", F.coalesce(F.length("html"), F.lit(0)).alias(f"{name}_size"), F.coalesce(signs(F.col("html")), F.lit(0)).cast("long").alias(f"{name}_rows"))
     both = sized(static, "static").join(sized(rendered, "rendered"), "page_id", "full").na.fill(0)
-    patterns = lambda df, name: page_rows.repeating_patterns(page_rows.nodes(df)).select("page_id", "selector", F.col("n").alias(name))
+    patterns = lambda df, name: page_rows.page_patterns(df.drop("url")).select("page_id", "selector", F.col("n").alias(name))
     x, y = F.coalesce("x", F.lit(0)), F.coalesce("y", F.lit(0))
     drawn = F.when((x == 0) & (y >= 3), y).when((x > 0) & (y >= 3 * x) & (y - x >= 5), y - x).otherwise(0)
     sums = patterns(static, "x").join(patterns(rendered, "y"), ["page_id", "selector"], "full").groupBy("page_id").agg(F.sum(drawn).alias("repeat_drawn"), F.sum(F.when((x > 0) & (y >= x), x).otherwise(0)).alias("repeat_static"))

@@ -26,7 +26,7 @@ def _case(values, column="entry_id"):
 
 @query("sites", sql="SELECT page_id, 'Site ' || page_id || ' & Co' AS title, CASE WHEN page_id % 3 = 0 THEN 'article' END AS og_type, page_id % 4 = 1 AS has_article_ld, page_id % 7 = 3 AS has_microdata FROM sites")
 def site_meta(pages_):
-    found = pages.meta_signals(pages.nodes(pages_))
+    found = pages.meta_signals(pages.nodes(pages_.drop("url"), *pages.SIGNAL_COLUMNS, wanted=pages.signalling))
     return found.select("page_id", "title", "og_type", F.coalesce("has_article_ld", F.lit(False)).alias("has_article_ld"), "has_microdata")
 
 
@@ -35,9 +35,10 @@ WITH n AS (SELECT page_id, page_id % 6 * 2 + page_id % 4 * 0 + CASE page_id % 8
 SELECT page_id, own + one + two AS n, round((one + two) / (own + one + two), 4) AS external_share, CASE WHEN one + two = 0 THEN 0 ELSE 1 + two END AS n_hosts, 1 + two >= 3 AND one + two >= 0.95::DOUBLE * (own + one + two) AS hub FROM n WHERE own + one + two > 0""")
 def site_hubs(pages_):
     """Links to other hosts; links that are scripts lead nowhere."""
-    found = pages.links(pages.nodes(pages_)).join(pages_.select("page_id", "url"), "page_id").where(~urls.is_script(F.col("href")))
+    anchors = pages.nodes(pages_, "tag", "attrs", wanted=pages.hinting).where("tag = 'a' and attrs['href'] is not null")
+    found = anchors.groupBy("page_id", F.col("own_url").alias("url"), F.col("attrs")["href"].alias("href")).agg(F.count("*").alias("n_links")).where(~urls.is_script(F.col("href")))
     full = urls.absolute(F.col("href"), F.col("url"))
-    return reports.external_links(found.select("page_id", urls.host(F.col("url")).alias("page_host"), urls.host(full).alias("link_host"), urls.registrable(full).alias("link_site")))
+    return reports.external_links(found.select("page_id", "n_links", urls.host(F.col("url")).alias("page_host"), urls.host(full).alias("link_host"), urls.registrable(full).alias("link_site")))
 
 
 @query("sites", sql="""
@@ -46,7 +47,7 @@ SELECT page_id, 'li.row.a' AS own, page_id % 6 AS n, '/board/view/1001' AS sampl
 UNION ALL SELECT page_id, 'li.row.b', page_id % 4, NULL, NULL, NULL, true, CASE WHEN page_id % 6 >= 2 THEN 'li.row.a' ELSE '' END, CASE WHEN page_id % 6 >= 2 THEN page_id % 6 + page_id % 4 END, '' FROM sites WHERE page_id % 4 >= 3""")
 def site_patterns(pages_):
     """Rows of lists by all their classes, with the best of their links."""
-    found = pages.repeating_patterns(pages.nodes(pages_), pages_).where("selector like 'ul.list > %'")
+    found = pages.page_patterns(pages_).where("selector like 'ul.list > %'")
     attrs = F.array_join(F.transform(F.map_entries("data_attrs"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
     return found.select("page_id", F.split_part("selector", F.lit(" > "), F.lit(2)).alias("own"), "n", "sample_href", "href_pattern", "href_prefix", "href_is_script", F.array_join("variants", ",").alias("variants"), "merged_count", attrs.alias("data_attrs"))
 
@@ -55,7 +56,7 @@ def site_patterns(pages_):
 SELECT page_id, 'feed' AS kind, '/feed.xml' AS name FROM sites WHERE page_id % 5 = 2 UNION ALL SELECT page_id, 'feed', '/rss/all' FROM sites WHERE page_id % 8 = 7
 UNION ALL SELECT page_id, 'query', 'page' FROM sites WHERE page_id % 8 = 5 UNION ALL SELECT page_id, 'path', '/l/page/' FROM sites WHERE page_id % 8 = 6""")
 def site_hints(pages_):
-    nodes = pages.nodes(pages_)
+    nodes = pages.nodes(pages_, *pages.HINT_COLUMNS, wanted=pages.hinting)
     return pages.feed_links(nodes).select("page_id", F.lit("feed").alias("kind"), F.col("href").alias("name")).unionByName(pages.pager_hints(nodes))
 
 
@@ -70,15 +71,14 @@ def site_text(pages_):
 WITH n AS (SELECT page_id, 2 * (page_id % 6) AS own, CASE page_id % 8 WHEN 5 THEN 1 WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS other, page_id % 2 = 0 AS nav FROM sites)
 SELECT page_id, CASE WHEN nav THEN own ELSE 0 END AS in_nav, other + CASE WHEN nav THEN 0 ELSE own END AS outside_nav, other = 0 AND nav AS nav_only FROM n WHERE own + other > 0""")
 def site_navigation(pages_):
-    return sites.nav_only(pages.nodes(pages_), pages_.select("page_id", "url"))
+    return sites.nav_only(pages.nodes(pages_, *sites.NAV_COLUMNS, wanted=pages.hinting), pages_.select("page_id", "url"))
 
 
 @query("sites", sql="SELECT page_id, CASE WHEN page_id % 6 >= 3 AND page_id % 2 = 1 THEN page_id % 6 ELSE 0 END AS n_rows FROM sites WHERE page_id % 6 >= 3 OR page_id % 4 >= 3 OR page_id % 5 > 0")
 def site_rows(pages_):
     """Rows within the host; lists in navigation don't count, and neither do groups of plain links to other hosts."""
-    nodes = pages.nodes(pages_)
-    found = pages.repeating_patterns(nodes, pages_)
-    up = nodes.where("tag = 'ul'").select("page_id", F.col("parent").alias("k")).join(nodes.select("page_id", F.col("node").alias("k"), F.col("tag").alias("above")), ["page_id", "k"]).select("page_id", "above")
+    found = pages.page_patterns(pages_)
+    up = pages.nodes(pages_, "tag", "up_tag", wanted=lambda n: n.tag == "ul").where("up_tag is not null").select("page_id", F.col("up_tag").alias("above"))
     named = found.join(up, "page_id").withColumn("selector", F.when(F.col("above") == "nav", F.concat(F.lit("nav > "), "selector")).otherwise(F.col("selector")))
     full = named.join(pages_.select("page_id", "url"), "page_id")
     return sites.same_host_rows(full.select("page_id", urls.host(F.col("url")).alias("page_host"), "selector", urls.absolute(F.col("sample_href"), F.col("url")).alias("sample_url"), "n"))
