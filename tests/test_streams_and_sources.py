@@ -156,3 +156,41 @@ def test_filter_hits_of_many_filters(spark, monkeypatch):
     got = {(r.post_id, r.target_id) for r in joins.filter_hits(posts, subscriptions).collect()}
     assert got == {(str(k), f"u{k}") for k in range(9)} | {("2", "u1")} | {(str(k), t) for k in range(12) for t in ("all", "news")} | {("n", "all")}
     assert joins.filters_pass(posts, subscriptions).count() == 13 * 11
+
+
+def _plain_filters(posts, subscriptions):
+    """Every pair of a post and a target of its slug, with whether any filter of the target is in the text."""
+    wanted = {}
+    for slug, target, needle in subscriptions:
+        wanted.setdefault((slug, target), set()).add((needle or "").lower())
+    return {(s, p, t): any(f in (text or "").lower() for f in fs) for s, p, text in posts for (slug, t), fs in wanted.items() if slug == s}
+
+
+@pytest.mark.parametrize("most", [4 << 20, 0])
+def test_filters_of_targets_in_rows(spark, monkeypatch, most):
+    """Rows that are broadcast or dealt out, targets with more filters than a row holds, and a target without a name; pairs are not shuffled."""
+    from tidewatch.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(joins, "FILTERS_A_ROW", 4)
+    posts = [(f"s{k % 3}", str(k), f"Word{k % 7} and Note{k % 5}." if k % 11 else None) for k in range(60)]
+    subscriptions = [(f"s{k % 4}", f"t{k % 9}", f"WORD{k % 6}") for k in range(200)] + [("s1", "many", f"x{k}") for k in range(30)] + [("s1", "many", "note3"), ("s2", "all", None), ("s0", None, "note1"), (None, "t1", "word1")]
+    frames = spark.createDataFrame(posts, "slug string, post_id string, text string"), spark.createDataFrame(subscriptions, "slug string, target_id string, filter_prompt string")
+    wanted = _plain_filters(posts, subscriptions)
+    got = joins.filters_pass(*frames).select("slug", "post_id", "target_id", "passes").collect()
+    assert len(got) == len(wanted) and {tuple(r)[:3]: r.passes for r in got} == wanted
+    twice = frames[0].union(frames[0]), frames[1]
+    assert joins.filters_pass(*twice).count() == 2 * len(wanted)
+    hits = joins.filter_hits(*twice).select("slug", "post_id", "target_id").collect()
+    assert len(hits) == sum(wanted.values()) and {tuple(r) for r in hits} == {k for k, passes in wanted.items() if passes}
+
+
+def test_pairs_of_filters_are_not_shuffled(spark, capsys):
+    """Pairs come out of the rows that the texts meet, without a join or an aggregate of pairs."""
+    from tidewatch.operators import joins
+
+    posts = spark.createDataFrame([("s", "1", "spam")], "slug string, post_id string, text string")
+    subscriptions = spark.createDataFrame([("s", "t", "SPAM")], "slug string, target_id string, filter_prompt string")
+    joins.filters_pass(posts, subscriptions).explain()
+    plan = capsys.readouterr().out
+    assert "Generate" in plan and "HashAggregate" not in plan and "Exchange hashpartitioning" not in plan
