@@ -393,8 +393,15 @@ def time_label(ts: Column, kind: str = "full") -> Column:
 
 
 def error_tail(text: Column, most: int = 4000) -> Column:
-    """The last characters of an error's output."""
-    return F.right(text, F.lit(most))
+    """The last characters of an error's output.
+
+    They are cut by bytes, as Spark finds a character by walking there from the start: a character has four bytes at most, and where the
+    last bytes are a character each, so many bytes are the tail. Three bytes more are looked at, as the cut may be inside a character.
+    """
+    octets = text.cast("binary")
+    last = F.substring(octets, -most - 3, most + 3)
+    plain = F.char_length(last.cast("string")) == F.octet_length(last)
+    return F.when(plain, F.substring(octets, -most, most).cast("string")).otherwise(F.right(F.substring(octets, -4 * most, 4 * most).cast("string"), F.lit(most)))
 
 
 def shared_urls(entries: DataFrame) -> DataFrame:
