@@ -194,3 +194,17 @@ def test_pairs_of_filters_are_not_shuffled(spark, capsys):
     joins.filters_pass(posts, subscriptions).explain()
     plan = capsys.readouterr().out
     assert "Generate" in plan and "HashAggregate" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_span_joins_have_tasks_by_their_spans(spark, monkeypatch, capsys):
+    """Neither a broadcast by the bytes of packed files nor a number of tasks that stays as it is while the table grows."""
+    monkeypatch.setattr(windows, "TASK_BYTES", 1 << 8)
+    monkeypatch.setattr(windows, "BROADCAST_BYTES", 0)
+    spans = [(t, k, k - 1 if k else None) for t in range(9) for k in range(5)] + [(1, 13, 14), (1, 14, 13), (2, 30, 77), (2, 31, 30)]
+    tree = windows.span_tree(spark.createDataFrame(spans, "trace_id long, span_id long, parent_id long"))
+    got = {(r.trace_id, r.span_id): (r.depth, r.path) for r in tree.collect()}
+    wanted = {(t, k): (k, "/".join(f"{x:012d}" for x in range(k + 1))) for t in range(9) for k in range(5)} | {(1, 13): (None, None), (1, 14): (None, None), (2, 30): (0, f"{30:012d}"), (2, 31): (1, f"{30:012d}/{31:012d}")}
+    assert got == wanted and tree.count() == len(spans)
+    tree.explain()
+    plan = capsys.readouterr().out
+    assert "Broadcast" not in plan and f"{1 + 2 * 48 * len(spans) // 256}), REPARTITION_BY_NUM" in plan

@@ -65,32 +65,56 @@ def queue_position(jobs: DataFrame) -> DataFrame:
     return ranges.withColumn("inner", rank).join(before, "part").select("id", "priority", (F.col("before") + F.col("inner")).alias("position"))
 
 
+#: Bytes of spans that a task of a join is to hold, and those of a level up to which it is broadcast. Spans are counted for it, as Spark's
+#: own estimate goes by the bytes of packed files, in which a number of 8 bytes may take a bit.
+TASK_BYTES = 32 << 20
+BROADCAST_BYTES = 4 << 20
+SPAN_BYTES = 48
+#: Tasks up to which Spark is left to put partitions together, which it does by their packed bytes.
+FEW_TASKS = 8
+
+
 def span_tree(spans: DataFrame) -> DataFrame:
     """Depth and path of every span below its root; a span whose parent is missing is a root. Spans that hang on a circle of parents are
     below none: their depth and path are null.
 
     One join for each level, only with the spans that the last one reached; stops when none is left. Levels are written to the shared
-    folder, so a deep tree has no long plan.
+    folder, so a deep tree has no long plan. Joins have as many tasks as their spans and paths need, so that none holds more of a larger table.
     """
     spark = spans.sparkSession
     folder = new_path(spark, "spans")
+    size = SPAN_BYTES * spans.count()
+
+    def met(rows: DataFrame, key: str, others: DataFrame, held: int, how: str) -> DataFrame:
+        """rows joined with others (t, s) by trace and key."""
+        n = 1 + (size + held) // TASK_BYTES
+        if how == "inner" and held <= BROADCAST_BYTES:
+            others = F.broadcast(others)
+        elif n > FEW_TASKS:
+            rows, others = rows.repartition(n, "trace_id", key), others.repartition(n, "t", "s").hint("merge")
+        else:
+            others = others.hint("merge")
+        return rows.join(others, (F.col("trace_id") == F.col("t")) & (F.col(key) == F.col("s")), how)
+
     ids = spans.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"))
-    rooted = spans.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")), "left")
     text = F.lpad(F.col("span_id").cast("string"), 12, "0")
-    level = rooted.where("s is null").select("trace_id", "span_id", F.lit(0).alias("depth"), text.alias("path"))
+    roots = met(spans.select("trace_id", "span_id", "parent_id"), "parent_id", ids, size, "left").where("s is null")  # an anti join would go below the repartition
+    level = roots.select("trace_id", "span_id", F.lit(0).alias("depth"), text.alias("path"))
     children = spans.select("trace_id", F.col("span_id").alias("child"), "parent_id").where("parent_id is not null")
     k = 0
     while True:
         path = f"{folder}/level={k}"
         level.write.option("compression", "zstd").parquet(path)
         level = spark.read.schema(level.schema).parquet(path)
-        if level.isEmpty():
+        reached_now = level.count()
+        if not reached_now:
             reached = spark.read.schema(level.schema).parquet(f"{folder}/level=*")
-            lost = spans.select("trace_id", "span_id").join(reached, ["trace_id", "span_id"], "left_anti")
+            found = reached.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"))
+            lost = met(spans.select("trace_id", "span_id"), "span_id", found, size, "left").where("s is null").drop("t", "s")
             return reached.unionByName(lost, allowMissingColumns=True)
         k += 1
         up = level.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("path").alias("above"))
-        level = children.join(up, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s")))
+        level = met(children, "parent_id", up, reached_now * (SPAN_BYTES + 13 * k), "inner")
         level = level.select("trace_id", F.col("child").alias("span_id"), F.lit(k).alias("depth"), F.concat_ws("/", "above", F.lpad(F.col("child").cast("string"), 12, "0")).alias("path"))
 
 
