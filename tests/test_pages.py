@@ -83,6 +83,15 @@ def test_structure(spark):
     assert inline == {("array", '[{"id":1,"s":"]"}]'), ("push", "{a:1}")}
 
 
+def test_pagers_of_all_links(spark):
+    """Pagers behind 500 other links, more than eight of them, and numbers of the path's own end."""
+    names = ["page", "p", "pg", "offset", "start", "skip", "cursor", "_page", "page_num"]
+    links = ["/x"] * 600 + [f"?{n}=2" for n in names] + [f"/l{k}/page/{n}" for k in range(12) for n in (2, 3)] + ["/one/page/7", "/one/page/7?x=1", "/page/1/of/page/2", "/page/1/of/page/3"]
+    nodes = pages.nodes(spark.createDataFrame([(1, "".join(f'<a href="{x}">x</a>' for x in links)), (2, "<p>none")], "page_id long, html string"), *pages.HINT_COLUMNS, wanted=pages.hinting)
+    got = [tuple(r) for r in pages.pager_hints(nodes).collect()]
+    assert sorted(got) == sorted([(1, "query", n) for n in names] + [(1, "path", f"/l{k}/page/") for k in range(12)] + [(1, "path", "/page/1/of/page/")])
+
+
 def test_long_texts(spark):
     """Types behind the first 120 characters, in lists and graphs, of any article type; link texts and titles are whole."""
     scripts = [

@@ -399,7 +399,7 @@ def meta_signals(node_rows: DataFrame) -> DataFrame:
     )
 
 
-#: What feed_links and pager_hints read of nodes, and of which.
+#: Columns and nodes of links, with their places; feed_links and pager_hints read tag and attrs.
 HINT_COLUMNS = ("tag", "attrs", "nth_link")
 
 
@@ -407,16 +407,15 @@ def hinting(n: dom.Node) -> bool:
     return n.tag in ("a", "link")
 
 
-def pager_hints(node_rows: DataFrame, first: int = 500, most: int = 8) -> DataFrame:
-    """page_id, kind, name: query parameters with a page number, and /page/N paths with two different numbers or more."""
-    anchors = hrefs(node_rows.where(F.col("nth_link") < first))
-    parameter = F.regexp_extract(F.col("href"), r"[?&](page|p|pg|offset|start|skip|cursor|_page|page_num)=[0-9]+", 1)
-    by_query = anchors.select("page_id", F.lit("query").alias("kind"), parameter.alias("name")).where("name <> ''").distinct()
-    stem = F.regexp_extract("href", r"^(.*/page/)[0-9]+", 1)
-    by_path = anchors.select("page_id", stem.alias("name"), F.regexp_extract("href", "/page/([0-9]+)", 1).alias("n")).where("name <> ''")
-    by_path = by_path.groupBy("page_id", "name").agg(F.countDistinct("n").alias("n")).where("n >= 2").select("page_id", F.lit("path").alias("kind"), "name")
-    every = by_query.unionByName(by_path)
-    return every.withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("kind", "name"))).where(F.col("k") <= most).drop("k")
+def pager_hints(node_rows: DataFrame) -> DataFrame:
+    """page_id, kind, name: query parameters with a page number, and /page/N paths with two different numbers or more, of all a page's links."""
+    href, path = F.col("href"), r"^(.*/page/)([0-9]+)"
+    by_query = F.struct(F.lit("query").alias("kind"), F.regexp_extract(href, r"[?&](page|p|pg|offset|start|skip|cursor|_page|page_num)=[0-9]+", 1).alias("name"), F.lit("").alias("n"))
+    by_path = F.struct(F.lit("path").alias("kind"), F.regexp_extract(href, path, 1).alias("name"), F.regexp_extract(href, path, 2).alias("n"))
+    found = hrefs(node_rows).select("page_id", F.explode(F.array(by_query, by_path)).alias("x")).select("page_id", "x.*").where("name <> ''")
+    # the least and the greatest number combine before the shuffle, where different ones would be a row each
+    sums = found.groupBy("page_id", "kind", "name").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return sums.where("kind = 'query' or low <> high").select("page_id", "kind", "name")
 
 
 def page_text(html: Column, most: int = 6000) -> Column:
