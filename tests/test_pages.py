@@ -4,6 +4,7 @@ import pytest
 
 from tidewatch.functions import dom
 from tidewatch.operators import classify, extract, pages
+from tidewatch.plans import catalogue, site_queries
 from pyspark.sql import functions as F
 
 PAGE = """<html><head><title>T &amp; U</title><link rel="alternate" type="application/rss+xml" href="/feed.xml"><meta property="og:type" content="article"></head>
@@ -92,6 +93,21 @@ def test_pagers_of_all_links(spark):
     assert sorted(got) == sorted([(1, "query", n) for n in names] + [(1, "path", f"/l{k}/page/") for k in range(12)] + [(1, "path", "/page/1/of/page/")])
 
 
+def test_hints_of_queries(spark):
+    """Feeds and pagers of pages of any length come out of one scan, and are those of feed_links and pager_hints."""
+    links = ["/x"] * 600 + [f"/l{k}/page/{n}" for k in range(12) for n in (2, 3)] + ["?p=1", "/rss/all", "/feed.xml"]
+    html = '<link rel="x Alternate" type="application/RSS+xml" href="/feed.xml"><link rel=alternate type=text/html href="/feed"><link rel=alternate type="application/atom+xml"><link href="?p=2">' + "".join(f'<a href="{x}">x</a>' for x in links) + "<a>none</a>"
+    made = spark.createDataFrame([(1, "http://s/x?page=1", html), (2, "http://s/x", "<p>none"), (3, "http://s/x", None)], "page_id long, url string, html string")
+    wanted = {(1, "feed", "/feed.xml"), (1, "feed", "/rss/all"), (1, "query", "p")} | {(1, "path", f"/l{k}/page/") for k in range(12)}
+    nodes = pages.nodes(made)
+    apart = pages.feed_links(nodes).selectExpr("page_id", "'feed' AS kind", "href").union(pages.pager_hints(nodes))
+    assert sorted(map(tuple, apart.collect())) == sorted(wanted)
+    assert {(r.href, r.source) for r in pages.feed_links(nodes).collect()} == {("/feed.xml", "link_rel"), ("/rss/all", "html_body")}
+    for found, more in ((site_queries.site_hints(made), set()), (catalogue.feed_and_pager_hints(made.withColumnRenamed("page_id", "entry_id")), {(1, "query", "page")})):
+        assert sorted(map(tuple, found.collect())) == sorted(wanted | more)
+        assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+
+
 def test_long_texts(spark):
     """Types behind the first 120 characters, in lists and graphs, of any article type; link texts and titles are whole."""
     scripts = [

@@ -365,18 +365,17 @@ def links(node_rows: DataFrame) -> DataFrame:
     return node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"), "text")
 
 
-def hrefs(node_rows: DataFrame) -> DataFrame:
-    """page_id, node, href of the anchors."""
-    return node_rows.where("tag = 'a' and attrs['href'] is not null").select("page_id", "node", F.col("attrs")["href"].alias("href"))
+def _feed_rank() -> Column:
+    """Of a node: 0 of an alternate of a feed type, 1 of an anchor whose path names a feed."""
+    a, tag = F.col("attrs"), F.col("tag")
+    alternate = F.array_contains(F.split(F.lower(a["rel"]), r"\s+"), "alternate") & F.lower(a["type"]).rlike("rss|atom")
+    return F.when((tag == "link") & alternate, 0).when((tag == "a") & F.lower(a["href"]).rlike(r"(^|[/._-])(rss|feed|atom)([/._?-]|$)"), 1)
 
 
 def feed_links(node_rows: DataFrame) -> DataFrame:
     """page_id, href, source: alternates of a feed type, and anchors whose path names a feed; of equal hrefs the first source wins."""
-    rel = node_rows.where("tag = 'link'").where(F.array_contains(F.split(F.lower(F.col("attrs")["rel"]), r"\s+"), "alternate") & F.lower(F.col("attrs")["type"]).rlike("rss|atom"))
-    rel = rel.select("page_id", F.col("attrs")["href"].alias("href"), F.lit("link_rel").alias("source"), F.lit(0).alias("rank"))
-    body = hrefs(node_rows).where(F.lower("href").rlike(r"(^|[/._-])(rss|feed|atom)([/._?-]|$)"))
-    every = rel.unionByName(body.select("page_id", "href", F.lit("html_body").alias("source"), F.lit(1).alias("rank"))).where("href is not null")
-    return every.groupBy("page_id", "href").agg(F.min_by("source", "rank").alias("source"))
+    every = node_rows.select("page_id", F.col("attrs")["href"].alias("href"), _feed_rank().alias("rank")).where("rank is not null and href is not null")
+    return every.groupBy("page_id", "href").agg(F.min("rank").alias("rank")).select("page_id", "href", F.when(F.col("rank") == 0, "link_rel").otherwise("html_body").alias("source"))
 
 
 #: What meta_signals reads of nodes, and of which; the first node stands for a page that has no signal.
@@ -399,7 +398,7 @@ def meta_signals(node_rows: DataFrame) -> DataFrame:
     )
 
 
-#: Columns and nodes of links, with their places; feed_links and pager_hints read tag and attrs.
+#: Columns and nodes of links, with their places; feed_links, pager_hints and link_hints read tag and attrs.
 HINT_COLUMNS = ("tag", "attrs", "nth_link")
 
 
@@ -407,15 +406,32 @@ def hinting(n: dom.Node) -> bool:
     return n.tag in ("a", "link")
 
 
+def _hint(kind: str, name: Column, n: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), (F.lit(None).cast("string") if n is None else n).alias("n"))
+
+
+def _pagers() -> list[Column]:
+    """Of a node: the hints that an anchor's href gives, with null names where it gives none."""
+    href, path = F.when(F.col("tag") == "a", F.col("attrs")["href"]), r"^(.*/page/)([0-9]+)"
+    shown = lambda pattern, k: F.nullif(F.regexp_extract(href, pattern, k), F.lit(""))
+    return [_hint("query", shown(r"[?&](page|p|pg|offset|start|skip|cursor|_page|page_num)=[0-9]+", 1)), _hint("path", shown(path, 1), shown(path, 2))]
+
+
+def _gathered(node_rows: DataFrame, *found: Column) -> DataFrame:
+    every = node_rows.select("page_id", F.explode(F.array(*found)).alias("x")).select("page_id", "x.*").where("name is not null")
+    # the least and the greatest number combine before the shuffle, where different ones would be a row each
+    sums = every.groupBy("page_id", "kind", "name").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    return sums.where("kind <> 'path' or low <> high").select("page_id", "kind", "name")
+
+
 def pager_hints(node_rows: DataFrame) -> DataFrame:
     """page_id, kind, name: query parameters with a page number, and /page/N paths with two different numbers or more, of all a page's links."""
-    href, path = F.col("href"), r"^(.*/page/)([0-9]+)"
-    by_query = F.struct(F.lit("query").alias("kind"), F.regexp_extract(href, r"[?&](page|p|pg|offset|start|skip|cursor|_page|page_num)=[0-9]+", 1).alias("name"), F.lit("").alias("n"))
-    by_path = F.struct(F.lit("path").alias("kind"), F.regexp_extract(href, path, 1).alias("name"), F.regexp_extract(href, path, 2).alias("n"))
-    found = hrefs(node_rows).select("page_id", F.explode(F.array(by_query, by_path)).alias("x")).select("page_id", "x.*").where("name <> ''")
-    # the least and the greatest number combine before the shuffle, where different ones would be a row each
-    sums = found.groupBy("page_id", "kind", "name").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    return sums.where("kind = 'query' or low <> high").select("page_id", "kind", "name")
+    return _gathered(node_rows, *_pagers())
+
+
+def link_hints(node_rows: DataFrame) -> DataFrame:
+    """page_id, kind, name: the hrefs of feed_links as kind feed, and pager_hints, in one scan of the pages."""
+    return _gathered(node_rows, _hint("feed", F.when(_feed_rank().isNotNull(), F.col("attrs")["href"])), *_pagers())
 
 
 def page_text(html: Column, most: int = 6000) -> Column:

@@ -56,8 +56,7 @@ def site_patterns(pages_):
 SELECT page_id, 'feed' AS kind, '/feed.xml' AS name FROM sites WHERE page_id % 5 = 2 UNION ALL SELECT page_id, 'feed', '/rss/all' FROM sites WHERE page_id % 8 = 7
 UNION ALL SELECT page_id, 'query', 'page' FROM sites WHERE page_id % 8 = 5 UNION ALL SELECT page_id, 'path', '/l/page/' FROM sites WHERE page_id % 8 = 6""")
 def site_hints(pages_):
-    nodes = pages.nodes(pages_, *pages.HINT_COLUMNS, wanted=pages.hinting)
-    return pages.feed_links(nodes).select("page_id", F.lit("feed").alias("kind"), F.col("href").alias("name")).unionByName(pages.pager_hints(nodes))
+    return pages.link_hints(pages.nodes(pages_.drop("url"), "tag", "attrs", wanted=pages.hinting))
 
 
 @query("sites", sql=r"""
